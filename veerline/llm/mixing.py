@@ -78,7 +78,7 @@ def queue(docs: DataFrame, size: Column | None = None, keep: bool = False, **how
     cut = F.floor("target").cast("long")
     part = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), cut - at)).cast("long")
     return placed.withColumn("start", start).select(
-        "doc_id", "source", "size", "source_size", "target", "start", *keep,
+        "doc_id", "source", "size", "source_size", "target", "start", *(["doc"] if keep else []),
         part(F.col("start")).alias("first"), part(F.col("start") + F.col("source_size")).alias("second"),
         F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).alias("finish"))
 
