@@ -45,7 +45,16 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_reads(spark: SparkSession) -> None:
+    """Turns off Parquet's vectored reads where nobody has set them: each of their threads keeps a
+    direct buffer as large as the largest column chunk it has read, outside the heap."""
+    key = "parquet.hadoop.vectored.io.enabled"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
