@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
-QUERIES = {"op10_mix_sources": mixing.op10_mix_sources}
+QUERIES = {
+    "op6_quality_cascade": quality.op6_quality_cascade,
+    "op10_mix_sources": mixing.op10_mix_sources,
+}
 ORACLE = {"op10_mix_sources": mixing.SQL}
