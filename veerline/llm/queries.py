@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, secrets
 
 QUERIES = {
+    "op2_secret_owners": secrets.op2_secret_owners,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
