@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets
+from . import mixing, quality, secrets, sstable
 
 QUERIES = {
     "op2_secret_owners": secrets.op2_secret_owners,
     "op6_quality_cascade": quality.op6_quality_cascade,
+    "op8_sorted_shards": sstable.op8_sorted_shards,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE = {"op10_mix_sources": mixing.SQL}

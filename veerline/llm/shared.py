@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space that parts words: space and the characters 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
+#: Rows of texts that are in a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +47,20 @@ def drop_staged(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def bounded_reads(spark: SparkSession) -> None:
-    """Turns off Parquet's vectored reads where nobody has set them: each of their threads keeps a
+    """Holds Arrow batches to BATCH_ROWS rows, and turns off Parquet's vectored reads where nobody has set them: each of their threads keeps a
     direct buffer as large as the largest column chunk it has read, outside the heap."""
     key = "parquet.hadoop.vectored.io.enabled"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, "false")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
