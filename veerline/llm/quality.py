@@ -28,7 +28,7 @@ from .shared import SPACE, WORD, table
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 #: Rows of the sample on which the order of the rules is estimated.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 _BITS, _LOW = 31, (1 << 31) - 1
 
 
