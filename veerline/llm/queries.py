@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, sstable
+from . import mixing, packing, quality, secrets, sstable
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_owners": secrets.op2_secret_owners,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op8_sorted_shards": sstable.op8_sorted_shards,
