@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, sstable
+from . import minhash, mixing, packing, quality, secrets, sstable
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_owners": secrets.op2_secret_owners,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op8_sorted_shards": sstable.op8_sorted_shards,
+    "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE = {"op10_mix_sources": mixing.SQL}
