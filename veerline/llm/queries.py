@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, secrets, sstable
+from . import minhash, mixing, packing, quality, secrets, sstable, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_owners": secrets.op2_secret_owners,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op8_sorted_shards": sstable.op8_sorted_shards,
     "op9_near_duplicates": minhash.op9_near_duplicates,
