@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbours, packing, quality, secrets, sstable, toxicity
+from . import minhash, mixing, neighbours, packing, quality, secrets, sstable, toxicity, trie_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_secret_owners": secrets.op2_secret_owners,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_trie_token_counts": trie_counts.op4_trie_token_counts,
     "op5_anisotropic_neighbours": neighbours.op5_anisotropic_neighbours,
     "op6_quality_cascade": quality.op6_quality_cascade,
     "op8_sorted_shards": sstable.op8_sorted_shards,
