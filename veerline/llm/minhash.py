@@ -3,13 +3,16 @@
 1. Each text becomes its set of distinct shingles (hashed to 64 bits), a hash of that set, and PERMUTATIONS minima
    of universal hashes. Texts of equal sets form a class; only its smallest doc_id goes on.
 2. The minima are cut into bands. Representatives whose band is equal share a bucket. In each bucket the most
-   central member (the one in the largest buckets over all bands) is the pivot, and every other member is a
-   candidate for a link with it: a bucket gives as many candidates as members, not all pairs.
-3. Candidates are dropped if the sizes of their sets or their signatures rule the similarity out; the rest is
-   confirmed on the full sets of shingles of the two texts.
-4. Components by large-star and small-star. While a bucket still holds members of several components that
-   weren't compared, another pivot is taken among these; once few such pairs are left in all, they are all
-   compared. So every two members of a bucket are linked, compared, or in one component: no cap is needed.
+   central member (the one in the largest buckets over all bands) is the pivot; every other member is compared with
+   it on the full sets: as many comparisons as members, not all pairs. Components follow from the links found.
+3. Members of one pivot that are still in several components may be linked with each other. With the sizes a and r
+   of what they have beyond the pivot's set and what they lack of it, two members x and y that share nothing beyond
+   it differ in a(x) + a(y) + |r(x) - r(y)| shingles or more. So only such pairs are candidates that this bound
+   lets pass, or that share a shingle beyond the pivot's set. Shingles that more than RARE members of the pivot
+   have beyond its set are left out of a, which only loosens the bound, and needn't be paired. The rule is exact:
+   no pair of a bucket is lost, and no bucket's pairs are listed.
+4. Candidates are dropped if their sizes or signatures rule the similarity out; the rest is confirmed on the full
+   sets. Components by large-star and small-star.
 
 The number of rows a band is chosen so that two texts at the very threshold meet in no band with a
 probability of 1e-6 at most.
@@ -40,9 +43,11 @@ WORDS, PERCENT = 5, 80
 QUERY_WORDS, QUERY_PERCENT = 3, 85
 PERMUTATIONS, MISS = 192, 1e-6
 #: Standard deviations by which a signature may fall short of the threshold.
-SIGMAS = 6
-#: Pairs left, as a multiple of the classes, from which on they are all compared.
-FEW_PAIRS = 2
+SIGMAS = 5
+#: Members of a pivot that may share a shingle beyond its set so that they are paired by it.
+RARE = 16
+#: Identifiers (of 8 bytes each) that are broadcast to pick texts; more of them are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def bands(percent: int) -> tuple[int, int]:
@@ -133,14 +138,51 @@ def _confirm(n_words: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked."""
-    sides = [reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "uv"]
-    sized = pairs.join(sides[0], "u").join(sides[1], "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-    likely = staged(sized.select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(least_agreement(percent)), "u long, v long"), "likely")
+def _compare(n_words: int):
+    """Sizes of the two sets of each pair (pivot u, member v), of what they share, and what v has beyond u."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist()
+            out = ([], [], [], [])
+            for part in few([a + b for a, b in zip(left, right, strict=True)]):
+                seen = list(dict.fromkeys([*left[part], *right[part]]))
+                sets = {t: shingles(h, n_words) for t, h in zip(seen, words(seen), strict=True)}
+                for t, o in zip(left[part], right[part], strict=True):
+                    more = np.setdiff1d(sets[o], sets[t], assume_unique=True)
+                    for column, x in zip(out, (len(sets[t]), len(sets[o]), len(sets[o]) - len(more), more.view(np.int64)), strict=True):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["u", "v", "n_u", "n_v", "both", "more"])
+
+    return run
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     for s in "uv":
-        likely = likely.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")), s)
-    return likely.mapInArrow(_confirm(n_words, percent), "u long, v long").distinct()
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")), s)
+    return pairs
+
+
+def _left_over(compared: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) among the members of each pivot that are in different components."""
+    rows = compared.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("n_v").alias("n"), (F.col("n_u") - F.col("both")).alias("r"), "more")
+    rows = rows.join(root.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("comp", F.coalesce("root", "x")).drop("root")
+    open_ = rows.groupBy("p").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("p")
+    rows = staged(rows.join(open_, "p"), "open")
+    each = rows.select("p", "x", "comp", F.explode("more").alias("s"))
+    often = each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = staged(each.join(often, ["p", "s"]), "shared")
+    rare = shared.where(F.col("k") <= RARE)
+    by_shingle = rare.alias("l").join(rare.alias("r"), ["p", "s"]).where("l.x < r.x AND l.comp != r.comp").select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
+    common = shared.where(F.col("k") > RARE).groupBy("p", "x").agg(F.count(F.lit(1)).alias("c"))
+    sized = rows.join(common, ["p", "x"], "left").select("p", "x", "comp", "n", "r", (F.size("more") - F.coalesce("c", F.lit(0))).alias("a"))
+    # what a member differs from others by at least is no more than what is allowed to it and its largest partner
+    allowed = F.lit((100 - percent) / (100 + percent) + 1e-9)
+    sized = staged(sized.where(F.col("a") <= allowed * (F.col("n") + F.col("n") * 100 / percent)), "sized")
+    bound = F.expr("l.a + r.a + abs(l.r - r.r)") <= allowed * F.expr("l.n + r.n")
+    by_bound = sized.alias("l").join(sized.alias("r"), "p").where(F.expr("l.x < r.x AND l.comp != r.comp") & bound).select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
+    return by_shingle.unionByName(by_bound).distinct()
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -150,44 +192,30 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     sketches = staged(texts.mapInArrow(_sketches(n_words, percent), schema), "sketches")
     classes = sketches.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash")
     classes = staged(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    reps = classes.select("rep", "n_shingles", "sig")
     every = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # the members of all buckets that have several
     members = staged(every.join(shared, "bucket").select("bucket", "rep", "n"), "members")
-    central = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = staged(members.join(central, "rep").select("bucket", "rep", "weight", F.col("rep").alias("comp")), "members")
-    n_classes, links = classes.count(), None
-    while True:
-        by = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-        open_ = by.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq")).where(F.col("n") * F.col("n") > F.col("sq"))
-        left = open_.select(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0))).first()[0]
-        if not left:
-            break
-        here = members.join(open_.select("bucket"), "bucket", "left_semi")
-        last = left <= FEW_PAIRS * n_classes
-        if last:
-            other = here.select("bucket", F.col("rep").alias("v"), F.col("comp").alias("other"))
-            pairs = here.join(other, "bucket").where((F.col("rep") < F.col("v")) & (F.col("comp") != F.col("other"))).select(F.col("rep").alias("u"), "v")
-        else:
-            pivot = here.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("rep"), "comp")).alias("p")).select("bucket", (-F.col("p.col2")).alias("u"), F.col("p.comp").alias("of"))
-            pairs = here.join(pivot, "bucket").where(F.col("comp") != F.col("of")).select("u", F.col("rep").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = _links(pairs, reps, texts, n_words, percent)
-        links = components(found if links is None else found.unionByName(links))
-        if last:
-            break
-        # what has been a pivot is compared with all; the rest goes on under its new component
-        rest = here.join(pivot.select("bucket", "u"), "bucket").where(F.col("rep") != F.col("u")).drop("u", "comp")
-        root = links.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-        was, members = members, staged(rest.join(root, "rep", "left").select("bucket", "rep", "weight", F.coalesce("comp", "rep").alias("comp")), "members")
-        drop_staged(was)
+    central = staged(members.groupBy("rep").agg(F.sum("n").alias("weight")), "central")
+    n = central.count()
+    few_ids = (lambda ids: F.broadcast(ids)) if n <= MOST_BROADCAST else (lambda ids: ids)
+    texts = staged(texts.join(few_ids(central.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), "texts")
+    best = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("p"))
+    pairs = members.join(best.select("bucket", (-F.col("p.rep")).alias("u")), "bucket").where(F.col("u") != F.col("rep")).select("u", F.col("rep").alias("v")).distinct()
+    schema = "u long, v long, n_u long, n_v long, both long, more array<long>"
+    compared = staged(_with_texts(pairs, texts).mapInArrow(_compare(n_words), schema), "compared")
+    found = compared.where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+    root = components(found)
+    more = _left_over(compared, root, percent)
+    sides = [classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "uv"]
+    more = more.join(sides[0], "u").join(sides[1], "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    more = staged(more.select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(least_agreement(percent)), "u long, v long"), "likely")
+    more = _with_texts(more, texts).mapInArrow(_confirm(n_words, percent), "u long, v long").distinct()
+    links = components(more.unionByName(root))
+    drop_staged(members, central, texts, compared)
     rows = sketches.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "rep"), "set_hash", "left")
-    comp = F.coalesce("rep", "doc_id")
-    if links is not None:
-        rows = rows.join(links.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-        comp = F.coalesce("root", "rep", "doc_id")
-    comp = F.when(F.col("doc_id").isNotNull(), comp)
+    rows = rows.join(links.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return rows.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
