@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbours, packing, quality, secrets, sstable, toxicity, trie_counts
+from . import minhash, mixing, neighbours, packing, quality, secrets, sstable, suffix_dedup, toxicity, trie_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_trie_token_counts": trie_counts.op4_trie_token_counts,
     "op5_anisotropic_neighbours": neighbours.op5_anisotropic_neighbours,
     "op6_quality_cascade": quality.op6_quality_cascade,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_sorted_shards": sstable.op8_sorted_shards,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
