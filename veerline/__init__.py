@@ -1,0 +1 @@
+"""Spark-native detection of behavioural drift in records of autonomous agents."""
