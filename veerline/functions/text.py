@@ -181,4 +181,4 @@ def prompt_failures(kind, l1) -> Column:
 def reached(injected, text) -> Column:
     """Whether one of the injected strings, normalised, is in a text, normalised."""
     plain = norm_text(text)
-    return F.exists(F.coalesce(col(injected), F.array().cast("array<string>")), lambda s: (norm_text(s) != "") & F.contains(plain, norm_text(s)))
+    return F.exists(F.coalesce(col(injected), F.array().cast("array<string>")), lambda s: F.contains(plain, norm_text(s)))
