@@ -1,11 +1,12 @@
 """The two channels over ordered streams, as batch plans, and the two-regime detector.
 
 Streams are the unit of parallelism: stream columns partition every window, so that a task holds one stream's order.
-The change-point statistic is a closed form of running sums; the smoothed divergence is a weighted sum of the last
-MEMORY scores, as older ones weigh less than a double's precision. So both stay in built-in expressions."""
+The change-point statistic is a closed form of running sums, and so is the smoothed divergence within blocks. Both
+stay in built-in expressions."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from .distributions import EPS, FLOOR, entropy, kl_term, surprisal
 
 
+#: Blocks before that a smoothed score takes in.
+CARRIED = 3
+
+
 @dataclass(frozen=True)
 class Divergence:
     """Sliding-window divergence from the baseline, exponentially smoothed."""
@@ -67,14 +72,24 @@ def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], w
 def smoothed(scores: DataFrame, stream: tuple[str, ...], alpha: float = 0.1) -> DataFrame:
     """scores (with event_index and jsd) with ema: the first score, then alpha of each and the rest of what was.
 
-    A weighted sum over a bounded frame: scores that are older than the frame have a weight below 1e-17."""
-    import math
-
-    memory = max(1, math.ceil(math.log(1e-17) / math.log(1 - alpha))) if alpha < 1 else 1
-    w = Window.partitionBy(*stream).orderBy("event_index")
-    frame = F.collect_list("jsd").over(w.rowsBetween(-memory, 0))
-    fold = F.aggregate(F.slice(frame, 2, memory + 1), F.element_at(frame, 1), lambda e, s: alpha * s + (1 - alpha) * e)
-    return scores.withColumn("ema", F.when(F.col("jsd").isNotNull(), fold))
+    The recursion is a weighted sum. It is taken in blocks, within which the weights stay in a double's range as running
+    sums; a block starts from the ends of the blocks before, of which CARRIED matter to a double's precision."""
+    if alpha >= 1:
+        return scores.withColumn("ema", F.col("jsd"))
+    keep = 1 - alpha
+    size = max(1, int(27 / -math.log(keep)))  # weights of 1e12 at most
+    full = Window.partitionBy(*stream).orderBy("event_index")
+    rows = scores.withColumn("_i", F.when(F.col("jsd").isNotNull(), F.sum(F.col("jsd").isNotNull().cast("long")).over(full.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    rows = rows.withColumn("_block", F.floor(F.col("_i") / size)).withColumn("_j", F.col("_i") % size)
+    x = F.col("jsd") * F.when(F.col("_i") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -F.col("_j"))
+    here = Window.partitionBy(*stream, "_block").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum(x).over(here) * F.pow(F.lit(keep), F.col("_j")))
+    ends = rows.where(F.col("_i").isNotNull()).groupBy(*stream, "_block").agg(F.max_by("_local", "_j").alias("_end"))
+    w = Window.partitionBy(*stream).orderBy("_block")
+    carry = sum((F.coalesce(F.lag("_end", k + 1).over(w), F.lit(0.0)) * keep ** (k * size) for k in range(CARRIED)), F.lit(0.0))
+    ends = ends.withColumn("_carry", carry).drop("_end")
+    out = rows.join(ends, [*stream, "_block"], "left").withColumn("ema", F.col("_local") + F.col("_carry") * F.pow(F.lit(keep), F.col("_j") + 1))
+    return out.drop("_i", "_block", "_j", "_local", "_carry")
 
 
 def patience(scores: DataFrame, stream: tuple[str, ...], threshold, n: int = 5, score: str = "ema") -> DataFrame:
