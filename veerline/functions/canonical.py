@@ -11,6 +11,7 @@ import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 LONGEST_TOKEN = 64
 _NUMBER, _HEX = re.compile(r"\d+(\.\d+)?\n?"), re.compile(r"[0-9a-fA-F-]{12,}\n?")
@@ -25,19 +26,19 @@ def plain_or_canonical(value) -> str:
     return "" if value is None else value if isinstance(value, str) else canonical(value)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """Canonical form of JSON texts; null if a text is none."""
     return raw.map(_recoded(canonical))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_text(raw: pd.Series) -> pd.Series:
     """Strings verbatim, null as empty, other JSON values in canonical form."""
     return raw.map(_recoded(plain_or_canonical))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_hash(raw: pd.Series) -> pd.Series:
     """First 12 digits of the SHA-256 of the canonical form."""
     return raw.map(_recoded(lambda v: hashlib.sha256(canonical(v).encode()).hexdigest()[:12]))
@@ -73,6 +74,6 @@ def command_tokens(text: str | None, tool: str) -> list[str]:
     return out or [tool]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def canonical_tokens(text: pd.Series, tool: pd.Series) -> pd.Series:
     return pd.Series([command_tokens(t, n) for t, n in zip(text, tool, strict=True)])

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-RECORD = StructType.fromDDL(
-    "ts DOUBLE, run_id STRING, agent_id STRING, model STRING, model_version STRING, goal_id STRING, step_index INT, "
-    "tool STRING, params_hash STRING, status STRING, duration_ms DOUBLE, meta MAP<STRING, STRING>"
-)
-GOAL_SPEC = StructType.fromDDL("goal_id STRING, terminal_tool STRING, min_steps INT, max_steps INT, max_duplicate_calls INT")
-CONTENT = StructType.fromDDL("run_id STRING, step_index INT, tool STRING, l1_text STRING, l2_text STRING, l3_text STRING")
-ALARM = StructType.fromDDL("stream STRING, channel STRING, event_index LONG, score DOUBLE")
+from pyspark.sql.types import DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
+
+_TEXT = StringType()
+
+
+def _struct(**fields) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+RECORD = _struct(ts=DoubleType(), run_id=_TEXT, agent_id=_TEXT, model=_TEXT, model_version=_TEXT, goal_id=_TEXT, step_index=IntegerType(), tool=_TEXT,
+                 params_hash=_TEXT, status=_TEXT, duration_ms=DoubleType(), meta=MapType(_TEXT, _TEXT))
+GOAL_SPEC = _struct(goal_id=_TEXT, terminal_tool=_TEXT, min_steps=IntegerType(), max_steps=IntegerType(), max_duplicate_calls=IntegerType())
+CONTENT = _struct(run_id=_TEXT, step_index=IntegerType(), tool=_TEXT, l1_text=_TEXT, l2_text=_TEXT, l3_text=_TEXT)
+ALARM = _struct(stream=_TEXT, channel=_TEXT, event_index=LongType(), score=DoubleType())
 
 #: Defaults of a goal's contract.
 MIN_STEPS, MAX_STEPS, MAX_DUPLICATES = 3, 200, 1
