@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .distributions import EPS, FLOOR, entropy, kl_term, surprisal
 
 
+#: Highest threshold of a divergence, which is one at most.
+CAP = 0.9
 #: Blocks before that a smoothed score takes in.
 CARRIED = 3
 
@@ -43,16 +45,23 @@ def numbered(records: DataFrame, stream: tuple[str, ...], order: tuple[str, ...]
     return records.withColumn("event_index", F.row_number().over(Window.partitionBy(*stream).orderBy(*order)).cast("long") - 1)
 
 
-def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50) -> DataFrame:
+def _beside(events: DataFrame, one: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """events with the columns of one, which has a row for each value of on, or a single row."""
+    return events.join(one, list(on)) if on else events.crossJoin(F.broadcast(one))
+
+
+def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, on: tuple[str, ...] = ()) -> DataFrame:
     """events (with event_index) with jsd: between the last window tools and dist; null until the window is full.
 
+    on: columns of stream by which dist has several distributions.
+
     Each event enters and leaves the window once: it is a row of +1 at its own place and of -1 window places later, so
     that a tool's count in the window is a running sum, for any vocabulary. The divergence is that of the tools within
     the window, plus what dist has elsewhere, which is a constant less the parts of those within."""
     eps = EPS
     alone = lambda q: kl_term(q, q / 2, eps) / 2  # noqa: E731  a tool's part if the window lacks it
-    rest = dist.agg(F.coalesce(F.sum(alone(F.col("p"))), F.lit(0.0)).alias("_rest"))
-    known = events.join(dist.select("tool", F.col("p").alias("_q")), "tool", "left").withColumn("_q", F.coalesce("_q", F.lit(0.0)))
+    rest = dist.groupBy(*on).agg(F.coalesce(F.sum(alone(F.col("p"))), F.lit(0.0)).alias("_rest"))
+    known = events.join(dist.select(*on, "tool", F.col("p").alias("_q")), [*on, "tool"], "left").withColumn("_q", F.coalesce("_q", F.lit(0.0)))
     steps = known.select(*stream, "tool", "_q", F.explode(F.array(
         F.struct(F.col("event_index").alias("at"), F.lit(1).alias("d")),
         F.struct((F.col("event_index") + window).alias("at"), F.lit(-1).alias("d")))).alias("s")).select(*stream, "tool", "_q", "s.*")
@@ -64,7 +73,7 @@ def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], w
     part = lambda c: F.when(c > 0, (kl_term(c / window, m(c / window, F.col("_q")), eps) + kl_term(F.col("_q"), m(c / window, F.col("_q")), eps)) / 2 - alone(F.col("_q"))).otherwise(F.lit(0.0))
     steps = steps.withColumn("n", n).withColumn("change", part(F.col("n")) - part(F.col("n") - F.col("d")))
     changes = steps.groupBy(*stream, F.col("at").alias("event_index")).agg(F.sum("change").alias("_change"))
-    scored = events.join(changes, [*stream, "event_index"], "left").crossJoin(F.broadcast(rest))
+    scored = _beside(events.join(changes, [*stream, "event_index"], "left"), rest, on)
     total = F.sum(F.coalesce("_change", F.lit(0.0))).over(Window.partitionBy(*stream).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0))
     return scored.withColumn("jsd", F.when(F.col("event_index") >= window - 1, F.col("_rest") + total)).drop("_change", "_rest")
 
@@ -99,25 +108,25 @@ def patience(scores: DataFrame, stream: tuple[str, ...], threshold, n: int = 5,
     return scores.withColumn("alarmed", (F.sum(over).over(w) == n))
 
 
-def cusum_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], slack: float = 0.5) -> DataFrame:
+def cusum_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], slack: float = 0.5, on: tuple[str, ...] = ()) -> DataFrame:
     """events with stat: the cumulative sum less its smallest value so far (and zero)."""
-    mean = dist.agg(entropy("p").alias("_mean"))
+    mean = dist.groupBy(*on).agg(entropy("p").alias("_mean"))
     x = surprisal("_q") - F.col("_mean") - slack
-    known = events.join(dist.select("tool", F.col("p").alias("_q")), "tool", "left").crossJoin(F.broadcast(mean)).withColumn("_x", x)
+    known = _beside(events.join(dist.select(*on, "tool", F.col("p").alias("_q")), [*on, "tool"], "left"), mean, on).withColumn("_x", x)
     w = Window.partitionBy(*stream).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
     known = known.withColumn("_c", F.sum("_x").over(w))
     stat = F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w))
     return known.withColumn("stat", stat).drop("_q", "_mean", "_x", "_c")
 
 
-def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum()) -> DataFrame:
+def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = ()) -> DataFrame:
     """events with jsd, ema and stat. dist is broadcast where Spark finds it small enough."""
-    return cusum_scores(smoothed(window_scores(events, dist, stream, div.window), stream, div.alpha), dist, stream, cus.slack)
+    return cusum_scores(smoothed(window_scores(events, dist, stream, div.window, on), stream, div.alpha), dist, stream, cus.slack, on)
 
 
-def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = 0.9) -> DataFrame:
+def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = ()) -> DataFrame:
     """stream, div_threshold, cusum_threshold: the channels' largest scores times a margin, the first capped."""
-    s = scored(events, dist, stream, Divergence(window=window))
+    s = scored(events, dist, stream, Divergence(window=window), on=on)
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
     return s.groupBy(*stream).agg(F.least(top("ema"), F.lit(cap)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
 
@@ -133,14 +142,14 @@ def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15,
     return first.select(*stream, "channel", F.col("f.event_index").alias("event_index"), F.col("f.score").alias("score"))
 
 
-def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum()) -> DataFrame:
+def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = ()) -> DataFrame:
     """First alarm of each channel in each stream. Order for reading: event_index, divergence before cusum."""
-    return first_alarms(scored(events, dist, stream, div, cus), stream, div.threshold, cus.threshold, div.patience)
+    return first_alarms(scored(events, dist, stream, div, cus, on), stream, div.threshold, cus.threshold, div.patience)
 
 
-def persistence(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence()) -> DataFrame:
+def persistence(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), on: tuple[str, ...] = ()) -> DataFrame:
     """stream, shifted, persistent, first_alarm_index, final_score."""
-    s = patience(smoothed(window_scores(events, dist, stream, div.window), stream, div.alpha), stream, div.threshold, div.patience)
+    s = patience(smoothed(window_scores(events, dist, stream, div.window, on), stream, div.alpha), stream, div.threshold, div.patience)
     last = s.groupBy(*stream).agg(F.min(F.when(F.col("alarmed"), F.col("event_index"))).alias("first_alarm_index"), F.max_by("ema", "event_index").alias("final_score"))
     shifted = F.col("first_alarm_index").isNotNull()
     return last.select(*stream, shifted.alias("shifted"), (shifted & F.coalesce(F.col("final_score") > div.threshold, F.lit(False))).alias("persistent"), "first_alarm_index", "final_score")
