@@ -66,8 +66,10 @@ def queue(docs: DataFrame, size: Column | None = None, keep: bool = False, **how
         "doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"), *keep,
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
     ).withColumn("range", F.substring("key", 1, DIGITS))
-    rows = staged(rows, "mix")
-    ranges = rows.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
+    # what is staged has no texts; where they are wanted, they are read again rather than written
+    sizes = staged(rows.drop("doc"), "mix")
+    rows = rows if keep else sizes
+    ranges = sizes.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     sizes = ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
     prefix = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("skey", "range", F.coalesce(F.sum("range_size").over(prefix), F.lit(0)).alias("before"))
