@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributions import EPS, FLOOR, entropy, kl_term, surprisal
+from .distributions import EPS, FLOOR, entropy, js_term, kl_term, surprisal
 
 
 #: Highest threshold of a divergence, which is one at most.
@@ -63,16 +63,18 @@ def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], w
     rest = dist.groupBy(*on).agg(F.coalesce(F.sum(alone(F.col("p"))), F.lit(0.0)).alias("_rest"))
     known = events.join(dist.select(*on, "tool", F.col("p").alias("_q")), [*on, "tool"], "left").withColumn("_q", F.coalesce("_q", F.lit(0.0)))
     steps = known.select(*stream, "tool", "_q", F.explode(F.array(
-        F.struct(F.col("event_index").alias("at"), F.lit(1).alias("d")),
-        F.struct((F.col("event_index") + window).alias("at"), F.lit(-1).alias("d")))).alias("s")).select(*stream, "tool", "_q", "s.*")
+        F.struct(F.col("event_index").alias("_at"), F.lit(1).alias("_d")),
+        F.struct((F.col("event_index") + window).alias("_at"), F.lit(-1).alias("_d")))).alias("_step")).select(*stream, "tool", "_q", "_step.*")
     # several changes of one tool at one place are one
-    steps = steps.groupBy(*stream, "tool", "_q", "at").agg(F.sum("d").alias("d")).where("d != 0")
-    own = Window.partitionBy(*stream, "tool").orderBy("at")
-    n = F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    m = (lambda p, q: (p + q) / 2)
-    part = lambda c: F.when(c > 0, (kl_term(c / window, m(c / window, F.col("_q")), eps) + kl_term(F.col("_q"), m(c / window, F.col("_q")), eps)) / 2 - alone(F.col("_q"))).otherwise(F.lit(0.0))
-    steps = steps.withColumn("n", n).withColumn("change", part(F.col("n")) - part(F.col("n") - F.col("d")))
-    changes = steps.groupBy(*stream, F.col("at").alias("event_index")).agg(F.sum("change").alias("_change"))
+    steps = steps.groupBy(*stream, "tool", "_q", "_at").agg(F.sum("_d").alias("_d")).where("_d != 0")
+    own = Window.partitionBy(*stream, "tool").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+
+    def part(count):
+        p, q = count / window, F.col("_q")
+        return F.when(count > 0, js_term(p, q, eps) - alone(q)).otherwise(F.lit(0.0))
+
+    steps = steps.withColumn("_n", F.sum("_d").over(own)).withColumn("_change", part(F.col("_n")) - part(F.col("_n") - F.col("_d")))
+    changes = steps.groupBy(*stream, F.col("_at").alias("event_index")).agg(F.sum("_change").alias("_change"))
     scored = _beside(events.join(changes, [*stream, "event_index"], "left"), rest, on)
     total = F.sum(F.coalesce("_change", F.lit(0.0))).over(Window.partitionBy(*stream).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0))
     return scored.withColumn("jsd", F.when(F.col("event_index") >= window - 1, F.col("_rest") + total)).drop("_change", "_rest")
@@ -137,9 +139,9 @@ def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15,
     s = patience(scores, stream, div_threshold, n)
     hits = s.select(*stream, "event_index", F.explode(F.filter(F.array(
         F.struct(F.lit("divergence").alias("channel"), F.col("alarmed").alias("hit"), F.coalesce("ema", F.lit(0.0)).alias("score")),
-        F.struct(F.lit("cusum").alias("channel"), (F.col("stat") > at(cusum_threshold)).alias("hit"), F.col("stat").alias("score"))), lambda x: x["hit"])).alias("h"))
-    first = hits.groupBy(*stream, F.col("h.channel").alias("channel")).agg(F.min(F.struct("event_index", F.col("h.score").alias("score"))).alias("f"))
-    return first.select(*stream, "channel", F.col("f.event_index").alias("event_index"), F.col("f.score").alias("score"))
+        F.struct(F.lit("cusum").alias("channel"), (F.col("stat") > at(cusum_threshold)).alias("hit"), F.col("stat").alias("score"))), lambda x: x["hit"])).alias("_h"))
+    first = hits.groupBy(*stream, F.col("_h.channel").alias("channel")).agg(F.min(F.struct("event_index", F.col("_h.score").alias("score"))).alias("_f"))
+    return first.select(*stream, "channel", F.col("_f.event_index").alias("event_index"), F.col("_f.score").alias("score"))
 
 
 def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = ()) -> DataFrame:
