@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from .shared import drop_staged, staged
 
 
+#: Tasks over which the links of one node are dealt when they meet its minimum.
+SALTS = 8
+
+
+def _with_least(e: DataFrame, least: DataFrame) -> DataFrame:
+    """e (u, v) with m of its u: a hub's links are dealt over SALTS tasks, and its minimum goes to each of them."""
+    salted = e.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "_s"]).drop("_s")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

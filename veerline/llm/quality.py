@@ -112,3 +112,22 @@ def rated(docs: DataFrame, among: list[Rule] | None = None, sample_rows: int = S
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, text, w, l, row_number() OVER () AS k, len(w) AS n FROM d),
+x AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT k, w, unnest(range(1, n - 1)) AS i FROM g)),
+r AS (SELECT k, i FROM x QUALIFY count(*) OVER (PARTITION BY k, x) > 1),
+c AS (SELECT k, count(DISTINCT p) AS n_repeat FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY k),
+m AS (SELECT doc_id, text, w, l, CAST(n AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words FROM g LEFT JOIN c USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 5 > n_words OR n_dup_lines * 2 > len(l) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR len(list_filter(w, lambda x: x[-2:] = '!!')) * 2 > n_words OR len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) * 2 > n_words
+    OR len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09]*$'))) * 2 > len(l)) AS kept
+FROM b
+"""
