@@ -2,7 +2,7 @@
 
 Streams are the unit of parallelism: stream columns partition every window, so that a task holds one stream's order.
 The change-point statistic is a closed form of running sums, and so is the smoothed divergence within blocks. Both
-stay in built-in expressions."""
+stay in built-in expressions. Streams that are too large for a task are scored in blocks (see ordinals)."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distributions import EPS, FLOOR, entropy, js_term, kl_term, surprisal
+from .ordinals import running
 
 
 #: Highest threshold of a divergence, which is one at most.
@@ -50,7 +51,7 @@ def _beside(events: DataFrame, one: DataFrame, on: tuple[str, ...]) -> DataFrame
     return events.join(one, list(on)) if on else events.crossJoin(F.broadcast(one))
 
 
-def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, on: tuple[str, ...] = ()) -> DataFrame:
+def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """events (with event_index) with jsd: between the last window tools and dist; null until the window is full.
 
     on: columns of stream by which dist has several distributions.
@@ -76,11 +77,11 @@ def window_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], w
     steps = steps.withColumn("_n", F.sum("_d").over(own)).withColumn("_change", part(F.col("_n")) - part(F.col("_n") - F.col("_d")))
     changes = steps.groupBy(*stream, F.col("_at").alias("event_index")).agg(F.sum("_change").alias("_change"))
     scored = _beside(events.join(changes, [*stream, "event_index"], "left"), rest, on)
-    total = F.sum(F.coalesce("_change", F.lit(0.0))).over(Window.partitionBy(*stream).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0))
-    return scored.withColumn("jsd", F.when(F.col("event_index") >= window - 1, F.col("_rest") + total)).drop("_change", "_rest")
+    scored = running(scored.withColumn("_change", F.coalesce("_change", F.lit(0.0))), stream, "_change", "_total", block=block)
+    return scored.withColumn("jsd", F.when(F.col("event_index") >= window - 1, F.col("_rest") + F.col("_total"))).drop("_change", "_rest", "_total")
 
 
-def smoothed(scores: DataFrame, stream: tuple[str, ...], alpha: float = 0.1) -> DataFrame:
+def smoothed(scores: DataFrame, stream: tuple[str, ...], alpha: float = 0.1, block: int | None = None) -> DataFrame:
     """scores (with event_index and jsd) with ema: the first score, then alpha of each and the rest of what was.
 
     The recursion is a weighted sum. It is taken in blocks, within which the weights stay in a double's range as running
@@ -89,8 +90,8 @@ def smoothed(scores: DataFrame, stream: tuple[str, ...], alpha: float = 0.1) ->
         return scores.withColumn("ema", F.col("jsd"))
     keep = 1 - alpha
     size = max(1, int(27 / -math.log(keep)))  # weights of 1e12 at most
-    full = Window.partitionBy(*stream).orderBy("event_index")
-    rows = scores.withColumn("_i", F.when(F.col("jsd").isNotNull(), F.sum(F.col("jsd").isNotNull().cast("long")).over(full.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    rows = running(scores.withColumn("_has", F.col("jsd").isNotNull().cast("long")), stream, "_has", "_k", block=block)
+    rows = rows.withColumn("_i", F.when(F.col("jsd").isNotNull(), (F.col("_k") - 1).cast("long"))).drop("_has", "_k")
     rows = rows.withColumn("_block", F.floor(F.col("_i") / size)).withColumn("_j", F.col("_i") % size)
     x = F.col("jsd") * F.when(F.col("_i") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -F.col("_j"))
     here = Window.partitionBy(*stream, "_block").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,20 +111,19 @@ def patience(scores: DataFrame, stream: tuple[str, ...], threshold, n: int = 5,
     return scores.withColumn("alarmed", (F.sum(over).over(w) == n))
 
 
-def cusum_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], slack: float = 0.5, on: tuple[str, ...] = ()) -> DataFrame:
+def cusum_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], slack: float = 0.5, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """events with stat: the cumulative sum less its smallest value so far (and zero)."""
     mean = dist.groupBy(*on).agg(entropy("p").alias("_mean"))
     x = surprisal("_q") - F.col("_mean") - slack
     known = _beside(events.join(dist.select(*on, "tool", F.col("p").alias("_q")), [*on, "tool"], "left"), mean, on).withColumn("_x", x)
-    w = Window.partitionBy(*stream).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
-    known = known.withColumn("_c", F.sum("_x").over(w))
-    stat = F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(w))
-    return known.withColumn("stat", stat).drop("_q", "_mean", "_x", "_c")
+    known = running(running(known, stream, "_x", "_c", block=block), stream, "_c", "_least", "min", block)
+    return known.withColumn("stat", F.col("_c") - F.least(F.lit(0.0), F.col("_least"))).drop("_q", "_mean", "_x", "_c", "_least")
 
 
-def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = ()) -> DataFrame:
-    """events with jsd, ema and stat. dist is broadcast where Spark finds it small enough."""
-    return cusum_scores(smoothed(window_scores(events, dist, stream, div.window, on), stream, div.alpha), dist, stream, cus.slack, on)
+def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+    """events with jsd, ema and stat. dist is broadcast where Spark finds it small enough. block: events of a stream that
+    one task takes, for streams that are too large for one."""
+    return cusum_scores(smoothed(window_scores(events, dist, stream, div.window, on, block), stream, div.alpha, block), dist, stream, cus.slack, on, block)
 
 
 def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = ()) -> DataFrame:

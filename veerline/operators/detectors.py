@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .baseline import error_rates, presence
 from .distributions import js_of_pairs, tool_distribution
+from .ordinals import BLOCK, numbered_by_ranges, segments_of
 
 
 def proportion_z(e1, n1, e2, n2) -> Column:
@@ -25,20 +26,22 @@ def context_decay(observed: DataFrame, baseline_rates: DataFrame, min_calls: int
                        proportion_z("err", "n", "e", "n_observed").alias("z"), "n_observed")
 
 
-def segments(records: DataFrame, order: tuple[str, ...], version: tuple[str, ...] = ("model", "model_version"), stream: tuple[str, ...] = ("agent_id",)) -> DataFrame:
-    """records with event_index and segment: maximal runs of one version within each stream."""
-    w = Window.partitionBy(*stream).orderBy(*order)
-    new = F.coalesce(F.struct(*version) != F.lag(F.struct(*version)).over(w), F.lit(True)).cast("int")
-    rows = records.withColumn("event_index", F.row_number().over(w).cast("long") - 1).withColumn("_new", new)
-    return rows.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long") - 1).drop("_new")
+def segments(records: DataFrame, order: tuple[str, ...], version: tuple[str, ...] = ("model", "model_version"), stream: tuple[str, ...] = ("agent_id",), block: int | None = None) -> DataFrame:
+    """records with event_index and segment: maximal runs of one version within each stream; with an empty stream, of all
+    records in their order. With block, in two levels, for streams that are too large for a task."""
+    if block is None and stream:
+        rows = records.withColumn("event_index", F.row_number().over(Window.partitionBy(*stream).orderBy(*order)).cast("long") - 1)
+    else:
+        rows = numbered_by_ranges(records, stream, order)
+    return segments_of(rows, stream, version, block or (None if stream else BLOCK))
 
 
-def version_drift(records: DataFrame, order: tuple[str, ...], version: tuple[str, ...] = ("model", "model_version"), stream: tuple[str, ...] = ("agent_id",), min_segment: int = 50) -> DataFrame:
+def version_drift(records: DataFrame, order: tuple[str, ...], version: tuple[str, ...] = ("model", "model_version"), stream: tuple[str, ...] = ("agent_id",), min_segment: int = 50, block: int | None = None) -> DataFrame:
     """Divergence of each two adjacent segments that both have min_segment records: stream, segment (the later one),
     from and to versions, boundary_index, jsd. A threshold on jsd makes findings of them."""
-    rows = segments(records, order, version, stream)
+    rows = segments(records, order, version, stream, block)
     seg = rows.groupBy(*stream, "segment").agg(F.count(F.lit(1)).alias("n"), F.min("event_index").alias("start"), F.first(F.struct(*version)).alias("v"))
-    w = Window.partitionBy(*stream).orderBy("segment")
+    w = Window.partitionBy(*(stream or (F.lit(0),))).orderBy("segment")  # a row a segment
     pairs = seg.withColumn("n0", F.lag("n").over(w)).withColumn("v0", F.lag("v").over(w)).where((F.col("n") >= min_segment) & (F.col("n0") >= min_segment))
     key = lambda s: F.struct(*stream, s.alias("segment"))
     pairs = pairs.select(*stream, "segment", F.col("v0").alias("from_version"), F.col("v").alias("to_version"), F.col("start").alias("boundary_index"),
