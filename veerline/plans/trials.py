@@ -79,23 +79,26 @@ def stream_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, wi
     length = lambda s, name: s.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     sizes = length(calibration, "onset").join(length(null, "horizon"), list(by)).where((F.col("onset") > window) & (F.col("horizon") > window))
     dist = S.tool_distribution(admission, by)
-    limits = C.calibrated(calibration, dist, by, window, margin, on=by).join(sizes, list(by))
     attack = _stream(injected, records, by).join(sizes, list(by)).where(F.col("event_index") < F.col("horizon")).withColumn("event_index", F.col("event_index") + F.col("onset"))
-    kinds = null.join(sizes.select(*by), list(by)).select(*by, F.lit("null").alias("kind"), "event_index", "tool").unionByName(
-        calibration.join(sizes.select(*by), list(by)).select(*by, F.lit("attack").alias("kind"), "event_index", "tool")).unionByName(attack.select(*by, F.lit("attack").alias("kind"), "event_index", "tool"))
+    part = lambda s, kind: s.select(*by, F.lit(kind).alias("kind"), "event_index", "tool", "onset", "horizon")
+    sized = lambda s: s.join(sizes, list(by))
+    # the attack stream starts with the calibration, whose scores give the thresholds
+    kinds = part(sized(null), "null").unionByName(part(sized(calibration), "attack")).unionByName(part(attack, "attack"))
     streams = (*by, "kind")
-    scores = C.scored(kinds, dist, streams, C.Divergence(window, div.alpha, div.threshold, div.patience), on=by).join(limits, list(by))
-    first = C.first_alarms(scores, streams, "div_threshold", "cusum_threshold", div.patience)
-    late = C.patience(scores, streams, "div_threshold", div.patience).where((F.col("kind") == "attack") & (F.col("event_index") >= F.col("onset"))).groupBy(*by).agg(
-        F.max(F.col("alarmed").cast("int")).alias("divergence"), F.max((F.col("stat") > F.col("cusum_threshold")).cast("int")).alias("cusum"))
-    late = late.select(*by, F.explode(F.create_map(*(x for c in CHANNELS for x in (F.lit(c), F.col(c) == 1)))).alias("channel", "after"))
+    scores = C.scored(kinds, dist, streams, C.Divergence(window, div.alpha, div.threshold, div.patience), on=by)
+    top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
+    limits = scores.where((F.col("kind") == "attack") & (F.col("event_index") < F.col("onset"))).groupBy(*by).agg(F.least(top("ema"), F.lit(C.CAP)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
+    hits = C.patience(scores.join(limits, list(by)), streams, "div_threshold", div.patience)
+    hits = hits.select(*streams, "event_index", "onset", F.explode(F.filter(F.array(
+        F.when(F.col("alarmed"), F.lit("divergence")), F.when(F.col("stat") > F.col("cusum_threshold"), F.lit("cusum"))), lambda x: x.isNotNull())).alias("channel"))
+    bad = F.col("kind") == "attack"
+    found = hits.groupBy(*by, "channel").agg(
+        F.max((~bad).cast("int")).alias("_null"), F.min(F.when(bad, F.col("event_index") - F.col("onset"))).alias("_first"), F.max((bad & (F.col("event_index") >= F.col("onset"))).cast("int")).alias("_after"))
     cells = sizes.withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
-    key = [*by, "channel"]
-    alarms = lambda kind, name: first.where(F.col("kind") == kind).select(*key, F.col("event_index").alias(name))
-    out = cells.join(alarms("null", "_null"), key, "left").join(alarms("attack", "_attack"), key, "left").join(late, key, "left")
-    at = F.col("_attack") - F.col("onset")
-    return out.select(*key, F.col("_null").isNotNull().alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
-                      F.when(at >= 0, at).alias("delay"), F.coalesce("after", F.lit(False)).alias("detected_after_onset"), "horizon")
+    at = F.col("_first")
+    return cells.join(found, [*by, "channel"], "left").select(
+        *by, "channel", F.coalesce(F.col("_null") == 1, F.lit(False)).alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
+        F.when(at >= 0, at).alias("delay"), F.coalesce(F.col("_after") == 1, F.lit(False)).alias("detected_after_onset"), "horizon")
 
 
 def per_run_rates(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
