@@ -15,7 +15,8 @@ SALTS = 8
 def _with_least(e: DataFrame, least: DataFrame) -> DataFrame:
     """e (u, v) with m of its u: a hub's links are dealt over SALTS tasks, and its minimum goes to each of them."""
     salted = e.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    return salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "_s"]).drop("_s")
+    # repeated rows look small to the planner: they aren't to be broadcast
+    return salted.hint("merge").join(least.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "_s"]).drop("_s")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
