@@ -120,13 +120,13 @@ def test_blamed_runs(spark, tmp_path):
 
 
 def test_chat_sessions(spark, tmp_path):
-    put(tmp_path, "s.json", {"s1": {"user_id": "u", "agent": "Claude  Dev", "cli_version": "1", "created_at_us": 5}})
+    put(tmp_path, "s.json", {"s1": {"user_id": "u", "agent": "Code  Helper", "cli_version": "1", "created_at_us": 5}})
     events = [{"session_id": "s1", "turn_number": 2, "ts_us": 3000000, "tool_name": "Edit", "params_sha256": "abcdef0123456789"}, {"session_id": "s1", "turn_number": 1, "ts_us": 4000000, "tool_name": "Bash", "command_head": "git", "duration_ms": 5},
               {"session_id": "s1", "tool_name": "Edit"}, {"session_id": "s9", "ts_us": 1, "tool_name": "Edit"}]
     put(tmp_path, "e.jsonl", "\n".join(map(json.dumps, events)))
     c = corpora.chat_sessions(spark, str(tmp_path / "e.jsonl"), str(tmp_path / "s.json"))
     assert [(x["step_index"], x["tool"], x["ts"], x["params_hash"], x["agent_id"]) for x in rows(c.records, "step_index")] == [(0, "git", 4.0, "", "u"), (1, "Edit", 3.0, "abcdef012345", "u")]
-    assert c.labels.first()["agent"] == "claude-dev"
+    assert c.labels.first()["agent"] == "code-helper"
     assert {x["reason"]: x["n"] for x in c.skipped.collect()} == {"no session": 1, "no time or tool": 1}
 
 

@@ -75,3 +75,29 @@ def test_late_rows(spark, tmp_path):
         write(spark, path, [("a", 100 * k + i, "x", t0 + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)])
     got = run(spark, path, tmp_path, "timed", dist={"x": 1.0}, event_time="at").orderBy("event_index").collect()
     assert len(got) == 4 and got[-1]["late"] <= 1
+
+
+def test_other_channels(spark, tmp_path):
+    import datetime as dt
+
+    class EveryOther:
+        """A channel of one's own: fires at each second event."""
+
+        def __init__(self):
+            self.n = 0
+
+        def update(self, tool):
+            self.n += 1
+            return None, float(self.n), ["even"] if self.n % 2 == 0 else []
+
+        def dump(self):
+            return str(self.n)
+
+        def load(self, raw):
+            self.n = int(raw)
+
+    path = str(tmp_path / "mine")
+    for k in range(3):
+        write(spark, path, [("a", k, "x", dt.datetime(2024, 1, 1))])
+    got = run(spark, path, tmp_path, "own", dist={}, make=EveryOther).orderBy("event_index").collect()
+    assert [(r["stat"], r["alarm"]) for r in got] == [(1.0, ""), (2.0, "even"), (3.0, "")]

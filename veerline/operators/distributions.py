@@ -13,11 +13,9 @@ FLOOR = 1e-4
 def tool_distribution(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Relative frequency of each tool, within each value of keys."""
     counts = records.groupBy(*keys, "tool").agg(F.count(F.lit(1)).alias("n"))
-    if keys:
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        return counts.select(*keys, "tool", (F.col("n") / total).alias("p"))
-    # one row a tool: the total is a one-row table
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("tool", (F.col("n") / F.col("total")).alias("p"))
+    # counts have a row a tool: without keys, the vocabulary is summed in one task
+    total = F.sum("n").over(Window.partitionBy(*(keys or (F.lit(0),))))
+    return counts.select(*keys, "tool", (F.col("n") / total).alias("p"))
 
 
 def entropy(p) -> Column:

@@ -46,7 +46,7 @@ def r6(c, name: str):
 
 def base_and_rest(spark, sf):
     r = V.records(spark, sf)
-    return r, r.where("base"), r.where("NOT base")
+    return r, V.records(spark, sf, V.CUT), r.where("NOT base")
 
 
 # --- distributions ---
@@ -226,7 +226,8 @@ _CNT = ", ".join(f"sum((tool = '{t}')::INT) OVER w AS n_{t}" for t in ("click",
 
 def _streams(spark, sf):
     _, a, _ = base_and_rest(spark, sf)
-    return C.numbered(V.records(spark, sf), STREAM, ORDER), S.tool_distribution(a)
+    # the frozen baseline is used more than once; it has a row a tool
+    return C.numbered(V.records(spark, sf), STREAM, ORDER), S.tool_distribution(a).persist()
 
 
 _WIN = _EV + f""", wn AS (SELECT agent_id, event_index, tool, q, list(tool) OVER (PARTITION BY agent_id ORDER BY event_index ROWS {WINDOW - 1} PRECEDING) AS l FROM e),

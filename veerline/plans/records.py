@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORIGIN = "2024-01-01 00:00:00"
@@ -17,15 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as records, with event_id, us (microseconds from ORIGIN), value and base (whether in the baseline)."""
+def records(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """events as records, with event_id, us (microseconds from ORIGIN), value and base (whether in the baseline).
+
+    until: a time before which records are read; the scan takes it. A prefix in time keeps all steps as they are."""
     e = table(spark, sf_dir, "events")
+    if until is not None:
+        e = e.where(F.col("ts") < F.lit(until).cast(dict(e.dtypes)["ts"]))
     stamp = lambda c: F.unix_micros(c.cast("timestamp"))
     us = stamp(F.col("ts")) - stamp(F.lit(ORIGIN))
     rows = e.select("event_id", us.alias("us"), "user_id", F.col("event_type").alias("tool"), "value", "props")
     day = F.floor(F.col("us") / 86_400_000_000)
-    from pyspark.sql import Window
-
     rows = rows.select(
         "event_id", "us", (F.col("us") / 1e6).alias("ts"), F.concat(F.lit("u"), F.col("user_id")).alias("agent_id"),
         F.concat(F.lit("u"), F.col("user_id"), F.lit("-w"), F.floor(day / 7)).alias("run_id"),

@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,6 +32,18 @@ def _kl(p: float, q: float) -> float:
     return p * math.log2((p + EPS) / (q + EPS)) if p > 0 else 0.0
 
 
+class Channels(Protocol):
+    """What a streaming operator needs of an object that scores one stream: Scorer is one, others may stand in for it."""
+
+    n: int
+
+    def update(self, tool: str) -> tuple[float | None, float, list[str]]: ...
+
+    def dump(self) -> str: ...
+
+    def load(self, raw: str) -> None: ...
+
+
 class Scorer:
     """Both channels over one stream of tools."""
 
@@ -96,8 +109,8 @@ class Scorer:
 class ChannelProcessor(StatefulProcessor):
     """Scores each record of a stream; alarm names the channels that fire for the first time."""
 
-    def __init__(self, dist: dict[str, float], div: Divergence, cus: Cusum, order: tuple[str, ...], timed: bool):
-        self.dist, self.div, self.cus, self.order, self.timed = dist, div, cus, list(order), timed
+    def __init__(self, make: Callable[[], Channels], order: tuple[str, ...], timed: bool):
+        self.make, self.order, self.timed = make, list(order), timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("scorer", STATE)
@@ -113,7 +126,7 @@ class ChannelProcessor(StatefulProcessor):
             self.late.update((late,))
             batch = batch[~old]
         batch = batch.sort_values(self.order)
-        scorer = Scorer(self.dist, self.div, self.cus)
+        scorer = self.make()
         if self.state.exists():
             scorer.load(self.state.get()[0])
         out = []
@@ -128,16 +141,17 @@ class ChannelProcessor(StatefulProcessor):
         pass
 
 
-def scored_stream(events: DataFrame, dist: dict[str, float], stream: str = "agent_id", order: tuple[str, ...] = ("ord",), div: Divergence = Divergence(), cus: Cusum = Cusum(), event_time: str | None = None, late: str = "10 minutes") -> DataFrame:
+def scored_stream(events: DataFrame, dist: dict[str, float], stream: str = "agent_id", order: tuple[str, ...] = ("ord",), div: Divergence = Divergence(), cus: Cusum = Cusum(), event_time: str | None = None, late: str = "10 minutes", make: Callable[[], Channels] | None = None) -> DataFrame:
     """A streaming table of scores (OUTPUT). events: stream, tool and the order columns; needs the RocksDB state store.
 
-    dist is the frozen baseline, of the size of the vocabulary."""
+    dist is the frozen baseline, of the size of the vocabulary. make: gives other channels than these two."""
+    make = make or (lambda: Scorer(dist, div, cus))
     columns = [F.col(stream).alias("stream"), "tool", *order]
     if event_time is not None:
         events = events.withColumn("event_time", F.col(event_time)).withWatermark("event_time", late)
         columns.append("event_time")
     rows = events.select(*columns).groupBy("stream")
-    return rows.transformWithStateInPandas(statefulProcessor=ChannelProcessor(dist, div, cus, order, event_time is not None), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if event_time is not None else "None")
+    return rows.transformWithStateInPandas(statefulProcessor=ChannelProcessor(make, order, event_time is not None), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if event_time is not None else "None")
 
 
 #: What a session needs for scored_stream().
