@@ -5,25 +5,15 @@ each part is summed on its own, and starts from a carry, which is a running sum
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import new_folder
+
 #: Events in a block.
 BLOCK = 1 << 18
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veerline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/ordinals-{uuid.uuid4().hex}"
-
-
 def numbered_by_ranges(records: DataFrame, stream: tuple[str, ...], order: tuple[str, ...], parts: int | None = None) -> DataFrame:
     """records with event_index, from 0, within each stream (of all records, if stream is empty).
 
@@ -31,7 +21,7 @@ def numbered_by_ranges(records: DataFrame, stream: tuple[str, ...], order: tuple
     spark = records.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = records.repartitionByRange(parts, *stream, *order).withColumn("_part", F.spark_partition_id())
-    path = _shared(spark)
+    path = new_folder(spark, "ordinals")
     ranged.write.parquet(path)
     rows = spark.read.schema(ranged.schema).parquet(path)
     sizes = rows.groupBy(*stream, "_part").agg(F.count(F.lit(1)).alias("_n"))
