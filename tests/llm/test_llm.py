@@ -531,7 +531,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, seen["packing"].select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
-@pytest.mark.parametrize("name", ["op6_quality_cascade", "op10_mix_sources"])
+@pytest.mark.parametrize("name", ["op6_quality_cascade", "op7_suffix_dedup", "op9_near_duplicates", "op10_mix_sources"])
 def test_oracle(spark, name):
     import duckdb
 

@@ -221,3 +221,18 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), QUERY_WORDS, QUERY_PERCENT)
+
+
+#: By all pairs that share a shingle, and a closure over the links: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, k, CASE WHEN len(w) >= 3 THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] ELSE array_to_string(w, ' ') END AS x FROM (SELECT doc_id, k, w, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+s AS (SELECT DISTINCT doc_id, k, x FROM e),
+n AS (SELECT w.doc_id, w.k, count(s.x) AS n FROM w LEFT JOIN s ON s.k = w.k GROUP BY w.doc_id, w.k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n x ON x.k = p.a JOIN n y ON y.k = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c ON c.a = n.doc_id
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
-ORACLE = {"op6_quality_cascade": quality.SQL, "op10_mix_sources": mixing.SQL}
+ORACLE = {
+    "op6_quality_cascade": quality.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
+    "op9_near_duplicates": minhash.SQL,
+    "op10_mix_sources": mixing.SQL,
+}

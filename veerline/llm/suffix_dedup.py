@@ -489,3 +489,19 @@ def repeats_removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
+
+
+#: By all strings and all bytes, as hexadecimal digits: for small tables.
+SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, k, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS x FROM (SELECT doc_id, k, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)),
+m AS (SELECT x, min(doc_id) AS least FROM s GROUP BY x HAVING count(*) > 1),
+g AS (SELECT s.k, s.p FROM s JOIN m ON m.x = s.x AND m.least < s.doc_id),
+i AS (SELECT k, p, p - coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -1000) AS gap FROM g),
+b AS (SELECT k, p, sum((gap > 50)::INT) OVER (PARTITION BY k ORDER BY p) AS run FROM i),
+r AS (SELECT k, run, min(p) AS a, max(p) + 50 AS z FROM b GROUP BY k, run),
+o AS (SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS upto FROM r),
+f AS (SELECT d.k, any_value(doc_id) AS doc_id, any_value(h) AS h, coalesce(string_agg(substr(h, CAST(2 * upto + 1 AS BIGINT), CAST(2 * (a - upto) AS BIGINT)), '' ORDER BY a), '') AS kept,
+        coalesce(sum(z - a), 0) AS gone, count(a) AS spans, coalesce(max(z), 0) AS last FROM d LEFT JOIN o ON o.k = d.k GROUP BY d.k)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept || substr(h, CAST(2 * last + 1 AS BIGINT)))) AS kept_sha256 FROM f
+"""

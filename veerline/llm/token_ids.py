@@ -21,7 +21,7 @@ from .hashing import mix, prefixes, substrings
 #: The split pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens after which the memo starts anew: about 150 bytes each.
-MOST = 1_000_000
+MOST = 700_000
 #: Characters that are held as arrays at once.
 AT_ONCE = 1_000_000
 _FAR = 0x250
@@ -188,7 +188,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def few(texts: list[str], most: int = 2_000_000):
+def few(texts: list[str], most: int = 1_000_000):
     """Slices of a list whose texts have about so many characters at most: bounds what is held at once."""
     at, size = 0, 0
     for i, text in enumerate(texts):

@@ -24,7 +24,7 @@ from .shared import table
 from .token_ids import PATTERN, encoder, few, vocabulary
 
 #: Terminal counts that a worker keeps.
-MOST = 1_000_000
+MOST = 700_000
 _END = -1
 
 
