@@ -501,6 +501,22 @@ def test_quantiser():
     assert (r**2).sum() < 0.5 * (x**2).sum()
 
 
+def test_unequal_near_copies():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    x[:1500] = x[0] + 1e-3 * rng.normal(size=(1500, 16))  # more than are reranked at first, of equal codes
+    ids = rng.permutation(3000)
+    quantiser = neighbours.Quantiser(neighbours.extended(x))
+    packed = neighbours.pack(quantiser.encode(neighbours.extended(x)))
+    q = [*range(0, 1500, 100), *range(1500, 3000, 500)]
+    got = collections.defaultdict(list)
+    for a, b, _ in neighbours._block_search(quantiser, 10)(ids[q], x[q], ids, x, packed):
+        got[a].append(b)
+    for i in q:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert got[ids[i]] == [ids[j] for j in np.lexsort((ids, d)) if j != i][:10]
+
+
 # --- the pipeline ---
 
 

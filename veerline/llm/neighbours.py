@@ -7,12 +7,13 @@ words and codes are fitted to the anisotropic loss in turn, on a bounded sample.
 code words for each pair of dimensions, two codes a byte.
 
 Search: vectors are dealt into BLOCK rows a block, queries into QUERIES a block. Each block of queries is scanned
-against each block of codes by tables of 16 partial products a subspace; the best RERANK of each block are scored
-exactly in double precision and its best k go on; a query's results of all blocks are merged. So no task holds more
-than a block of either side, copies of one vector are spread like other rows, and nothing is capped: each block
-gives its own best.
+against each block of codes by tables of 16 partial products a subspace. The best RERANK of each block are scored
+exactly in double precision; their k-th distance is a bound. By Cauchy-Schwarz a row's product is off its approximate
+score by |q, 1| times the row's own residual norm at most: every row that may lie within the bound is scored exactly
+too, however many there are, so a block's best k are its true ones. They go on, and a query's results of all blocks
+are merged. So no task holds more than a block of either side, and copies of one vector are spread like other rows.
 
-Ties, also of approximate scores, go to the smaller vec_id, so that copies of a vector are found in that order.
+Ties go to the smaller vec_id, so that copies of a vector are found in that order.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, or whose length isn't
 the commonest length (the largest of equally common ones), and rows whose vec_id is null, take no part; rows of
@@ -34,8 +35,10 @@ QUERY_EVERY, K = 100, 10
 FIT_ROWS, ROUNDS = 8_192, 8
 #: Dimensions of a subspace; weight of the parallel part of the residual.
 WIDTH, ETA = 2, 1.5
-#: Codes and queries in a block; candidates of a block of codes that are reranked.
+#: Codes and queries in a block; rows of a block of codes whose k-th distance is the bound for all others.
 BLOCK, QUERIES, RERANK = 16_384, 512, 400
+#: Rows that are measured at once.
+ROWS = 4_096
 CODES = 16
 
 
@@ -123,6 +126,10 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
+def unpack(packed: np.ndarray, spaces: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)[:, :spaces]
+
+
 def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate products (queries, vectors): a table look-up for each packed byte, of the sums of its two codes."""
     n, spaces = len(tables), tables.shape[1]
@@ -138,26 +145,48 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
 def _block_search(quantiser: Quantiser, k: int):
     """Best k of one block of codes for one block of queries."""
 
+    def distances(x, rows, q):
+        return np.concatenate([np.sqrt(((x[rows[a : a + ROWS]] - q) ** 2).sum(axis=1)) for a in range(0, max(1, len(rows)), ROWS)])
+
     def search(q_ids, q, ids, x, packed):
         order = np.argsort(ids, kind="stable")
         ids, x, packed = ids[order], x[order], packed[order]
         ext = np.column_stack([q, np.ones(len(q))])
         ext = np.pad(ext, ((0, 0), (0, quantiser.spaces * WIDTH - ext.shape[1])))
+        parts = [slice(a, a + ROWS) for a in range(0, len(ids), ROWS)]
+        error = np.concatenate([np.linalg.norm(extended(x[p]) - quantiser.decode(unpack(packed[p], quantiser.spaces)), axis=1) for p in parts])
+        long, squares = np.linalg.norm(ext, axis=1), (x * x).sum(axis=1)
+        # what rounding adds: to squared distances and products in double precision, and to sums of tables in single precision
+        double = 4 * (x.shape[1] + 4) * 2.0**-52 * (long + np.sqrt(squares.max())) ** 2
         out = []
         for a in range(0, len(q), 64):
-            near = scan(quantiser.tables(ext[a : a + 64]), packed)
-            for i, score in zip(range(a, a + len(near)), near, strict=False):
+            at = np.arange(a, min(a + 64, len(q)))
+            tables = quantiser.tables(ext[at])
+            near = scan(tables, packed)
+            single = (quantiser.spaces + 4) * 2.0**-23 * np.abs(tables).max(axis=2).sum(axis=1)
+            bound = np.full(len(at), np.inf)
+            may = np.empty(near.shape, bool)
+            for i, score in zip(at, near, strict=True):
                 score[ids == q_ids[i]] = -np.inf
-                take = min(RERANK + 1, len(ids))
-                if take < len(ids):
-                    # the last score is kept with its ties only as far as the smaller vec_ids, which come first
-                    least = np.partition(score, len(ids) - take)[len(ids) - take]
-                    above = np.flatnonzero(score > least)
-                    cand = np.concatenate([above, np.flatnonzero(score == least)[: max(k, take - len(above))]])
-                else:
-                    cand = np.arange(len(ids))
+                take = min(max(RERANK, k), len(ids))
+                first = np.argpartition(score, len(ids) - take)[len(ids) - take :]
+                first = first[ids[first] != q_ids[i]]
+                if len(first) >= k:
+                    bound[i - a] = np.partition(distances(x, first, q[i]), k - 1)[k - 1] ** 2
+                # |q - x|^2 = |q|^2 - 2 ((q, 1).(x, -|x|^2 / 2)); what isn't a number may be near
+                least = ((q[i] ** 2).sum() - bound[i - a]) / 2 - double[i] - single[i - a]
+                may[i - a] = ~(score + long[i] * error < least)
+            # rows that may be near a query, measured for all queries at once; those within the bound and rounding, once more each
+            found = [[] for _ in at]
+            some = np.flatnonzero(may.any(axis=0))
+            for rows in (some[b : b + ROWS] for b in range(0, len(some), ROWS)):
+                apart = (q[at] ** 2).sum(axis=1)[:, None] + squares[rows] - 2 * (q[at] @ x[rows].T)
+                for i, within in enumerate(may[:, rows] & ~(apart > (bound + double[at])[:, None])):
+                    found[i].append(rows[within])
+            for i, rows in zip(at, found, strict=True):
+                cand = np.concatenate([*rows, np.empty(0, np.intp)])
                 cand = cand[ids[cand] != q_ids[i]]
-                d = np.sqrt(((x[cand] - q[i]) ** 2).sum(axis=1))
+                d = distances(x, cand, q[i])
                 best = np.lexsort((ids[cand], d))[:k]
                 out += [(q_ids[i], ids[cand[b]], d[b]) for b in best]
         return out
