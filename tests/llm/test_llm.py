@@ -236,6 +236,29 @@ def test_packing(spark, odd, empty):
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(5) == [(0, 5)]
 
 
+def test_packing_ends(spark, monkeypatch):
+    """More bins that can't be filled than a task may hold: rounds end, and those that gain go on."""
+    monkeypatch.setattr(packing, "CHUNK", 20)
+    rounds, whole = [], packing.staged
+
+    def counted(df, name):
+        rounds.append(name)
+        assert rounds.count("bins") <= 20
+        return whole(df, name)
+
+    monkeypatch.setattr(packing, "staged", counted)
+    parts = lambda lengths: spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(parts([600] * 60)).collect()
+    assert len(out) == len({r["sequence_id"] for r in out}) == 60 and {r["doc_id"] for r in out} == set(range(60))
+    rounds.clear()
+    out = packing.pack(parts([600] * 60 + [300] * 60).repartition(24)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(120))
+    fills = collections.Counter()
+    for r in out:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 1024 and len(fills) <= 66  # 60 is the least
+
+
 def test_best_fit():
     rng = random.Random(1)
     lengths = sorted((rng.randint(1, 1023) for _ in range(400)), reverse=True)

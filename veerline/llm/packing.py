@@ -4,7 +4,8 @@ Texts become pieces of at most CAPACITY tokens; only longer documents are cut, s
 but the first are full. Full pieces are sequences already. The others are packed in rounds: each
 task packs what it holds by best fit, longest first; bins with SLACK or fewer free tokens are
 emitted; the underfull ones go on as items of a round with fewer tasks, FAN_IN to one, until one
-task has seen all that is left or a round no longer lessens the bins. No task packs more than
+task has seen all that is left. Where that is too much for one task, other bins meet in each round,
+until the tasks can't be fewer and a round no longer lessens the bins. No task packs more than
 CHUNK items at once, whatever the size of the input.
 
 An item carries its members (a bin has CAPACITY of them at most), so no joins are needed.
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged, table
+from .shared import drop_staged, staged, table
 from .token_ids import encoder, few, vocabulary
 
 CAPACITY, END_ID = 1024, 2
 #: Free tokens of a nearly full bin; tasks that go into one of the next round; items packed at once.
 SLACK, FAN_IN, CHUNK = 2, 8, 200_000
-#: A further round among the same bins goes on only if the last one lessened the bins by so much.
+#: A further round of as many tasks goes on only if the last one lessened the bins by so much.
 GAIN = 0.01
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BIN = "key long, fill int, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
@@ -118,19 +119,23 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
     parts = staged(parts.select(*names, F.monotonically_increasing_id().alias("key")), "pieces")
     full = parts.where(F.col("length") >= capacity).select(*names, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     bins = parts.where(F.col("length") < capacity).select("key", F.col("length").cast("int").alias("fill"), F.array(F.struct(*names)).alias("members"))
-    done, before = [], None
-    tasks = max(1, bins.rdd.getNumPartitions())
+    done, before, last = [], None, None
+    tasks, salt = max(1, bins.rdd.getNumPartitions()), 0
     while True:
         bins = staged(bins.mapInArrow(_pack(capacity), _BIN), "bins")
+        if last is not None:
+            drop_staged(last)
         left = bins.where(F.col("fill") < capacity - slack)
         n = left.count()
-        if n == 0 or tasks == 1 or (before is not None and n > before * (1 - GAIN) and tasks <= -(-n // CHUNK)):
+        fewer = max(-(-tasks // FAN_IN), -(-2 * n // CHUNK))
+        # after the first round, tasks never grow: each further round has fewer of them, gains, or is the last
+        if n == 0 or tasks == fewer == 1 or (before is not None and n > before * (1 - GAIN) and fewer >= tasks):
             done.append(bins)
             break
-        done.append(bins.where(F.col("fill") >= capacity - slack))
-        # dealt by key: the same rows meet when a task is run again
-        before, tasks = n, max(-(-tasks // FAN_IN), -(-2 * n // CHUNK))
-        bins = left.repartition(tasks, "key") if tasks > 1 else left.coalesce(1)
+        done.append(staged(bins.where(F.col("fill") >= capacity - slack), "packed"))
+        before, tasks, last, salt = n, fewer, bins, salt + 1
+        # dealt by key and round: others meet in each round, and the same rows when a task is run again
+        bins = left.repartition(tasks, F.xxhash64("key", F.lit(salt))) if tasks > 1 else left.coalesce(1)
     out = full
     for b in done:
         placed = F.explode(F.transform("members", lambda x, i: F.struct(x.alias("m"), F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("offset"))))
