@@ -481,6 +481,28 @@ def test_restore():
         assert toxicity.restore_token(raw, model) == want, raw
 
 
+def restored(*texts):
+    """The words that each text is restored to, under a model of a few words."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    corpus = ["the idiot said hello world what an ass or scum worthless"] * 50 + ["".join(rng.choices("aeioutnsr ", k=60)) for _ in range(50)]
+    (batch,) = toxicity.count_batches([pa.RecordBatch.from_pydict({"text": corpus})])
+    n = np.ones(toxicity.SYMBOLS**3)
+    n[batch["place"].to_numpy()] += batch["n"].to_numpy()
+    n = n.reshape((toxicity.SYMBOLS,) * 3)
+    restorer = toxicity.Restorer(np.log(n / n.sum(axis=2, keepdims=True)))
+    return [{w for words in restorer.of(restorer.tokens(t)) for w in words} for t in texts]
+
+
+def test_restore_spaced():
+    raw = {"1 d 1 0 t": "idiot", "so a s s it": "ass", "$ c u m": "scum", "s c u m, you": "scum", "w 0 r t h l 3 s s": "worthless", "an i d i o t!": "idiot",
+           "i  d \n i\to  t": "idiot", "i d i o o o o t": "idiot", "s c u m  i d i o t": "idiot", "s-c u.m": "scum"}
+    for (text, want), got in zip(raw.items(), restored(*raw), strict=True):
+        assert want in got, (text, got)
+    assert restored("1 2 3 4", "2024 12 31", "") == [set(), set(), set()]
+
+
 # --- nearest neighbours ---
 
 

@@ -5,7 +5,9 @@
 2. Obfuscated tokens (leetspeak, letters parted by blanks or marks, repeated letters) become lattices: each
    observed character offers the letters that it may stand for, or nothing, at a channel cost. Viterbi decoding
    under the model picks the likeliest words. A token whose lattice has a single path is restored as it is, so only
-   the others are decoded, and each worker remembers the tokens it has met.
+   the others are decoded, and each worker remembers the tokens it has met. Tokens without two letters or digits
+   side by side ("1", "$", "t!", "d-i") that follow each other after any white space form one lattice, in which a blank
+   is a border or nothing; they are also read as whole words, parted only by gaps wider than a blank.
 3. Words of restored texts get log odds from at most TRAIN_ROWS labelled rows (a bound of the fit alone). A logistic
    curve over a text's strongest words is fitted on the same rows in PARTS parts, each with the odds that the other
    parts give, so that the curve isn't fitted on words that its rows have taught. Every text is scored whole.
@@ -45,8 +47,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Channel log probabilities: a letter written as leetspeak, a mark or blank put between letters, a letter repeated,
 #: a mark that is a border, a digit that is neither letter nor anything else.
 LEET_COST, PART_COST, REPEAT_COST, BORDER_COST, DIGIT_COST = -1.5, -0.7, -0.5, -0.3, -4.0
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\S)")
-_EDGE = re.compile(r"^[^\w@$!|+(<{€£¡]+|[^\w@$!|+(<{€£¡]+$|(?:([^\w])\1\1+)$|^(?:([^\w])\2\2+)")
+#: A token without two letters or digits side by side, and two or more of them in a row; each takes time linear in its length.
+_LONE = r"(?=\S)(?:[^\w\s]|_)*+(?:[^\W_](?:[^\w\s]|_)++)*+[^\W_]?+(?!\S)"
+_SPACED = re.compile(rf"(?<!\S){_LONE}(?:\s++{_LONE})++")
+_GAP = re.compile(r"\s{2,}|[^\S ]")
+_EDGE = re.compile(r"^[^\w@$!|+(<{€£¡]+|(?<![^\w@$!|+(<{€£¡])[^\w@$!|+(<{€£¡]+$|(?:([^\w])\1\1+)$|^(?:([^\w])\2\2+)")
+#: Runs of one character: for _EDGE three are as good as more, for a lattice two; also parted by blanks.
+_FOUR, _MORE, _PARTED = re.compile(r"(.)\1{3,}"), re.compile(r"(.)\1\1+"), re.compile(r"(?<!\S)(\S)(?: \1){2,}(?!\S)")
 _CLEAN = re.compile(r"[^\W\d_]*")
 _THREE = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -92,8 +99,10 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def decode(token: str, model) -> str:
-    """The likeliest words, parted by blanks, that the lattice of a token (lower case) holds."""
-    best = {(0, 0): (0.0, "")}
+    """The likeliest words, parted by blanks, that the lattice of a token or of lone characters (lower case) holds.
+
+    Paths are chains of (what came before, letter): the cost of a character doesn't grow with the token."""
+    best: dict = {(0, 0): (0.0, None)}
     previous = ""
     for c in token:
         options = []
@@ -114,24 +123,29 @@ def decode(token: str, model) -> str:
                     if b == 0:
                         key, s, p = (a, b), score + cost, path
                     else:
-                        key, s, p = (b, 0), score + cost + model[a][b][0], path + " "
+                        key, s, p = (b, 0), score + cost + model[a][b][0], (path, " ")
                 else:
                     z = symbol(out)
-                    key, s, p = (b, z), score + cost + model[a][b][z], path + out
+                    key, s, p = (b, z), score + cost + model[a][b][z], (path, out)
                 if key not in after or s > after[key][0]:
                     after[key] = (s, p)
         best = after
-    return max((s + (model[a][b][0] if b else 0.0), p) for (a, b), (s, p) in best.items())[1].strip()
+    path = max(((s + (model[a][b][0] if b else 0.0), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while path is not None:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out)).strip()
 
 
 def restore_token(token: str, model) -> str:
-    """Words of a token (lower case, no white space), obfuscation undone."""
+    """Words of a token, or of lone characters parted by single blanks (lower case), obfuscation undone."""
     if _CLEAN.fullmatch(token) and not _THREE.search(token):
         return token
-    bare = _EDGE.sub("", token)
-    if _CLEAN.fullmatch(bare) and not _THREE.search(bare) or len(bare) > LONGEST or not any(map(str.isalpha, bare)):
+    bare = _EDGE.sub("", _FOUR.sub(r"\1\1\1", token))
+    if _CLEAN.fullmatch(bare) and not _THREE.search(bare) or len(bare) > LONGEST and " " not in bare or not any(map(str.isalpha, bare)):
         return bare
-    return decode(bare, model)
+    return decode(_MORE.sub(r"\1\1", _PARTED.sub(r"\1\1", bare)), model)
 
 
 class Restorer:
@@ -144,7 +158,8 @@ class Restorer:
         text = text.lower()
         out = set(text.split())
         for m in _SPACED.finditer(text):
-            out.add(m[0])
+            out.add(" ".join(m[0].split()))
+            out.update("".join(part.split()) for part in _GAP.split(m[0]))
         return out
 
     def of(self, tokens: set[str]) -> list:
@@ -153,7 +168,7 @@ class Restorer:
         for t in tokens:
             v = get(t, self)
             if v is self:
-                v = self.what(_WORD.findall(decode(t, self.model) if " " in t or _SPACED.fullmatch(t) else restore_token(t, self.model)))
+                v = self.what(_WORD.findall(restore_token(t, self.model)))
                 if len(self.memo) < MOST_TOKENS:
                     self.memo[t] = v
                 elif len(t) <= 12:
