@@ -503,6 +503,13 @@ def test_restore_spaced():
     assert restored("1 2 3 4", "2024 12 31", "") == [set(), set(), set()]
 
 
+def test_restore_long_and_marks():
+    raw = {"idi" + "o" * 40 + "t": "idiot", "-".join("1d10t" for _ in range(30)): "idiot", "_".join("i.d.i.o.t" for _ in range(9)): "idiot", "@$$": "ass", "(@$$),": "ass", "@ $ $": "ass"}
+    for (text, want), got in zip(raw.items(), restored(*raw), strict=True):
+        assert want in got, (text, got)
+    assert restored("455", "-----", "...") == [set(), set(), set()]
+
+
 # --- nearest neighbours ---
 
 

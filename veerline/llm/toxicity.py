@@ -7,7 +7,8 @@
    under the model picks the likeliest words. A token whose lattice has a single path is restored as it is, so only
    the others are decoded, and each worker remembers the tokens it has met. Tokens without two letters or digits
    side by side ("1", "$", "t!", "d-i") that follow each other after any white space form one lattice, in which a blank
-   is a border or nothing; they are also read as whole words, parted only by gaps wider than a blank.
+   is a border or nothing; they are also read as whole words, parted only by gaps wider than a blank. A token of marks
+   that may all be letters ("@$$") is read as letters. Digits alone are numbers. No token is too long to be decoded.
 3. Words of restored texts get log odds from at most TRAIN_ROWS labelled rows (a bound of the fit alone). A logistic
    curve over a text's strongest words is fitted on the same rows in PARTS parts, each with the odds that the other
    parts give, so that the curve isn't fitted on words that its rows have taught. Every text is scored whole.
@@ -37,13 +38,13 @@ PARTS = 5
 MOST_WORDS, LEAST_ROWS, LEAST_ODDS = 5_000, 3, 1.5
 #: Tokens that a worker remembers.
 MOST_TOKENS = 200_000
-#: Longest token that is decoded: longer ones are identifiers, not words.
-LONGEST = 40
 #: Symbols of the character model: 0 a word border, 1 to 26 letters, 27 any other letter.
 SYMBOLS = 28
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i"}
+#: Those of them that are punctuation around words, too.
+OUTER = "!|+(<{¡"
 #: Channel log probabilities: a letter written as leetspeak, a mark or blank put between letters, a letter repeated,
 #: a mark that is a border, a digit that is neither letter nor anything else.
 LEET_COST, PART_COST, REPEAT_COST, BORDER_COST, DIGIT_COST = -1.5, -0.7, -0.5, -0.3, -4.0
@@ -98,8 +99,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def decode(token: str, model) -> str:
-    """The likeliest words, parted by blanks, that the lattice of a token or of lone characters (lower case) holds.
+def decode(token: str, model, letters: bool = False) -> str:
+    """The likeliest words, parted by blanks, that the lattice of a token or of lone characters (lower case) holds;
+    with letters, each mark is a letter.
 
     Paths are chains of (what came before, letter): the cost of a character doesn't grow with the token."""
     best: dict = {(0, 0): (0.0, None)}
@@ -112,7 +114,8 @@ def decode(token: str, model) -> str:
                 options.append(("", REPEAT_COST))
         else:
             options += [(x, LEET_COST) for x in LEET.get(c, "")]
-            options += [(" ", DIGIT_COST)] if c.isdigit() else [(" ", BORDER_COST), ("", PART_COST)]
+            if not letters:
+                options += [(" ", DIGIT_COST)] if c.isdigit() else [(" ", BORDER_COST), ("", PART_COST)]
         previous = c
         after: dict = {}
         for (a, b), (score, path) in best.items():
@@ -143,9 +146,13 @@ def restore_token(token: str, model) -> str:
     if _CLEAN.fullmatch(token) and not _THREE.search(token):
         return token
     bare = _EDGE.sub("", _FOUR.sub(r"\1\1\1", token))
-    if _CLEAN.fullmatch(bare) and not _THREE.search(bare) or len(bare) > LONGEST and " " not in bare or not any(map(str.isalpha, bare)):
+    if _CLEAN.fullmatch(bare) and not _THREE.search(bare) or not any(c.isalpha() or c in LEET and not c.isdigit() for c in bare):
         return bare
-    return decode(_MORE.sub(r"\1\1", _PARTED.sub(r"\1\1", bare)), model)
+    bare = _MORE.sub(r"\1\1", _PARTED.sub(r"\1\1", bare))
+    if not all(c in LEET for c in bare):
+        return decode(bare, model)
+    # marks alone: those that may be punctuation at the ends are read both ways
+    return " ".join(decode(x, model, letters=True) for x in dict.fromkeys((bare, bare.strip(OUTER))) if x)
 
 
 class Restorer:
