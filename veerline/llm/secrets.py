@@ -6,7 +6,7 @@ Pass 2 counts, for each hash, the distinct repositories and the distinct owners
 distinct (hash, repository) and (hash, owner) pairs are formed first, so that a value found in a
 third of all rows is spread over many tasks. A value that COPIED owners or more hold is an
 example that people copy; a value of a single owner that looks live (random enough, no
-placeholder) is a live credential. Candidates outside of base spans become spans of kind live
+placeholder) is a live credential, in however many repositories: their number is reported only. Candidates outside of base spans become spans of kind live
 if they are judged live. Base spans always stay.
 
 Here a document is a repository and its source is the owner.
