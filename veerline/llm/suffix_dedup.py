@@ -12,7 +12,8 @@ less than 2 LENGTH bytes: its context.
 3. shards: the bytes of the contexts that were asked for.
 4. by anchor: the strings of all contexts are sorted as suffixes. Prefix polynomial hashes and binary search over the
    common length give a suffix comparison in log(LENGTH) steps, which a mergesort uses; neighbours of equal strings
-   are compared byte by byte, so that no collision of hashes joins different strings. Each group of equal strings
+   are compared byte by byte, so that no collision of hashes joins different strings that are sorted. Strings that aren't sorted, as all contexts
+   of their anchor agree, are joined by 32 bits of anchor and 32 of context in a bucket, unverified (see README). Each group of equal strings
    has its smallest doc_id.
 5. shards: the answers cover bytes of their documents; the rest is kept.
 
