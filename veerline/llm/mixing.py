@@ -1,15 +1,19 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Each source is a queue of its documents in a fixed shuffled order (md5 of the identifier).
-A document's virtual finish time is the number of its source's words up to its end, divided
-by the source's target. Served in the order of finish time and cut at the total budget, all
-queues are cut at time 1, since the targets add up to the budget: so the cut needs no global
-sort, only each document's place in its own queue. A source whose target is above its size
-is queued a second time.
+Each source is a queue of its documents in a fixed shuffled order (md5 of the identifier), served PASSES times. A document
+is a run of fragments of QUANTUM words at most, as packets are in a network. A fragment's virtual finish time is the
+number of its source's words up to its end, divided by the source's target. All fragments of all sources are put in the
+order of finish time (ties by source) and taken until the total budget is used up; the last one is cut.
 
-The place in the queue is a two-level prefix sum: sizes are added up by source and hash range
-first, then each range is summed on its own. So a source that holds most rows is spread over
-RANGES tasks.
+The global order is range-sorted: the words of each range of finish times are added up first (a row a range), which tells
+the range in which the budget ends; only that range is sorted, and every fragment is compared with the place found. A
+source's taken words differ from its target by less than two fragments.
+
+The place in a queue is a two-level prefix sum, too: sizes are added up by source and hash range, then each range is
+summed on its own, so that a source that holds most rows is spread over many tasks. Ranges grow with the rows.
+
+The mix itself deals texts by their range of finish times: one shuffle, in which the few hash ranges that lie
+across a border go to both sides. Texts are read again rather than written between.
 
 Defined results: null texts and texts without words have size 0 and are never taken; a null
 source is a source of its own, ordered last; repeated rows count as documents of their own;
@@ -21,14 +25,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, staged, table, word_count
+from .shared import SPACE, drop_staged, staged, table, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Words to take in all, as a multiple of all words; most that a source can give, as a multiple of its size.
 BUDGET, MOST = 1.5, 2
-#: Hash ranges of a queue: hex digits of the md5.
-DIGITS = 3
+#: Times that a queue is served; words of a fragment.
+PASSES, QUANTUM = 2, 512
+#: Documents of a hash range (more only beyond 16 ** MOST_DIGITS ranges), words of a range of the mix, hash ranges for each of those.
+RANGE_ROWS, PART_WORDS, FINER, MOST_DIGITS = 1000, 4_000_000, 8, 5
+#: Hash ranges of all sources (of some 80 bytes) that are broadcast; more of them are joined by a shuffle.
+MOST_GROUPS = 200_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -57,50 +65,105 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
     return w.select("skey", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def queue(docs: DataFrame, size: Column | None = None, keep: bool = False, **how) -> DataFrame:
+def _finish(end: Column, k) -> Column:
+    """Virtual finish time of a source's words up to end in pass k."""
+    return (end + k * F.col("source_size")) / F.col("target")
+
+
+def _fragments(k) -> Column:
+    """Fragments of a document in pass k: words and finish time."""
+    n = F.ceil(F.col("size") / QUANTUM).cast("int")
+    one = lambda j: F.struct(
+        F.least(F.lit(QUANTUM), F.col("size") - j * QUANTUM).cast("long").alias("words"),
+        _finish(F.col("start") + F.least(F.col("size"), (j + 1) * QUANTUM), k).alias("at"))
+    return F.when((F.col("size") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array())
+
+
+class Queues:
+    """The queues of docs: their ranges, and where the budget ends in the global order."""
+
+    def __init__(self, docs: DataFrame, size: Column | None = None, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST):
+        self.sizes = staged(_sized(docs, size).drop("tie"), "mix")
+        n, words = self.sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        self.budget = int(budget * words)
+        self.parts = max(1, -(-self.budget // PART_WORDS))
+        self.digits = 1
+        while self.digits < MOST_DIGITS and 16**self.digits < max(n / RANGE_ROWS, FINER * self.parts):
+            self.digits += 1
+        ranges = self.sizes.groupBy("skey", self.range_of().alias("range")).agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
+        prefix = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        totals = ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
+        before = ranges.select("skey", "range", "range_size", F.coalesce(F.sum("range_size").over(prefix), F.lit(0)).alias("before"))
+        self.groups = staged(before.join(targets(totals, weights, budget, most), "skey"), "mix-ranges")
+        here = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = self.sizes.withColumn("range", self.range_of()).withColumn("upto", F.sum("size").over(here)).join(self.groups, ["skey", "range"])
+        self.placed = staged(placed.select("doc_id", "source", "skey", "size", "source_size", "target", (F.col("before") + F.col("upto") - F.col("size")).alias("start")), "mix-places")
+        self.cut = self._cut(16**self.digits)
+
+    def range_of(self) -> Column:
+        return F.substring("key", 1, self.digits)
+
+    def _cut(self, ranges: int) -> tuple[float, str, int] | None:
+        """Finish time and source of the last fragment taken, and its words that are; None if nothing is."""
+        every = F.flatten(F.array(*(_fragments(k) for k in range(PASSES))))
+        at = F.least(F.floor(F.col("f.at") * ranges), F.lit(2 * ranges)).cast("long")
+        rows = self.placed.select("skey", F.explode(every).alias("f")).select("skey", "f.words", "f.at", at.alias("range"))
+        # one row a range of finish times
+        sums = rows.groupBy("range").agg(F.sum("words").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("range")))
+        last = sums.where(F.col("upto") >= self.budget).orderBy("range").first() if self.budget else None
+        if last is None:
+            return None
+        left = self.budget - (last["upto"] - last["n"])
+        # the fragments of one range, in one order
+        here = rows.where(F.col("range") == last["range"]).withColumn("upto", F.sum("words").over(Window.orderBy("at", "skey").rowsBetween(Window.unboundedPreceding, 0)))
+        end = here.where(F.col("upto") >= left).orderBy("upto").first()
+        return end["at"], end["skey"], left - (end["upto"] - end["words"])
+
+    def taken(self, k) -> Column:
+        """Words of a document that pass k takes."""
+        if self.cut is None:
+            return F.lit(0).cast("long")
+        at, skey, words = self.cut
+        part = lambda f: F.when((f["at"] < at) | ((f["at"] == at) & (F.col("skey") < skey)), f["words"]).when((f["at"] == at) & (F.col("skey") == skey), F.lit(words)).otherwise(F.lit(0))
+        return F.aggregate(_fragments(k), F.lit(0).cast("long"), lambda a, f: a + part(f).cast("long"))
+
+
+def _sized(docs: DataFrame, size: Column | None, *keep: Column) -> DataFrame:
+    return docs.select(
+        "doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"), F.xxhash64(*docs.columns).alias("tie"), *keep)
+
+
+def queue(docs: DataFrame, size: Column | None = None, **how) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, start (its place in the queue), first and
-    second (words taken in each pass), finish (virtual finish time of the first pass); with keep, the row as doc."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keep = [F.struct("*").alias("doc")] if keep else []
-    rows = docs.select(
-        "doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("key"), *keep,
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
-    ).withColumn("range", F.substring("key", 1, DIGITS))
-    # what is staged has no texts; where they are wanted, they are read again rather than written
-    sizes = staged(rows.drop("doc"), "mix")
-    rows = rows if keep else sizes
-    ranges = sizes.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
-    sizes = ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
-    prefix = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("skey", "range", F.coalesce(F.sum("range_size").over(prefix), F.lit(0)).alias("before"))
-    here = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (rows.withColumn("upto", F.sum("size").over(here))
-              .join(ranges.join(targets(sizes, **how), "skey"), ["skey", "range"]))
-    start = F.col("before") + F.col("upto") - F.col("size")
-    cut = F.floor("target").cast("long")
-    part = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), cut - at)).cast("long")
-    return placed.withColumn("start", start).select(
-        "doc_id", "source", "size", "source_size", "target", "start", *(["doc"] if keep else []),
-        part(F.col("start")).alias("first"), part(F.col("start") + F.col("source_size")).alias("second"),
-        F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).alias("finish"))
+    second (words taken in each pass), finish (virtual finish time of the first pass)."""
+    q = Queues(docs, size, **how)
+    return q.placed.select("doc_id", "source", "size", "source_size", "target", "start", q.taken(0).alias("first"), q.taken(1).alias("second"),
+                           F.when(F.col("target") > 0, _finish(F.col("start") + F.col("size"), 0)).alias("finish"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of docs in the order of virtual finish time, twice where both passes take
-    them; the document at which its source's target is reached is cut to the words taken."""
-    q = queue(docs, keep=True, **how)
-    wait = F.try_divide(F.col("source_size"), F.col("target"))
-    passes = F.array(*(F.struct(F.col(p).alias("taken"), (F.col("finish") + k * wait).alias("at"))
-                       for k, p in enumerate(("first", "second"))))
-    q = q.select("doc", "size", F.explode(F.filter(passes, lambda x: x["taken"] > 0)).alias("p"))
-    whole = F.col("p.taken") == F.col("size")
+    """The mix itself: the rows of docs in the order of virtual finish time, once for each pass that takes
+    them; a document at which a source is cut holds the words taken."""
+    q = Queues(docs, **how)
+    parts = lambda at: F.least(F.floor(at * q.parts), F.lit(q.parts)).cast("long")  # noqa: E731  the last: times beyond 1
+    # ranges of finish times in which a hash range's documents may end, in each pass
+    g = q.groups.where("target > 0 AND range_size > 0").withColumn("pass", F.explode(F.array(*(F.lit(k) for k in range(PASSES)))))
+    first, last = _finish(F.col("before"), F.col("pass")), _finish(F.col("before") + F.col("range_size"), F.col("pass"))
+    g = g.where(first <= (q.cut[0] if q.cut else -1.0)).withColumn("part", F.explode(F.sequence(parts(first), parts(last)))).drop("range_size")
+    near = F.broadcast if q.groups.count() <= MOST_GROUPS else (lambda x: x)
+    rows = _sized(docs, None, F.struct("*").alias("doc")).withColumn("range", q.range_of()).join(near(g), ["skey", "range"])
+    here = Window.partitionBy("part", "skey", "range", "pass").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.repartition("part").withColumn("start", F.col("before") + F.sum("size").over(here) - F.col("size"))
+    rows = rows.withColumn("at", _finish(F.col("start") + F.col("size"), F.col("pass"))).where(F.col("part") == parts(F.col("at")))
+    rows = rows.withColumn("taken", q.taken(F.col("pass"))).where("taken > 0")
     words = F.split(F.btrim("doc.text", F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+")
-    cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("p.taken").cast("int")))
-    text = F.when(whole, F.col("doc.text")).otherwise(cut)
-    out = q.withColumn("doc", F.col("doc").withField("text", text))
+    cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("taken").cast("int")))
+    out = rows.withColumn("doc", F.col("doc").withField("text", F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(cut)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("doc", F.col("doc").withField("n_chars", F.length("doc.text").cast("long")))
-    return out.orderBy("p.at", "doc.doc_id").select("doc.*")
+        out = out.withColumn("doc", F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)))
+    drop_staged(q.sizes, q.placed)
+    return out.sortWithinPartitions("part", "at", "doc.doc_id").select("doc.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +190,13 @@ t AS (SELECT p.source, p.source_size,
         CASE WHEN f.pos IS NULL OR p.pos < f.pos THEN p.cap::DOUBLE
              ELSE (SELECT q.lft FROM p q WHERE q.pos = f.pos) * p.weight / (SELECT q.rest FROM p q WHERE q.pos = f.pos) END AS target
       FROM p, f),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start,
-        CAST(floor(t.target) AS BIGINT) AS cut
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, cut - start)) + greatest(0, least(size, cut - source_size - start)) AS BIGINT) AS taken
-FROM c
+c AS (SELECT row_number() OVER () AS id, d.doc_id, d.size, t.source_size, t.target, coalesce('s' || d.source, 'n') AS skey,
+        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT id, skey, least(512, size - 512 * j) AS words, CAST(start + pass * source_size + least(size, 512 * (j + 1)) AS DOUBLE) / target AS finish
+      FROM (SELECT *, unnest(range(0, CAST(ceil(size / 512.0) AS BIGINT))) AS j FROM c), (SELECT unnest([0, 1]) AS pass) WHERE target > 0),
+u AS (SELECT id, words, sum(words) OVER (ORDER BY finish, skey ROWS UNBOUNDED PRECEDING) AS upto FROM g),
+b AS (SELECT floor(1.5 * sum(size)) AS budget FROM d),
+k AS (SELECT id, CAST(sum(greatest(0, least(words, budget - upto + words))) AS BIGINT) AS taken FROM u, b GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM c LEFT JOIN k USING (id)
 """
