@@ -1,17 +1,22 @@
 """Toxicity by noisy-channel deobfuscation.
 
-1. A character language model: counts of three characters in a row (letters and word borders) over all texts of
-   the corpus, added up in each task before the shuffle.
+1. A character language model: counts of ORDER characters in a row (letters and word borders; a run of borders is one)
+   over all texts of the corpus, added up in each task before the shuffle, and smoothed by interpolation with all
+   shorter orders (Witten and Bell). It is kept as a table of whole costs, STEPS to a nat.
 2. Obfuscated tokens (leetspeak, letters parted by blanks or marks, repeated letters) become lattices: each
-   observed character offers the letters that it may stand for, or nothing, at a channel cost. Viterbi decoding
-   under the model picks the likeliest words. A token whose lattice has a single path is restored as it is, so only
+   observed character offers the letters that it may stand for, or nothing, or a border, at a channel cost; whatever
+   is put out, borders too, is charged by the model. Viterbi decoding picks the likeliest words: a state is the last
+   ORDER - 1 characters, so the best path is exact. A token whose lattice has a single path is restored as it is, so only
    the others are decoded, and each worker remembers the tokens it has met. Tokens without two letters or digits
    side by side ("1", "$", "t!", "d-i") that follow each other after any white space form one lattice, in which a blank
    is a border or nothing; they are also read as whole words, parted only by gaps wider than a blank. A token of marks
    that may all be letters ("@$$") is read as letters. Digits alone are numbers. No token is too long to be decoded.
-3. Words of restored texts get log odds from at most TRAIN_ROWS labelled rows (a bound of the fit alone). A logistic
-   curve over a text's strongest words is fitted on the same rows in PARTS parts, each with the odds that the other
-   parts give, so that the curve isn't fitted on words that its rows have taught. Every text is scored whole.
+   The channel's costs are fixed: where obfuscation is rare, costs estimated from the corpus would never restore it.
+3. Words of restored texts get log odds from at most TRAIN_ROWS labelled rows (a bound of the fit alone); each word that
+   LEAST_ROWS toxic ones hold and that speaks for toxicity counts, however many there are. A logistic
+   curve over a text's strongest word and the sum of all others is fitted on the same rows in PARTS parts, each with the
+   odds that the other parts give, so that the curve isn't fitted on words that its rows have taught. Every text is
+   scored whole.
 
 Rows whose crc32 of the doc_id, as text, is divisible by 5 are held out and never learnt from.
 
@@ -22,7 +27,9 @@ alike; an empty table gives an empty table; columns other than doc_id and text a
 
 from __future__ import annotations
 
+import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +41,22 @@ from .shared import table
 TRAIN_ROWS, FOLDS = 20_000, 5
 #: Parts of the labelled rows for the curve.
 PARTS = 5
-#: Words known to the model at most; toxic rows that hold a word at least; least log odds.
-MOST_WORDS, LEAST_ROWS, LEAST_ODDS = 5_000, 3, 1.5
+#: Toxic rows that hold a word at least; least log odds, and standard errors by which they are lowered beforehand.
+LEAST_ROWS, LEAST_ODDS, ERRORS = 3, 1.0, 2.0
 #: Tokens that a worker remembers.
 MOST_TOKENS = 200_000
-#: Symbols of the character model: 0 a word border, 1 to 26 letters, 27 any other letter.
-SYMBOLS = 28
+#: Symbols of the character model: 0 a word border, 1 to 26 letters, 27 any other letter; characters in a row; costs a nat.
+SYMBOLS, ORDER, STEPS = 28, 5, 12
+_CONTEXTS = SYMBOLS ** (ORDER - 1)
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i"}
 #: Those of them that are punctuation around words, too.
 OUTER = "!|+(<{¡"
-#: Channel log probabilities: a letter written as leetspeak, a mark or blank put between letters, a letter repeated,
-#: a mark that is a border, a digit that is neither letter nor anything else.
-LEET_COST, PART_COST, REPEAT_COST, BORDER_COST, DIGIT_COST = -1.5, -0.7, -0.5, -0.3, -4.0
+#: Channel costs: a letter written as leetspeak, a character repeated, and what is no letter: a mark or blank that is
+#: nothing or a border, one that might be a letter, a digit that is a border.
+LEET_COST, REPEAT_COST, PART_COST, BORDER_COST = 0, 3 * STEPS, 1 * STEPS, 2 * STEPS
+LETTER_PART_COST, LETTER_BORDER_COST, DIGIT_COST = 3 * STEPS, 5 * STEPS, 8 * STEPS
 #: A token without two letters or digits side by side, and two or more of them in a row; each takes time linear in its length.
 _LONE = r"(?=\S)(?:[^\w\s]|_)*+(?:[^\W_](?:[^\w\s]|_)++)*+[^\W_]?+(?!\S)"
 _SPACED = re.compile(rf"(?<!\S){_LONE}(?:\s++{_LONE})++")
@@ -60,80 +69,109 @@ _THREE = re.compile(r"([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def symbol(c: str) -> int:
+    """The symbol of a lower-case character."""
+    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+
+
+@lru_cache(maxsize=1)
 def _symbol_table() -> np.ndarray:
-    out = np.zeros(0x250, np.uint16)
-    for c in range(0x250):
-        ch = chr(c).lower()[0]
-        out[c] = (1 + ord(ch) - 97 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0)
-    return out
+    """Symbols of the characters of the first plane."""
+    return np.array([symbol(chr(c).lower()[0]) for c in range(0x10000)], np.uint8)
 
 
-def symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+def symbols(text: str) -> np.ndarray:
+    """Symbols of a text between borders, each run of borders as one."""
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _symbol_table()[np.minimum(points, 0xFFFF)]
+    for k in np.flatnonzero(points > 0xFFFF):
+        out[k] = symbol(chr(points[k]).lower()[0])
+    return out[np.append(True, (out[1:] > 0) | (out[:-1] > 0))]
 
 
 def count_batches(batches):
-    """Counts of three symbols in a row over texts: rows of (place, n)."""
-    known, total = _symbol_table(), np.zeros(SYMBOLS**3, np.int64)
+    """Counts of ORDER symbols in a row over texts: rows of (place, n)."""
+    total = np.zeros(SYMBOLS**ORDER, np.int32)
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            if not text:
-                continue
-            points = np.frombuffer(f"  {text}  ".encode("utf-32-le", "surrogatepass"), "<u4")
-            # beyond the table, letters of other scripts: any other letter
-            s = np.where(points < 0x250, known[np.minimum(points, 0x24F)], np.uint16(27 if points.max() >= 0x250 else 0)).astype(np.int32)
-            total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            if text:
+                s = np.concatenate([np.zeros(ORDER - 2, np.int32), symbols(text).astype(np.int32)])
+                code = s[: len(s) - ORDER + 1].copy()
+                for k in range(1, ORDER):
+                    code *= SYMBOLS
+                    code += s[k : len(s) - ORDER + 1 + k]
+                np.add.at(total, code, 1)
     place = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place], pa.int64())], ["place", "n"])
 
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """log P(c | a, b) of all texts, with smoothing by add-one; SYMBOLS ** 3 numbers at most come to the driver."""
-    found = docs.select("text").mapInArrow(count_batches, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    n = np.ones(SYMBOLS**3)
-    for x in found:
-        n[x["place"]] += x["n"]
-    n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    # a border after a border says nothing
-    n[:, 0, 0] = 1
-    return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
-
-
-def decode(token: str, model, letters: bool = False) -> str:
-    """The likeliest words, parted by blanks, that the lattice of a token or of lone characters (lower case) holds;
-    with letters, each mark is a letter.
-
-    Paths are chains of (what came before, letter): the cost of a character doesn't grow with the token."""
-    best: dict = {(0, 0): (0.0, None)}
-    previous = ""
+def costs(place: np.ndarray, n: np.ndarray) -> bytes:
+    """Cost of each symbol after each context, from counts: the interpolated log probability in STEPS, 255 at most."""
+    count = np.zeros(SYMBOLS**ORDER, np.float32)
+    count[place] = n
+    count = count.reshape(SYMBOLS, -1)
+
+    def smoothed(counts, lower):
+        counts = counts.reshape(-1, SYMBOLS)
+        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+        return (counts + kinds * lower) / np.maximum(total + kinds, 1) + np.where(total == 0, lower, 0)
+
+    shorter = [count.sum(axis=0)]  # of ORDER - 1 symbols, then fewer
+    for _ in range(ORDER - 2):
+        shorter.append(shorter[-1].reshape(SYMBOLS, -1).sum(axis=0))
+    lower = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
+    for counts in shorter[::-1]:
+        rows = len(counts) // SYMBOLS
+        lower = smoothed(counts, np.tile(lower, (rows // len(lower), 1)))
+    out = np.empty((SYMBOLS, SYMBOLS ** (ORDER - 1)), np.uint8)
+    for first in range(SYMBOLS):  # a slice of the contexts at once
+        out[first] = np.minimum(np.rint(-STEPS * np.log(smoothed(count[first], lower))), 255).reshape(-1)
+    return out.tobytes()
+
+
+def character_model(docs: DataFrame) -> bytes:
+    """Costs by all texts; SYMBOLS ** ORDER numbers at most come to the driver, however large the corpus."""
+    found = docs.select("text").mapInArrow(count_batches, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    return costs(found.column("place").to_numpy(), found.column("n").to_numpy())
+
+
+def lattice(token: str, letters: bool = False) -> list[list[tuple[str, int]]]:
+    """For each character of a token what it may stand for, with its cost: a letter, "" for nothing, " " for a border;
+    with letters, each mark is a letter."""
+    out, previous = [], ""
     for c in token:
-        options = []
         if c.isalpha():
-            options.append((c, 0.0))
-            if c == previous:
-                options.append(("", REPEAT_COST))
+            options = [(c, 0)]
         else:
-            options += [(x, LEET_COST) for x in LEET.get(c, "")]
+            options = [(x, LEET_COST) for x in LEET.get(c, "")]
             if not letters:
-                options += [(" ", DIGIT_COST)] if c.isdigit() else [(" ", BORDER_COST), ("", PART_COST)]
+                options += [(" ", DIGIT_COST)] if c.isdigit() else [(" ", LETTER_BORDER_COST), ("", LETTER_PART_COST)] if c in LEET else [(" ", BORDER_COST), ("", PART_COST)]
+        if c == previous and (c.isalpha() or c in LEET):
+            options.append(("", REPEAT_COST))
+        out.append(options)
         previous = c
+    return out
+
+
+def decode(token: str, model: bytes, letters: bool = False) -> str:
+    """The likeliest words, parted by blanks, that the lattice of a token or of lone characters (lower case) holds.
+
+    Paths are chains of (what came before, letter): the cost of a character doesn't grow with the token."""
+    best: dict = {0: (0, None)}
+    for options in lattice(token, letters):
+        options = [(symbol(out) if out else -1, out, cost) for out, cost in options]
         after: dict = {}
-        for (a, b), (score, path) in best.items():
-            for out, cost in options:
-                if not out:
-                    key, s, p = (a, b), score + cost, path
-                elif out == " ":
-                    if b == 0:
-                        key, s, p = (a, b), score + cost, path
-                    else:
-                        key, s, p = (b, 0), score + cost + model[a][b][0], (path, " ")
+        for context, (score, path) in best.items():
+            for z, out, cost in options:
+                if z < 0 or z == 0 == context % SYMBOLS:
+                    key, s, p = context, score + cost, path
                 else:
-                    z = symbol(out)
-                    key, s, p = (b, z), score + cost + model[a][b][z], (path, out)
-                if key not in after or s > after[key][0]:
+                    place = context * SYMBOLS + z
+                    key, s, p = place % _CONTEXTS, score + cost + model[place], (path, out)
+                if key not in after or s < after[key][0]:
                     after[key] = (s, p)
         best = after
-    path = max(((s + (model[a][b][0] if b else 0.0), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])[1]
+    path = min(((s + (model[context * SYMBOLS] if context % SYMBOLS else 0), p) for context, (s, p) in best.items()), key=lambda x: x[0])[1]
     out = []
     while path is not None:
         path, c = path
@@ -158,8 +196,8 @@ def restore_token(token: str, model) -> str:
 class Restorer:
     """Words of texts, with obfuscation undone; remembers what() of tokens."""
 
-    def __init__(self, model: np.ndarray, what=lambda words: words):
-        self.model, self.what, self.memo = model.tolist(), what, {}
+    def __init__(self, model: bytes, what=lambda words: words):
+        self.model, self.what, self.memo = model, what, {}
 
     def tokens(self, text: str) -> set[str]:
         text = text.lower()
@@ -184,7 +222,7 @@ class Restorer:
         return found
 
 
-def _word_counts(model: np.ndarray):
+def _word_counts(model: bytes):
     """Rows of (word, part, toxic, clean): the labelled texts of a part that hold each word."""
 
     def run(batches):
@@ -200,13 +238,13 @@ def _word_counts(model: np.ndarray):
     return run
 
 
-def _features(found: set[float] | list[float]) -> tuple[float, float]:
-    """The strongest word's log odds, and the sum of the next two."""
-    top = sorted(found, reverse=True)[:3]
-    return (top[0] if top else 0.0), sum(top[1:])
+def _features(found: list[float]) -> tuple[float, float]:
+    """The strongest word's log odds, and the logarithm of the sum of all others (and one)."""
+    top = max(found, default=0.0)
+    return top, math.log1p(max(0.0, math.fsum(found) - top))
 
 
-def _measure(model: np.ndarray, odds: dict[str, tuple[float, ...]], keep: list[str], curve: list[float] | None):
+def _measure(model: bytes, odds: dict[str, tuple[float, ...]], keep: list[str], curve: list[float] | None):
     """The columns keep with the features of each text, or with its score if there is a curve.
 
     odds: of each word, without each part, then with all; a column part says which counts."""
@@ -246,7 +284,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
 class Model:
     """A fitted scorer."""
 
-    def __init__(self, characters: np.ndarray, odds: dict[str, tuple[float, ...]], curve: list[float] | None):
+    def __init__(self, characters: bytes, odds: dict[str, tuple[float, ...]], curve: list[float] | None):
         self.characters, self.odds, self.curve = characters, odds, curve
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -267,7 +305,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
-    # train_rows bounds what is broadcast
     known = known.select("doc_id", "toxic", (order % PARTS).cast("int").alias("part"), order.alias("order")).orderBy("order", "doc_id").limit(train_rows)
     # train_rows bounds what is broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "part")
@@ -280,13 +317,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     counts = rows.mapInArrow(_word_counts(characters), "word string, part int, toxic long, clean long")
     by = [F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for c in ("clean", "toxic") for p in range(PARTS)]
     counts = counts.groupBy("word").agg(F.sum("toxic").alias("k1"), F.sum("clean").alias("k0"), *by)
-    odds = F.log((F.col("k1") + 0.5) / F.lit(total[1, PARTS] + 1)) - F.log((F.col("k0") + 0.5) / F.lit(total[0, PARTS] + 1))
+    error = F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
+    odds = F.log((F.col("k1") + 0.5) / F.lit(total[1, PARTS] + 1)) - F.log((F.col("k0") + 0.5) / F.lit(total[0, PARTS] + 1)) - ERRORS * error
     best = counts.where(F.col("k1") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     words = {}
-    for x in best.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect():
+    # LEAST_ROWS of train_rows texts hold each of them
+    for x in best.collect():
         k = np.array([[x[f"{c}{p}"] for p in range(PARTS)] for c in ("clean", "toxic")])
         k = np.column_stack([k.sum(axis=1, keepdims=True) - k, k.sum(axis=1)])
-        lifts = np.log((k[1] + 0.5) / (total[1] + 1)) - np.log((k[0] + 0.5) / (total[0] + 1))
+        lifts = np.log((k[1] + 0.5) / (total[1] + 1)) - np.log((k[0] + 0.5) / (total[0] + 1)) - ERRORS * np.sqrt(1 / (k[0] + 0.5) + 1 / (k[1] + 0.5))
         words[x["word"]] = tuple(np.where(k[1] > 0, np.maximum(lifts, 0), 0).tolist())
     seen = rows.mapInArrow(_measure(characters, words, ["toxic"], None), "toxic int, x0 double, x1 double").toPandas()
     return Model(characters, words, fit_curve(seen[["x0", "x1"]].to_numpy(), seen["toxic"].to_numpy()))
