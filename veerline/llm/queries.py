@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE = {
+    "op2_secret_owners": secrets.SQL,
     "op6_quality_cascade": quality.SQL,
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_near_duplicates": minhash.SQL,
