@@ -5,12 +5,15 @@
 2. The minima are cut into bands. Representatives whose band is equal share a bucket. In each bucket the most
    central member (the one in the largest buckets over all bands) is the pivot; every other member is compared with
    it on the full sets: as many comparisons as members, not all pairs. Components follow from the links found.
+   A bucket's members are dealt over SALTS tasks in joins, so that one with a third of all rows is split.
 3. Members of one pivot that are still in several components may be linked with each other. With the sizes a and r
    of what they have beyond the pivot's set and what they lack of it, two members x and y that share nothing beyond
    it differ in a(x) + a(y) + |r(x) - r(y)| shingles or more. So only such pairs are candidates that this bound
    lets pass, or that share a shingle beyond the pivot's set. Shingles that more than RARE members of the pivot
-   have beyond its set are left out of a, which only loosens the bound, and needn't be paired. The rule is exact:
-   no pair of a bucket is lost, and no bucket's pairs are listed.
+   have beyond its set are left out of a, which only loosens the bound, and needn't be paired. With what is allowed to
+   a member, g(x) = allowed * n(x) - a(x), the bound says that the intervals r(x) +- g(x) overlap: a join of intervals,
+   cut into strips of r and dealt over BLOCKS tasks a strip. The rule is exact: no pair of a bucket is lost, and no
+   bucket's pairs are listed.
 4. Candidates are dropped if their sizes or signatures rule the similarity out; the rest is confirmed on the full
    sets. Components by large-star and small-star.
 
@@ -20,7 +23,7 @@ probability of 1e-6 at most.
 Defined results: null texts and texts without words have size 0 and are linked with nothing; texts with fewer
 words than a shingle are one shingle; rows of equal doc_id are one document, with all of its texts; a row whose
 doc_id is null is kept and has a null component; an empty table gives an empty table; columns other than doc_id
-and text aren't read.
+and text aren't read; doc_ids that are no numbers count as null.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import SALTS, components
 from .hashing import BASE, mix, shingles, words
 from .shared import drop_staged, staged, table
 from .token_ids import few
@@ -46,6 +49,10 @@ PERMUTATIONS, MISS = 192, 1e-6
 SIGMAS = 5
 #: Members of a pivot that may share a shingle beyond its set so that they are paired by it.
 RARE = 16
+#: A document with more than this part of all pairs is joined apart: there are 1 / HOT_SHARE at most on a side.
+HOT_SHARE = 0.001
+#: Tasks over which the members of a pivot are dealt when they meet each other.
+BLOCKS = 16
 #: Identifiers (of 8 bytes each) that are broadcast to pick texts; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -159,20 +166,34 @@ def _compare(n_words: int):
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    for s in "uv":
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")), s)
+    """pairs (u, v; staged) with both texts. Documents with more than HOT_SHARE of all pairs are few by their number: their
+    texts go to SALTS times SALTS tasks, the others' to one."""
+    limit, many = HOT_SHARE * pairs.count(), SALTS * SALTS
+    for s, other in ("uv", "vu"):
+        hot = F.broadcast(pairs.groupBy(s).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(limit, SALTS)).select(s, F.lit(many).cast("long").alias("_k")))
+        salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_k", F.lit(1)) - 1)
+        side = texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")).join(hot, s, "left").withColumn("_s", F.explode(salts)).drop("_k")
+        salted = pairs.join(hot, s, "left").withColumn("_s", F.pmod(F.xxhash64(other), F.coalesce("_k", F.lit(1)))).drop("_k")
+        pairs = salted.join(side, [s, "_s"]).drop("_s")
     return pairs
 
 
+def _salted(rows: DataFrame, one: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows with the columns of one, which has a row a value of keys: it goes to each of the tasks that share the rows
+    of a value, which are dealt by another column."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return salted.hint("merge").join(one.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_s"]).drop("_s")
+
+
 def _left_over(compared: DataFrame, root: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) among the members of each pivot that are in different components."""
     rows = compared.select(F.col("u").alias("p"), F.col("v").alias("x"), F.col("n_v").alias("n"), (F.col("n_u") - F.col("both")).alias("r"), "more")
     rows = rows.join(root.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("comp", F.coalesce("root", "x")).drop("root")
     open_ = rows.groupBy("p").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("p")
-    rows = staged(rows.join(open_, "p"), "open")
+    rows = staged(_salted(rows, open_, ["p"], "x"), "open")
     each = rows.select("p", "x", "comp", F.explode("more").alias("s"))
     often = each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = staged(each.join(often, ["p", "s"]), "shared")
+    shared = staged(_salted(each, often, ["p", "s"], "x"), "shared")
     rare = shared.where(F.col("k") <= RARE)
     by_shingle = rare.alias("l").join(rare.alias("r"), ["p", "s"]).where("l.x < r.x AND l.comp != r.comp").select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
     common = shared.where(F.col("k") > RARE).groupBy("p", "x").agg(F.count(F.lit(1)).alias("c"))
@@ -180,14 +201,26 @@ def _left_over(compared: DataFrame, root: DataFrame, percent: int) -> DataFrame:
     # what a member differs from others by at least is no more than what is allowed to it and its largest partner
     allowed = F.lit((100 - percent) / (100 + percent) + 1e-9)
     sized = staged(sized.where(F.col("a") <= allowed * (F.col("n") + F.col("n") * 100 / percent)), "sized")
-    bound = F.expr("l.a + r.a + abs(l.r - r.r)") <= allowed * F.expr("l.n + r.n")
-    by_bound = sized.alias("l").join(sized.alias("r"), "p").where(F.expr("l.x < r.x AND l.comp != r.comp") & bound).select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
+    sized = sized.withColumn("g", allowed * F.col("n") - F.col("a"))
+    # strips as wide as the widest interval of a pivot: an interval lies in three at most; two meet in the one of the greater lower end
+    wide = sized.groupBy("p").agg(F.greatest(F.lit(1.0), 2 * F.max("g")).alias("width"), F.max("g").alias("widest"))
+    # below zero, g must be made up for by another's
+    sized = _salted(sized, wide, ["p"], "x").where("g >= -widest").drop("widest")
+    strip = lambda at: F.floor(at / F.col("width"))
+    low, high = F.col("r") - F.col("g"), F.col("r") + F.col("g")
+    # where g is negative, an interval is turned round, and overlaps what holds it whole
+    cut = sized.withColumn("strip", F.explode(F.sequence(strip(F.least(low, high)), strip(F.greatest(low, high)))))
+    left = cut.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(BLOCKS)))
+    right = cut.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    bound = F.expr("abs(l.r - r.r) <= l.g + r.g")
+    meet = left.alias("l").hint("merge").join(right.alias("r"), ["p", "strip", "block"]).where(F.expr("l.x < r.x AND l.comp != r.comp") & bound)
+    by_bound = meet.select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
     return by_shingle.unionByName(by_bound).distinct()
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig binary"
     sketches = staged(texts.mapInArrow(_sketches(n_words, percent), schema), "sketches")
     classes = sketches.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash")
@@ -195,13 +228,14 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     every = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # the members of all buckets that have several
-    members = staged(every.join(shared, "bucket").select("bucket", "rep", "n"), "members")
+    members = staged(_salted(every, shared, ["bucket"], "rep").select("bucket", "rep", "n"), "members")
     central = staged(members.groupBy("rep").agg(F.sum("n").alias("weight")), "central")
     n = central.count()
     few_ids = (lambda ids: F.broadcast(ids)) if n <= MOST_BROADCAST else (lambda ids: ids)
     texts = staged(texts.join(few_ids(central.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), "texts")
     best = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("p"))
-    pairs = members.join(best.select("bucket", (-F.col("p.rep")).alias("u")), "bucket").where(F.col("u") != F.col("rep")).select("u", F.col("rep").alias("v")).distinct()
+    pairs = _salted(members, best.select("bucket", (-F.col("p.rep")).alias("u")), ["bucket"], "rep").where(F.col("u") != F.col("rep")).select("u", F.col("rep").alias("v")).distinct()
+    pairs = staged(pairs, "pairs")
     schema = "u long, v long, n_u long, n_v long, both long, more array<long>"
     compared = staged(_with_texts(pairs, texts).mapInArrow(_compare(n_words), schema), "compared")
     found = compared.where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
@@ -212,7 +246,6 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     more = staged(more.select("u", "v", "sig_u", "sig_v").mapInArrow(_agree(least_agreement(percent)), "u long, v long"), "likely")
     more = _with_texts(more, texts).mapInArrow(_confirm(n_words, percent), "u long, v long").distinct()
     links = components(more.unionByName(root))
-    drop_staged(members, central, texts, compared)
     rows = sketches.select("doc_id", "n_shingles", "set_hash").join(classes.select("set_hash", "rep"), "set_hash", "left")
     rows = rows.join(links.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
