@@ -12,7 +12,8 @@ An item carries its members (a bin has CAPACITY of them at most), so no joins ar
 Items are sorted by (length, key) with unique keys: a task that is run again packs alike.
 
 Defined results: null and empty texts have the end id only; equal rows are documents of their
-own; an empty table gives an empty table; columns other than doc_id and text aren't read.
+own; an empty table gives an empty table; columns other than doc_id and text aren't read; doc_ids that are no
+numbers count as null.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ SLACK, FAN_IN, CHUNK = 2, 8, 200_000
 #: A further round of as many tasks goes on only if the last one lessened the bins by so much.
 GAIN = 0.01
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_BIN = "key long, fill int, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
+_PLACED = pa.struct([*_MEMBER, ("offset", pa.int64())])
+_BIN = "key long, fill int, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -58,7 +60,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MEMBER, strict=True)], [f.name for f in _MEMBER])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -86,12 +88,16 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def _pack(capacity: int):
-    kind = pa.list_(_MEMBER)
+    kind = pa.list_(_PLACED)
 
     def packed(items):
         items.sort(key=lambda x: (-x[1], x[0]))
         for b in best_fit([x[1] for x in items], capacity):
-            yield items[b[0]][0], sum(items[i][1] for i in b), [m for i in b for m in items[i][2]]
+            members, at = [m for i in b for m in items[i][2]], 0
+            for m in members:
+                m["offset"] = at
+                at += m["length"]
+            yield items[b[0]][0], at, members
 
     def rows(found):
         keys, fills, members = zip(*found, strict=True)
@@ -118,7 +124,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
     names = [f.name for f in _MEMBER]
     parts = staged(parts.select(*names, F.monotonically_increasing_id().alias("key")), "pieces")
     full = parts.where(F.col("length") >= capacity).select(*names, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    bins = parts.where(F.col("length") < capacity).select("key", F.col("length").cast("int").alias("fill"), F.array(F.struct(*names)).alias("members"))
+    bins = parts.where(F.col("length") < capacity).select("key", F.col("length").cast("int").alias("fill"), F.array(F.struct(*names, F.lit(0).cast("long").alias("offset"))).alias("members"))
     done, before, last = [], None, None
     tasks, salt = max(1, bins.rdd.getNumPartitions()), 0
     while True:
@@ -138,8 +144,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
         bins = left.repartition(tasks, F.xxhash64("key", F.lit(salt))) if tasks > 1 else left.coalesce(1)
     out = full
     for b in done:
-        placed = F.explode(F.transform("members", lambda x, i: F.struct(x.alias("m"), F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("offset"))))
-        m = b.select(F.col("key").alias("sequence_id"), placed).select(*(F.col(f"col.m.{c}").alias(c) for c in names), "sequence_id", F.col("col.offset").alias("offset"))
+        m = b.select(F.col("key").alias("sequence_id"), F.explode("members").alias("m")).select(*(F.col(f"m.{c}").alias(c) for c in names), "sequence_id", F.col("m.offset").alias("offset"))
         out = out.unionByName(m)
     return out
 
