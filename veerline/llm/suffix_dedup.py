@@ -6,22 +6,26 @@ GRAM-byte pieces of a string, the one of least hash (the leftmost, if equal) is
 anchors; successive strings mostly share one. The strings of one anchor in one document form a segment, which spans
 less than 2 LENGTH bytes: its context.
 
-1. shards (groups of documents): distinct (anchor, context) fingerprints, with the smallest doc_id of the shard.
-2. by anchor: anchors of one document only are done with. If all contexts of an anchor are equal, its smallest doc_id
-   holds for all strings. The others are asked for.
-3. shards: the bytes of the contexts that were asked for.
-4. by anchor: the strings of all contexts are sorted as suffixes. Prefix polynomial hashes and binary search over the
+1. shards (groups of documents): distinct anchors, with the smallest doc_id of the shard.
+2. by anchor: anchors of one document only are done with. The others are asked for.
+3. shards: the bytes of the contexts of the anchors that were asked for, each distinct context once.
+4. by anchor: the strings of all contexts are sorted as suffixes. Entries of equal context hashes are compared byte by byte,
+   and one of each distinct context is sorted. Prefix polynomial hashes and binary search over the
    common length give a suffix comparison in log(LENGTH) steps, which a mergesort uses; neighbours of equal strings
-   are compared byte by byte, so that no collision of hashes joins different strings that are sorted. Strings that aren't sorted, as all contexts
-   of their anchor agree, are joined by 32 bits of anchor and 32 of context in a bucket, unverified (see README). Each group of equal strings
+   are compared byte by byte, so that no collision of hashes joins different strings. Each group of equal strings
    has its smallest doc_id.
-5. shards: the answers cover bytes of their documents; the rest is kept.
+5. shards: the answers cover bytes of their documents; the rest is kept. An answer finds its segments of the shard by two
+   independent hashes of the context, 128 bits.
+
+So every removed byte is covered by a string that went through the sort and was compared as bytes with that of another
+shard; hashes alone stand for bytes only between copies within one shard, where 128 bits must agree.
 
 What is shuffled for an anchor is one entry a shard and context, however many documents of the shard hold it, so that
-passages which a third of all documents share don't meet in one task.
+passages which a third of all documents share don't meet in one task. Shards and buckets of anchors grow in number
+with the bytes, so that a group's size doesn't.
 
 Defined results: null texts are empty; texts below LENGTH bytes keep all; rows of equal doc_id are one document (they
-don't remove bytes from each other); a null doc_id counts as larger than all others; an empty table gives an empty
+don't remove bytes from each other); a null doc_id, or one that is no number, counts as 2**63 - 1, the largest; an empty table gives an empty
 table; columns other than doc_id and text aren't read.
 """
 
@@ -36,20 +40,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import INVERSE, mix, powers, prefixes, substrings
-from .shared import partitions_for, table
+from .shared import table
 
 LENGTH, GRAM = 50, 22
 #: Strings that are sorted at once, at most one anchor's more.
 SORT_AT_ONCE = 400_000
 #: Bytes of texts that are held as arrays at once, at most one text's more.
 BYTES_AT_ONCE = 2_000_000
+#: Bytes of a shard's texts at least and at most, and shards up to which they don't grow.
+SHARD_LEAST, SHARD_MOST, FEW_SHARDS = 8_000_000, 256_000_000, 4096
 _LAST = 2**63 - 1
+#: Fixed value: the odd base of the second hash.
+SECOND = 0xC2B2AE3D27D4EB4F
+_SECOND_BACK = pow(SECOND, -1, 1 << 64)
 _U64, _I64 = np.dtype("<u8"), np.dtype("<i8")
 
 
 # --- segments -------------------------------------------------------------------------------------------------------
 
 
+def context_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of contexts, and of the distance of their first string to the anchor."""
+    return mix(substrings(p, start, end) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64))
+
+
+def second_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Another hash of the bytes, by a polynomial of its own."""
+    q = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(mix(raw.astype(np.uint64) + np.uint64(1)) * powers(SECOND, len(raw)), out=q[1:])
+    return mix((q[end] - q[start]) * powers(_SECOND_BACK, len(q))[start] + (end - start).astype(np.uint64))
+
+
 def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Segments of texts: text number, anchor hash, context hash, first string's start (in the concatenated texts), its
     distance to the anchor, number of strings; and the concatenated texts."""
@@ -77,7 +98,7 @@ def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(start))[: len(lo)] - 1
     first, last, at = start[lo], start[hi], anchor[lo]
-    context = mix(substrings(p, first, last + length) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
+    context = context_hash(p, first, last + length, at - first)
     return text[lo], g[at], context, first, at - first, last - first + 1, raw
 
 
@@ -190,10 +211,6 @@ def _documents(t: pa.Table):
         at = end
 
 
-def _fingerprint(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(32) << np.uint64(32)) | (context >> np.uint64(32))
-
-
 def _by_bucket(bucket: np.ndarray, *orders: np.ndarray):
     """Order by bucket, then the others, and slices of equal bucket."""
     order = np.lexsort((*orders[::-1], bucket))
@@ -216,13 +233,13 @@ _STEP1 = "bucket int, shard int, keys binary, docs binary, many binary"
 
 def _step1(buckets: int):
     def run(key, t):
-        found = [], []
+        found = [], [], []
         for ids, raws in _documents(t):
-            text, anchor, context, *_ = segments(raws)
-            found[0].append(np.stack([anchor % np.uint64(buckets), _fingerprint(anchor, context)]))
-            found[1].append(ids[text])
-        bucket, keys = np.concatenate(found[0], axis=1)
-        docs = np.concatenate(found[1])
+            text, anchor, *_ = segments(raws)
+            found[0].append((anchor % np.uint64(buckets)).astype(np.int64))
+            found[1].append((anchor >> np.uint64(32)).astype("<u4"))
+            found[2].append(ids[text])
+        bucket, keys, docs = map(np.concatenate, found)
         order = np.lexsort((keys, bucket))
         bucket, keys, docs = bucket[order], keys[order], docs[order]
         s = _starts(bucket, keys)
@@ -232,7 +249,8 @@ def _step1(buckets: int):
         bucket, keys = bucket[s], keys[s]
         _, parts = _by_bucket(bucket)
         shard = key[0].as_py()
-        return _table(_STEP1, [(b, shard, keys[p].tobytes(), _packed(low[p]), _packed(low[p] != high[p])) for b, p in parts])
+        # differences of sorted keys take fewer bytes
+        return _table(_STEP1, [(b, shard, _packed(np.diff(keys[p], prepend=keys.dtype.type(0))), _packed(low[p]), _packed(low[p] != high[p])) for b, p in parts])
 
     return run
 
@@ -251,38 +269,27 @@ def _none(schema: str) -> pa.Table:
     return _table(schema, [])
 
 
-_STEP2 = "shard int, bucket int, keys binary, least binary, asked binary"
+_STEP2 = "shard int, bucket int, asked binary"
 
 
 def _step2(key, t):
     shards, raws, docs, many = _columns(t, "shard", "keys", "docs", "many")
-    keys = [np.frombuffer(r, _U64) for r in raws]
+    keys = [np.cumsum(_unpacked(r, "<u4"), dtype="<u4") for r in raws]
     shard = np.repeat(np.array(shards, np.int32), [len(k) for k in keys])
     keys = np.concatenate(keys)
     docs = np.concatenate([_unpacked(d, _I64) for d in docs])
     many = np.concatenate([_unpacked(m, bool) for m in many])
     order = np.argsort(keys, kind="stable")
     keys, docs, many, shard = keys[order], docs[order], many[order], shard[order]
-    anchor = keys >> np.uint64(32)
-    s = _starts(anchor)
-    size = np.diff(np.append(s, len(keys)))
-    least, most = np.minimum.reduceat(docs, s), np.maximum.reduceat(docs, s)
-    shared = (least != most) | np.logical_or.reduceat(many, s)
-    single = keys[s] == keys[s + size - 1]
-    done = np.repeat(shared & single, size) & ((docs > np.repeat(least, size)) | many)
-    asked = np.repeat(shared & ~single, size)
-    least = np.repeat(least, size)
-    bucket, rows = key[0].as_py(), []
-    pick = np.flatnonzero(done | asked)
+    s = _starts(keys)
+    shared = (np.minimum.reduceat(docs, s) != np.maximum.reduceat(docs, s)) | np.logical_or.reduceat(many, s)
+    pick = np.flatnonzero(np.repeat(shared, np.diff(np.append(s, len(keys)))))
     order, parts = _by_bucket(shard[pick])
     pick = pick[order]
-    for b, p in parts:
-        d, a = pick[p][done[pick[p]]], pick[p][asked[pick[p]]]
-        rows.append((b, bucket, keys[d].tobytes(), _packed(least[d]), _packed(np.unique(anchor[a].astype("<u4")))))
-    return _table(_STEP2, rows)
+    return _table(_STEP2, [(b, key[0].as_py(), _packed(np.sort(keys[pick[p]]))) for b, p in parts])
 
 
-_STEP3 = "bucket int, shard int, anchors binary, contexts binary, docs binary, many binary, before binary, n binary, bytes binary"
+_STEP3 = "bucket int, shard int, anchors binary, contexts binary, seconds binary, docs binary, many binary, before binary, n binary, bytes binary"
 
 
 def _step3(buckets: int):
@@ -301,23 +308,25 @@ def _step3(buckets: int):
             at = np.searchsorted(asked, name)
             hit = np.flatnonzero(asked[np.minimum(at, len(asked) - 1)] == name)
             # of equal contexts in this part of the shard, one goes on
-            hit = hit[np.argsort(context[hit], kind="stable")]
-            d, c = ids[text[hit]], context[hit]
-            s = _starts(c)
+            size = n[hit] + LENGTH - 1
+            second = second_hash(raw, first[hit], first[hit] + size)
+            order = np.lexsort((second, context[hit]))
+            hit, second, size = hit[order], second[order], size[order]
+            d = ids[text[hit]]
+            s = _starts(context[hit], second)
             if len(s):
-                low, high, hit = np.minimum.reduceat(d, s), np.maximum.reduceat(d, s), hit[s]
-                size = n[hit] + LENGTH - 1
-                found.append((anchor[hit], context[hit], low, low != high, before[hit], n[hit], size, raw[_spans(first[hit], size)]))
+                low, high, hit, size = np.minimum.reduceat(d, s), np.maximum.reduceat(d, s), hit[s], size[s]
+                found.append((anchor[hit], context[hit], second[s], low, low != high, before[hit], n[hit], size, raw[_spans(first[hit], size)]))
         if not found:
             return _none(_STEP3)
-        anchor, context, low, many, before, n, size = (np.concatenate([f[k] for f in found]) for k in range(7))
-        raw = np.concatenate([f[7] for f in found])
+        anchor, context, second, low, many, before, n, size = (np.concatenate([f[k] for f in found]) for k in range(8))
+        raw = np.concatenate([f[8] for f in found])
         at = np.cumsum(size) - size
         order, parts = _by_bucket((anchor % np.uint64(buckets)).astype(np.int64), anchor)
         rows = []
         for b, p in parts:
             o = order[p]
-            rows.append((b, key[0].as_py(), anchor[o].tobytes(), context[o].tobytes(), _packed(low[o]), _packed(many[o]), _packed(before[o].astype("<u1")), _packed(n[o].astype("<u1")), _packed(raw[_spans(at[o], size[o])])))
+            rows.append((b, key[0].as_py(), anchor[o].tobytes(), context[o].tobytes(), second[o].tobytes(), _packed(low[o]), _packed(many[o]), _packed(before[o].astype("<u1")), _packed(n[o].astype("<u1")), _packed(raw[_spans(at[o], size[o])])))
         return _table(_STEP3, rows)
 
     return run
@@ -329,23 +338,50 @@ def _spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)
 
 
-_STEP4 = "shard int, contexts binary, first binary, last binary, least binary"
+def _distinct(anchor: np.ndarray, context: np.ndarray, before: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry of each distinct context, in the order of anchors, and for each entry the place of its own one. Entries of
+    equal hashes are compared with the first of them byte by byte; where they differ, by their bytes in a dictionary."""
+    at = np.cumsum(size) - size
+    order = np.lexsort((context, anchor))
+    s = _starts(anchor[order], context[order])
+    group = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(order))))
+    first = order[s][group]
+    differ = (size[order] != size[first]) | (before[order] != before[first])
+    check = np.flatnonzero(~differ & (order != first))
+    for part in (check[i : i + SORT_AT_ONCE // 8] for i in range(0, len(check), SORT_AT_ONCE // 8)):
+        n = size[order[part]]
+        equal = raw[_spans(at[order[part]], n)] == raw[_spans(at[first[part]], n)]
+        differ[part] = ~np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    of, ones = np.empty(len(order), np.int64), order[s]
+    of[order] = group
+    if differ.any():
+        extra: dict = {}
+        for i in order[differ]:
+            name = (anchor[i], context[i], before[i], raw[at[i] : at[i] + size[i]].tobytes())
+            of[i] = extra.setdefault(name, (len(s) + len(extra), i))[0]
+        ones = np.append(ones, [i for _, i in extra.values()])
+        # anchors side by side again
+        by = np.argsort(anchor[ones], kind="stable")
+        place = np.empty(len(ones), np.int64)
+        place[by] = np.arange(len(ones))
+        ones, of = ones[by], place[of]
+    return ones, of
+
+
+_STEP4 = "shard int, contexts binary, seconds binary, first binary, last binary, least binary"
 
 
 def _step4(key, t):
-    shards, *columns = _columns(t, "shard", "anchors", "contexts", "docs", "many", "before", "n", "bytes")
-    anchor, context = (np.concatenate([np.frombuffer(r, _U64) for r in c]) for c in columns[:2])
-    docs, many, before, n, raw = (np.concatenate([_unpacked(r, k) for r in c]) for c, k in zip(columns[2:], (_I64, bool, "<u1", "<u1", "<u1"), strict=True))
+    shards, *columns = _columns(t, "shard", "anchors", "contexts", "seconds", "docs", "many", "before", "n", "bytes")
+    anchor, context, second = (np.concatenate([np.frombuffer(r, _U64) for r in c]) for c in columns[:3])
+    docs, many, before, n, raw = (np.concatenate([_unpacked(r, k) for r in c]) for c, k in zip(columns[3:], (_I64, bool, "<u1", "<u1", "<u1"), strict=True))
     before, n = before.astype(np.int64), n.astype(np.int64)
     shard = np.repeat(np.array(shards, np.int32), [len(r) // 8 for r in columns[0]])
     at = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
     # one of each context is sorted, and stands for the others
-    order = np.lexsort((context, anchor))
-    s = _starts(anchor[order], context[order])
-    one = order[s]
-    of = np.empty(len(order), np.int64)
-    of[order] = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(order))))
-    low = np.minimum.reduceat(docs[order], s)
+    one, of = _distinct(anchor, context, before, n + LENGTH - 1, raw)
+    low = np.full(len(one), _LAST, np.int64)
+    np.minimum.at(low, of, docs)
     answers = [[] for _ in range(4)]
     groups = np.append(_starts(anchor[one]), len(one))
     strings = np.concatenate([[0], np.cumsum(n[one])])
@@ -385,107 +421,72 @@ def _step4(key, t):
     entry, run = entry[use], run[use]
     order, parts = _by_bucket(shard[entry])
     entry, run = entry[order], run[order]
-    return _table(_STEP4, [(b, context[entry[p]].tobytes(), _packed(first[run[p]].astype("<u1")), _packed(last[run[p]].astype("<u1")), _packed(least[run[p]])) for b, p in parts])
+    return _table(_STEP4, [(b, context[entry[p]].tobytes(), second[entry[p]].tobytes(), _packed(first[run[p]].astype("<u1")), _packed(last[run[p]].astype("<u1")), _packed(least[run[p]])) for b, p in parts])
 
 
 _STEP5 = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_ANSWERS = "shard int, contexts binary, first binary, last binary, least binary, keys binary, key_least binary, bucket int"
 
 
-def _covered(raws, ids, buckets, exact, runs):
+def _covered(raws, ids, runs):
     """Bytes that go, of the concatenated texts."""
-    text, anchor, context, first, _, n, raw = segments(raws)
+    text, _, context, first, _, n, raw = segments(raws)
     step = np.zeros(len(raw) + 1, np.int32)
-
-    def cover(segment, a, b, least):
-        m = ids[text[segment]] > least
-        np.add.at(step, first[segment[m]] + a[m], 1)
-        np.add.at(step, first[segment[m]] + b[m] + LENGTH, -1)
-
-    keys, least = exact
-    if len(keys):
-        name = _fingerprint(anchor, context)
-        names = np.array([(anchor % np.uint64(buckets)), name])
-        at = _find(keys, names)
-        hit = np.flatnonzero(at >= 0)
-        cover(hit, np.zeros(len(hit), np.int64), n[hit] - 1, least[at[hit]])
-    contexts, a, b, least = runs
+    contexts, second, a, b, least = runs
     if len(contexts):
         low, high = np.searchsorted(contexts, context, "left"), np.searchsorted(contexts, context, "right")
         segment = np.repeat(np.arange(len(context)), high - low)
         run = _spans(low, high - low)
-        cover(segment, a[run], b[run], least[run])
+        same = second_hash(raw, first[segment], first[segment] + n[segment] + LENGTH - 1) == second[run]
+        m = same & (ids[text[segment]] > least[run])
+        segment, run = segment[m], run[m]
+        np.add.at(step, first[segment] + a[run], 1)
+        np.add.at(step, first[segment] + b[run] + LENGTH, -1)
     return np.cumsum(step[:-1]) > 0, raw
 
 
-def _find(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Place of each (bucket, fingerprint) in keys, which are sorted by both; -1 if it isn't there."""
-    bucket, key = keys
-    out = np.full(names.shape[1], -1, np.int64)
-    cut = np.searchsorted(bucket, np.arange(int(names[0].max(initial=0)) + 2, dtype=np.uint64))
-    order = np.argsort(names[0], kind="stable")
-    edges = np.searchsorted(names[0][order], np.arange(len(cut), dtype=np.uint64))
-    for b in range(len(cut) - 1):
-        rows, k = order[edges[b] : edges[b + 1]], key[cut[b] : cut[b + 1]]
-        if len(rows) and len(k):
-            at = np.minimum(np.searchsorted(k, names[1][rows]), len(k) - 1)
-            out[rows] = np.where(k[at] == names[1][rows], cut[b] + at, -1)
-    return out
-
-
 def _answers(answers: pa.Table):
-    exact, runs = ([], [], []), ([], [], [], [])
-    for contexts, first, last, least, keys, key_least, bucket in zip(*_columns(answers, "contexts", "first", "last", "least", "keys", "key_least", "bucket"), strict=True):
-        if keys is not None:
-            k = np.frombuffer(keys, _U64)
-            exact[0].append(np.full(len(k), bucket, np.uint64))
-            exact[1].append(k)
-            exact[2].append(_unpacked(key_least, _I64))
-        if contexts is not None:
-            for column, x in zip(runs, (np.frombuffer(contexts, _U64), _unpacked(first, "<u1").astype(np.int64), _unpacked(last, "<u1").astype(np.int64), _unpacked(least, _I64)), strict=True):
-                column.append(x)
-    exact = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in exact]
-    order = np.lexsort((exact[1], exact[0]))
-    runs = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in runs]
+    """Contexts, second hashes, first and last strings and smallest doc_ids of runs, in the order of contexts."""
+    columns = _columns(answers, "contexts", "seconds", "first", "last", "least")
+    kinds = (lambda r: np.frombuffer(r, _U64), lambda r: np.frombuffer(r, _U64), lambda r: _unpacked(r, "<u1").astype(np.int64), lambda r: _unpacked(r, "<u1").astype(np.int64), lambda r: _unpacked(r, _I64))
+    runs = [np.concatenate([k(r) for r in c]) if c else np.zeros(0, np.int64) for c, k in zip(columns, kinds, strict=True)]
     by = np.argsort(runs[0], kind="stable")
-    return (np.array([exact[0][order], exact[1][order]]), exact[2][order]), tuple(x[by] for x in runs)
+    return tuple(x[by] for x in runs)
 
 
-def _step5(buckets: int):
-    def run(key, docs, answers):
-        exact, runs = _answers(answers)
-        rows = []
-        exact = (exact[0] if exact[0].shape[1] else np.zeros(0), exact[1])
-        for ids, raws in _documents(docs):
-            gone, raw = _covered(raws, ids, buckets, exact, runs) if sum(map(len, raws)) >= LENGTH else (np.zeros(sum(map(len, raws)), bool), np.frombuffer(b"".join(raws), np.uint8))
-            at = 0
-            for doc_id, text in zip(ids.tolist(), raws, strict=True):
-                g = gone[at : at + len(text)]
-                n = int(np.count_nonzero(g))
-                spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if n else 0
-                kept = raw[at : at + len(text)][~g].tobytes() if n else text
-                rows.append((None if doc_id == _LAST else doc_id, len(text), n, spans, hashlib.sha256(kept).hexdigest()))
-                at += len(text)
-        return _table(_STEP5, rows)
+def _step5(key, docs, answers):
+    runs, rows = _answers(answers), []
+    names = iter(docs.column("doc_id").to_pylist())
+    for ids, raws in _documents(docs):
+        gone, raw = _covered(raws, ids, runs) if sum(map(len, raws)) >= LENGTH else (np.zeros(sum(map(len, raws)), bool), np.frombuffer(b"".join(raws), np.uint8))
+        at = 0
+        for text in raws:
+            g = gone[at : at + len(text)]
+            n = int(np.count_nonzero(g))
+            spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if n else 0
+            kept = raw[at : at + len(text)][~g].tobytes() if n else text
+            rows.append((next(names), len(text), n, spans, hashlib.sha256(kept).hexdigest()))
+            at += len(text)
+    return _table(_STEP5, rows)
 
-    return run
+
+def shards_for(n_bytes: int) -> int:
+    """Shards, and buckets of anchors, of so many bytes."""
+    return max(1, -(-n_bytes // min(SHARD_MOST, max(SHARD_LEAST, n_bytes // FEW_SHARDS))))
 
 
 def repeats_removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
-    spark = docs.sparkSession
-    shards = buckets = shards or partitions_for(spark)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("shard", shard)
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    shards = buckets = shards or shards_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    # rows without a doc_id are dealt by their texts
+    shard = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(shards)).cast("int")
+    rows = docs.withColumn("shard", shard)
     by_shard = lambda df: df.groupBy("shard")
     first = by_shard(rows).applyInArrow(_step1(buckets), _STEP1)
     second = first.groupBy("bucket").applyInArrow(_step2, _STEP2)
     third = by_shard(rows).cogroup(by_shard(second)).applyInArrow(_step3(buckets), _STEP3)
     fourth = third.groupBy("bucket").applyInArrow(_step4, _STEP4)
-    null = lambda kind: F.lit(None).cast(kind)
-    answers = fourth.select("shard", "contexts", "first", "last", "least", null("binary").alias("keys"), null("binary").alias("key_least"), null("int").alias("bucket")).unionByName(
-        second.select("shard", *(null("binary").alias(c) for c in ("contexts", "first", "last", "least")), "keys", F.col("least").alias("key_least"), "bucket"))
-    return by_shard(rows).cogroup(by_shard(answers)).applyInArrow(_step5(buckets), _STEP5)
+    return by_shard(rows).cogroup(by_shard(fourth)).applyInArrow(_step5, _STEP5)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
