@@ -129,20 +129,31 @@ def measured(text):
 
 def test_quality(spark, odd, empty):
     extra = docs(spark, [(200, "a b c\n" * 30 + "# $ %", "s"), (201, "a b a b a b a", "s"), (202, "\n\nx\n \nx", "s"), (203, "| # " * 60, "s"), (204, "fine words here and there " + " ".join(f"w{i}" for i in range(60)), "s")])
-    for df, n in ((odd, len(odd_rows())), (extra, 5)):
-        got = quality.rated(df.select("doc_id", "text")).collect()
-        assert len(got) == n
-        for r in got:
-            m = measured(r["text"])
+    clash = extra.withColumn("n_words", F.lit("x")).withColumn("_w", F.lit("y")).withColumn("kept", F.lit("z")).withColumn("rating", F.lit("r"))
+    for df, n, name in ((odd, len(odd_rows()), "rating"), (extra, 5, "rating"), (clash, 5, "_rating")):
+        out = quality.rated(df)
+        assert out.columns == [*df.columns, name]
+        got = out.collect()
+        assert len(got) == n and sorted((r[:-1] for r in got), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+        for x in got:
+            m, r = measured(x["text"]), x[name]
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == m
             assert r["base_failed"] == (m[0] < 50 or 100 * m[4] > 50 * m[0]) and r["kept"] == (r["reason"] is None) and not (r["base_failed"] and r["kept"])
-            # the verdict doesn't depend on the order of the rules
-    assert {r["doc_id"]: r["reason"] for r in quality.rated(extra.select("doc_id", "text")).collect()}[204] is None
+    assert {x["doc_id"]: x["rating"]["reason"] for x in quality.rated(extra).collect()}[204] is None
     assert quality.rated(empty).count() == 0
-    order = quality.estimate(quality.measures(extra), quality.rules())
+    order = quality.estimate(quality.measures(extra.select("text")), quality.rules())
     assert sorted(r.name for _, r in order) == sorted(r.name for r in quality.rules()) and order[0][0] >= order[-1][0]
 
 
+def test_cascade_order(spark):
+    """Of two rules that reject alike, the cheap one goes first; of two that cost alike, the one that rejects more."""
+    rows = docs(spark, [(i, " ".join(f"word{i}x{k}" for k in range(400)) + (" $" if i % 2 else ""), "s") for i in range(200)])
+    dear = quality.Rule("a_dear", F.regexp_count("text", F.lit(r"(?:\w+ )+\$")) > 0)
+    cheap, seldom = quality.Rule("z_cheap", F.col("n_symbols") > 0), quality.Rule("b_seldom", F.col("n_symbols") > 5)
+    order = [r.name for _, r in quality.estimate(quality.measures(rows.select("text")).coalesce(1).persist(), [dear, seldom, cheap])]
+    assert order[0] == "z_cheap" and order[-1] == "b_seldom"
+
+
 # --- secrets ---
 
 SECRET = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
@@ -477,6 +488,30 @@ def test_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), 3, 85).collect()} == comp
 
 
+def test_many_near_copies(spark):
+    """5,000 copies of one template with edits of their own, of which few are linked to the template: pairs by their bits."""
+    rng = np.random.default_rng(12)
+    n, size = 5000, 160
+    edits = rng.choice([1, 2, 3, 4, 5, 6], n)
+    keep = np.ones((n, size), bool)
+    for i in range(n):
+        at = rng.integers(0, size - 12)  # edits side by side, so that many copies lack the same words
+        keep[i, at : at + edits[i] * 2] = False
+    rows = [(i, " ".join(f"w{j}" if keep[i, j] else f"x{i}y{j}" for j in range(size)), "s") for i in range(n)]
+    # shingles that are the template's; all others are a copy's own
+    own = (keep[:, :-2] & keep[:, 1:-1] & keep[:, 2:]).astype(np.float32)
+    both, total = own @ own.T, size - 2
+    comp = np.arange(n)
+    link = (100 * both >= 85 * (2 * total - both)) | np.eye(n, dtype=bool)
+    while True:
+        after = np.where(link, comp[None, :], n).min(axis=1)
+        if (after == comp).all():
+            break
+        comp = after
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), 3, 85).collect()}
+    assert len(set(comp.tolist())) > 1 and got == dict(enumerate(comp.tolist()))
+
+
 def test_sketches():
     n, r = minhash.bands(85)
     assert n * r <= minhash.PERMUTATIONS and (1 - 0.85**r) ** n <= 1e-6
@@ -531,6 +566,55 @@ def test_repeats(spark, odd, empty):
     assert suffix_dedup.repeats_removed(odd).count() == len(odd_rows()) and suffix_dedup.repeats_removed(empty).count() == 0
     null = spark.createDataFrame([(None, "z" * 60), (1, "z" * 60)], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in suffix_dedup.repeats_removed(null).collect()) == [(False, 0), (True, 60)]
+    last = spark.createDataFrame([(None, "z" * 60), (2**63 - 1, "z" * 60)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in suffix_dedup.repeats_removed(last).collect()) == [(str(2**63 - 1), 0), ("None", 0)]
+
+
+def in_one_process(rows, shards):
+    """The five steps without an engine, so that their functions can be replaced."""
+    import pyarrow as pa
+
+    def grouped(tables, column):
+        t_ = pa.concat_tables(tables)
+        return {k: t_.filter(pa.compute.equal(t_[column], k)) for k in sorted(set(t_[column].to_pylist()))}
+
+    one = lambda k: (pa.scalar(k),)
+    by = collections.defaultdict(list)
+    for i, text, _ in rows:
+        by[zlib.crc32(str(i).encode()) % shards].append((i, text))
+    docs_ = {k: pa.table({"doc_id": pa.array([i for i, _ in x], pa.int64()), "text": pa.array([x_ for _, x_ in x], pa.string())}) for k, x in by.items()}
+    first = grouped([suffix_dedup._step1(shards)(one(k), x) for k, x in docs_.items()], "bucket")
+    second = grouped([suffix_dedup._none(suffix_dedup._STEP2), *(suffix_dedup._step2(one(k), x) for k, x in first.items())], "shard")
+    third = grouped([suffix_dedup._step3(shards)(one(k), x, second.get(k, suffix_dedup._none(suffix_dedup._STEP2))) for k, x in docs_.items()], "bucket")
+    fourth = grouped([suffix_dedup._none(suffix_dedup._STEP4), *(suffix_dedup._step4(one(k), x) for k, x in third.items())], "shard")
+    out = [suffix_dedup._step5(one(k), x, fourth.get(k, suffix_dedup._none(suffix_dedup._STEP4))) for k, x in docs_.items()]
+    return sorted(tuple(r.values()) for x in out for r in x.to_pylist())
+
+
+@pytest.mark.parametrize("weak", ["none", "first", "both"])
+def test_collisions(monkeypatch, weak):
+    """Hashes of contexts that collide all the time remove nothing that isn't repeated: between shards bytes decide, and
+    within a shard both hashes must agree."""
+    import pyarrow.compute  # noqa: F401
+
+    whole, rng = suffix_dedup.context_hash, random.Random(6)
+    if weak != "none":
+        monkeypatch.setattr(suffix_dedup, "context_hash", lambda *a: whole(*a) & np.uint64(3))
+    passage = ["".join(rng.choices("abc ", k=80)) for _ in range(3)]
+    rows = [(i, "".join(rng.choices("xyz ", k=30)) + passage[i % 3][: rng.randint(55, 80)] + "".join(rng.choices("xyz ", k=20)), "s") for i in range(24)]
+    if weak == "both":
+        # one short document a shard, of a single context: no two of a shard can be taken for each other
+        monkeypatch.setattr(suffix_dedup, "second_hash", lambda raw, a, b: np.zeros(len(a), np.uint64))
+        rows = [(i, passage[i % 3][:50], "s") for i in range(9)]
+    shards = {"none": 4, "first": 4, "both": 997}[weak]
+    got = in_one_process(rows, shards)
+    assert got == removed(rows) and sum(r[2] for r in got) > 0
+
+
+def test_shards_for():
+    assert [suffix_dedup.shards_for(n) for n in (0, 1, 10**9)] == [1, 1, 125]
+    for n in (10**9, 10**11, 10**14):  # a group's bytes are bounded, whatever the input
+        assert n / suffix_dedup.shards_for(n) <= suffix_dedup.SHARD_MOST
 
 
 def test_suffix_order():

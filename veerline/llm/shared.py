@@ -20,7 +20,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The schema is passed to the reader, so that an empty table can be read too."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = spark.read.options(**READ).schema(df.schema).parquet(path)
     back._staged_path = path
     return back
 
@@ -36,20 +36,30 @@ def make_folder(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def bounded_reads(spark: SparkSession) -> None:
-    """Holds Arrow batches to BATCH_ROWS rows, and turns off Parquet's vectored reads where nobody has set them: each of their threads keeps a
-    direct buffer as large as the largest column chunk it has read, outside the heap."""
-    key = "parquet.hadoop.vectored.io.enabled"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "false")
+#: Each thread of Parquet's vectored reads keeps a direct buffer as large as the largest column chunk it has read, outside
+#: the heap, so they are off.
+READ = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches of a session to BATCH_ROWS rows where nobody has set them: Spark has no setting of a plan."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(rows)) > BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    if not spark.conf.isModifiable(rows) or int(spark.conf.get(rows)) != 10_000:
+        return
+    spark.conf.set(rows, str(BATCH_ROWS))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is a small table in fewer files and row groups than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_reads(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    bounded_batches(spark)
+    return spread(spark.read.options(**READ).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def word_count(text):
