@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veerline.llm import minhash, mixing, packing, secrets, toxicity
-from veerline.llm.shared import bounded_reads, staged, table
+from veerline.llm.shared import bounded_batches, staged, table
 from veerline.llm.token_ids import vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that don't score as toxic."""
-    bounded_reads(spark)
+    bounded_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
     return model.scored(rows, ["doc"]).where(F.col("score") < 0.5).select("doc.*")
@@ -27,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, and of rows of equal doc_id; rows without a doc_id stay."""
-    bounded_reads(spark)
+    bounded_batches(spark)
     found = staged(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "dropped")
     n = found.count()
@@ -42,19 +42,19 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without live credentials in their texts."""
-    bounded_reads(spark)
+    bounded_batches(spark)
     return secrets.redacted(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources."""
-    bounded_reads(spark)
+    bounded_batches(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences."""
-    bounded_reads(spark)
+    bounded_batches(spark)
     return packing.pack(packing.pieces(docs, vocabulary()))
 
 
