@@ -787,6 +787,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0 and neighbours.nearest(few.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_cells(spark, monkeypatch, spread):
+    """Many cells and blocks, of vectors that they part and of ones that they don't; RERANK far below the rows."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 150)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "QUERIES", 3)
+    monkeypatch.setattr(neighbours, "FEW", 4)
+    monkeypatch.setattr(neighbours, "RERANK", 20)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(12, 8))
+    x = np.float32(middle[rng.integers(0, 12, 2400)] + spread * rng.normal(size=(2400, 8)))
+    x[:300] = x[0] + np.float32(1e-4) * np.float32(rng.normal(size=(300, 8)))  # one cell larger than a block
+    v = [(i, r.tolist()) for i, r in enumerate(x)]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(v, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    want = brute(v, 100, 10)
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
 def test_quantiser():
     x = neighbours.extended(np.random.default_rng(2).normal(size=(500, 7)))
     q = neighbours.Quantiser(x)
