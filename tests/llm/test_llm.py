@@ -414,26 +414,62 @@ def test_best_fit():
 def test_token_counts(spark, odd, empty):
     enc = token_ids.encoder(token_ids.vocabulary())
     pieces = {enc.token_bytes[a : a + n].tobytes(): k for k, (a, n) in enumerate(zip(enc.token_at, enc.token_len, strict=True))}
-    scores = trie_counts.zipf_scores(len(pieces))
+    longest = max(map(len, pieces))
     import regex
 
-    def tokens(word):
-        best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
+    def tokens(word, scores):
+        """Pieces of the likeliest segmentation, the plain way."""
+        best = [(0.0, 0, None)] + [(-math.inf, 0, None)] * len(word)
         for j in range(1, len(word) + 1):
-            for i in range(j):
-                if (k := pieces.get(word[i:j])) is not None:
-                    best[j] = max(best[j], (best[i][0] + scores[k], best[i][1] - 1))
-        return -best[-1][1]
-
-    got = sorted((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in trie_counts.token_counts(odd.where("n_chars < 2000"), token_ids.vocabulary()).collect())
-    want = []
-    for i, t, _ in odd_rows():
-        if len(t or "") < 2000:
-            ws = regex.findall(token_ids.PATTERN, t or "")
-            want.append((i, len(ws), sum(tokens(w.encode()) for w in ws)))
-    assert got == sorted(want) and trie_counts.token_counts(empty, token_ids.vocabulary()).count() == 0
+            for i in range(max(0, j - longest), j):
+                if (k := pieces.get(word[i:j])) is not None and best[i][0] > -math.inf:
+                    x = best[i][0] + scores[k], best[i][1] - 1
+                    if x > best[j][:2]:
+                        best[j] = (*x, i)
+        out, j = [], len(word)
+        while j:
+            i = best[j][2]
+            out.append(pieces[word[i:j]])
+            j = i
+        return out
+
+    split = [[w.encode() for w in regex.findall(token_ids.PATTERN, t or "")] for _, t, _ in odd_rows()]
+    zipf, n = trie_counts.zipf_scores(len(pieces)), np.ones(len(pieces))
+    for w, k in collections.Counter(w for ws in split for w in ws).items():
+        np.add.at(n, tokens(w, zipf), k)
+    scores = np.log(n / n.sum()).tolist()
+    assert trie_counts.fit_scores(odd, token_ids.vocabulary()) == scores
+    cuts = {w: len(tokens(w, scores)) for ws in split for w in ws}
+    want = sorted((i, len(ws), sum(cuts[w] for w in ws)) for (i, _, _), ws in zip(odd_rows(), split, strict=True))
+    got = sorted((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in trie_counts.token_counts(odd, token_ids.vocabulary()).collect())
+    assert got == want and trie_counts.token_counts(empty, token_ids.vocabulary()).count() == 0
+
+
+def test_prefix_counts():
     shared = trie_counts.PrefixCounts(trie_counts.piece_trie([b"a", b"b", b"ab"], [-1.0, -1.0, -1.5]))
     assert shared.counts([b"ab", b"aba", b"abb", b"c"]) == {b"ab": 1, b"aba": 2, b"abb": 2, b"c": -1} and shared.nodes == 5
+    into = np.zeros(3, int)
+    shared.pieces({b"ab": 5, b"aba": 2, b"c": 9}, [1, 1, 2], into)
+    assert into.tolist() == [2, 0, 7]
+
+
+def test_long_pretokens():
+    """Pre-tokens of megabytes take a few bytes a byte, and still share their first bytes."""
+    import tracemalloc
+
+    rng = random.Random(7)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)).encode()
+    counter = trie_counts.Counter(token_ids.vocabulary())
+    tracemalloc.start()
+    ((_, n),) = counter.of([word.decode()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # cuts of whole pieces after any byte: the long word has no more tokens than its parts
+    halves = [counter.of([part.decode()])[0][1] for part in (word[:150_000], word[150_000:])]
+    assert peak < 40 * len(word) and sum(halves) - 1 <= n <= sum(halves)
+    deep = [b"x" * 2000 + bytes([97 + k]) for k in range(5)]
+    alone = [trie_counts.PrefixCounts(counter.trie.root).counts([w])[w] for w in deep]
+    assert [trie_counts.PrefixCounts(counter.trie.root).counts(deep)[w] for w in deep] == alone
 
 
 # --- near duplicates ---

@@ -1,30 +1,39 @@
 """Token counts under a unigram model, by dynamic programming that shares prefixes in a trie.
 
-The pieces are a public vocabulary's, never trained here; their scores follow Zipf's law of their rank in it. A text
-splits into pre-tokens by the vocabulary's pattern; a pre-token's tokens are its likeliest segmentation into pieces.
+The pieces are a public vocabulary's, never trained here; their probabilities come from the corpus. One round of
+expectation and maximisation over all texts: pre-tokens are counted, each distinct one is cut into its likeliest pieces
+under scores that follow Zipf's law of the rank, and the pieces' counts (plus one) give the scores of the model.
+A text splits into pre-tokens by the vocabulary's pattern; a pre-token's tokens are its likeliest segmentation into pieces.
 Distinct pre-tokens form a trie of bytes. Its nodes are visited depth first, which is the order of the sorted
 pre-tokens, so that the forward score of a prefix (and its number of tokens) is computed once for all that share it;
 what is kept of it is the count at the terminal nodes. A text's count is the sum over its pre-tokens.
 
-Equal scores prefer fewer tokens. Each worker keeps the terminal counts of up to MOST pre-tokens; nothing is shuffled.
+Prefixes are shared up to DEEPEST bytes; beyond that, only the pieces under way are kept, so that a pre-token of many megabytes
+takes four bytes a byte. Equal scores prefer fewer tokens, then longer last pieces. Each worker keeps the terminal counts of
+up to MOST pre-tokens; what is shuffled is a count for each piece.
 
-Defined results: null and empty texts have no tokens; equal rows are counted each on its own; an empty table gives
-an empty table; columns other than doc_id and text aren't read.
+Defined results: null and empty texts have no tokens; a pre-token that the pieces can't make up has as many tokens as bytes; equal
+rows are counted each on its own; an empty table gives an empty table; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import os
+import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
 from .token_ids import PATTERN, encoder, few, vocabulary
 
-#: Terminal counts that a worker keeps.
-MOST = 700_000
+#: Terminal counts that a worker keeps; bytes up to which prefixes are shared.
+MOST, DEEPEST = 700_000, 512
 _END = -1
 
 
@@ -35,14 +44,14 @@ def zipf_scores(n: int) -> list[float]:
 
 
 def piece_trie(pieces: list[bytes], scores: list[float]) -> dict:
-    """Nested dictionaries by byte; under _END the score of a piece that ends there."""
+    """Nested dictionaries by byte; under _END the score and number of a piece that ends there."""
     root: dict = {}
-    for piece, score in zip(pieces, scores, strict=True):
+    for k, (piece, score) in enumerate(zip(pieces, scores, strict=True)):
         node = root
         for b in piece:
             node = node.setdefault(b, {})
-        if piece and score > node.get(_END, -math.inf):
-            node[_END] = score
+        if piece and score > node.get(_END, (-math.inf,))[0]:
+            node[_END] = score, k
     return root
 
 
@@ -52,48 +61,75 @@ class PrefixCounts:
     def __init__(self, root: dict):
         self.root, self.nodes = root, 0
 
-    def counts(self, words: list[bytes]) -> dict[bytes, int]:
-        """Tokens of each of distinct pre-tokens; -1 if the pieces can't make one up."""
-        root, out = self.root, {}
+    def visit(self, words: list[bytes]):
+        """Each of distinct pre-tokens, its number of tokens (-1 if the pieces can't make it up), and the number of the last piece
+        after each of its bytes (good until the next one)."""
+        root = self.root
         # for each depth: forward score, negative tokens, and the pieces under way (node, score and tokens at its start)
-        scores, tokens, ways = [0.0], [0], [[]]
-        last = b""
+        stack = [(0.0, 0, [])]
+        lasts, last = array("i"), b""
         for word in sorted(words):
-            shared = len(os.path.commonprefix((last, word)))
-            del scores[shared + 1 :], tokens[shared + 1 :], ways[shared + 1 :]
-            for b in word[shared:]:
-                way = ways[-1]
-                if scores[-1] > -math.inf:
-                    way = [*way, (root, scores[-1], tokens[-1])]
-                best, fewest, on = -math.inf, 0, []
+            shared = min(len(os.path.commonprefix((last, word))), len(stack) - 1)
+            del stack[shared + 1 :], lasts[shared:]
+            best, fewest, way = stack[-1]
+            for depth in range(shared, len(word)):
+                b = word[depth]
+                if best > -math.inf:
+                    way = [*way, (root, best, fewest)]
+                best, fewest, on, number = -math.inf, 0, [], -1
                 for node, score, n in way:
                     node = node.get(b)
                     if node is not None:
                         on.append((node, score, n))
                         piece = node.get(_END)
-                        if piece is not None and (score + piece, n - 1) > (best, fewest):
-                            best, fewest = score + piece, n - 1
-                scores.append(best)
-                tokens.append(fewest)
-                ways.append(on)
+                        if piece is not None and (score + piece[0], n - 1) > (best, fewest):
+                            best, fewest, number = score + piece[0], n - 1, piece[1]
+                way = on
+                lasts.append(number)
+                if depth < DEEPEST:
+                    stack.append((best, fewest, way))
                 self.nodes += 1
-            out[word] = -tokens[-1] if scores[-1] > -math.inf else -1
+            yield word, -fewest if best > -math.inf else -1, lasts
             last = word
-        return out
+
+    def counts(self, words: list[bytes]) -> dict[bytes, int]:
+        return {word: n for word, n, _ in self.visit(words)}
+
+    def pieces(self, words: dict[bytes, int], lengths: list[int], into: np.ndarray) -> None:
+        """Adds the pieces of pre-tokens, each as often as it occurs."""
+        for word, n, lasts in self.visit(list(words)):
+            at = len(word) if n >= 0 else 0
+            while at:
+                piece = lasts[at - 1]
+                into[piece] += words[word]
+                at -= lengths[piece]
+
+
+def vocabulary_pieces(path: str) -> list[bytes]:
+    enc = encoder(path)
+    return [enc.token_bytes[a : a + n].tobytes() for a, n in zip(enc.token_at, enc.token_len, strict=True)]
+
+
+_workers: dict = {}
 
 
-_counters: dict = {}
+def _worker(kind: str, path: str, scores: list[float] | None):
+    """The worker's counter, made anew for other scores."""
+    name = path, zlib.crc32(np.array(scores or []).tobytes())
+    if _workers.get(kind, (None,))[0] != name:
+        _workers[kind] = name, Counter(path, scores)
+    return _workers[kind][1]
 
 
 class Counter:
-    """The worker's counter of texts."""
+    """Counts texts' tokens, or the pieces of pre-tokens. Scores are Zipf's where none are given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: list[float] | None = None):
         import regex
 
-        enc = encoder(path)
-        pieces = [enc.token_bytes[a : a + n].tobytes() for a, n in zip(enc.token_at, enc.token_len, strict=True)]
-        self.trie = PrefixCounts(piece_trie(pieces, zipf_scores(len(pieces))))
+        pieces = vocabulary_pieces(path)
+        self.lengths = list(map(len, pieces))
+        self.trie = PrefixCounts(piece_trie(pieces, scores or zipf_scores(len(pieces))))
         self.split = regex.compile(PATTERN).findall
         self.memo: dict[str, int] = {}
 
@@ -106,18 +142,44 @@ class Counter:
         for words in split:
             met.update(words)
         new = {w.encode("utf-8", "surrogatepass"): w for w in met.difference(self.memo)}
-        self.memo.update((new[b], n) for b, n in self.trie.counts(list(new)).items())
+        self.memo.update((new[b], n if n >= 0 else len(b)) for b, n in self.trie.counts(list(new)).items())
         get = self.memo.__getitem__
         return [(len(words), sum(map(get, words))) for words in split]
 
 
-def token_counts(docs: DataFrame, vocab: str) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of each row of docs."""
+def fit_scores(docs: DataFrame, vocab: str) -> list[float]:
+    """log probabilities of the pieces, from all texts; a number a piece comes to the driver."""
+
+    def run(batches):
+        counter = _worker("fit", vocab, None)
+        total, met = np.zeros(len(counter.lengths), np.int64), collections.Counter()
+
+        def settle():
+            counter.trie.pieces({w.encode("utf-8", "surrogatepass"): n for w, n in met.items()}, counter.lengths, total)
+            met.clear()
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                met.update(counter.split(text or ""))
+                if len(met) > MOST:
+                    settle()
+        settle()
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place], pa.int64())], ["piece", "n"])
+
+    found = docs.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    n = np.ones(len(vocabulary_pieces(vocab)))
+    for x in found:
+        n[x["piece"]] += x["n"]
+    return np.log(n / n.sum()).tolist()
+
+
+def token_counts(docs: DataFrame, vocab: str, scores: list[float] | None = None) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of each row of docs. Scores are fitted on docs where none are given."""
+    scores = scores or fit_scores(docs, vocab)
 
     def run(batches):
-        if vocab not in _counters:
-            _counters[vocab] = Counter(vocab)
-        counter = _counters[vocab]
+        counter = _worker("count", vocab, scores)
         for batch in batches:
             texts, out = [t or "" for t in batch.column("text").to_pylist()], []
             for part in few(texts):
