@@ -13,9 +13,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veerline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,10 +35,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x[1] != str(path)]
+
+
+def made() -> set[str]:
+    """Paths that are in use."""
+    return {path for _, path in _made}
+
+
+def remove_but(spark: SparkSession, keep: set[str]) -> None:
+    """Removes all paths but those to keep, when nothing reads the others any more."""
+    for path in made() - keep:
+        remove(spark, path)
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         with contextlib.suppress(Exception):  # the engine may be gone
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
