@@ -2,9 +2,12 @@
 
 1. toxicity: documents whose restored text scores as toxic go
 2. near duplicates: one document of each group stays, the one of smallest doc_id (five-word shingles, similarity 0.8)
-3. secrets: live credentials are put out of the texts
+3. secrets: credentials that aren't widely copied are put out of the texts
 4. mixing: documents in the order of the mix, repeated or left out as the sources' targets ask for
 5. packing: pieces of the documents with the sequence and place that each gets
+
+All stages: an empty table gives an empty table; other columns, whatever their names, pass through the first four (but for
+n_chars, which follows the text); texts of any length are worked on whole. Rows of no use to a stage are named below.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veerline.folders import made, remove_but
 from veerline.llm import minhash, mixing, packing, secrets, toxicity
 from veerline.llm.shared import bounded_batches, staged, table
 from veerline.llm.token_ids import vocabulary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that don't score as toxic."""
+    """Rows that don't score as toxic. Null and empty texts score like ones without a known word, and stay; equal texts
+    share a fate, so repeated rows and ties stay or go together; without labels of both kinds all rows stay."""
     bounded_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
@@ -26,7 +31,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, and of rows of equal doc_id; rows without a doc_id stay."""
+    """One row of each group of near duplicates, the one of smallest doc_id, and of rows of equal doc_id, the smallest of
+    all columns; rows without a doc_id stay, and so do null and empty texts of doc_ids of their own."""
     bounded_batches(spark)
     found = staged(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "dropped")
@@ -41,19 +47,22 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without live credentials in their texts."""
+    """All rows; credentials that look live and aren't widely copied are put out of their texts. Null texts stay null, and
+    repeated rows are treated alike; a null source is an owner of its own."""
     bounded_batches(spark)
     return secrets.redacted(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources."""
+    """The mix of the sources: words of a source are taken up to its target. Texts without words (null, empty) aren't
+    taken; a null source is a source of its own; repeated rows are documents of their own."""
     bounded_batches(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences."""
+    """Pieces and their places in sequences. Null and empty texts have one piece of the end id; rows of equal doc_id, as
+    the mix has them, are documents of their own."""
     bounded_batches(spark)
     return packing.pack(packing.pieces(docs, vocabulary()))
 
@@ -72,7 +81,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage wrote on its way, and what it read, is of no more use
+        remove_but(spark, before | {docs._staged_path})
     return STAGES[-1][1](spark, docs, sf_dir)
