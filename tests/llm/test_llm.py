@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veerline import folders
 from veerline.llm import components, minhash, mixing, neighbours, packing, quality, secrets, sstable, suffix_dedup, token_ids, toxicity, trie_counts
 from veerline.llm.hashing import shingles, words
 from veerline.llm.shared import new_folder
@@ -899,6 +900,51 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, seen["packing"].select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int")
+    rows = odd.unionByName(docs(spark, [(None, "no name here", "s1"), (3, None, None)], clash=True))
+    for name, df, known in (("odd", rows, labels), ("none", empty, labels.limit(0))):
+        sf = str(tmp_path / name)
+        df.write.parquet(f"{sf}/documents.parquet")
+        known.write.parquet(f"{sf}/labels.parquet")
+        at = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, at, sf)
+            assert stage == "packing" or out.columns == df.columns and [x.dataType for x in out.schema] == [x.dataType for x in df.schema]
+            out.write.parquet(f"{sf}/{stage}")
+            at = spark.read.schema(out.schema).parquet(f"{sf}/{stage}")
+        assert (at.count() > 0) == (name == "odd")
+    before = folders.made()
+    assert corpus_pipeline.run(spark, str(tmp_path / "odd")).count() > 0
+    # of the stages' tables, only the last one's input and the packing's own are left
+    assert sum("stage-" in p for p in folders.made() - before) == 1 and not any("/secrets-" in p or "/mix-" in p for p in folders.made() - before)
+
+
+@pytest.mark.parametrize(("name", "types"), [
+    ("op1_best_fit_packing", "doc_id bigint piece int start bigint length bigint ids_crc32 bigint sequence_id bigint offset bigint"),
+    ("op2_secret_owners", "doc_id bigint n_assign bigint n_access bigint n_hex bigint base_sha256 string spans string"),
+    ("op3_toxicity", "doc_id bigint held_out boolean score double predicted int"),
+    ("op4_trie_token_counts", "doc_id bigint n_pretokens bigint n_tokens bigint"),
+    ("op5_anisotropic_neighbours", "query_id bigint rank int vec_id bigint score double"),
+    ("op6_quality_cascade", "doc_id bigint n_words bigint word_chars bigint n_symbols bigint n_dup_lines bigint n_repeat_words bigint base_failed boolean kept boolean"),
+    ("op7_suffix_dedup", "doc_id bigint n_bytes bigint n_removed bigint n_spans bigint kept_sha256 string"),
+    ("op8_sorted_shards", "doc_id bigint start bigint n_tokens bigint ids_crc32 bigint"),
+    ("op9_near_duplicates", "doc_id bigint n_shingles bigint component_id bigint kept boolean"),
+    ("op10_mix_sources", "doc_id bigint size bigint source_size bigint target double taken bigint"),
+])
+def test_columns_of_queries(spark, name, types):
+    from veerline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    df = queries.QUERIES[name](spark, sf)
+    want = types.split()
+    assert [x for f in df.schema for x in (f.name, f.dataType.simpleString())][: len(want)] == want
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert df.count() >= n if name == "op1_best_fit_packing" else True if name.startswith("op5") else df.count() == n
+
+
 @pytest.mark.parametrize("name", ["op2_secret_owners", "op6_quality_cascade", "op7_suffix_dedup", "op9_near_duplicates", "op10_mix_sources"])
 def test_oracle(spark, name):
     import duckdb
