@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distributions import EPS, FLOOR, entropy, js_term, kl_term, surprisal
-from .ordinals import running
+from .ordinals import numbered_by_ranges, running
 
 
 #: Highest threshold of a divergence, which is one at most.
@@ -41,8 +41,11 @@ class Cusum:
     floor: float = FLOOR
 
 
-def numbered(records: DataFrame, stream: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """records with event_index, from 0, within each stream."""
+def numbered(records: DataFrame, stream: tuple[str, ...], order: tuple[str, ...], ranges: int | None = None) -> DataFrame:
+    """records with event_index, from 0, within each stream. With ranges, in so many ranges of the order, for streams that are
+    too large for a task."""
+    if ranges is not None:
+        return numbered_by_ranges(records, stream, order, ranges)
     return records.withColumn("event_index", F.row_number().over(Window.partitionBy(*stream).orderBy(*order)).cast("long") - 1)
 
 
@@ -104,11 +107,14 @@ def smoothed(scores: DataFrame, stream: tuple[str, ...], alpha: float = 0.1, blo
     return out.drop("_i", "_block", "_j", "_local", "_carry")
 
 
-def patience(scores: DataFrame, stream: tuple[str, ...], threshold, n: int = 5, score: str = "ema") -> DataFrame:
-    """scores with alarmed: the last n scores all above the threshold."""
-    over = F.coalesce(F.col(score) > (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)), F.lit(False)).cast("int")
-    w = Window.partitionBy(*stream).orderBy("event_index").rowsBetween(-(n - 1), 0)
-    return scores.withColumn("alarmed", (F.sum(over).over(w) == n))
+def patience(scores: DataFrame, stream: tuple[str, ...], threshold, n: int = 5, score: str = "ema", block: int | None = None) -> DataFrame:
+    """scores with alarmed: the last n scores all above the threshold. With block, by the last place that wasn't above it."""
+    over = F.coalesce(F.col(score) > (F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)), F.lit(False))
+    if block is None:
+        w = Window.partitionBy(*stream).orderBy("event_index").rowsBetween(-(n - 1), 0)
+        return scores.withColumn("alarmed", (F.sum(over.cast("int")).over(w) == n))
+    rows = running(scores.withColumn("_under", F.when(~over, -F.col("event_index"))), stream, "_under", "_last", "min", block)
+    return rows.withColumn("alarmed", F.col("event_index") + F.coalesce("_last", F.lit(1)) >= n).drop("_under", "_last")
 
 
 def cusum_scores(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], slack: float = 0.5, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
@@ -126,17 +132,17 @@ def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Div
     return cusum_scores(smoothed(window_scores(events, dist, stream, div.window, on, block), stream, div.alpha, block), dist, stream, cus.slack, on, block)
 
 
-def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = ()) -> DataFrame:
+def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """stream, div_threshold, cusum_threshold: the channels' largest scores times a margin, the first capped."""
-    s = scored(events, dist, stream, Divergence(window=window), on=on)
+    s = scored(events, dist, stream, Divergence(window=window), on=on, block=block)
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
     return s.groupBy(*stream).agg(F.least(top("ema"), F.lit(cap)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
 
 
-def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15, cusum_threshold=8.0, n: int = 5) -> DataFrame:
+def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15, cusum_threshold=8.0, n: int = 5, block: int | None = None) -> DataFrame:
     """stream, channel, event_index, score: the first alarm of each channel. Thresholds: numbers or columns."""
     at = lambda t: F.col(t) if isinstance(t, str) else F.lit(t)
-    s = patience(scores, stream, div_threshold, n)
+    s = patience(scores, stream, div_threshold, n, block=block)
     hits = s.select(*stream, "event_index", F.explode(F.filter(F.array(
         F.struct(F.lit("divergence").alias("channel"), F.col("alarmed").alias("hit"), F.coalesce("ema", F.lit(0.0)).alias("score")),
         F.struct(F.lit("cusum").alias("channel"), (F.col("stat") > at(cusum_threshold)).alias("hit"), F.col("stat").alias("score"))), lambda x: x["hit"])).alias("_h"))
@@ -144,14 +150,14 @@ def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15,
     return first.select(*stream, "channel", F.col("_f.event_index").alias("event_index"), F.col("_f.score").alias("score"))
 
 
-def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = ()) -> DataFrame:
+def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """First alarm of each channel in each stream. Order for reading: event_index, divergence before cusum."""
-    return first_alarms(scored(events, dist, stream, div, cus, on), stream, div.threshold, cus.threshold, div.patience)
+    return first_alarms(scored(events, dist, stream, div, cus, on, block), stream, div.threshold, cus.threshold, div.patience, block)
 
 
-def persistence(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), on: tuple[str, ...] = ()) -> DataFrame:
+def persistence(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """stream, shifted, persistent, first_alarm_index, final_score."""
-    s = patience(smoothed(window_scores(events, dist, stream, div.window, on), stream, div.alpha), stream, div.threshold, div.patience)
+    s = patience(smoothed(window_scores(events, dist, stream, div.window, on, block), stream, div.alpha, block), stream, div.threshold, div.patience, block=block)
     last = s.groupBy(*stream).agg(F.min(F.when(F.col("alarmed"), F.col("event_index"))).alias("first_alarm_index"), F.max_by("ema", "event_index").alias("final_score"))
     shifted = F.col("first_alarm_index").isNotNull()
     return last.select(*stream, shifted.alias("shifted"), (shifted & F.coalesce(F.col("final_score") > div.threshold, F.lit(False))).alias("persistent"), "first_alarm_index", "final_score")

@@ -642,26 +642,6 @@ def split_half_decay(spark, sf):
     return trials.split_half_decay(r, benign, 0.5)
 
 
-@query(None)
-def stream_trials(spark, sf):
-    r, benign, injected = _classes(spark, sf)
-    return trials.stream_trials(r, benign, trials.hashed(injected, TRIALS), 50, 1.2)
-
-
-@query(None)
-def window_sweep(spark, sf):
-    r, benign, injected = _classes(spark, sf)
-    return E.window_sweep(r, benign, trials.hashed(injected, TRIALS), (10, 50), 1.2)
-
-
-@query(None)
-def two_class_rates(spark, sf):
-    r = V.records(spark, sf)
-    labels = r.select("run_id", "goal_id").distinct().select("run_id", (F.col("goal_id") == "g3").alias("bad"))
-    found = E.two_classes(r, labels, TRIALS, 1.05)
-    return found["per_run"].select(F.lit("per run").alias("kind"), "detection", F.col("fpr").alias("false")).unionByName(found["stream"].select(F.concat(F.lit("stream "), F.col("channel")).alias("kind"), "detection", F.col("false_alarm").alias("false")))
-
-
 @query(None)
 def timeline_null(spark, sf):
     return E.timeline_null(V.records(spark, sf).withColumn("model_version", F.lit("v")), TRIALS, 5, 2.0, 12)
@@ -672,11 +652,6 @@ def timeline_versions(spark, sf):
     return E.timeline_versions(V.records(spark, sf), 3, 2.0, 12, 6)
 
 
-@query(None)
-def fingerprints(spark, sf):
-    return E.fingerprints(V.records(spark, sf), 10)["divergence"]
-
-
 @query(None)
 def command_tokens(spark, sf):
     c = V.content(spark, sf)
@@ -693,3 +668,7 @@ def synthetic_validation(spark, sf):
 def global_version_segments(spark, sf):
     s = D.segments(V.records(spark, sf).drop("step_index"), ORDER, stream=())
     return s.groupBy("segment", "model_version").agg(F.count(F.lit(1)).alias("n"), F.min("event_index").alias("start"))
+
+
+# the rest, by subject: they register themselves
+from . import trial_queries  # noqa: E402, F401

@@ -11,6 +11,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..operators import channels as C
 from ..operators import distributions as S
 
@@ -62,43 +63,46 @@ def _stream(runs: DataFrame, records: DataFrame, by: tuple[str, ...]) -> DataFra
     return C.numbered(joined.select(*by, "run_id", "pos", "step_index", "tool"), by, ("pos", "run_id", "step_index"))
 
 
-def stream_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, window: int = 50, margin: float = 2.0, keys: tuple[str, ...] = (), div: C.Divergence = C.Divergence()) -> DataFrame:
+def stream_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, window: int = 50, margin: float = 2.0, keys: tuple[str, ...] = (), div: C.Divergence = C.Divergence(), block: int | None = None) -> DataFrame:
     """keys, trial, channel, false_alarm, first_alarm (of the stream of calibration and attack, from the attack's start;
-    negative in the calibration part), detected, delay, detected_after_onset, horizon.
+    negative in the calibration part), detected, delay, detected_after_onset, horizon, div_threshold.
 
     benign and injected: keys, trial, run_id, pos. Half of the benign runs give the baseline, a quarter the thresholds,
     a quarter the null stream; the attack stream is as long as the null stream at most. detected looks at a channel's
     first alarm only: one in the calibration part masks later ones. detected_after_onset doesn't have that blind spot.
+    block: events of a stream that one task takes, for trials that are too large for one.
     Trials whose calibration or null stream can't fill a window are left out."""
     by = (*keys, "trial")
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     part = F.when(F.col("pos") < F.floor(n / 2), 0).when(F.col("pos") < F.floor(3 * n / 4), 1).otherwise(2)
-    split = benign.withColumn("part", part)
+    split = written(benign.withColumn("part", part), "trials")
     side = lambda k: _stream(split.where(F.col("part") == k).drop("part"), records, by)
     admission, calibration, null = side(0), side(1), side(2)
     length = lambda s, name: s.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     sizes = length(calibration, "onset").join(length(null, "horizon"), list(by)).where((F.col("onset") > window) & (F.col("horizon") > window))
-    dist = S.tool_distribution(admission, by)
+    sizes = written(sizes, "trial-sizes")
+    dist = written(S.tool_distribution(admission, by), "trial-tools")
     attack = _stream(injected, records, by).join(sizes, list(by)).where(F.col("event_index") < F.col("horizon")).withColumn("event_index", F.col("event_index") + F.col("onset"))
     part = lambda s, kind: s.select(*by, F.lit(kind).alias("kind"), "event_index", "tool", "onset", "horizon")
     sized = lambda s: s.join(sizes, list(by))
     # the attack stream starts with the calibration, whose scores give the thresholds
-    kinds = part(sized(null), "null").unionByName(part(sized(calibration), "attack")).unionByName(part(attack, "attack"))
+    kinds = written(part(sized(null), "null").unionByName(part(sized(calibration), "attack")).unionByName(part(attack, "attack")), "trial-streams")
     streams = (*by, "kind")
-    scores = C.scored(kinds, dist, streams, C.Divergence(window, div.alpha, div.threshold, div.patience), on=by)
+    scores = C.scored(kinds, dist, streams, C.Divergence(window, div.alpha, div.threshold, div.patience), on=by, block=block)
+    scores = written(scores.select(*streams, "event_index", "onset", "ema", "stat"), "trial-scores")
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
     limits = scores.where((F.col("kind") == "attack") & (F.col("event_index") < F.col("onset"))).groupBy(*by).agg(F.least(top("ema"), F.lit(C.CAP)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
-    hits = C.patience(scores.join(limits, list(by)), streams, "div_threshold", div.patience)
+    hits = C.patience(scores.join(limits, list(by)), streams, "div_threshold", div.patience, block=block)
     hits = hits.select(*streams, "event_index", "onset", F.explode(F.filter(F.array(
         F.when(F.col("alarmed"), F.lit("divergence")), F.when(F.col("stat") > F.col("cusum_threshold"), F.lit("cusum"))), lambda x: x.isNotNull())).alias("channel"))
     bad = F.col("kind") == "attack"
     found = hits.groupBy(*by, "channel").agg(
         F.max((~bad).cast("int")).alias("_null"), F.min(F.when(bad, F.col("event_index") - F.col("onset"))).alias("_first"), F.max((bad & (F.col("event_index") >= F.col("onset"))).cast("int")).alias("_after"))
-    cells = sizes.withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
+    cells = sizes.join(limits.drop("cusum_threshold"), list(by)).withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
     at = F.col("_first")
     return cells.join(found, [*by, "channel"], "left").select(
         *by, "channel", F.coalesce(F.col("_null") == 1, F.lit(False)).alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
-        F.when(at >= 0, at).alias("delay"), F.coalesce(F.col("_after") == 1, F.lit(False)).alias("detected_after_onset"), "horizon")
+        F.when(at >= 0, at).alias("delay"), F.coalesce(F.col("_after") == 1, F.lit(False)).alias("detected_after_onset"), "horizon", "div_threshold")
 
 
 def per_run_rates(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -106,9 +110,10 @@ def per_run_rates(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def stream_rates(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, channel, cells, detection, false_alarm, median_delay (truncated)."""
+    """keys, channel, cells, detection, false_alarm, median_delay (truncated), div_threshold_median, n_capped (thresholds at the cap)."""
     return cells.groupBy(*keys, "channel").agg(
-        F.count(F.lit(1)).alias("cells"), F.avg(F.col("detected").cast("double")).alias("detection"), F.avg(F.col("false_alarm").cast("double")).alias("false_alarm"), F.floor(F.median("delay")).alias("median_delay"))
+        F.count(F.lit(1)).alias("cells"), F.avg(F.col("detected").cast("double")).alias("detection"), F.avg(F.col("false_alarm").cast("double")).alias("false_alarm"), F.floor(F.median("delay")).alias("median_delay"),
+        F.median("div_threshold").alias("div_threshold_median"), F.sum((F.col("div_threshold") >= C.CAP).cast("long")).alias("n_capped"))
 
 
 def split_half_decay(records: DataFrame, order: DataFrame, z: float = 3.0, min_calls: int = 30) -> DataFrame:
