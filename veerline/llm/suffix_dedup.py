@@ -384,11 +384,19 @@ def _step4(key, t):
     np.minimum.at(low, of, docs)
     answers = [[] for _ in range(4)]
     groups = np.append(_starts(anchor[one]), len(one))
-    strings = np.concatenate([[0], np.cumsum(n[one])])
+    # the strings of an anchor with one distinct context differ in their distance to it: there is nothing to sort
+    alone = groups[:-1][np.diff(groups) == 1]
+    answers[0].append(alone)
+    answers[1].append(np.zeros(len(alone), np.int64))
+    answers[2].append(n[one[alone]] - 1)
+    answers[3].append(low[alone])
+    rest = np.setdiff1d(np.arange(len(one)), alone, assume_unique=True)
+    groups = np.append(_starts(anchor[one[rest]]), len(rest))
+    strings = np.concatenate([[0], np.cumsum(n[one[rest]])])
     i = 0
     while i < len(groups) - 1:
         j = max(i + 1, int(np.searchsorted(strings[groups], strings[groups[i]] + SORT_AT_ONCE, side="right")) - 1)
-        part = np.arange(groups[i], groups[j])
+        part = rest[groups[i] : groups[j]]
         i = j
         c = one[part]
         which = np.repeat(np.arange(len(part)), n[c])
@@ -413,6 +421,8 @@ def _step4(key, t):
         answers[3].append(back[runs])
     rep, first, last, least = (np.concatenate(a) for a in answers)
     # each entry takes the runs of the one that stood for its context
+    by = np.argsort(rep, kind="stable")
+    rep, first, last, least = rep[by], first[by], last[by], least[by]
     count = np.bincount(rep, minlength=len(one))
     upto = np.cumsum(count) - count
     entry = np.repeat(np.arange(len(of)), count[of])
