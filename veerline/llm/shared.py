@@ -44,9 +44,16 @@ READ = {"parquet.hadoop.vectored.io.enabled": "false"}
 def bounded_batches(spark: SparkSession) -> None:
     """Holds the Arrow batches of a session to BATCH_ROWS rows where nobody has set them: Spark has no setting of a plan."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark.conf.isModifiable(rows) or int(spark.conf.get(rows)) != 10_000:
-        return
-    spark.conf.set(rows, str(BATCH_ROWS))
+    if int(spark.conf.get(rows)) == 10_000:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
+def bounded_reads(spark: SparkSession) -> None:
+    """For tables that a caller has opened: READ for the whole session, where nobody has set it, as they take no options any more."""
+    bounded_batches(spark)
+    for key, value in READ.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def spread(df: DataFrame) -> DataFrame:

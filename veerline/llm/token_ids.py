@@ -23,7 +23,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pre-tokens after which the memo starts anew: about 150 bytes each.
 MOST = 700_000
 #: Characters that are held as arrays at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 _FAR = 0x250
 _LETTER, _NUMBER, _SPACE, _BLANK, _OTHER, _LEAVE = range(6)
 _encoders: dict[str, Encoder] = {}

@@ -222,11 +222,11 @@ class Restorer:
         return found
 
 
-def _word_counts(model: bytes):
-    """Rows of (word, part, toxic, clean): the labelled texts of a part that hold each word."""
+def _word_counts(model):
+    """model: broadcast. Rows of (word, part, toxic, clean): the labelled texts of a part that hold each word."""
 
     def run(batches):
-        restorer, counts = Restorer(model), {}
+        restorer, counts = Restorer(model.value), {}
         for batch in batches:
             for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
                 for w in {w for words in restorer.of(restorer.tokens(text or "")) for w in words}:
@@ -244,13 +244,13 @@ def _features(found: list[float]) -> tuple[float, float]:
     return top, math.log1p(max(0.0, math.fsum(found) - top))
 
 
-def _measure(model: bytes, odds: dict[str, tuple[float, ...]], keep: list[str], curve: list[float] | None):
-    """The columns keep with the features of each text, or with its score if there is a curve.
+def _measure(model, odds: dict[str, tuple[float, ...]], keep: list[str], curve: list[float] | None):
+    """The columns keep with the features of each text, or with its score if there is a curve. model: broadcast.
 
     odds: of each word, without each part, then with all; a column part says which counts."""
 
     def run(batches):
-        restorer = Restorer(model, lambda words: tuple((w, odds[w]) for w in words if w in odds))
+        restorer = Restorer(model.value, lambda words: tuple((w, odds[w]) for w in words if w in odds))
         for batch in batches:
             x = np.zeros((batch.num_rows, 2))
             parts = batch.column("part").to_pylist() if curve is None else [PARTS] * batch.num_rows
@@ -282,9 +282,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 class Model:
-    """A fitted scorer."""
+    """A fitted scorer; its costs of characters are broadcast."""
 
-    def __init__(self, characters: bytes, odds: dict[str, tuple[float, ...]], curve: list[float] | None):
+    def __init__(self, characters, odds: dict[str, tuple[float, ...]], curve: list[float] | None):
         self.characters, self.odds, self.curve = characters, odds, curve
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -301,7 +301,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
-    characters = character_model(docs)
+    # SYMBOLS ** ORDER bytes, whatever the corpus; each worker holds them once
+    characters = docs.sparkSession.sparkContext.broadcast(character_model(docs))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary"))
