@@ -186,7 +186,7 @@ def visibility(spark, sf):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN split_part(o_orderpriority, ' ', 1) ELSE o_orderstatus END AS tool, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS DOUBLE) AS submitted,
-CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 // 3600 * 3600 AS DOUBLE) AS at, '[' || o_orderkey || ', {"a": 1}]' AS clean FROM orders""")
+CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 // 3600 * 3600 AS DOUBLE) AS at, '[' || o_orderkey || ', {"a": 1 } ]' AS clean FROM orders""")
 def call_projections(spark, sf):
     o = V.table(spark, sf, "orders")
     day = lambda f: F.date_format("o_orderdate", f)
