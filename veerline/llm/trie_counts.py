@@ -10,7 +10,8 @@ what is kept of it is the count at the terminal nodes. A text's count is the sum
 
 Prefixes are shared up to DEEPEST bytes; beyond that, only the pieces under way are kept, so that a pre-token of many megabytes
 takes four bytes a byte. Equal scores prefer fewer tokens, then longer last pieces. Each worker keeps the terminal counts of
-up to MOST pre-tokens; what is shuffled is a count for each piece.
+up to MOST pre-tokens; what is
+shuffled is each task's distinct pre-tokens, with their counts, and a count for each piece.
 
 Defined results: null and empty texts have no tokens; a pre-token that the pieces can't make up has as many tokens as bytes; equal
 rows are counted each on its own; an empty table gives an empty table; columns other than doc_id and text aren't read.
@@ -150,24 +151,41 @@ class Counter:
 def fit_scores(docs: DataFrame, vocab: str) -> list[float]:
     """log probabilities of the pieces, from all texts; a number a piece comes to the driver."""
 
+    def distinct(batches):
+        """Pre-tokens of a task and how often they occur."""
+        split, met = _worker("fit", vocab, None).split, collections.Counter()
+
+        def found():
+            rows = pa.RecordBatch.from_arrays([pa.array(met.keys(), pa.string()), pa.array(met.values(), pa.int64())], ["word", "n"])
+            met.clear()
+            return rows
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                met.update(split(text or ""))
+                if len(met) > MOST:
+                    yield found()
+        yield found()
+
     def run(batches):
         counter = _worker("fit", vocab, None)
-        total, met = np.zeros(len(counter.lengths), np.int64), collections.Counter()
+        total, met = np.zeros(len(counter.lengths), np.int64), {}
 
         def settle():
-            counter.trie.pieces({w.encode("utf-8", "surrogatepass"): n for w, n in met.items()}, counter.lengths, total)
+            counter.trie.pieces(met, counter.lengths, total)
             met.clear()
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                met.update(counter.split(text or ""))
-                if len(met) > MOST:
-                    settle()
+            met.update(zip((w.encode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()), batch.column("n").to_pylist(), strict=True))
+            if len(met) > MOST:
+                settle()
         settle()
         place = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place], pa.int64())], ["piece", "n"])
 
-    found = docs.select("text").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    # each distinct pre-token of the corpus is cut once
+    words = docs.select("text").mapInArrow(distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = words.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     n = np.ones(len(vocabulary_pieces(vocab)))
     for x in found:
         n[x["piece"]] += x["n"]
