@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import SALTS, components
 from .hashing import BASE, mix, shingles, words
-from .shared import drop_staged, staged, table
+from .shared import drop_staged, kept, staged, table
 from .token_ids import few
 
 #: Words a shingle and similarity in percent, of near-duplicate stages and of the query.
@@ -97,6 +97,7 @@ def _sketches(n_words: int, percent: int):
     n, rows = bands(percent)
 
     def run(batches):
+        kept("near_duplicates")
         for batch in batches:
             texts, out = [t or "" for t in batch.column("text").to_pylist()], ([], [], [], [])
             for part in few(texts):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ WORD = f"[^{SPACE}]+"
 BATCH_ROWS = 1000
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What a Python worker keeps from one task to the next for tasks of a kind. What was kept for others goes back to the
+    system, so that a worker which serves several stages holds the memos of one of them."""
+    others = [k for k in _kept if k != kind]
+    for other in others:
+        del _kept[other]
+    if others:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+    return _kept.setdefault(kind, {})
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: short lineage that survives lost executors.
 

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 
 from .hashing import mix, prefixes, substrings
+from .shared import kept
 
 #: The split pattern of the public byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,7 +27,6 @@ MOST = 700_000
 AT_ONCE = 500_000
 _FAR = 0x250
 _LETTER, _NUMBER, _SPACE, _BLANK, _OTHER, _LEAVE = range(6)
-_encoders: dict[str, Encoder] = {}
 
 
 def _classes() -> np.ndarray:
@@ -177,9 +177,10 @@ def encoder(path: str) -> Encoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import kept, table
 
 TRAIN_ROWS, FOLDS = 20_000, 5
 #: Parts of the labelled rows for the curve.
@@ -47,6 +47,8 @@ LEAST_ROWS, LEAST_ODDS, ERRORS = 3, 1.0, 2.0
 MOST_TOKENS = 200_000
 #: Symbols of the character model: 0 a word border, 1 to 26 letters, 27 any other letter; characters in a row; costs a nat.
 SYMBOLS, ORDER, STEPS = 28, 5, 12
+#: Runs of symbols that are counted at once, at most one text's more.
+CODES_AT_ONCE = 2_000_000
 _CONTEXTS = SYMBOLS ** (ORDER - 1)
 #: What a character of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -91,7 +93,17 @@ def symbols(text: str) -> np.ndarray:
 
 def count_batches(batches):
     """Counts of ORDER symbols in a row over texts: rows of (place, n)."""
-    total = np.zeros(SYMBOLS**ORDER, np.int32)
+    kept("toxicity")
+    place, n, codes, size = np.zeros(0, np.int32), np.zeros(0, np.int64), [], 0
+
+    def added():
+        """place and n with the codes met since."""
+        more, m = np.unique(np.concatenate(codes), return_counts=True)
+        every, at = np.unique(np.concatenate([place, more]), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, at, np.concatenate([n, m]))
+        return every, total, [], 0
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
@@ -100,9 +112,13 @@ def count_batches(batches):
                 for k in range(1, ORDER):
                     code *= SYMBOLS
                     code += s[k : len(s) - ORDER + 1 + k]
-                np.add.at(total, code, 1)
-    place = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place], pa.int64())], ["place", "n"])
+                codes.append(code)
+                size += len(code)
+                if size > CODES_AT_ONCE:
+                    place, n, codes, size = added()
+    if codes:
+        place, n, codes, size = added()
+    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(n, pa.int64())], ["place", "n"])
 
 
 def costs(place: np.ndarray, n: np.ndarray) -> bytes:
@@ -226,6 +242,7 @@ def _word_counts(model):
     """model: broadcast. Rows of (word, part, toxic, clean): the labelled texts of a part that hold each word."""
 
     def run(batches):
+        kept("toxicity")
         restorer, counts = Restorer(model.value), {}
         for batch in batches:
             for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
@@ -250,6 +267,7 @@ def _measure(model, odds: dict[str, tuple[float, ...]], keep: list[str], curve:
     odds: of each word, without each part, then with all; a column part says which counts."""
 
     def run(batches):
+        kept("toxicity")
         restorer = Restorer(model.value, lambda words: tuple((w, odds[w]) for w in words if w in odds))
         for batch in batches:
             x = np.zeros((batch.num_rows, 2))
@@ -258,11 +276,11 @@ def _measure(model, odds: dict[str, tuple[float, ...]], keep: list[str], curve:
                 hits = {w: o[part] for found in restorer.of(restorer.tokens(text)) for w, o in found} if text else {}
                 if hits:
                     x[i] = _features(list(hits.values()))
-            kept = [batch.column(c) for c in keep]
+            same = [batch.column(c) for c in keep]
             if curve is None:
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(x[:, 0]), pa.array(x[:, 1])], [*keep, "x0", "x1"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x[:, 0]), pa.array(x[:, 1])], [*keep, "x0", "x1"])
             else:
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-(curve[0] + x @ np.array(curve[1:])))))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(1 / (1 + np.exp(-(curve[0] + x @ np.array(curve[1:])))))], [*keep, "score"])
 
     return run
 

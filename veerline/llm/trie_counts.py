@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import kept, table
 from .token_ids import PATTERN, encoder, few, vocabulary
 
 #: Terminal counts that a worker keeps; bytes up to which prefixes are shared.
@@ -111,15 +111,13 @@ def vocabulary_pieces(path: str) -> list[bytes]:
     return [enc.token_bytes[a : a + n].tobytes() for a, n in zip(enc.token_at, enc.token_len, strict=True)]
 
 
-_workers: dict = {}
-
-
 def _worker(kind: str, path: str, scores: list[float] | None):
     """The worker's counter, made anew for other scores."""
     name = path, zlib.crc32(np.array(scores or []).tobytes())
-    if _workers.get(kind, (None,))[0] != name:
-        _workers[kind] = name, Counter(path, scores)
-    return _workers[kind][1]
+    workers = kept("tokens")
+    if workers.get(kind, (None,))[0] != name:
+        workers[kind] = name, Counter(path, scores)
+    return workers[kind][1]
 
 
 class Counter:
