@@ -12,7 +12,7 @@
    lets pass, or that share a shingle beyond the pivot's set. Shingles that more than RARE members of the pivot
    have beyond its set are left out of a, which only loosens the bound, and needn't be paired. With what is allowed to
    a member, g(x) = allowed * n(x) - a(x), the bound says that the intervals r(x) +- g(x) overlap: a join of intervals,
-   cut into strips of r and dealt over BLOCKS tasks a strip. The rule is exact: no pair of a bucket is lost, and no
+   cut into strips of r; strips with many members are dealt over up to BLOCKS tasks. The rule is exact: no pair of a bucket is lost, and no
    bucket's pairs are listed.
 4. Candidates are dropped if their sizes or signatures rule the similarity out; the rest is confirmed on the full
    sets. Components by large-star and small-star.
@@ -51,8 +51,8 @@ SIGMAS = 5
 RARE = 16
 #: A document with more than this part of all pairs is joined apart: there are 1 / HOT_SHARE at most on a side.
 HOT_SHARE = 0.001
-#: Tasks over which the members of a pivot are dealt when they meet each other.
-BLOCKS = 16
+#: Tasks over which the members of a strip are dealt when they meet each other, at most; members for each of them.
+BLOCKS, STRIP_ROWS = 16, 500
 #: Identifiers (of 8 bytes each) that are broadcast to pick texts; more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -211,8 +211,12 @@ def _left_over(compared: DataFrame, root: DataFrame, percent: int) -> DataFrame:
     low, high = F.col("r") - F.col("g"), F.col("r") + F.col("g")
     # where g is negative, an interval is turned round, and overlaps what holds it whole
     cut = sized.withColumn("strip", F.explode(F.sequence(strip(F.least(low, high)), strip(F.greatest(low, high)))))
-    left = cut.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(BLOCKS)))
-    right = cut.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    # a strip with one member has no pair; only one with many is dealt over several tasks
+    many = cut.groupBy("p", "strip").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("k") / STRIP_ROWS)).cast("long").alias("blocks")
+    cut = staged(_salted(cut, many.select("p", "strip", blocks), ["p", "strip"], "x"), "strips")
+    left = cut.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    right = cut.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     bound = F.expr("abs(l.r - r.r) <= l.g + r.g")
     meet = left.alias("l").hint("merge").join(right.alias("r"), ["p", "strip", "block"]).where(F.expr("l.x < r.x AND l.comp != r.comp") & bound)
     by_bound = meet.select(F.col("l.x").alias("u"), F.col("r.x").alias("v"))
