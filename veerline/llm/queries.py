@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbours, packing, quality, secrets, sstable, suffix_dedup, toxicity, trie_counts
+from . import minhash, mixing, neighbours, packing, quality, resampling, secrets, sstable, suffix_dedup, toxicity, trie_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sorted_shards": sstable.op8_sorted_shards,
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 ORACLE = {
     "op2_secret_owners": secrets.SQL,
@@ -22,4 +23,5 @@ ORACLE = {
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_near_duplicates": minhash.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_importance_resampling": resampling.SQL,
 }
