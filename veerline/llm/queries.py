@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbours, packing, quality, resampling, secrets, sstable, suffix_dedup, toxicity, trie_counts
+from . import minhash, mixing, neighbours, packing, prefix_trie, quality, resampling, secrets, sstable, suffix_dedup, toxicity, trie_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_duplicates": minhash.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_conversation_trie": prefix_trie.op12_conversation_trie,
 }
 ORACLE = {
     "op2_secret_owners": secrets.SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op9_near_duplicates": minhash.SQL,
     "op10_mix_sources": mixing.SQL,
     "op11_importance_resampling": resampling.SQL,
+    "op12_conversation_trie": prefix_trie.SQL,
 }
