@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, neighbours, packing, prefix_trie, quality, resampling, secrets, sstable, suffix_dedup, toxicity, trie_counts
+from . import chat, minhash, mixing, neighbours, packing, prefix_trie, quality, resampling, secrets, sstable, suffix_dedup, toxicity, trie_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_conversation_trie": prefix_trie.op12_conversation_trie,
+    "op13_chat_formatting": chat.op13_chat_formatting,
 }
 ORACLE = {
     "op2_secret_owners": secrets.SQL,
@@ -26,4 +27,5 @@ ORACLE = {
     "op10_mix_sources": mixing.SQL,
     "op11_importance_resampling": resampling.SQL,
     "op12_conversation_trie": prefix_trie.SQL,
+    "op13_chat_formatting": chat.SQL,
 }
