@@ -35,7 +35,10 @@ FAMILY, HEADS = 5, 9
 #: Turns of a path that are summed at once, and ids of a piece of text.
 BLOCK, PIECE = 4096, 1000
 _LANES, _LOW = range(4), (1 << 32) - 1
-_ROOT = F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"))
+
+
+def root_key():
+    return F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"))
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def nodes_of(convs: DataFrame, rows: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).alias("n_convs")
     found = rows.groupBy("node").agg(F.min("parent").alias("parent"), F.min("conv_id").alias("conv_id"), F.min("d").alias("depth"), F.min("size").alias("size"), n)
     root = convs.agg(F.min("conv_id").alias("conv_id"), n).where("n_convs > 0").select(
-        _ROOT.alias("node"), F.lit(None).cast(found.schema["parent"].dataType).alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("size"), "n_convs")
+        root_key().alias("node"), F.lit(None).cast(found.schema["parent"].dataType).alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("size"), "n_convs")
     found = staged(found.unionByName(root), "trie-nodes")
     most = F.max(F.struct("n_convs", -F.col("conv_id"), F.col("node").alias("heavy")))
     below = staged(found.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"), most.alias("most")).select(F.col("parent").alias("node"), "n_children", "most.heavy"), "trie-children")
@@ -122,7 +125,7 @@ def paths_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     marks = staged(leaves.join(marks, "conv_id", "left").withColumn("top", F.coalesce("top", zero)).withColumn("level", F.coalesce("level", zero)), "trie-path-tops")
     spread = marks.withColumn("_b", F.explode(F.sequence(block_of(F.col("top")), block_of(F.col("end")))))
     within = own.select("conv_id", "d", "node", block_of(F.col("d"))).join(spread, ["conv_id", "_b"]).where("d >= top").drop("_b", "d")
-    first = marks.where("level = 0").withColumn("node", _ROOT)
+    first = marks.where("level = 0").withColumn("node", root_key())
     both = within.unionByName(first.select(within.columns)).withColumnRenamed("conv_id", "path")
     return nodes.join(both, "node")
 
@@ -185,7 +188,7 @@ def trie(conversations: DataFrame, family: int = FAMILY, heads: int = HEADS) ->
     nodes = staged(nodes_of(convs, rows), "trie-nodes")
     sums = subtree_sums(paths_of(rows, nodes))
     sums = looked_up(sums, "parent", "node", nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id")), "trie-sums")
-    ends = rows.groupBy("conv_id").agg(F.max(F.struct("d", "node")).alias("last")).select("last.node", "conv_id").unionByName(convs.where("depth = 0").select(_ROOT.alias("node"), "conv_id"))
+    ends = rows.groupBy("conv_id").agg(F.max(F.struct("d", "node")).alias("last")).select("last.node", "conv_id").unionByName(convs.where("depth = 0").select(root_key().alias("node"), "conv_id"))
     out = sums.join(digests(ends), "node", "left").withColumn("ends_sha256", F.coalesce("sha", F.lit(hashlib.sha256(b"").hexdigest())))
     return out.select("node", "parent", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
