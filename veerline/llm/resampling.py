@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import numbered_by_ranges
-from .shared import READ, drop_staged, new_folder, staged, table
+from .shared import drop_staged, staged, table
 from .token_ids import few
 
 BUCKETS, LONGEST_RUN, SEED = 10_000, 3, 42
@@ -170,12 +170,17 @@ _BLOCK = "doc_ids array<long>, n_words array<long>, pointers binary, steps binar
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32 as four planes of bytes: higher bytes are nearly all zero, and compress to nothing."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers below 2 ** 32 as four planes of bytes, by zstd: higher bytes are nearly all zero, and compress to nothing."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def block_of(at: np.ndarray, found: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -209,12 +214,8 @@ def matrix(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST_RUN)
                 yield pa.RecordBatch.from_pylist([{"doc_ids": ids, "n_words": n.tolist(), **row}], pa.schema(
                     [("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("pointers", pa.binary()), ("steps", pa.binary()), ("counts", pa.binary())]))
 
-    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "matrix")
     blocks = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
-    blocks.write.option("compression", "zstd").parquet(path)
-    back = spark.read.options(**READ).schema(_BLOCK).parquet(path)
-    back._staged_path = path
-    return back
+    return staged(blocks, "matrix")
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> list[int]:
