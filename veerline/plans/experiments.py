@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import canonical as K
 from ..functions import patterns as P
 from ..functions import text as T
@@ -13,6 +14,7 @@ from ..operators import channels as C
 from ..operators import detectors as D
 from ..operators import distributions as S
 from ..operators import runs as R
+from ..operators import selection as Q
 from ..operators import timelines as L
 from ..sources import generator as G
 from . import trials as X
@@ -137,12 +139,9 @@ def token_records(records: DataFrame, content: DataFrame, others: tuple[str, ...
 
 
 def window_sweep(records: DataFrame, benign: DataFrame, injected: DataFrame, windows: tuple[int, ...] = (50, 200, 800, 3200), margin: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Stream trials for several windows: window and the columns of stream_rates."""
-    out = None
-    for w in windows:
-        part = X.stream_rates(X.stream_trials(records, benign, injected, w, margin, keys), keys).withColumn("window", F.lit(w))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Stream trials for several windows, in one pass over the streams: window and the columns of stream_rates."""
+    cells = X.swept_trials(records, benign, injected, windows, margin, keys)
+    return X.stream_rates(cells, (*keys, "window"))
 
 
 # --- submissions: stability, and drift between versions of a family ---
@@ -200,8 +199,7 @@ def span_content(records: DataFrame, content: DataFrame, labels: DataFrame) -> d
     categories = here.where(~T.is_dev("run_id")).groupBy(T.norm_category("category").alias("category")).agg(F.count(F.lit(1)).alias("n"), count("own"), count("near"), count("covered"))
     prompts = rows.where("kind = 'LLM' AND tokens_prompt > 0").join(notes.select("run_id", "span_id").distinct().withColumn("hit", F.lit(True)), ["run_id", "span_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     by_tokens = R.error_density(prompts, T.token_bin("tokens_prompt"), "hit", 1).withColumn("label", T.token_bin_label("bin"))
-    tokens = F.array_sort(F.collect_list("tokens_prompt"))
-    upper = prompts.groupBy(T.step_bin("step_index").alias("bin")).agg(F.get(tokens, F.floor(F.count(F.lit(1)) / 2).cast("int")).alias("median_tokens"))
+    upper = Q.picked(prompts.withColumn("bin", T.step_bin("step_index")), ("bin",), "tokens_prompt", {"median_tokens": Q.UPPER}).drop("n")
     by_step = R.error_density(prompts, T.step_bin("step_index"), "hit", 20).join(upper, "bin")
     return {"coverage": coverage, "categories": categories, "by_tokens": by_tokens, "by_step": by_step}
 
@@ -266,8 +264,10 @@ def visibility(records: DataFrame, labels: DataFrame) -> DataFrame:
     g = g.withColumn("visible", F.coalesce(F.col("k") > 0, F.lit(False))).withColumn("valid", F.coalesce((F.col("step") >= 0) & (F.col("step") < F.col("n")), F.lit(False)))
     third = F.least(F.lit(2), F.floor(F.col("step") / F.col("n") * 3))
     n = lambda c: F.sum(c.cast("long"))
-    return g.agg(F.count(F.lit(1)).alias("n_runs"), n(F.col("visible")).alias("agent_visible"), n(F.col("valid")).alias("step_valid"), n(F.col("visible") & F.col("valid")).alias("both"),
-                 F.array(*(n(F.coalesce(F.col("valid") & (third == k), F.lit(False))) for k in range(3))).alias("thirds"), F.median(F.when(F.col("visible"), F.col("k") / F.col("n"))).alias("median_share"))
+    counts = g.agg(F.count(F.lit(1)).alias("n_runs"), n(F.col("visible")).alias("agent_visible"), n(F.col("valid")).alias("step_valid"), n(F.col("visible") & F.col("valid")).alias("both"),
+                   F.array(*(n(F.coalesce(F.col("valid") & (third == k), F.lit(False))) for k in range(3))).alias("thirds"))
+    share = Q.medians(g.where("visible").withColumn("share", F.col("k") / F.col("n")), (), "share", "median_share").drop("n")
+    return counts.join(F.broadcast(share), F.lit(True), "left")  # one row each
 
 
 def blame(content: DataFrame, labels: DataFrame) -> DataFrame:
@@ -365,9 +365,10 @@ def timeline_versions(records: DataFrame, window: int = 50, margin: float = 2.0,
 def fingerprints(records: DataFrame, size: int = 400, order: tuple[str, ...] = ("session", "step_index")) -> dict[str, DataFrame]:
     """within and between users: n, median, quartiles; aging: by block, n and medians."""
     s = L.sessions(records).select("agent_id", "run_id", "session")
-    blocked = L.fixed_blocks(records.join(s, ["agent_id", "run_id"]), order, size)
-    pairs = L.block_pairs(blocked)
+    blocked = written(L.fixed_blocks(records.join(s, ["agent_id", "run_id"]), order, size).select("agent_id", "block", "n_blocks", "in_last", "tool", "ts"), "blocks")
+    pairs = written(L.block_pairs(blocked), "block-pairs")
     within = L.quartiles(pairs.where("kind IN ('adjacent', 'lagged')"), ("kind",))
     between = L.quartiles(L.between_users(blocked).withColumn("kind", F.lit("between")), ("kind",))
-    aging = pairs.where("kind = 'aging'").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.median("jsd").alias("median_jsd"), F.median("lag_days").alias("median_lag_days"))
+    aging = pairs.where("kind = 'aging'")
+    aging = Q.medians(aging, ("block",), "jsd", "median_jsd").join(Q.medians(aging, ("block",), "lag_days", "median_lag_days").drop("n"), "block")
     return {"divergence": within.unionByName(between), "aging": aging}

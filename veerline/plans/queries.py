@@ -9,12 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import text as T
 from ..operators import baseline as B
 from ..operators import channels as C
 from ..operators import detectors as D
 from ..operators import distributions as S
 from ..operators import runs as R
+from ..operators import selection as Q
 from ..operators import timelines as L
 from . import experiments as E
 from . import records as V
@@ -121,6 +123,14 @@ def vocabulary_size(spark, sf):
     return V.ledger(spark, sf).groupBy("goal_id").agg(F.count_distinct("tool").alias("vocabulary"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT l_returnflag, n, round(m, 6) AS median, v[n // 4 + 1] AS q1, v[n // 2 + 1] AS upper, v[3 * n // 4 + 1] AS q3
+FROM (SELECT l_returnflag, count(*) AS n, median(l_extendedprice) AS m, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY l_returnflag)""")
+def exact_quartiles(spark, sf):
+    """Of all prices, by flag."""
+    found = Q.medians(V.table(spark, sf, "lineitem"), ("l_returnflag",), "l_extendedprice", q1=Q.QUARTILE, upper=Q.UPPER, q3=Q.THIRD_QUARTILE)
+    return found.withColumn("median", F.round("median", 6))
+
+
 # --- detectors ---
 
 
@@ -227,7 +237,7 @@ _CNT = ", ".join(f"sum((tool = '{t}')::INT) OVER w AS n_{t}" for t in ("click",
 def _streams(spark, sf):
     _, a, _ = base_and_rest(spark, sf)
     # the frozen baseline is used more than once; it has a row a tool
-    return C.numbered(V.records(spark, sf), STREAM, ORDER), S.tool_distribution(a).persist()
+    return C.numbered(V.records(spark, sf), STREAM, ORDER), written(S.tool_distribution(a), "baseline")
 
 
 _WIN = _EV + f""", wn AS (SELECT agent_id, event_index, tool, q, list(tool) OVER (PARTITION BY agent_id ORDER BY event_index ROWS {WINDOW - 1} PRECEDING) AS l FROM e),
@@ -291,7 +301,34 @@ def two_regime(spark, sf):
 def first_alarm_delay(spark, sf):
     e, d = _streams(spark, sf)
     f = C.two_regime(e, d, STREAM, C.Divergence(window=WINDOW), C.Cusum(slack=0.0, threshold=1.0))
-    return f.groupBy("channel").agg(F.count(F.lit(1)).alias("streams"), F.median("event_index").alias("median_index"))
+    return Q.medians(f, ("channel",), "event_index", "median_index").withColumnRenamed("n", "streams")
+
+
+_HOT = _ALARM.replace(", e AS (SELECT r.*", """, hot AS (SELECT * REPLACE (CASE WHEN CAST(substr(agent_id, 2) AS BIGINT) % 10 < 9 THEN 'hot' ELSE agent_id END AS agent_id) FROM r),
+e AS (SELECT hot.*""").replace("ORDER BY us, r.event_id) - 1 AS event_index FROM r LEFT JOIN q", "ORDER BY us, hot.event_id) - 1 AS event_index FROM hot LEFT JOIN q")
+
+
+@query(_HOT + "SELECT agent_id, channel, event_index, round(score, 6) AS score FROM fa")
+def hot_stream_alarms(spark, sf):
+    """One agent has nine tenths of all events: its stream is numbered in ranges and scored in blocks."""
+    r = V.records(spark, sf)
+    r = r.withColumn("agent_id", F.when(F.substring("agent_id", 2, 20).cast("long") % 10 < 9, "hot").otherwise(F.col("agent_id")))
+    e = C.numbered(r, STREAM, ORDER, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = written(S.tool_distribution(base_and_rest(spark, sf)[1]), "baseline")
+    return C.two_regime(e, d, STREAM, C.Divergence(window=WINDOW), C.Cusum(slack=0.0, threshold=1.0), block=2048).select("agent_id", "channel", "event_index", r6("score", "score"))
+
+
+_LINES = "l AS (SELECT l_orderkey, l_suppkey, CASE WHEN l_linenumber < 7 AND l_partkey % 10 < 9 THEN 'read' ELSE 'p' || l_partkey END AS tool FROM lineitem)"
+
+
+@query(f"""WITH {_LINES}, d AS (SELECT tool, count(*) / (SELECT count(*) FROM l)::DOUBLE AS p FROM l GROUP BY tool)
+SELECT l_suppkey, count(*) AS n, round(avg(-log2(p)), 6) AS bits FROM l JOIN d USING (tool) GROUP BY l_suppkey""")
+def skewed_vocabulary(spark, sf):
+    """Surprisal of lines by supplier, under a vocabulary of parts of which one entry has most of the lines: its lines are joined apart."""
+    tool = F.when((F.col("l_linenumber") < 7) & (F.col("l_partkey") % 10 < 9), "read").otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    lines = V.table(spark, sf, "lineitem").select("l_suppkey", tool.alias("tool"))
+    known = C.with_probabilities(lines, S.tool_distribution(lines), hot=True)
+    return known.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.surprisal("_q")), 6).alias("bits"))
 
 
 @query(_EMA + _CUS.format(slack="0.5")[len(_EV):] + """, k AS (SELECT agent_id, max(ema) AS e FROM we GROUP BY 1), m AS (SELECT agent_id, max(stat) AS s FROM c GROUP BY 1)
@@ -484,7 +521,7 @@ def position_thirds(spark, sf):
 @query(CONTENT + _TRUTH + ", s AS (SELECT run_id, avg((label = mistake_agent)::INT) AS s FROM c JOIN tr USING (run_id) GROUP BY 1) SELECT round(median(s), 6) AS median_share, count(*) AS runs FROM s")
 def routing_weight(spark, sf):
     s = V.content(spark, sf).join(_truth(spark, sf), "run_id").groupBy("run_id").agg(F.avg((F.col("label") == F.col("mistake_agent")).cast("double")).alias("s"))
-    return s.agg(F.round(F.median("s"), 6).alias("median_share"), F.count(F.lit(1)).alias("runs"))
+    return Q.medians(s, (), "s", "median_share").select(r6("median_share", "median_share"), F.col("n").alias("runs"))
 
 
 @query(CONTENT + ", n AS (SELECT count(*) AS n FROM c GROUP BY run_id) SELECT round(avg(1.0::DOUBLE / n), 6) AS expected FROM n")

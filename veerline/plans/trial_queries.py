@@ -107,9 +107,12 @@ def _swept(w: int) -> str:
 CAST(floor(median(delay)) AS BIGINT) AS median_delay, round(median(div_threshold), 6) AS div_threshold_median, CAST(sum((div_threshold >= 0.9)::INT) AS BIGINT) AS n_capped FROM ce GROUP BY channel)"""
 
 
-@query(_G3.rstrip(", ") + " SELECT * FROM " + _swept(10) + " UNION ALL SELECT * FROM " + _swept(50) + " UNION ALL SELECT * FROM " + _swept(200))
+WINDOWS = (50, 200, 800, 3200)
+
+
+@query(_G3.rstrip(", ") + " UNION ALL ".join(" SELECT * FROM " + _swept(w) for w in WINDOWS))
 def window_sweep(spark, sf):
-    found = E.window_sweep(*_classes(spark, sf), (10, 50, 200), 1.2)
+    found = E.window_sweep(*_classes(spark, sf), WINDOWS, 1.2)
     return found.select("window", "channel", "cells", r6("detection", "detection"), r6("false_alarm", "false_alarm"), "median_delay", r6("div_threshold_median", "div_threshold_median"), "n_capped")
 
 

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..folders import written
 from ..operators import channels as C
 from ..operators import distributions as S
+from ..operators.ordinals import numbered_by_ranges
 
 CHANNELS = ("divergence", "cusum")
+#: The part of a trial that isn't one of its benign runs.
+ATTACK = 3
 
 
 def permutations(spark, ids: list[str], trials: int, seed: int = 7) -> DataFrame:
@@ -29,10 +32,16 @@ def permutations(spark, ids: list[str], trials: int, seed: int = 7) -> DataFrame
 
 
 def hashed(ids: DataFrame, trials: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, trial, run_id, pos: ids (keys, run_id) in the order of a hash of trial and run, for any number of runs."""
+    """keys, trial, run_id, pos: ids (keys, run_id) in the order of a hash of trial and run. Places are those in ranges of the order, so
+    that a trial may have any number of runs."""
     rows = ids.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = F.md5(F.concat_ws(":", F.col("trial").cast("string"), "run_id"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "trial").orderBy(order, "run_id")).cast("long") - 1)
+    rows = rows.withColumn("_order", F.md5(F.concat_ws(":", F.col("trial").cast("string"), "run_id")))
+    return numbered_by_ranges(rows, (*keys, "trial"), ("_order", "run_id")).withColumnRenamed("event_index", "pos").drop("_order")
+
+
+def counted(runs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """runs with _n: the number of rows of each value of by."""
+    return runs.join(runs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), list(by))
 
 
 def per_run_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, margin: float = 1.2, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,8 +50,7 @@ def per_run_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, m
     benign: keys, trial, run_id, pos. The first half of it gives the distribution, and its leave-one-out scores the
     threshold; the second half and injected (keys, run_id) are scored."""
     by = (*keys, "trial")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    split = benign.withColumn("reference", F.col("pos") < F.floor(n / 2))
+    split = counted(benign, by).withColumn("reference", F.col("pos") < F.floor(F.col("_n") / 2)).drop("_n")
     tools = records.select(*keys, "run_id", "tool")
     reference = split.where("reference").select(*by, "run_id").join(tools, [*keys, "run_id"])
     threshold = S.leave_one_out(reference, by).groupBy(*by).agg((F.max("score") * margin).alias("threshold"))
@@ -58,50 +66,64 @@ def per_run_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, m
 
 
 def _stream(runs: DataFrame, records: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Records of runs (by, run_id, pos) one run after another, with event_index."""
+    """Records of runs (by, run_id, pos) one run after another, with event_index, in ranges: a trial may have any number of events."""
     joined = runs.join(records, ["run_id"] + [c for c in by if c in records.columns])
-    return C.numbered(joined.select(*by, "run_id", "pos", "step_index", "tool"), by, ("pos", "run_id", "step_index"))
+    return numbered_by_ranges(joined.select(*by, "run_id", "pos", "step_index", "tool"), by, ("pos", "run_id", "step_index"))
 
 
 def stream_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, window: int = 50, margin: float = 2.0, keys: tuple[str, ...] = (), div: C.Divergence = C.Divergence(), block: int | None = None) -> DataFrame:
     """keys, trial, channel, false_alarm, first_alarm (of the stream of calibration and attack, from the attack's start;
-    negative in the calibration part), detected, delay, detected_after_onset, horizon, div_threshold.
+    negative in the calibration part), detected, delay, detected_after_onset, horizon, div_threshold: swept_trials() of one window."""
+    return swept_trials(records, benign, injected, (window,), margin, keys, div, block).drop("window")
+
+
+def swept_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, windows: tuple[int, ...], margin: float = 2.0, keys: tuple[str, ...] = (), div: C.Divergence = C.Divergence(), block: int | None = None) -> DataFrame:
+    """window and the columns of stream_trials(), for several windows in one pass over the streams.
 
     benign and injected: keys, trial, run_id, pos. Half of the benign runs give the baseline, a quarter the thresholds,
     a quarter the null stream; the attack stream is as long as the null stream at most. detected looks at a channel's
     first alarm only: one in the calibration part masks later ones. detected_after_onset doesn't have that blind spot.
-    block: events of a stream that one task takes, for trials that are too large for one.
-    Trials whose calibration or null stream can't fill a window are left out."""
+    block: events of a stream that one task takes, for trials that are too large for one; by default BLOCK where a stream has more.
+    Trials whose calibration or null stream can't fill a window are left out for that window."""
     by = (*keys, "trial")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    part = F.when(F.col("pos") < F.floor(n / 2), 0).when(F.col("pos") < F.floor(3 * n / 4), 1).otherwise(2)
-    split = written(benign.withColumn("part", part), "trials")
-    side = lambda k: _stream(split.where(F.col("part") == k).drop("part"), records, by)
-    admission, calibration, null = side(0), side(1), side(2)
-    length = lambda s, name: s.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    sizes = length(calibration, "onset").join(length(null, "horizon"), list(by)).where((F.col("onset") > window) & (F.col("horizon") > window))
+    part = F.when(F.col("pos") < F.floor(F.col("_n") / 2), 0).when(F.col("pos") < F.floor(3 * F.col("_n") / 4), 1).otherwise(2)
+    runs = counted(benign, by).withColumn("part", part.cast("int")).drop("_n").unionByName(injected.withColumn("part", F.lit(ATTACK)))
+    placed = written(_stream(runs, records, (*by, "part")), "trial-events")
+    side = lambda k: placed.where(F.col("part") == k).drop("part")
+    length = lambda k, name: F.sum((F.col("part") == k).cast("long")).alias(name)
+    sizes = placed.groupBy(*by).agg(length(1, "onset"), length(2, "horizon")).where((F.col("onset") > min(windows)) & (F.col("horizon") > min(windows)))
     sizes = written(sizes, "trial-sizes")
-    dist = written(S.tool_distribution(admission, by), "trial-tools")
-    attack = _stream(injected, records, by).join(sizes, list(by)).where(F.col("event_index") < F.col("horizon")).withColumn("event_index", F.col("event_index") + F.col("onset"))
-    part = lambda s, kind: s.select(*by, F.lit(kind).alias("kind"), "event_index", "tool", "onset", "horizon")
-    sized = lambda s: s.join(sizes, list(by))
+    dist = written(S.tool_distribution(side(0), by), "trial-tools")
+    kind = F.when(F.col("part") == 2, F.lit("null")).otherwise(F.lit("attack"))
     # the attack stream starts with the calibration, whose scores give the thresholds
-    kinds = written(part(sized(null), "null").unionByName(part(sized(calibration), "attack")).unionByName(part(attack, "attack")), "trial-streams")
-    streams = (*by, "kind")
-    scores = C.scored(kinds, dist, streams, C.Divergence(window, div.alpha, div.threshold, div.patience), on=by, block=block)
-    scores = written(scores.select(*streams, "event_index", "onset", "ema", "stat"), "trial-scores")
+    place = F.when(F.col("part") == ATTACK, F.col("event_index") + F.col("onset")).otherwise(F.col("event_index"))
+    used = placed.where("part > 0").join(sizes, list(by)).where((F.col("part") != ATTACK) | (F.col("event_index") < F.col("horizon")))
+    kinds = written(used.select(*by, kind.alias("kind"), place.alias("event_index"), "tool", "onset", "horizon"), "trial-streams")
+    if block is None and (most := kinds.agg(F.max("event_index")).first()[0]) is not None and most >= max(C.BLOCK, *windows):
+        block = max(C.BLOCK, *windows)
+    streams, hot = (*by, "kind"), dist.count() > C.MOST_VOCABULARY
+    emas = [f"ema_{w}" for w in windows]
+    scores = C.swept(kinds, dist, streams, windows, div.alpha, on=by, block=block, hot=hot)
+    scores = written(scores.select(*streams, "event_index", "onset", "horizon", "stat", *emas), "trial-scores")
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
-    limits = scores.where((F.col("kind") == "attack") & (F.col("event_index") < F.col("onset"))).groupBy(*by).agg(F.least(top("ema"), F.lit(C.CAP)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
-    hits = C.patience(scores.join(limits, list(by)), streams, "div_threshold", div.patience, block=block)
-    hits = hits.select(*streams, "event_index", "onset", F.explode(F.filter(F.array(
-        F.when(F.col("alarmed"), F.lit("divergence")), F.when(F.col("stat") > F.col("cusum_threshold"), F.lit("cusum"))), lambda x: x.isNotNull())).alias("channel"))
+    limits = scores.where((F.col("kind") == "attack") & (F.col("event_index") < F.col("onset"))).groupBy(*by).agg(
+        *(F.least(top(e), F.lit(C.CAP)).alias(f"_limit_{e}") for e in emas), top("stat").alias("cusum_threshold"))
+    limits = written(limits, "trial-limits")
+    hits, names = scores.join(limits, list(by)), []
+    for e in emas:
+        hits = C.patience(hits, streams, f"_limit_{e}", div.patience, e, block).withColumnRenamed("alarmed", f"_over_{e}")
+        names.append(F.when(F.col(f"_over_{e}"), F.struct(F.lit(int(e[4:])).alias("window"), F.lit("divergence").alias("channel"))))
+    names += [F.when(F.col("stat") > F.col("cusum_threshold"), F.struct(F.lit(w).alias("window"), F.lit("cusum").alias("channel"))) for w in windows]
+    hits = hits.select(*streams, "event_index", "onset", F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("_h"))
     bad = F.col("kind") == "attack"
-    found = hits.groupBy(*by, "channel").agg(
+    found = hits.groupBy(*by, "_h.window", "_h.channel").agg(
         F.max((~bad).cast("int")).alias("_null"), F.min(F.when(bad, F.col("event_index") - F.col("onset"))).alias("_first"), F.max((bad & (F.col("event_index") >= F.col("onset"))).cast("int")).alias("_after"))
-    cells = sizes.join(limits.drop("cusum_threshold"), list(by)).withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
+    swept = F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"_limit_ema_{w}").alias("div_threshold")) for w in windows)))
+    cells = sizes.join(limits, list(by)).select(*by, "onset", "horizon", swept.alias("_w")).select(*by, "onset", "horizon", "_w.*")
+    cells = cells.where((F.col("onset") > F.col("window")) & (F.col("horizon") > F.col("window"))).withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
     at = F.col("_first")
-    return cells.join(found, [*by, "channel"], "left").select(
-        *by, "channel", F.coalesce(F.col("_null") == 1, F.lit(False)).alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
+    return cells.join(found, [*by, "window", "channel"], "left").select(
+        "window", *by, "channel", F.coalesce(F.col("_null") == 1, F.lit(False)).alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
         F.when(at >= 0, at).alias("delay"), F.coalesce(F.col("_after") == 1, F.lit(False)).alias("detected_after_onset"), "horizon", "div_threshold")
 
 
@@ -122,8 +144,7 @@ def split_half_decay(records: DataFrame, order: DataFrame, z: float = 3.0, min_c
     from ..operators.baseline import bad
     from ..operators.detectors import proportion_z
 
-    n = F.count(F.lit(1)).over(Window.partitionBy("trial"))
-    half = order.withColumn("half", (F.col("pos") >= F.floor(n / 2)).cast("int"))
+    half = counted(order, ("trial",)).withColumn("half", (F.col("pos") >= F.floor(F.col("_n") / 2)).cast("int")).drop("_n")
     counts = half.join(records, "run_id").groupBy("trial", "half", step_bin("step_index").alias("bin")).agg(F.sum(bad().cast("long")).alias("e"), F.count(F.lit(1)).alias("n"))
     sides = [counts.where(F.col("half") == k).select("trial", "bin", F.col("e").alias(f"e{k}"), F.col("n").alias(f"n{k}")) for k in (0, 1)]
     both = sides[0].join(sides[1], ["trial", "bin"]).where(F.col("n1") >= min_calls)
