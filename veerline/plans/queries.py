@@ -708,4 +708,4 @@ def global_version_segments(spark, sf):
 
 
 # the rest, by subject: they register themselves
-from . import pattern_queries, trial_queries  # noqa: E402, F401
+from . import corpus_queries, pattern_queries, trial_queries  # noqa: E402, F401

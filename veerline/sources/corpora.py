@@ -1,7 +1,8 @@
 """Raw corpora as records, content and labels.
 
 A corpus is read as one document a row. Fields come out with get_json_object and from_json with permissive schemas; a
-document that isn't what its corpus holds has a null where its list should be, and is counted, never fatal. Records,
+document that isn't what its corpus holds has a null where its list should be, and is counted, never fatal. docs: documents that are read
+otherwise than from the root, such as some pipelines' or models' alone. Records,
 content and labels of a corpus come from one exploded table of calls, so that their steps agree."""
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ class Corpus:
     skipped: DataFrame | None = None
 
 
+def _given(spark: SparkSession, root: str, docs: DataFrame | None, pattern: str = "*.json") -> DataFrame:
+    """rel and text of the documents below root, or of those that the caller has opened: by the data source, or with a filter on their
+    paths, of which either opens the files that fit alone."""
+    return documents(spark, root, pattern) if docs is None else docs.select("rel", "text")
+
+
 def _get(doc, path: str) -> Column:
     return F.get_json_object(T.col(doc), path)
 
@@ -82,9 +89,9 @@ def _steps(calls: DataFrame, *order: str) -> DataFrame:
 # --- tool-using runs under injection: runs/<pipeline>/**.json ---
 
 
-def injection_runs(spark: SparkSession, root: str) -> Corpus:
+def injection_runs(spark: SparkSession, root: str, docs: DataFrame | None = None) -> Corpus:
     """Labels' utility, attack and security, records of assistant tool calls, content with paired results."""
-    docs = documents(spark, root).withColumn("pipeline", F.split("rel", "/")[0]).withColumn("run_id", F.regexp_replace("rel", r"\.json$", ""))
+    docs = _given(spark, root, docs).withColumn("pipeline", F.split("rel", "/")[0]).withColumn("run_id", F.regexp_replace("rel", r"\.json$", ""))
     docs = ranked(docs, ("rel",), ("pipeline",)).withColumn("messages", _texts(_raw("text", "messages")))
     calls = docs.select("run_id", "run_index", "text", F.posexplode("messages").alias("m", "message")).where(_get("message", "$.role") == "assistant")
     calls = calls.select("run_id", "run_index", "text", "m", "message", F.posexplode(_texts(_raw("message", "tool_calls"))).alias("k", "call"))
@@ -119,33 +126,23 @@ def injection_runs(spark: SparkSession, root: str) -> Corpus:
 # --- coding submissions: <submission>/trajs/*.traj or *.json ---
 
 
-def detected_format(names: list[str], sample: str | None) -> str | None:
-    """What the files of a submission hold: traj if one has that ending; else messages if the first JSON file, given as
-    text, is a list with a tool call of an assistant; else None."""
-    import json
-
-    if any(n.endswith(".traj") for n in names):
-        return "traj"
-    try:
-        found = json.loads(sample) if sample is not None else None
-    except ValueError:
-        return None
-    calls = [c for m in found if isinstance(m, dict) and m.get("role") == "assistant" for c in m.get("tool_calls") or []] if isinstance(found, list) else []
-    return "messages" if any((c.get("function") or {}).get("name") for c in calls) else None
-
-
-def coding_runs(spark: SparkSession, root: str, max_runs: int | None = None) -> Corpus:
-    """Submissions in either format; each submission's files are of one format. skipped: submission, reason."""
-    docs = documents(spark, root, "*").where(F.col("rel").rlike(r"^[^/]+/trajs/[^/]+\.(traj|json)$"))
+def coding_runs(spark: SparkSession, root: str, max_runs: int | None = None, docs: DataFrame | None = None) -> Corpus:
+    """Submissions of either format; each submission's files are of one, told by its first file. skipped: submission, reason."""
+    docs = _given(spark, root, docs, "*").where(F.col("rel").rlike(r"^[^/]+/trajs/[^/]+\.(traj|json)$"))
     docs = docs.select(F.split("rel", "/")[0].alias("submission"), F.split("rel", "/")[2].alias("file"), "text")
     by = Window.partitionBy("submission")
     docs = docs.withColumn("traj", F.max(F.col("file").endswith(".traj").cast("int")).over(by) == 1)
     docs = ranked(docs.where(F.col("file").endswith(".traj") == F.col("traj")), ("file",), ("submission",))
+    named = lambda m: F.exists(F.coalesce(_texts(_raw(m, "tool_calls")), F.array().cast("array<string>")), lambda c: F.coalesce(_get(c, "$.function.name"), F.lit("")) != "")
+    calls = F.coalesce(F.exists(_texts("text"), lambda m: F.coalesce(_get(m, "$.role") == "assistant", F.lit(False)) & named(m)), F.lit(False))
+    # files are traj, or messages if the first one calls a tool
+    known = F.col("traj") | (F.max(F.when(F.col("run_index") == 0, calls.cast("int"))).over(by) == 1)
+    docs = docs.withColumn("format", F.when(F.col("traj"), "traj").when(known, "messages"))
     if max_runs is not None:
         docs = docs.where(F.col("run_index") < max_runs)
     steps = F.when(F.col("traj"), _texts(_raw("text", "trajectory"))).otherwise(_texts("text"))
     docs = docs.withColumn("run_id", F.regexp_replace("file", r"\.(traj|json)$", "")).withColumn("steps", steps)
-    each = docs.select("submission", "run_id", "run_index", "traj", F.posexplode("steps").alias("i", "step"))
+    each = docs.where("format IS NOT NULL").select("submission", "run_id", "run_index", "traj", F.posexplode("steps").alias("i", "step"))
     action = F.trim(F.regexp_replace(F.coalesce(_get("step", "$.action"), F.lit("")), r"^\s+|\s+$", ""))
     acts = each.where(F.col("traj")).select("submission", "run_id", "run_index", "i", F.lit(0).alias("k"), F.regexp_extract(action, r"^(\S+)", 1).alias("tool"), action.alias("payload")).where("payload <> ''")
     said = each.where(~F.col("traj") & (_get("step", "$.role") == "assistant")).select("submission", "run_id", "run_index", "i", F.posexplode(_texts(_raw("step", "tool_calls"))).alias("k", "call"))
@@ -156,16 +153,17 @@ def coding_runs(spark: SparkSession, root: str, max_runs: int | None = None) ->
         ts=T.submission_epoch("submission") + F.col("run_index") * RUN_SPACING + F.col("step_index"), run_id="run_id", agent_id="submission", model="submission",
         goal_id=T.goal_of_instance("run_id"), step_index="step_index", tool="tool", params_hash=T.short_hash("payload")))
     good = calls.groupBy("submission").agg(F.count_distinct("run_id").alias("n_runs"))
-    counts = docs.groupBy("submission").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("steps").isNull().cast("long")).alias("n_failed")).join(good, "submission", "left")
-    skipped = counts.where(F.col("n_runs").isNull()).select("submission", F.format_string("no run among %d files (%d could not be parsed)", "n_files", "n_failed").alias("reason"))
+    counts = docs.groupBy("submission").agg(F.count(F.lit(1)).alias("n_files"), F.max("format").alias("format"), F.sum(F.col("steps").isNull().cast("long")).alias("n_failed")).join(good, "submission", "left")
+    reason = F.when(F.col("format").isNull(), F.lit("no known format")).otherwise(F.format_string("no run among %d files (%d could not be parsed)", "n_files", "n_failed"))
+    skipped = counts.where(F.col("n_runs").isNull()).select("submission", reason.alias("reason"))
     return Corpus(records, None, None, skipped)
 
 
 # --- terminal tasks: tasks/<task>/<model>/{baseline,hack}_trajectories/<label>/metadata.json, trial/agent/trajectory.json ---
 
 
-def terminal_runs(spark: SparkSession, root: str) -> Corpus:
-    docs = documents(spark, root)
+def terminal_runs(spark: SparkSession, root: str, docs: DataFrame | None = None) -> Corpus:
+    docs = _given(spark, root, docs)
     parts = F.regexp_extract
     shape = r"^([^/]+)/([^/]+)/(baseline_trajectories|hack_trajectories)/([^/]+)/"
     side = lambda end: docs.where(F.col("rel").rlike(shape + end)).select(*(parts("rel", shape, k).alias(n) for k, n in ((1, "task"), (2, "model_dir"), (3, "tree"), (4, "label"))), "text")
@@ -200,8 +198,9 @@ def terminal_runs(spark: SparkSession, root: str) -> Corpus:
 # --- trajectories exported as JSON lines ---
 
 
-def exported_trajectories(spark: SparkSession, path: str, agent: str = "trace") -> Corpus:
-    docs = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("text"))
+def exported_trajectories(spark: SparkSession, path: str, agent: str = "trace", docs: DataFrame | None = None) -> Corpus:
+    docs = spark.read.text(path).select(F.col("value").alias("text")) if docs is None else docs.select("text")
+    docs = docs.where(F.trim("text") != "")
     docs = docs.withColumn("run_id", F.coalesce(_get("text", "$.trajectory_id"), F.lit(""))).withColumn("messages", _texts(_raw("text", "conversation")))
     usable = (F.col("run_id") != "") & F.col("messages").isNotNull()
     each = docs.where(usable).select("run_id", F.posexplode("messages").alias("i", "message")).where(_get("message", "$.role") == "assistant")
@@ -222,8 +221,8 @@ def exported_trajectories(spark: SparkSession, path: str, agent: str = "trace")
 # --- span trees with annotations: <data>/<dataset>/*.json ---
 
 
-def span_traces(spark: SparkSession, data: str, annotations: str | None, dataset: str) -> Corpus:
-    docs = documents(spark, data).withColumn("run_id", F.coalesce(_get("text", "$.trace_id"), F.lit("")))
+def span_traces(spark: SparkSession, data: str, annotations: str | None, dataset: str, docs: DataFrame | None = None) -> Corpus:
+    docs = _given(spark, data, docs).withColumn("run_id", F.coalesce(_get("text", "$.trace_id"), F.lit("")))
     spans = spans_of(docs.where("run_id <> ''").select("run_id", "text"))
     spans = spans.where("span IS NOT NULL").withColumn("epoch", T.epoch(_get("span", "$.timestamp"), F.lit(TS_BASE) + F.col("place")))
     spans = _steps(spans, "epoch", "place").withColumn("attrs", _object("span", "span_attributes"))
@@ -261,9 +260,9 @@ def span_traces(spark: SparkSession, data: str, annotations: str | None, dataset
 # --- multi-agent conversations with a marked mistake ---
 
 
-def blamed_runs(spark: SparkSession, root: str, variant: str) -> Corpus:
+def blamed_runs(spark: SparkSession, root: str, variant: str, docs: DataFrame | None = None) -> Corpus:
     """Files in the order of (length of name, name); entries without a label leave holes in the steps."""
-    docs = documents(spark, root).withColumn("file", F.regexp_extract("rel", r"([^/]+)$", 1)).withColumn("history", _texts(_raw("text", "history")))
+    docs = _given(spark, root, docs).withColumn("file", F.regexp_extract("rel", r"([^/]+)$", 1)).withColumn("history", _texts(_raw("text", "history")))
     docs = docs.withColumn("goal", F.coalesce(_get("text", "$.question_ID"), F.lit(""))).withColumn("run_id", F.concat(F.lit(variant + "/"), F.regexp_replace("file", r"\.json$", "")))
     objects = F.forall("history", lambda h: h.startswith("{"))
     usable = F.col("history").isNotNull() & (F.col("goal") != "") & F.coalesce(objects, F.lit(False))
@@ -308,8 +307,8 @@ def chat_sessions(spark: SparkSession, events: str, sessions: str) -> Corpus:
 FRAMEWORKS = {"BFCL": "bfcl", "Camel": "camel", "Magentic_One": "magentic-one", "Octotools": "octotools", "OpenDeepSearch": "opendeepsearch", "OpenManus": "openmanus", "SmolAgents": "smolagents"}
 
 
-def hallucination_runs(spark: SparkSession, root: str) -> Corpus:
-    docs = documents(spark, root).withColumn("directory", F.split("rel", "/")[0]).where(F.col("directory").isin(*FRAMEWORKS))
+def hallucination_runs(spark: SparkSession, root: str, docs: DataFrame | None = None) -> Corpus:
+    docs = _given(spark, root, docs).withColumn("directory", F.split("rel", "/")[0]).where(F.col("directory").isin(*FRAMEWORKS))
     key = F.element_at(F.create_map(*(F.lit(x) for pair in FRAMEWORKS.items() for x in pair)), F.col("directory"))
     docs = docs.withColumn("framework", key).withColumn("run_id", F.concat(F.col("framework"), F.lit("/"), F.regexp_extract("rel", r"([^/]+)\.json$", 1))).withColumn("history", _texts(_raw("text", "history")))
     usable = F.col("history").isNotNull() & F.coalesce(F.forall("history", lambda h: h.startswith("{")), F.lit(False))

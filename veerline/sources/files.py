@@ -13,12 +13,13 @@ from ..schema import RECORD, checked
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """rel (path below root), text of each file below root whose name fits. Files are read whole, one a row."""
+    """rel (path below root), text of each file below root that has any bytes and whose name fits. Files are read whole, one a row; a filter on rel
+    rules out files before they are opened."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     # the path as a URI: its part below root
-    path = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "")
+    path = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:(//[^/]*)?", "")
     return rows.select(F.substring(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit(len(base) + 2), F.lit(2**31 - 1)).alias("rel"), F.decode("content", "UTF-8").alias("text"))
 
 
@@ -67,15 +68,6 @@ def content_digest(df: DataFrame) -> dict:
     return {"n": row["n"], "sha256": hashlib.sha256("/".join(str(row[f"s{k}"]) for k in range(8)).encode()).hexdigest()}
 
 
-def file_digest(path: str) -> str:
-    """SHA-256 of a file in 1 MiB pieces."""
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while piece := f.read(1 << 20):
-            h.update(piece)
-    return h.hexdigest()
-
-
 def write_manifest(path: str, **tables: DataFrame) -> dict:
     """A manifest of tables: rows and digest of each, as JSON in a file."""
     manifest = {name: content_digest(df) for name, df in sorted(tables.items())}
