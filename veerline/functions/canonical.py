@@ -1,4 +1,4 @@
-"""What built-in expressions can't say: Python's canonical JSON, shell words, paired results, span trees.
+"""What built-in expressions can't say: Python's canonical JSON.
 
 They run as Arrow-batched functions."""
 
@@ -6,15 +6,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-
-LONGEST_TOKEN = 64
-_NUMBER, _HEX = re.compile(r"\d+(\.\d+)?\n?"), re.compile(r"[0-9a-fA-F-]{12,}\n?")
+from pyspark.sql.types import StringType
 
 
 def canonical(value) -> str:
@@ -54,26 +49,3 @@ def _recoded(what):
             return None
 
     return one
-
-
-def command_tokens(text: str | None, tool: str) -> list[str]:
-    """Words of a command's lines; numbers, hexadecimal identifiers and long words by their kind."""
-    out: list[str] = []
-    for line in (text or "").splitlines():
-        try:
-            found = shlex.split(line)
-        except ValueError:  # an open quote
-            found = line.split()
-        for word in found:
-            if _NUMBER.fullmatch(word):
-                out.append("<num>")
-            elif _HEX.fullmatch(word):
-                out.append("<hex>")
-            else:
-                out.append("<long>" if len(word) > LONGEST_TOKEN else word)
-    return out or [tool]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def canonical_tokens(text: pd.Series, tool: pd.Series) -> pd.Series:
-    return pd.Series([command_tokens(t, n) for t, n in zip(text, tool, strict=True)])

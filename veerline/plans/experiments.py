@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import written
-from ..functions import canonical as K
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.shell import command_tokens
 from ..operators import baseline as B
 from ..operators import channels as C
 from ..operators import detectors as D
@@ -132,7 +132,7 @@ def token_records(records: DataFrame, content: DataFrame, others: tuple[str, ...
     """A record for each word of each call's command: run_id, step_index (from 0 anew), tool (the word). A call without
     content stands for itself."""
     rows = records.join(content.select(*others, "run_id", "step_index", F.lit(True).alias("_has"), "l1_text"), [*others, "run_id", "step_index"], "left")
-    words = F.when(F.col("_has"), K.canonical_tokens("l1_text", "tool")).otherwise(F.array("tool"))
+    words = F.when(F.col("_has"), command_tokens("l1_text", "tool")).otherwise(F.array("tool"))
     each = rows.select(*others, "run_id", "step_index", F.posexplode(words).alias("k", "word"))
     w = Window.partitionBy(*others, "run_id").orderBy("step_index", "k")
     return each.select(*others, "run_id", (F.row_number().over(w) - 1).alias("step_index"), F.col("word").alias("tool"))

@@ -689,7 +689,18 @@ def timeline_versions(spark, sf):
     return E.timeline_versions(V.records(spark, sf), 3, 2.0, 12, 6)
 
 
-@query(None)
+#: The grammar of shell words as RE2 has it; quotes are doubled within SQL's.
+_PART = r"""[^ \t\r\n''"\\]+|\\.|''[^'']*''|"(?:[^"\\]|\\.)*\""""
+_LEXED = CONTENT + rf""", l AS (SELECT run_id, step_index, label, list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]'), lambda x: CASE
+  WHEN regexp_full_match(x, '(?s)(?:[ \t\r\n]+|{_PART})*') THEN list_transform(regexp_extract_all(x, '(?s)(?:{_PART})+'), lambda w: array_to_string(list_transform(regexp_extract_all(w, '(?s){_PART}'), lambda p: CASE
+    WHEN p[1] = chr(39) THEN p[2:-2] WHEN p[1] = '"' THEN regexp_replace(p[2:-2], '\\(["\\])', '\1', 'g') WHEN p[1] = chr(92) THEN p[2:] ELSE p END), ''))
+  ELSE list_filter(regexp_split_to_array(x, '[ \t\r\n\v\f\x{{a0}}]+'), lambda w: w <> '') END) AS lines FROM c),
+k AS (SELECT run_id, step_index, CASE WHEN len(flatten(lines)) = 0 THEN [label] ELSE list_transform(flatten(lines), lambda w: CASE WHEN regexp_full_match(w, '\p{{Nd}}+(\.\p{{Nd}}+)?') THEN '<num>'
+  WHEN regexp_full_match(w, '[0-9a-fA-F-]{{12,}}') THEN '<hex>' WHEN length(w) > 64 THEN '<long>' ELSE w END) END AS words FROM l),
+u AS (SELECT run_id, step_index, unnest(words) AS tool, unnest(range(len(words))) AS j FROM k) """
+
+
+@query(_LEXED + "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY step_index, j) - 1 AS INTEGER) AS step_index, tool FROM u")
 def command_tokens(spark, sf):
     c = V.content(spark, sf)
     records = c.select("run_id", "step_index", F.col("label").alias("tool"))
