@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests import scenes as G
 from tests import sequential as Q
 from veerline.functions import canonical, patterns
 from veerline.functions import text as T
@@ -17,7 +18,6 @@ from veerline.operators import detectors as D
 from veerline.operators import distributions as S
 from veerline.operators import runs as R
 from veerline.operators import timelines as L
-from veerline.sources import generator as G
 
 
 def streams(spark, **tools):
@@ -83,9 +83,8 @@ def test_leave_one_out(spark):
 
 @pytest.fixture(scope="module")
 def scenes(spark):
-    g = G.Scenarios(7)
-    base = G.table(spark, g.steady(120)).persist()
-    return base, {k: (lambda x: (G.table(spark, x[0]), x[1]))(G.Scenarios(8).scenario(k, 120)) for k in G.SCENARIOS}
+    base = G.table(spark, G.stream("steady", 120, 1)[0]).persist()
+    return base, {k: (lambda x: (G.table(spark, x[0]), x[1]))(G.stream(k, 120, 2)) for k in G.KINDS}
 
 
 def test_baseline(spark, scenes):
@@ -96,7 +95,7 @@ def test_baseline(spark, scenes):
     assert c["n_records"] == len(rows) and c["n_runs"] == 120
     assert c["tool_dist"] == pytest.approx(Q.distribution([r["tool"] for r in rows]))
     assert sum(n for _, n in c["error_rate_by_length_bin"].values()) == len(rows)
-    assert "submit_reply" in c["expected_tools_by_goal"]["triage-ticket"]
+    assert "send" in c["expected_tools_by_goal"]["mail"]
     assert b.fingerprint() == B.freeze(base.repartition(7)).fingerprint() == hashlib.sha256(json.dumps(c, sort_keys=True).encode()).hexdigest()[:16]
 
 
@@ -105,14 +104,14 @@ def test_detectors_on_scenarios(spark, scenes):
     b = B.freeze(base)
     late = lambda k: found[k][0].orderBy("ts").withColumn("i", F.row_number().over(C.Window.orderBy("ts")) - 1).where(F.col("i") >= found[k][1]).drop("i")
     decay = lambda k: D.context_decay(late(k), b.error_rates).where("z > 3").count()
-    assert decay("context_decay") > 0 and decay("none") == 0
+    assert decay("tiring") > 0 and decay("steady") == 0
     drift = lambda k: D.version_drift(found[k][0], ("ts",)).where("jsd >= 0.05").collect()
-    (shift,) = drift("version")
-    assert shift["boundary_index"] == found["version"][1] and shift["to_version"]["model_version"] == "2.0" and not drift("none")
+    (shift,) = drift("release")
+    assert shift["boundary_index"] == found["release"][1] and shift["to_version"]["model_version"] == "two" and not drift("steady")
     omit = lambda k: {(r["goal_id"], r["tool"]) for r in D.omission(late(k), B.presence(base)).where("observed_presence < 0.5").collect()}
-    assert ("triage-ticket", "classify") in omit("omission") and not omit("none")
+    assert ("mail", "sort") in omit("skipping") and not omit("steady")
     kinds = lambda k: {r["kind"] for r in D.goal_persistence(found[k][0], G.contracts(spark)).collect()}
-    assert kinds("failure_classes") == set(G.VIOLATIONS) and not kinds("none")
+    assert kinds("breaking") == set(G.BREAKS) and not kinds("steady")
 
 
 def test_goal_persistence_rows(spark):
@@ -127,8 +126,8 @@ def test_persistence(spark, scenes):
     base, found = scenes
     dist = B.freeze(base).tools
     one = lambda k: C.persistence(C.numbered(found[k][0], ("agent_id",), ("ts",)), dist, ("agent_id",)).first()
-    assert one("abrupt")["persistent"] and not one("none")["shifted"]
-    t = one("transient")
+    assert one("sudden")["persistent"] and one("slow")["persistent"] and not one("steady")["shifted"]
+    t = one("passing")
     assert t["shifted"] and not t["persistent"] and t["final_score"] < 0.15
 
 

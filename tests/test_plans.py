@@ -11,7 +11,6 @@ from veerline import cli
 from veerline.plans import experiments as E
 from veerline.plans import queries, trials
 from veerline.plans.report import markdown
-from veerline.sources import generator as G
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,19 +29,21 @@ def classes(spark):
     return clean, bad, spark.createDataFrame(rows, "run_id string, step_index int, tool string").persist()
 
 
-def test_permutations(spark):
+def permutations(spark, ids, n, seed=7):
+    """trial, run_id, pos: the sorted ids as Python's generator shuffles them."""
     import random
 
-    got = trials.permutations(spark, ["b", "a", "c"], 2, 7).orderBy("trial", "pos").collect()
-    for k in range(2):
-        want = ["a", "b", "c"]
-        random.Random(7 + k).shuffle(want)
-        assert [r["run_id"] for r in got if r["trial"] == k] == want
+    rows = []
+    for k in range(n):
+        order = sorted(ids)
+        random.Random(seed + k).shuffle(order)
+        rows += [(k, run, i) for i, run in enumerate(order)]
+    return spark.createDataFrame(rows, "trial int, run_id string, pos long")
 
 
 def test_trials(spark, classes):
     clean, bad, records = classes
-    order, attack = trials.permutations(spark, list(clean), 3), trials.permutations(spark, list(bad), 3, 9)
+    order, attack = permutations(spark, list(clean), 3), permutations(spark, list(bad), 3, 9)
     by = lambda df: {k: [r["run_id"] for r in df.orderBy("pos").collect() if r["trial"] == k] for k in range(3)}
     orders, attacks, runs = by(order), by(attack), {**clean, **bad}
     for r in trials.per_run_trials(records, order, spark.createDataFrame([(b,) for b in bad], "run_id string"), 1.2).collect():
@@ -72,13 +73,6 @@ def test_two_classes(spark, classes):
     assert E.two_classes(records, labels, trials=2, least_bad=50)["per_run"].first()["cells"] == 0
 
 
-def test_synthetic_validation(spark):
-    s = {r["scenario"]: r for r in E.synthetic_summary(E.synthetic(spark, 1, 160)).collect()}
-    assert set(s) == set(G.SCENARIOS) and s["none"]["rate"] == 0.0
-    assert all(s[k]["rate"] == 1.0 for k in G.SCENARIOS if k != "none")
-    assert s["abrupt"]["median_delay"] < 50
-
-
 def test_submissions_and_sweep(spark):
     rows = [(s, f"{s}-{r}", i, t) for s, k in (("2024_alpha", 0), ("2025_alpha", 4), ("2025_other", 0)) for r, ts in make_runs("r", 24, 3 + k, k).items() for i, t in enumerate(ts)]
     records = spark.createDataFrame(rows, "agent_id string, run_id string, step_index int, tool string")
@@ -153,7 +147,13 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["convert", "injection", str(tmp_path / "raw"), str(tmp_path / "out")])
     assert "records: 2 rows" in capsys.readouterr().out
     assert json.loads((tmp_path / "out/manifest.json").read_text())["labels"]["n"] == 1
-    assert "| per_run" not in cli.main(["classes", str(tmp_path / "out"), "injection", "--trials", "1"])
+    assert "| per_run" not in cli.main(["run", "injection", str(tmp_path / "out"), "--set", "trials=1"])
+    put(tmp_path, "raw/p2/a.json", injected_run())
+    cli.main(["convert", "injection", str(tmp_path / "raw"), str(tmp_path / "some"), "--only", "pipeline=p2,p3"])
+    assert [r["pipeline"] for r in spark.read.parquet(str(tmp_path / "some/labels")).collect()] == ["p2"]
+    assert "## rates" in cli.main(["run", "injection-features", str(tmp_path / "out"), "--to", str(tmp_path / "tables")])
+    assert spark.read.parquet(str(tmp_path / "tables/rates")).count() == 3
+    assert len(cli.main(["list"]).splitlines()) == len(cli.EXPERIMENTS) == 18
     df = spark.createDataFrame([("a|b", None, 0.123456, True)], "a string, b string, c double, d boolean")
     assert markdown("T", df) == "## T\n\n| a | b | c | d |\n|---|---|---|---|\n| a\\|b | – | 0.1235 | yes |\n"
 

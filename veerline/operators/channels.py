@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ class Divergence:
     threshold: float = 0.15
     patience: int = 5
 
+    def verdicts(self, events: DataFrame, dist: DataFrame, stream: tuple[str, ...], on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+        """events with score and alarmed."""
+        s = smoothed(window_scores(events, dist, stream, self.window, on, block), stream, self.alpha, block)
+        return patience(s, stream, self.threshold, self.patience, block=block).withColumnRenamed("ema", "score")
+
 
 @dataclass(frozen=True)
 class Cusum:
@@ -43,6 +49,17 @@ class Cusum:
     threshold: float = 8.0
     floor: float = FLOOR
 
+    def verdicts(self, events: DataFrame, dist: DataFrame, stream: tuple[str, ...], on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+        """events with score and alarmed."""
+        s = cusum_scores(events, dist, stream, self.slack, on, block).withColumnRenamed("stat", "score")
+        return s.withColumn("alarmed", F.col("score") > self.threshold)
+
+
+class Channel(Protocol):
+    """What regimes() needs of a channel: a verdict on each event of each stream."""
+
+    def verdicts(self, events: DataFrame, dist: DataFrame, stream: tuple[str, ...], on: tuple[str, ...] = (), block: int | None = None) -> DataFrame: ...
+
 
 def numbered(records: DataFrame, stream: tuple[str, ...], order: tuple[str, ...], ranges: int | None = None) -> DataFrame:
     """records with event_index, from 0, within each stream. With ranges, in so many ranges of the order, for streams that are
@@ -216,6 +233,19 @@ def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15,
     return first.select(*stream, "channel", F.col("_f.event_index").alias("event_index"), F.col("_f.score").alias("score"))
 
 
+def regimes(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], channels: dict[str, Channel], on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+    """stream, channel, event_index, score: the first alarm of each of any channels, by the names that they are given."""
+    out = None
+    for name, channel in channels.items():
+        hits = channel.verdicts(events, dist, stream, on, block).where("alarmed")
+        first = hits.groupBy(*stream).agg(F.min(F.struct("event_index", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("_f"))
+        first = first.select(*stream, F.lit(name).alias("channel"), "_f.event_index", "_f.score")
+        out = first if out is None else out.unionByName(first)
+    if out is None:
+        raise ValueError("no channels")
+    return out
+
+
 def two_regime(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Divergence = Divergence(), cus: Cusum = Cusum(), on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """First alarm of each channel in each stream. Order for reading: event_index, divergence before cusum."""
     return first_alarms(scored(events, dist, stream, div, cus, on, block), stream, div.threshold, cus.threshold, div.patience, block)

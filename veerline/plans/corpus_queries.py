@@ -48,23 +48,25 @@ def opened(spark: SparkSession, kind: str, root: str, **only) -> DataFrame:
     return datasource.corpus(spark, kind, root, **only)
 
 
-K, T = F.col("k"), F.col("t")
-SAID = F.col("role") == "assistant"
+def cols():
+    """Conversation, turn, and whether an assistant says it."""
+    return F.col("k"), F.col("t"), F.col("role") == "assistant"
 
 
 # --- tool-using runs under injection ---
 
 
 def injection_docs(spark, sf):
-    calls = F.array(F.struct(name("f", T % 3).alias("function"), F.struct(T.alias("n")).alias("args"), name("k", T).alias("id")))
+    k, t, said = cols()
+    calls = F.array(F.struct(name("f", t % 3).alias("function"), F.struct(t.alias("n")).alias("args"), name("k", t).alias("id")))
     no_calls = F.lit(None).cast("array<struct<function:string,args:struct<n:bigint>,id:string>>")
     no = F.lit(None).cast("string")
-    turn = F.struct(F.when(SAID, "assistant").otherwise("user").alias("role"), F.col("text").alias("content"), F.when(SAID, calls).otherwise(no_calls).alias("tool_calls"), no.alias("tool_call_id"), no.alias("error"))
-    result = F.struct(F.lit("tool").alias("role"), name("r", T).alias("content"), no_calls.alias("tool_calls"), name("k", T).alias("tool_call_id"), F.when(T % 4 == 3, "refused").alias("error"))
-    d = gathered(turns(spark, sf), m=F.when(SAID, F.array(turn, result)).otherwise(F.array(turn)))
-    doc = F.struct(F.lit("s").alias("suite_name"), name("p", K % 3).alias("pipeline_name"), name("u", K % 5).alias("user_task_id"), F.lit("i1").alias("injection_task_id"), F.when(K % 2 == 0, "x").alias("attack_type"),
-                   F.struct(name("do ", K).alias("a")).alias("injections"), (K % 3 == 0).alias("utility"), (K % 4 == 0).alias("security"), F.lit(2.0).alias("duration"), F.flatten("m").alias("messages"))
-    return stored(d, name("p", K % 3, "/s/t", K, ".json"), doc)
+    turn = F.struct(F.when(said, "assistant").otherwise("user").alias("role"), F.col("text").alias("content"), F.when(said, calls).otherwise(no_calls).alias("tool_calls"), no.alias("tool_call_id"), no.alias("error"))
+    result = F.struct(F.lit("tool").alias("role"), name("r", t).alias("content"), no_calls.alias("tool_calls"), name("k", t).alias("tool_call_id"), F.when(t % 4 == 3, "refused").alias("error"))
+    d = gathered(turns(spark, sf), m=F.when(said, F.array(turn, result)).otherwise(F.array(turn)))
+    doc = F.struct(F.lit("s").alias("suite_name"), name("p", k % 3).alias("pipeline_name"), name("u", k % 5).alias("user_task_id"), F.lit("i1").alias("injection_task_id"), F.when(k % 2 == 0, "x").alias("attack_type"),
+                   F.struct(name("do ", k).alias("a")).alias("injections"), (k % 3 == 0).alias("utility"), (k % 4 == 0).alias("security"), F.lit(2.0).alias("duration"), F.flatten("m").alias("messages"))
+    return stored(d, name("p", k % 3, "/s/t", k, ".json"), doc)
 
 
 @query(C + f""", d AS (SELECT DISTINCT k, 'p' || k % 3 || '/s/t' || k AS run_id, 'p' || k % 3 AS agent_id FROM c WHERE k % 3 <> 1),
@@ -94,15 +96,16 @@ _SUB = "CASE k % 4 WHEN 0 THEN '20240102_a' WHEN 1 THEN '20240203_b' WHEN 2 THEN
 
 
 def coding_docs(spark, sf):
-    sub = F.when(K % 4 == 0, "20240102_a").when(K % 4 == 1, "20240203_b").when(K % 4 == 2, "chat_c").otherwise("none_d")
+    k, t, said = cols()
+    sub = F.when(k % 4 == 0, "20240102_a").when(k % 4 == 1, "20240203_b").when(k % 4 == 2, "chat_c").otherwise("none_d")
     call = lambda tool, arguments: F.array(F.struct(F.lit("function").alias("type"), F.struct(tool.alias("name"), arguments.alias("arguments")).alias("function")))
     message = lambda role, calls: F.struct(role.alias("role"), calls.alias("tool_calls"))
-    calls = call(name("f", T % 3), name('{"t": ', T, "}"))
-    d = gathered(turns(spark, sf), act=F.struct(F.when(SAID, "  ").otherwise(name("  ", F.col("role"), " -x ", T, "\n")).alias("action")), msg=message(F.when(SAID, "assistant").otherwise("user"), F.when(SAID & (K % 4 == 2), calls)))
-    done = message(F.lit("assistant"), F.when(K % 4 == 2, call(F.lit("done"), F.lit(""))))
-    text = F.when(K % 4 < 2, F.to_json(F.struct(F.col("act").alias("trajectory")))).otherwise(F.to_json(F.concat("msg", F.array(done))))
+    calls = call(name("f", t % 3), name('{"t": ', t, "}"))
+    d = gathered(turns(spark, sf), act=F.struct(F.when(said, "  ").otherwise(name("  ", F.col("role"), " -x ", t, "\n")).alias("action")), msg=message(F.when(said, "assistant").otherwise("user"), F.when(said & (k % 4 == 2), calls)))
+    done = message(F.lit("assistant"), F.when(k % 4 == 2, call(F.lit("done"), F.lit(""))))
+    text = F.when(k % 4 < 2, F.to_json(F.struct(F.col("act").alias("trajectory")))).otherwise(F.to_json(F.concat("msg", F.array(done))))
     root = new_folder(spark, "corpus")
-    datasource.write_documents(d.select(name(sub, "/trajs/repo__x-", K, F.when(K % 4 < 2, ".traj").otherwise(".json")).alias("rel"), text.alias("text")), root)
+    datasource.write_documents(d.select(name(sub, "/trajs/repo__x-", k, F.when(k % 4 < 2, ".traj").otherwise(".json")).alias("rel"), text.alias("text")), root)
     return root
 
 
@@ -130,14 +133,15 @@ def coding_skipped(spark, sf):
 
 
 def terminal_docs(spark, sf):
-    at = name("task", K % 7, "/model", K % 2, "/", F.when(K % 3 == 0, "baseline_trajectories").otherwise("hack_trajectories"), "/v", K, "/")
+    k, t, said = cols()
+    at = name("task", k % 7, "/model", k % 2, "/", F.when(k % 3 == 0, "baseline_trajectories").otherwise("hack_trajectories"), "/v", k, "/")
     call = lambda tool, keys: F.struct(tool.alias("function_name"), F.struct(keys.alias("keystrokes")).alias("arguments"))
-    calls = F.array(call(F.lit("bash_command"), name("cmd", T % 3, " -v ", T, "\n")), call(F.lit("done"), F.lit(None).cast("string")))
-    step = F.struct(F.when(SAID, "agent").otherwise("user").alias("source"), F.when(T % 2 == 1, "2025-01-01T00:00:00+00:00").alias("timestamp"), F.col("text").alias("message"), F.when(SAID, calls).alias("tool_calls"))
+    calls = F.array(call(F.lit("bash_command"), name("cmd", t % 3, " -v ", t, "\n")), call(F.lit("done"), F.lit(None).cast("string")))
+    step = F.struct(F.when(said, "agent").otherwise("user").alias("source"), F.when(t % 2 == 1, "2025-01-01T00:00:00+00:00").alias("timestamp"), F.col("text").alias("message"), F.when(said, calls).alias("tool_calls"))
     d = gathered(turns(spark, sf), steps=step)
     run = d.select(name(at, "trial/agent/trajectory.json").alias("rel"), F.to_json(F.struct(F.struct(F.lit("M").alias("model_name")).alias("agent"), "steps")).alias("text"))
-    kind = F.when(K % 3 == 0, "baseline").otherwise("rewarded_serious_exploit")
-    meta = d.select(name(at, "metadata.json").alias("rel"), F.to_json(F.struct(name("T", K % 7).alias("task_id"), kind.alias("classification"), (K % 10 / 10).alias("reward"))).alias("text"))
+    kind = F.when(k % 3 == 0, "baseline").otherwise("rewarded_serious_exploit")
+    meta = d.select(name(at, "metadata.json").alias("rel"), F.to_json(F.struct(name("T", k % 7).alias("task_id"), kind.alias("classification"), (k % 10 / 10).alias("reward"))).alias("text"))
     root = new_folder(spark, "corpus")
     datasource.write_documents(run.unionByName(meta), root)
     return root
@@ -170,10 +174,11 @@ def terminal_labels(spark, sf):
 
 
 def exported_docs(spark, sf):
-    calls = F.array(F.struct(F.lit("Bash").alias("name"), F.struct(name("run", T % 3, " x").alias("command"), F.lit("a").alias("note")).alias("parameters")))
-    d = gathered(turns(spark, sf), conversation=F.struct("role", F.col("text").alias("content"), F.when(SAID, calls).alias("tool_calls")))
+    k, t, said = cols()
+    calls = F.array(F.struct(F.lit("Bash").alias("name"), F.struct(name("run", t % 3, " x").alias("command"), F.lit("a").alias("note")).alias("parameters")))
+    d = gathered(turns(spark, sf), conversation=F.struct("role", F.col("text").alias("content"), F.when(said, calls).alias("tool_calls")))
     path = new_folder(spark, "corpus")
-    lines = d.select(F.to_json(F.struct(name("t", K).alias("trajectory_id"), F.when(K % 3 == 0, "0").otherwise("1.2, 3").alias("label"), "conversation")).alias("value"))
+    lines = d.select(F.to_json(F.struct(name("t", k).alias("trajectory_id"), F.when(k % 3 == 0, "0").otherwise("1.2, 3").alias("label"), "conversation")).alias("value"))
     lines.unionByName(spark.range(1).select(F.lit("no json").alias("value"))).write.text(path)
     return path
 
@@ -200,16 +205,17 @@ _TOKENS = "1000 * (k % 5 + 1) + 100 * t"
 
 def span_docs(spark, sf):
     """A span a turn below a span a conversation; turns of even number that an assistant says are annotated, and each third conversation notes a span that isn't there."""
-    attrs = F.create_map(F.lit("openinference.span.kind"), F.when(SAID, "LLM").otherwise("TOOL"), F.lit("input.value"), _phrase(FAILURES, K + T), F.lit("output.value"), _phrase(FAILURES, K * 3 + T * 5),
-                         F.lit("llm.token_count.prompt"), (1000 * (K % 5 + 1) + 100 * T).cast("string"), F.lit("llm.output_messages.0.message.content"), F.substring("text", 1, 40))
-    span = F.struct(name("s", T).alias("span_id"), F.col("role").alias("span_name"), F.concat(F.lit("2025-01-01T00:00:"), F.lpad(T.cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
-                    F.when(T % 5 == 2, "Error").otherwise("Unset").alias("status_code"), F.concat(F.lit("PT"), T.cast("string"), F.lit(".5S")).alias("duration"), attrs.alias("span_attributes"))
-    note = F.when(SAID & (T % 2 == 0), F.struct(_phrase(("Tools", "tool ", "Goals"), T).alias("category"), name("s", T).alias("location"), F.lit("HIGH").alias("impact")))
+    k, t, said = cols()
+    attrs = F.create_map(F.lit("openinference.span.kind"), F.when(said, "LLM").otherwise("TOOL"), F.lit("input.value"), _phrase(FAILURES, k + t), F.lit("output.value"), _phrase(FAILURES, k * 3 + t * 5),
+                         F.lit("llm.token_count.prompt"), (1000 * (k % 5 + 1) + 100 * t).cast("string"), F.lit("llm.output_messages.0.message.content"), F.substring("text", 1, 40))
+    span = F.struct(name("s", t).alias("span_id"), F.col("role").alias("span_name"), F.concat(F.lit("2025-01-01T00:00:"), F.lpad(t.cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
+                    F.when(t % 5 == 2, "Error").otherwise("Unset").alias("status_code"), F.concat(F.lit("PT"), t.cast("string"), F.lit(".5S")).alias("duration"), attrs.alias("span_attributes"))
+    note = F.when(said & (t % 2 == 0), F.struct(_phrase(("Tools", "tool ", "Goals"), t).alias("category"), name("s", t).alias("location"), F.lit("HIGH").alias("impact")))
     d = gathered(turns(spark, sf), spans=span, notes=note)
     top = F.struct(F.lit("top").alias("span_id"), F.lit("agent").alias("span_name"), F.lit("2024-12-31T00:00:00Z").alias("timestamp"), F.lit("Ok").alias("status_code"), F.col("spans").alias("child_spans"))
-    data = stored(d, name("r", K, ".json"), F.struct(name("r", K).alias("trace_id"), F.array(top).alias("spans")))
-    gone = F.when(K % 3 == 0, F.array(F.struct(F.lit("lost").alias("category"), F.lit("gone").alias("location"), F.lit("LOW").alias("impact")))).otherwise(F.array().cast("array<struct<category:string,location:string,impact:string>>"))
-    notes = stored(d.withColumn("notes", F.array_compact("notes")), name("r", K, ".json"), F.struct(F.concat("notes", gone).alias("errors"), F.array(F.struct(K.alias("x"))).alias("scores")))
+    data = stored(d, name("r", k, ".json"), F.struct(name("r", k).alias("trace_id"), F.array(top).alias("spans")))
+    gone = F.when(k % 3 == 0, F.array(F.struct(F.lit("lost").alias("category"), F.lit("gone").alias("location"), F.lit("LOW").alias("impact")))).otherwise(F.array().cast("array<struct<category:string,location:string,impact:string>>"))
+    notes = stored(d.withColumn("notes", F.array_compact("notes")), name("r", k, ".json"), F.struct(F.concat("notes", gone).alias("errors"), F.array(F.struct(k.alias("x"))).alias("scores")))
     return corpora.span_traces(spark, data, notes, "set", opened(spark, "spans", data))
 
 
@@ -281,10 +287,11 @@ def span_density(spark, sf):
 
 
 def blamed_docs(spark, sf):
-    entry = F.struct(F.col("text").alias("content"), F.when(T % 4 != 3, F.col("role")).alias("role"), F.when(T % 4 == 1, name("Web", T)).alias("name"))
+    k, t, _ = cols()
+    entry = F.struct(F.col("text").alias("content"), F.when(t % 4 != 3, F.col("role")).alias("role"), F.when(t % 4 == 1, name("Web", t)).alias("name"))
     d = gathered(turns(spark, sf), history=entry)
-    doc = F.struct(F.when(K % 9 != 8, name("q", K)).alias("question_ID"), "history", (K % 2 == 0).alias("is_correct"), F.lit("Web1").alias("mistake_agent"), (K % 4).cast("string").alias("mistake_step"))
-    root = stored(d, name(K, ".json"), doc)
+    doc = F.struct(F.when(k % 9 != 8, name("q", k)).alias("question_ID"), "history", (k % 2 == 0).alias("is_correct"), F.lit("Web1").alias("mistake_agent"), (k % 4).cast("string").alias("mistake_step"))
+    root = stored(d, name(k, ".json"), doc)
     return corpora.blamed_runs(spark, root, "alg", opened(spark, "blamed", root))
 
 
@@ -308,15 +315,16 @@ _LAST = 7  # sessions of each eighth conversation aren't in the map
 
 
 def chat_docs(spark, sf):
-    t = turns(spark, sf)
-    tool = F.when(SAID, "Bash").otherwise(F.col("role"))
-    event = F.struct(name("s", K).alias("session_id"), (T.cast("int")).alias("turn_number"), F.when(T % 6 != 5, 1_700_000_000_000_000 + K * 1_000_000 + T * 1000).alias("ts_us"), tool.alias("tool_name"),
-                     F.when(SAID & (T % 2 == 1), name("git", T % 3)).alias("command_head"), F.sha2("text", 256).alias("params_sha256"), F.when(T % 5 == 4, "error").alias("status"), (T * 1.5).alias("duration_ms"))
+    k, t, said = cols()
+    rows = turns(spark, sf)
+    tool = F.when(said, "Bash").otherwise(F.col("role"))
+    event = F.struct(name("s", k).alias("session_id"), (t.cast("int")).alias("turn_number"), F.when(t % 6 != 5, 1_700_000_000_000_000 + k * 1_000_000 + t * 1000).alias("ts_us"), tool.alias("tool_name"),
+                     F.when(said & (t % 2 == 1), name("git", t % 3)).alias("command_head"), F.sha2("text", 256).alias("params_sha256"), F.when(t % 5 == 4, "error").alias("status"), (t * 1.5).alias("duration_ms"))
     events, sessions = new_folder(spark, "corpus"), new_folder(spark, "corpus")
-    t.select(F.to_json(event).alias("value")).write.text(events)
-    one = F.struct(name("u", K % 4).alias("user_id"), F.lit("Code  Helper").alias("agent"), name("v", K % 2).alias("cli_version"), name("repo", K % 3).alias("repo_id"), K.alias("created_at_us"))
+    rows.select(F.to_json(event).alias("value")).write.text(events)
+    one = F.struct(name("u", k % 4).alias("user_id"), F.lit("Code  Helper").alias("agent"), name("v", k % 2).alias("cli_version"), name("repo", k % 3).alias("repo_id"), k.alias("created_at_us"))
     # one object of all sessions, a member a line
-    members = t.where(K % 8 != _LAST).select("k").distinct().select(name('"s', K, '": ', F.to_json(one), ",").alias("value"))
+    members = rows.where(k % 8 != _LAST).select("k").distinct().select(name('"s', k, '": ', F.to_json(one), ",").alias("value"))
     head = spark.range(1).select(F.lit("{").alias("value"))
     tail = spark.range(1).select(F.lit('"end": {"user_id": "nobody"}}').alias("value"))
     rank = lambda df, n: df.withColumn("n", F.lit(n))
@@ -347,11 +355,12 @@ _OWNED = ("I could not do it", "done", "sorry", "it is finished", "unable to go
 
 
 def hallucination_docs(spark, sf):
-    entry = F.struct((T + 1).cast("string").alias("step"), F.when(SAID, "assistant").otherwise("user").alias("role"), F.when(SAID, _phrase(_OWNED, K + T)).otherwise(F.substring("text", 1, 20)).alias("content"),
-                     F.when(SAID, F.array(F.struct(T.alias("b"), F.lit("x").alias("a")))).alias("tool_calls"), F.when(SAID, _phrase(_WENT, K * 5 + T)).alias("tool_responses"))
+    k, t, said = cols()
+    entry = F.struct((t + 1).cast("string").alias("step"), F.when(said, "assistant").otherwise("user").alias("role"), F.when(said, _phrase(_OWNED, k + t)).otherwise(F.substring("text", 1, 20)).alias("content"),
+                     F.when(said, F.array(F.struct(t.alias("b"), F.lit("x").alias("a")))).alias("tool_calls"), F.when(said, _phrase(_WENT, k * 5 + t)).alias("tool_responses"))
     d = gathered(turns(spark, sf), history=entry)
-    doc = F.struct(F.lit("m").alias("model_id"), F.lit("d").alias("question_domain"), F.when(K % 2 == 0, "true").otherwise("False").alias("is_hallucination"), F.when(K % 2 == 0, (K % 4 + 1).cast("string")).alias("hallucination_step"), "history")
-    root = stored(d, name(F.when(K % 3 == 0, "BFCL").when(K % 3 == 1, "Camel").otherwise("Unknown"), "/", K, ".json"), doc)
+    doc = F.struct(F.lit("m").alias("model_id"), F.lit("d").alias("question_domain"), F.when(k % 2 == 0, "true").otherwise("False").alias("is_hallucination"), F.when(k % 2 == 0, (k % 4 + 1).cast("string")).alias("hallucination_step"), "history")
+    root = stored(d, name(F.when(k % 3 == 0, "BFCL").when(k % 3 == 1, "Camel").otherwise("Unknown"), "/", k, ".json"), doc)
     docs = opened(spark, "hallucination", root, directory=list(corpora.FRAMEWORKS))
     return corpora.hallucination_runs(spark, root, docs)
 

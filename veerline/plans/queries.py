@@ -707,11 +707,6 @@ def command_tokens(spark, sf):
     return E.token_records(records, c.select("run_id", "step_index", F.col("text").alias("l1_text")))
 
 
-@query(None)
-def synthetic_validation(spark, sf):
-    return E.synthetic_summary(E.synthetic(spark, 1, 120))
-
-
 @query(_SEG.replace("PARTITION BY agent_id ORDER BY us, event_id", "ORDER BY us, event_id").replace("PARTITION BY agent_id ORDER BY event_index", "ORDER BY event_index") + "SELECT segment, model_version, count(*) AS n, CAST(min(event_index) AS BIGINT) AS start FROM s GROUP BY segment, model_version")
 def global_version_segments(spark, sf):
     s = D.segments(V.records(spark, sf).drop("step_index"), ORDER, stream=())

@@ -1,13 +1,10 @@
 """Trials: shuffled runs, calibration on some, verdicts on others. All trials of all groups are one plan, with the
 trial as a column.
 
-Runs are shuffled either as a seeded Python generator does, by a table of permutations that the driver makes and which
-has a row a run and trial, or natively, by a hash of trial and run."""
+Runs are shuffled by a hash of trial and run; any other order will do that is given as a table (trial, run_id, pos)."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +18,6 @@ CHANNELS = ("divergence", "cusum")
 ATTACK = 3
 
 
-def permutations(spark, ids: list[str], trials: int, seed: int = 7) -> DataFrame:
-    """trial, run_id, pos: the sorted ids as random.Random(seed + trial) shuffles them."""
-    rows = []
-    for k in range(trials):
-        order = sorted(ids)
-        random.Random(seed + k).shuffle(order)
-        rows += [(k, run, i) for i, run in enumerate(order)]
-    return spark.createDataFrame(rows, "trial int, run_id string, pos long")
-
-
 def hashed(ids: DataFrame, trials: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, trial, run_id, pos: ids (keys, run_id) in the order of a hash of trial and run. Places are those in ranges of the order, so
     that a trial may have any number of runs."""
