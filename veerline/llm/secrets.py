@@ -64,10 +64,13 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     found = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
     found += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = [(x[1], x[2]) for x in found]
+    base, i, reach = sorted((x[1], x[2]) for x in found), 0, -1
     for m in CANDIDATE.finditer(text):
+        # both lists are in order: reach is the furthest end of a base span that starts here or before
+        while i < len(base) and base[i][0] <= m.start():
+            reach, i = max(reach, base[i][1]), i + 1
         value = m[0]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(a <= m.start() and m.end() <= b for a, b in base):
+        if reach < m.end() and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
             found.append(("live", m.start(), m.end(), value))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
