@@ -146,7 +146,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs in the order of virtual finish time, once for each pass that takes
     them; a document at which a source is cut holds the words taken."""
     q = Queues(docs, **how)
-    parts = lambda at: F.least(F.floor(at * q.parts), F.lit(q.parts)).cast("long")  # noqa: E731  the last: times beyond 1
+    parts = lambda at: F.least(F.floor(at * q.parts), F.lit(q.parts)).cast("int")  # noqa: E731  the last: times beyond 1
     # ranges of finish times in which a hash range's documents may end, in each pass
     g = q.groups.where("target > 0 AND range_size > 0").withColumn("pass", F.explode(F.array(*(F.lit(k) for k in range(PASSES)))))
     first, last = _finish(F.col("before"), F.col("pass")), _finish(F.col("before") + F.col("range_size"), F.col("pass"))
@@ -154,7 +154,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     near = F.broadcast if q.groups.count() <= MOST_GROUPS else (lambda x: x)
     rows = _sized(docs, None, F.struct("*").alias("doc")).withColumn("range", q.range_of()).join(near(g), ["skey", "range"])
     here = Window.partitionBy("part", "skey", "range", "pass").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.repartition("part").withColumn("start", F.col("before") + F.sum("size").over(here) - F.col("size"))
+    # parts are ranges of finish times: dealt by their numbers, files in order hold the mix in order
+    rows = rows.repartitionById(q.parts + 1, F.col("part")).withColumn("start", F.col("before") + F.sum("size").over(here) - F.col("size"))
     rows = rows.withColumn("at", _finish(F.col("start") + F.col("size"), F.col("pass"))).where(F.col("part") == parts(F.col("at")))
     rows = rows.withColumn("taken", q.taken(F.col("pass"))).where("taken > 0")
     words = F.split(F.btrim("doc.text", F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+")
