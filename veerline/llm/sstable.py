@@ -17,7 +17,7 @@ A task writes its shard under a name of its own and renames it when it is comple
 writes the same bytes.
 
 Defined results: null and empty texts have the end id only; a null identifier sorts first; rows of
-equal identifier keep all their entries, ordered by text; an empty table gives no shard and no row;
+equal identifier keep all their entries, ordered by text; identifiers that are no numbers count as null; an empty table gives no shard and no row;
 columns other than doc_id and text aren't read.
 """
 
@@ -42,6 +42,8 @@ BLOCK, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 10, 7
 FOOTER = struct.Struct("<QQIQQBBI8s")
 MAGIC = b"VEERSST1"
 END_ID = 2
+#: Bytes of text and documents of a shard at most, as a task holds the keys of its shard; fewer bytes aren't worth a task.
+SHARD_BYTES, SHARD_ROWS, LEAST_BYTES = 64 << 20, 2_000_000, 4 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -240,10 +242,16 @@ def write_shards(docs: DataFrame, folder: str, vocab: str, shards: int, end_id:
             yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "path": [path], "docs": pa.array([writer.entries], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
 
     make_folder(docs.sparkSession, folder)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(rows.mapInArrow(run, "number long, path string, docs long, tokens long"), "shards")
 
 
+def shards_for(docs: DataFrame) -> int:
+    """Shards of docs: as many as there are tasks, if each gets LEAST_BYTES of text, and more where SHARD_BYTES or SHARD_ROWS ask for it."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    return max(1, -(-n // SHARD_ROWS), -(-size // SHARD_BYTES), min(partitions_for(docs.sparkSession), -(-size // LEAST_BYTES)))
+
+
 def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards; start counts over all shards."""
     at, rows = 0, []
@@ -274,4 +282,4 @@ def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
 
 def op8_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_shards(spark, write_shards(docs, new_folder(spark, "sst"), vocabulary(), partitions_for(spark)))
+    return read_shards(spark, write_shards(docs, new_folder(spark, "sst"), vocabulary(), shards_for(docs)))
