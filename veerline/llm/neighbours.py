@@ -52,7 +52,7 @@ CODES = 16
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the rows that take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
+    rows = vectors.where(F.col("vec_id").try_cast("long").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").try_cast("long").alias("vec_id"), v.alias("v")).where(
         F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)))
     return rows
 
