@@ -32,17 +32,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, the one of smallest doc_id, and of rows of equal doc_id, the smallest of
-    all columns; rows without a doc_id stay, and so do null and empty texts of doc_ids of their own."""
+    all columns; rows without a doc_id (or with one that is no number) stay, and so do null and empty texts of doc_ids of their own."""
     bounded_reads(spark)
-    found = staged(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+    found = staged(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_found")).agg(
         F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "dropped")
     n = found.count()
     near = (lambda d: F.broadcast(d)) if n <= minhash.MOST_BROADCAST else (lambda d: d)
-    once = docs.join(near(found.select("doc_id")), "doc_id", "left_anti")
+    same = docs["doc_id"].try_cast("long") == found["_found"]
+    once = docs.join(near(found.select("_found")), same, "left_anti")
     if not found.where("kept").head(1):
         return once
-    again = docs.join(near(found.where("kept").select("doc_id")), "doc_id", "left_semi")
-    first = again.groupBy("doc_id").agg(F.min(F.struct("*")).alias("doc")).select("doc.*")
+    again = docs.join(near(found.where("kept").select("_found")), same, "left_semi")
+    first = again.groupBy(F.col("doc_id").try_cast("long").alias("_found")).agg(F.min(F.struct("*")).alias("doc")).select("doc.*")
     return once.unionByName(first).select(*docs.columns)
 
 
