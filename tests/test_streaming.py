@@ -6,7 +6,7 @@ import pytest
 
 from tests import sequential as Q
 from veerline.operators import channels as C
-from veerline.streaming.channels import STATE_STORE, Scorer, scored_stream
+from veerline.streaming.channels import STATE_STORE, Scorer, StateMap, scored_stream
 
 
 @pytest.mark.parametrize("window", [5, 25])
@@ -66,15 +66,88 @@ def test_stream_equals_batch(spark, tmp_path):
     assert alarms == {(r["agent_id"], r["channel"]): r["event_index"] for r in C.two_regime(events, d, ("agent_id",), C.Divergence(window=10)).collect()}
 
 
-def test_late_rows(spark, tmp_path):
+def test_disorder_within_the_watermark(spark, tmp_path):
+    """Rows that come in any order within the watermark get the scores of the batch plan, each once."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    dist = Q.distribution(Q.zipf_tools(500, 6))
+    rows = [(u, i, t, t0 + dt.timedelta(seconds=i)) for u, seed in (("a", 2), ("b", 3)) for i, t in enumerate(Q.zipf_tools(90, 6, seed) + ["new"] * 20)]
+    path, batches = str(tmp_path / "in"), {}
+    for r in rows:
+        batches.setdefault((r[1] + rng.randint(0, 40)) // 30, []).append(r)
+    for _, batch in sorted(batches.items()):
+        rng.shuffle(batch)
+        write(spark, path, batch)
+    write(spark, path, [("heartbeat", 0, "x", t0 + dt.timedelta(days=1))])
+    got = {(r["stream"], r["event_index"]): r for r in run(spark, path, tmp_path, "disorder", dist=dist, div=C.Divergence(window=10), event_time="at", late="80 seconds").collect()}
+    events = C.numbered(spark.createDataFrame(rows, "agent_id string, ord long, tool string, at timestamp"), ("agent_id",), ("ord",))
+    batch = C.scored(events, spark.createDataFrame(list(dist.items()), "tool string, p double"), ("agent_id",), C.Divergence(window=10)).collect()
+    assert len(batch) == len(got) == 220 and all(r["late"] == 0 for r in got.values())
+    for r in batch:
+        g = got[r["agent_id"], r["event_index"]]
+        assert g["tool"] == r["tool"] and g["stat"] == pytest.approx(r["stat"], abs=1e-9)
+        assert r["ema"] is None or g["ema"] == pytest.approx(r["ema"], abs=1e-9)
+
+
+def test_late_rows_and_idle_streams(spark, tmp_path):
     import datetime as dt
 
     t0 = dt.datetime(2024, 1, 1)
     path = str(tmp_path / "late")
-    for k, minutes in enumerate(([0, 60], [61, 1], [62])):
-        write(spark, path, [("a", 100 * k + i, "x", t0 + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)])
-    got = run(spark, path, tmp_path, "timed", dist={"x": 1.0}, event_time="at").orderBy("event_index").collect()
-    assert len(got) == 4 and got[-1]["late"] <= 1
+    # one row is late; a day later the stream starts anew, as its state has gone
+    for k, minutes in enumerate(([0, 60], [61], [1], [62], [1440 * 2], [1440 * 2 + 1], [1440 * 5])):
+        who = "other" if minutes[0] == 1440 * 5 else "a"
+        write(spark, path, [(who, 100 * k + i, "x", t0 + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)])
+    write(spark, path, [("other", 1000, "x", t0 + dt.timedelta(days=9))])
+    how = {"dist": {"x": 1.0}, "event_time": "at"}
+    kept = run(spark, path, tmp_path, "timed", **how).where("stream = 'a'").orderBy("event_index").collect()
+    assert [r["event_index"] for r in kept] == [0, 1, 2, 3, 4, 5] and kept[-1]["late"] <= 1
+    gone = run(spark, path, tmp_path, "idle", idle=86_400_000, **how).where("stream = 'a'").collect()
+    assert sorted(r["event_index"] for r in gone) in ([0, 0, 1, 1, 2, 3], [0, 1, 2, 3, 4, 5])
+
+
+def test_scorer_with_maps_kept_elsewhere():
+    class Store(dict):
+        """What a map state offers."""
+
+        writes = 0
+
+        def getValue(self, key):
+            return self[key]
+
+        def containsKey(self, key):
+            return key in self
+
+        def updateValue(self, key, value):
+            Store.writes += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def exists(self):
+            return bool(self)
+
+    base, tools = Q.zipf_tools(1000), Q.zipf_tools(5000, seed=4)
+    dist, ring, counts, raw = Q.distribution(base), Store(), Store(), None
+    want = Q.channel_scores(tools, dist, 400)
+    for k in range(0, 5000, 20):  # a batch of twenty events
+        s = Scorer(dist, C.Divergence(window=400))
+        maps = StateMap(ring), StateMap(counts)
+        s.attach(*maps)
+        if raw is not None:
+            s.load(raw)
+        for i in range(k, k + 20):
+            ema, stat, _ = s.update(tools[i])
+            assert ema == (None if want[i][1] is None else pytest.approx(want[i][1], abs=1e-9)) and stat == pytest.approx(want[i][2], abs=1e-7)
+        raw, before = s.dump(), Store.writes
+        for m in maps:
+            m.flush()
+        assert Store.writes - before <= 60 and len(raw) < 300  # not the whole window
+    assert len(ring) == 400 and sum(n for n, in counts.values()) == 400
 
 
 def test_other_channels(spark, tmp_path):

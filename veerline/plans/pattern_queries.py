@@ -211,25 +211,50 @@ def ledger_round_trip(spark, sf):
     return back.select("run_id", "step_index", "agent_id", "goal_id", "tool", "params_hash", "status", r6("ts", "ts"), F.col("meta")["event"].cast("long").alias("event_id"), "noted")
 
 
+@query(RECORDS + "SELECT run_id, CAST(step_index AS INTEGER) AS step_index, tool, event_id, 'n' || event_id AS noted FROM r")
+def sidecar_lockstep(spark, sf):
+    """A sidecar met line by line: by places that don't depend on how the files are split, with the keys checked."""
+    r = V.records(spark, sf)
+    step = F.col("step_index").cast("int").alias("step_index")
+    records = r.select("ts", "run_id", "agent_id", "model", "model_version", "goal_id", step, "tool", "params_hash", "status", F.lit(0.0).alias("duration_ms"),
+                       F.create_map(F.lit("event"), F.col("event_id").cast("string")).alias("meta"))
+    ledger, side = new_folder(spark, "ledger"), new_folder(spark, "sidecar")
+    files.write_ledger(records, ledger)
+    noted = r.select("run_id", step, F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("noted")).orderBy("run_id", "step_index")
+    noted.select(F.to_json(F.struct("*"))).write.text(side)
+    both = files.lockstep(files.read_ledger(spark, ledger), files.read_sidecar(spark, side, "run_id string, step_index int, noted string"))
+    return both.select("run_id", "step_index", "tool", F.col("meta")["event"].cast("long").alias("event_id"), "noted")
+
+
 # --- the channels over a stream of files ---
 
 
-def _streamed(spark, sf):
-    """The scores of all events, read as a stream until none are left."""
+def _streamed(spark, sf, disorder=False):
+    """The scores of all events, read as a stream until none are left. disorder: a third of them arrives a day late, another two days."""
     _, base, _ = base_and_rest(spark, sf)
     dist = {x["tool"]: x["p"] for x in S.tool_distribution(base).collect()}
     source, sink, state = (new_folder(spark, n) for n in ("events", "scores", "offsets"))
-    V.records(spark, sf).select("agent_id", "us", "event_id", "tool").write.parquet(source)
+    rows, how, files_at_once = V.records(spark, sf).select("agent_id", "us", "event_id", "tool", F.timestamp_seconds("ts").alias("at")), {}, 1000
+    if disorder:
+        rows = rows.withColumn("arrives", F.floor((F.floor(F.col("us") / 86_400_000_000) + F.col("event_id") % 3) / 8)).persist()
+        for k in range(rows.agg(F.max("arrives")).first()[0] + 1):
+            rows.where(F.col("arrives") == k).drop("arrives").write.mode("append").parquet(source)
+        end = rows.agg(F.lit("heartbeat").alias("agent_id"), F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("event_id"), F.lit("view").alias("tool"), (F.max("at") + F.expr("INTERVAL 99 DAYS")).alias("at"))
+        end.write.mode("append").parquet(source)
+        rows.unpersist()
+        how, files_at_once = {"event_time": "at", "late": "11 days"}, 4
+    else:
+        rows.write.parquet(source)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, H.STATE_STORE[provider])
     try:
-        events = spark.readStream.schema("agent_id string, us long, event_id long, tool string").parquet(source)
-        scored = H.scored_stream(events, dist, "agent_id", ORDER, C.Divergence(window=WINDOW), C.Cusum(slack=0.0, threshold=1.0))
+        events = spark.readStream.schema("agent_id string, us long, event_id long, tool string, at timestamp").option("maxFilesPerTrigger", files_at_once).parquet(source)
+        scored = H.scored_stream(events, dist, "agent_id", ORDER, C.Divergence(window=WINDOW), C.Cusum(slack=0.0, threshold=1.0), **how)
         scored.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink).awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema(H.OUTPUT).parquet(sink).withColumnRenamed("stream", STREAM[0])
+    return spark.read.schema(H.OUTPUT).parquet(sink).where("stream <> 'heartbeat'").withColumnRenamed("stream", STREAM[0])
 
 
 @query(_EMA + _CUS.format(slack="0.0")[len(_EMA.split(", wn AS")[0]):] + " SELECT c.agent_id, CAST(c.event_index AS BIGINT) AS event_index, round(ema, 6) AS ema, round(stat, 6) AS stat FROM c LEFT JOIN we ON we.agent_id = c.agent_id AND we.event_index = c.event_index")
@@ -237,6 +262,12 @@ def stream_scores(spark, sf):
     return _streamed(spark, sf).select("agent_id", "event_index", r6("ema", "ema"), r6(F.abs("stat"), "stat"))
 
 
+@query(_EMA + _CUS.format(slack="0.0")[len(_EMA.split(", wn AS")[0]):] + " SELECT c.agent_id, CAST(c.event_index AS BIGINT) AS event_index, round(ema, 6) AS ema, round(stat, 6) AS stat FROM c LEFT JOIN we ON we.agent_id = c.agent_id AND we.event_index = c.event_index")
+def disordered_stream_scores(spark, sf):
+    """The same scores when events arrive out of order."""
+    return _streamed(spark, sf, True).select("agent_id", "event_index", r6("ema", "ema"), r6(F.abs("stat"), "stat"))
+
+
 @query(_ALARM + "SELECT agent_id, channel, CAST(event_index AS BIGINT) AS event_index FROM fa")
 def stream_alarms(spark, sf):
     return _streamed(spark, sf).where("alarm <> ''").select("agent_id", F.explode(F.split("alarm", ",")).alias("channel"), "event_index")

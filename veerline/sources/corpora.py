@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import canonical as K
 from ..functions import text as T
 from ..functions.text import TS_BASE
 from .files import documents, ranked
+from .lines import json_members, placed_lines
 from .spans import paired_results, spans_of
 
 RUN_SPACING = 1000.0
@@ -281,9 +283,9 @@ def blamed_runs(spark: SparkSession, root: str, variant: str, docs: DataFrame |
 
 def chat_sessions(spark: SparkSession, events: str, sessions: str) -> Corpus:
     """Labels here are the sessions' own columns; skipped counts events without a session, and without time or tool."""
-    meta = spark.read.text(sessions, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<user_id:string,agent:string,cli_version:string,repo_id:string,created_at_us:bigint>>")).alias("session_id", "s")).select("session_id", "s.*")
+    meta = written(json_members(spark, sessions).select(F.col("key").alias("session_id"), F.from_json("value", "struct<user_id:string,agent:string,cli_version:string,repo_id:string,created_at_us:bigint>").alias("s")).select("session_id", "s.*"), "sessions")
     schema = "session_id string, turn_number int, ts_us bigint, tool_name string, command_head string, params_sha256 string, model string, status string, duration_ms double"
-    lines = spark.read.text(events).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.from_json("value", schema).alias("e")).select("line", "e.*")
+    lines = placed_lines(spark, events).where(F.trim("value") != "").select(F.col("place").alias("line"), F.from_json("value", schema).alias("e")).select("line", "e.*")
     known = lines.join(meta, "session_id")
     head = F.coalesce("command_head", F.lit(""))
     tool = F.when(F.col("tool_name").isin("Bash", "bash") & (head != ""), head).otherwise(F.coalesce("tool_name", F.lit("")))

@@ -9,7 +9,9 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import numbered_by_ranges
 from ..schema import RECORD, checked
+from .lines import placed_lines
 
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
@@ -24,17 +26,49 @@ def documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFr
 
 
 def ranked(rows: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), name: str = "run_index") -> DataFrame:
-    """rows with their rank from 0 in an order, within groups."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn(name, F.row_number().over(w.orderBy(*order)) - 1)
+    """rows with their rank from 0 in a total order, within groups; of all rows, in ranges of the order, if there are no groups."""
+    if not by:
+        return ranked_of_all(rows, order, name)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def ranked_of_all(rows: DataFrame, order: tuple, name: str) -> DataFrame:
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    named = rows.select("*", *(k.alias(f"_o{i}") for i, k in enumerate(keys)))
+    order = tuple(f"_o{i}" for i in range(len(keys)))
+    return numbered_by_ranges(named, (), order).withColumnRenamed("event_index", name).drop(*order)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON-lines files, strictly, with file and pos: the place that gives their order."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    """Records of JSON-lines files, strictly, with file and pos: the place that gives their order, however the files are split."""
+    lines = placed_lines(spark, path).select(F.col("value").alias("line"), "file", F.col("place").alias("pos"))
     return checked(lines).select(*RECORD.fieldNames(), "file", "pos")
 
 
+def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON-lines files that stand beside a ledger, with pos."""
+    lines = placed_lines(spark, path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r"), F.col("place").alias("pos")).select("_r.*", "pos")
+
+
+def lockstep(ledger: DataFrame, sidecar: DataFrame, keys: tuple[str, ...] = ("run_id", "step_index")) -> DataFrame:
+    """ledger with the other columns of a sidecar whose line n is of the ledger's line n. A sidecar that is shorter or longer, or has
+    other keys at a place, is an error; equal keys at several places are several rows, each with its own line."""
+    left, right = (ranked_lines(d) for d in (ledger, sidecar))
+    mine = right.select("_n", *(F.col(k).alias(f"_{k}") for k in keys), *(c for c in sidecar.columns if c not in (*keys, "pos", "file")), F.lit(True).alias("_r"))
+    both = left.withColumn("_l", F.lit(True)).join(mine, "_n", "full")
+    same = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    fault = F.concat(F.lit("ledger and sidecar differ at line "), F.col("_n").cast("string"))
+    return both.where(F.when(~same, F.raise_error(fault).cast("boolean")).otherwise(F.lit(True))).drop("_l", "_r", "_n", *(f"_{k}" for k in keys))
+
+
+def ranked_lines(rows: DataFrame) -> DataFrame:
+    """rows (with pos) with _n: their rank, as blank lines leave holes in the places."""
+    return numbered_by_ranges(rows, (), ("pos",)).withColumnRenamed("event_index", "_n")
+
+
 def as_json(records: DataFrame) -> DataFrame:
     """One column, value: each record as JSON with sorted keys."""
     return records.select(F.to_json(F.struct(*sorted(RECORD.fieldNames())), {"ignoreNullFields": "false"}).alias("value"))

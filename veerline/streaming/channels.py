@@ -1,17 +1,19 @@
 """The two channels over unbounded streams: one state a stream, a constant amount of work an event.
 
-State of a stream: the window's tools, their counts, the smoothed divergence, how long it has been above the threshold,
-the cumulative sum, and what has fired. Scores equal those of the batch plans in operators.channels.
+State of a stream: the window's tools by their slots and their counts, each an entry of its own, so that an event rewrites two or three entries however
+long the window is; and a few numbers: the smoothed divergence, how long it has been above the threshold, the cumulative sum, what has fired. Scores
+equal those of the batch plans in operators.channels.
 
-Records are expected in order within a stream; those of one micro-batch are sorted. With an event time, rows older than
-the watermark are dropped and counted in late: order that came too late has no meaning for the channels."""
+Without an event time, records are expected in order within a stream; those of one micro-batch are sorted. With one, they may come in any order within
+the watermark: rows wait in a list until a timer tells that the watermark has passed them, are released in order, and scored then. Rows older than the watermark are dropped: by Spark, which counts them in its progress (numRowsDroppedByWatermark), and
+those that reach the operator nonetheless are counted in late. The last rows of a stream wait for the watermark, too: a heartbeat (a later row of any other stream) moves it on. idle: event time without a row after which a stream's state goes."""
 
 from __future__ import annotations
 
 import json
 import math
-from collections import Counter, deque
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, MutableMapping
 from typing import Protocol
 
 import pandas as pd
@@ -51,18 +53,23 @@ class Scorer:
         self.dist, self.div, self.cus = dist, div, cus
         self.mean = -sum(p * math.log2(p) for p in dist.values() if p > 0)
         self.rest = sum(self._alone(p) for p in dist.values())
-        self.window: deque[str] = deque()
-        self.counts: Counter[str] = Counter()
+        self.ring: MutableMapping[int, str] = {}
+        self.counts: MutableMapping[str, int] = {}
+        self.attached = False
         self.sum, self.ema, self.over, self.stat, self.n = 0.0, None, 0, 0.0, 0
         self.fired: list[str] = []
 
+    def attach(self, ring: MutableMapping[int, str], counts: MutableMapping[str, int]) -> None:
+        """Window and counts that are kept elsewhere; dump() and load() leave them out then."""
+        self.ring, self.counts, self.attached = ring, counts, True
+
     @staticmethod
     def _alone(q: float) -> float:
         return _kl(q, q / 2) / 2
 
     def _part(self, tool: str) -> float:
         """What a tool within the window adds to the divergence of an empty window."""
-        n = self.counts[tool]
+        n = self.counts.get(tool, 0)
         if not n:
             return 0.0
         p, q = n / self.div.window, self.dist.get(tool, 0.0)
@@ -70,22 +77,26 @@ class Scorer:
 
     def _change(self, tool: str, by: int) -> None:
         self.sum -= self._part(tool)
-        self.counts[tool] += by
-        if not self.counts[tool]:
+        n = self.counts.get(tool, 0) + by
+        if n:
+            self.counts[tool] = n
+        else:
             del self.counts[tool]
         self.sum += self._part(tool)
 
     def update(self, tool: str) -> tuple[float | None, float, list[str]]:
         """Smoothed divergence (None until the window is full), cumulative sum, and the channels that fire now."""
-        self.window.append(tool)
+        slot = self.n % self.div.window
+        leaves = self.ring[slot] if self.n >= self.div.window else None
+        self.ring[slot] = tool
         self._change(tool, 1)
-        if len(self.window) > self.div.window:
-            self._change(self.window.popleft(), -1)
+        if leaves is not None:
+            self._change(leaves, -1)
         self.n += 1
         if self.n % RESYNC == 0:
             self.sum = sum(map(self._part, list(self.counts)))
         now: list[str] = []
-        if len(self.window) == self.div.window:
+        if self.n >= self.div.window:
             score = self.rest + self.sum
             self.ema = score if self.ema is None else self.div.alpha * score + (1 - self.div.alpha) * self.ema
             self.over = self.over + 1 if self.ema > self.div.threshold else 0
@@ -99,59 +110,138 @@ class Scorer:
         return self.ema, self.stat, new
 
     def dump(self) -> str:
-        return json.dumps([list(self.window), self.sum, self.ema, self.over, self.stat, self.n, self.fired])
+        own = [] if self.attached else [list(self.ring.items())]
+        return json.dumps([self.sum, self.ema, self.over, self.stat, self.n, self.fired, *own])
 
     def load(self, raw: str) -> None:
-        window, self.sum, self.ema, self.over, self.stat, self.n, self.fired = json.loads(raw)
-        self.window, self.counts = deque(window), Counter(window)
+        self.sum, self.ema, self.over, self.stat, self.n, self.fired, *own = json.loads(raw)
+        if own:
+            self.ring = {slot: tool for slot, tool in own[0]}
+            self.counts = dict(Counter(self.ring.values()))
+
+
+class StateMap(MutableMapping):
+    """A map state of Spark as a mapping of single values: entries are read when they are asked for, and flush() writes those that have changed."""
+
+    def __init__(self, state):
+        self.state, self.held, self.changed = state, {}, set()
+
+    def __getitem__(self, key):
+        if key not in self.held:
+            self.held[key] = self.state.getValue((key,))[0] if self.state.containsKey((key,)) else None
+        if self.held[key] is None:
+            raise KeyError(key)
+        return self.held[key]
+
+    def __setitem__(self, key, value) -> None:
+        self.held[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key) -> None:
+        self[key] = None
+
+    def __iter__(self):
+        stored = {k[0] for k in self.state.keys()} if self.state.exists() else set()
+        return iter([k for k in stored | set(self.held) if self.held.get(k, 0) is not None])
+
+    def __len__(self) -> int:
+        return len(list(iter(self)))
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.held[key] is not None:
+                self.state.updateValue((key,), (self.held[key],))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+        self.changed = set()
 
 
 class ChannelProcessor(StatefulProcessor):
     """Scores each record of a stream; alarm names the channels that fire for the first time."""
 
-    def __init__(self, make: Callable[[], Channels], order: tuple[str, ...], timed: bool):
-        self.make, self.order, self.timed = make, list(order), timed
+    def __init__(self, make: Callable[[], Channels], order: tuple[str, ...], waiting: str | None = None, idle: int | None = None):
+        """waiting: schema of rows that wait for the watermark; None, if they are scored as they come. idle: milliseconds."""
+        self.make, self.order, self.waiting, self.idle = make, list(order), waiting, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("scorer", STATE)
-        self.late = handle.getValueState("late", "n long")
+        self.ring, self.counts = handle.getMapState("ring", "slot int", "tool string"), handle.getMapState("counts", "tool string", "n long")
+        self.late = handle.getValueState("late", "n long, last long")
+        if self.waiting is not None:
+            self.rows = handle.getListState("waiting", self.waiting)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        late = self.late.get()[0] if self.late.exists() else 0
-        if self.timed:
-            mark = timerValues.getCurrentWatermarkInMs()
-            old = pd.to_datetime(batch["event_time"]).map(lambda t: t.timestamp() * 1000) < mark
-            late += int(old.sum())
-            self.late.update((late,))
-            batch = batch[~old]
-        batch = batch.sort_values(self.order)
+    def _scored(self, key, tools: list[str], late: int) -> pd.DataFrame:
         scorer = self.make()
+        maps = [StateMap(self.ring), StateMap(self.counts)] if hasattr(scorer, "attach") else []
+        if maps:
+            scorer.attach(*maps)
         if self.state.exists():
             scorer.load(self.state.get()[0])
         out = []
-        for tool in batch["tool"]:
+        for tool in tools:
             at = scorer.n
             ema, stat, new = scorer.update(tool)
             out.append((key[0], at, tool, ema, stat, ",".join(new), late))
-        self.state.update((scorer.dump(),))
-        yield pd.DataFrame(out, columns=["stream", "event_index", "tool", "ema", "stat", "alarm", "late"]).astype({"ema": "float64", "stat": "float64"})
+        if out:
+            self.state.update((scorer.dump(),))
+            for m in maps:
+                m.flush()
+        return pd.DataFrame(out, columns=["stream", "event_index", "tool", "ema", "stat", "alarm", "late"]).astype(
+            {"stream": "str", "event_index": "int64", "tool": "str", "ema": "float64", "stat": "float64", "alarm": "str", "late": "int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        if self.waiting is None:
+            yield self._scored(key, batch.sort_values(self.order)["tool"].tolist(), 0)
+            return
+        late, last = self.late.get() if self.late.exists() else (0, 0)
+        mark = timerValues.getCurrentWatermarkInMs()
+        at = batch["event_time"].map(lambda t: int(t.timestamp() * 1000))
+        new = batch[at >= mark].assign(at=at[at >= mark])
+        self.late.update((int(late + (at < mark).sum()), int(max(last, at.max()))))
+        if len(new):
+            self.rows.appendList([tuple(x) for x in new[["at", "tool", *self.order]].astype(object).values.tolist()])
+            self.handle.registerTimer(int(new["at"].min()) + 1)
+        yield self._scored(key, [], 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Releases rows that the watermark has passed: no earlier ones can come."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = list(self.rows.get()) if self.rows.exists() else []
+        done = sorted((r for r in held if r[0] < mark), key=lambda r: tuple(r[2:]))
+        left = [tuple(r) for r in held if r[0] >= mark]
+        late, last = self.late.get() if self.late.exists() else (0, 0)
+        if done and left:
+            self.rows.put(left)
+        elif done:
+            self.rows.clear()
+        if left:
+            self.handle.registerTimer(min(r[0] for r in left) + 1)
+        elif self.idle is not None and mark >= last + self.idle:
+            for state in (self.state, self.ring, self.counts, self.late):
+                state.clear()
+        elif self.idle is not None:
+            self.handle.registerTimer(last + self.idle)
+        yield self._scored(key, [r[1] for r in done], late)
 
     def close(self) -> None:
         pass
 
 
-def scored_stream(events: DataFrame, dist: dict[str, float], stream: str = "agent_id", order: tuple[str, ...] = ("ord",), div: Divergence = Divergence(), cus: Cusum = Cusum(), event_time: str | None = None, late: str = "10 minutes", make: Callable[[], Channels] | None = None) -> DataFrame:
+def scored_stream(events: DataFrame, dist: dict[str, float], stream: str = "agent_id", order: tuple[str, ...] = ("ord",), div: Divergence = Divergence(), cus: Cusum = Cusum(), event_time: str | None = None, late: str = "10 minutes", make: Callable[[], Channels] | None = None, idle: int | None = None) -> DataFrame:
     """A streaming table of scores (OUTPUT). events: stream, tool and the order columns; needs the RocksDB state store.
 
-    dist is the frozen baseline, of the size of the vocabulary. make: gives other channels than these two."""
+    dist is the frozen baseline, of the size of the vocabulary. make: gives other channels than these two. event_time: rows come out of order, late at most;
+    order must agree with it. idle: milliseconds of event time."""
     make = make or (lambda: Scorer(dist, div, cus))
-    columns = [F.col(stream).alias("stream"), "tool", *order]
+    columns, waiting = [F.col(stream).alias("stream"), "tool", *order], None
     if event_time is not None:
+        waiting = ", ".join(["at long", "tool string", *(f"{c} {t}" for c, t in events.select(*order).dtypes)])
         events = events.withColumn("event_time", F.col(event_time)).withWatermark("event_time", late)
         columns.append("event_time")
     rows = events.select(*columns).groupBy("stream")
-    return rows.transformWithStateInPandas(statefulProcessor=ChannelProcessor(make, order, event_time is not None), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if event_time is not None else "None")
+    return rows.transformWithStateInPandas(statefulProcessor=ChannelProcessor(make, order, waiting, idle), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if event_time is not None else "None")
 
 
 #: What a session needs for scored_stream().
