@@ -123,16 +123,25 @@ def count_batches(batches):
 
 def costs(place: np.ndarray, n: np.ndarray) -> bytes:
     """Cost of each symbol after each context, from counts: the interpolated log probability in STEPS, 255 at most."""
-    count = np.zeros(SYMBOLS**ORDER, np.float32)
-    count[place] = n
-    count = count.reshape(SYMBOLS, -1)
+    order = np.argsort(place, kind="stable")
+    place, n = place[order], n[order]
+    cut = np.searchsorted(place, np.arange(SYMBOLS + 1) * _CONTEXTS)
+
+    def slice_of(first: int) -> np.ndarray:
+        """Counts after one first symbol: the whole table at once is too much for a driver."""
+        out = np.zeros(_CONTEXTS, np.float32)
+        own = slice(cut[first], cut[first + 1])
+        out[place[own] - first * _CONTEXTS] = n[own]
+        return out
 
     def smoothed(counts, lower):
         counts = counts.reshape(-1, SYMBOLS)
         total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
         return (counts + kinds * lower) / np.maximum(total + kinds, 1) + np.where(total == 0, lower, 0)
 
-    shorter = [count.sum(axis=0)]  # of ORDER - 1 symbols, then fewer
+    shorter = [np.zeros(_CONTEXTS, np.float32)]  # of ORDER - 1 symbols, then fewer
+    for first in range(SYMBOLS):
+        shorter[0] += slice_of(first)
     for _ in range(ORDER - 2):
         shorter.append(shorter[-1].reshape(SYMBOLS, -1).sum(axis=0))
     lower = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
@@ -141,7 +150,7 @@ def costs(place: np.ndarray, n: np.ndarray) -> bytes:
         lower = smoothed(counts, np.tile(lower, (rows // len(lower), 1)))
     out = np.empty((SYMBOLS, SYMBOLS ** (ORDER - 1)), np.uint8)
     for first in range(SYMBOLS):  # a slice of the contexts at once
-        out[first] = np.minimum(np.rint(-STEPS * np.log(smoothed(count[first], lower))), 255).reshape(-1)
+        out[first] = np.minimum(np.rint(-STEPS * np.log(smoothed(slice_of(first), lower))), 255).reshape(-1)
     return out.tobytes()
 
 
