@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .rules import matches
 
 PREDICTORS = ("first", "third", "middle", "last", "first_error", "before_first_error", "before_first_apology", "first_worker", "second_worker", "first_worker_local")
 
@@ -25,6 +26,12 @@ def verdicts(labels: DataFrame, texts: DataFrame, family: dict[str, str], least:
     return rows.withColumn("flagged", F.size("matched") >= least).withColumn("dev", T.is_dev("run_id")).drop("text")
 
 
+def run_verdicts(labels: DataFrame, content: DataFrame, column: str, family: dict[str, str], least: int = 1, sep: str = "\n", dedup: bool = False, flags: str = P.FLAGS) -> DataFrame:
+    """verdicts() on the texts of runs of any length, which are never put together."""
+    rows = labels.join(matches(content, column, family, sep, dedup, flags=flags), "run_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+    return rows.withColumn("flagged", F.size("matched") >= least).withColumn("dev", T.is_dev("run_id"))
+
+
 def rates(rows: DataFrame, positive: str, keys: tuple[str, ...] = (), rollup: bool = False) -> DataFrame:
     """keys, n_positive, n_negative, detection and fpr of the column flagged; null where there is nothing to divide by.
 

@@ -154,8 +154,8 @@ def reasoning_patterns(content: DataFrame, labels: DataFrame) -> dict[str, DataF
 
 def _patterns(content, labels, column, sep, dedup, family, least):
     used = labels.where(F.col("classification").isin(CLEAN_CLASS, HACKED_CLASS)).withColumn("bad", F.col("classification") == HACKED_CLASS)
-    texts = R.run_texts(content.withColumn("run_id", F.concat_ws("//", "model_dir", "run_id")), column, sep, dedup)
-    rows = R.verdicts(used.withColumn("_run", F.col("run_id")).withColumn("run_id", F.concat_ws("//", "model_dir", "run_id")), texts, family, least)
+    content = content.withColumn("run_id", F.concat_ws("//", "model_dir", "run_id"))
+    rows = R.run_verdicts(used.withColumn("_run", F.col("run_id")).withColumn("run_id", F.concat_ws("//", "model_dir", "run_id")), content, column, family, least, sep, dedup)
     rows = rows.withColumn("dev", T.is_dev("_run")).withColumn("split", F.when(F.col("dev"), "dev").otherwise("eval"))
     return {"rates": R.rates(rows, "bad", ("model_dir", "split")), "coverage": R.coverage(rows, ("bad",))}
 
@@ -164,7 +164,7 @@ def transfer(content: DataFrame, labels: DataFrame) -> DataFrame:
     """family, detection, fpr of the frozen families on exported trajectories."""
     out = None
     for name, column, dedup in (("command", "l1_text", False), ("reasoning", "l3_text", True)):
-        rows = R.verdicts(labels, R.run_texts(content, column, "\n", dedup), P.FAMILIES[name], P.LEAST[name])
+        rows = R.run_verdicts(labels, content, column, P.FAMILIES[name], P.LEAST[name], dedup=dedup)
         part = R.rates(rows, "hacked").select(F.lit(name).alias("family"), "*")
         out = part if out is None else out.unionByName(part)
     return out
@@ -172,8 +172,8 @@ def transfer(content: DataFrame, labels: DataFrame) -> DataFrame:
 
 def injection_features(content: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
     """rates by pipeline and split, with totals; attacks (eval split); benign (features that benign runs of it match)."""
-    texts = R.run_texts(content, "l2_text", "\n")
-    rows = R.verdicts(labels.where("n_calls > 0"), texts, P.INJECTION_FEATURES, P.LEAST["injection"])
+    rows = R.run_verdicts(labels.where("n_calls > 0"), content, "l2_text", P.INJECTION_FEATURES, P.LEAST["injection"])
+    texts = R.run_texts(content.join(labels.where("attacked").select("run_id"), "run_id", "left_semi"), "l2_text", "\n")
     rows = rows.join(texts, "run_id", "left").withColumn("reached", F.col("attacked") & T.reached("injected", F.coalesce("text", F.lit("")))).drop("text")
     rows = rows.withColumn("split", F.when(F.col("dev"), "dev").otherwise("eval"))
     n = lambda c: F.sum(c.cast("long"))
