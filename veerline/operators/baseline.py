@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,7 +47,7 @@ class Baseline:
     counts: DataFrame
 
     def contents(self) -> dict:
-        """The baseline as nested dictionaries. Its size is that of the vocabulary, not of the records."""
+        """The baseline as nested dictionaries, for vocabularies that fit the driver; fingerprint() doesn't need them."""
         by_goal: dict = {}
         for x in self.tools_by_goal.collect():
             by_goal.setdefault(x["goal_id"], {})[x["tool"]] = x["p"]
@@ -63,9 +64,44 @@ class Baseline:
             "n_runs": n["n_runs"],
         }
 
+    def _json(self) -> Iterator[str]:
+        """json.dumps(contents(), sort_keys=True), in pieces: sorted tables come to the driver a partition at a time."""
+        text = json.dumps
+
+        def members(df: DataFrame, key: str, value: Callable, also: tuple[str, ...] = ()) -> Iterator[str]:
+            for i, x in enumerate(df.orderBy(key, *also).toLocalIterator()):
+                yield (", " if i else "") + text(x[key]) + ": " + value(x)
+
+        def groups(df: DataFrame, inner: str, value: Callable, ends: tuple[str, str]) -> Iterator[str]:
+            last, first = None, True
+            for x in df.orderBy("goal_id", inner).toLocalIterator():
+                if first or x["goal_id"] != last:
+                    yield ("" if first else ends[1] + ", ") + text(x["goal_id"]) + ": " + ends[0]
+                    last, first, n = x["goal_id"], False, 0
+                piece = value(x)
+                if piece is not None:
+                    yield (", " if n else "") + piece
+                    n += 1
+            yield "" if first else ends[1]
+
+        n = self.counts.first()
+        yield '{"error_rate_by_length_bin": {'
+        yield from members(self.error_rates.withColumn("bin", F.col("bin").cast("string")), "bin", lambda x: text([x["err"], x["n"]]))
+        yield '}, "expected_tools_by_goal": {'
+        goals = self.tools_by_goal.select("goal_id").distinct()
+        yield from groups(goals.join(self.expected, "goal_id", "left"), "tool", lambda x: None if x["tool"] is None else text(x["tool"]), ("[", "]"))
+        yield f'}}, "n_records": {n["n_records"]}, "n_runs": {n["n_runs"]}, "tool_dist": {{'
+        yield from members(self.tools, "tool", lambda x: text(x["p"]))
+        yield '}, "tool_dist_by_goal": {'
+        yield from groups(self.tools_by_goal, "tool", lambda x: text(x["tool"]) + ": " + text(x["p"]), ("{", "}"))
+        yield "}}"
+
     def fingerprint(self) -> str:
         """16 digits of the SHA-256 of the contents as JSON with sorted keys."""
-        return hashlib.sha256(json.dumps(self.contents(), sort_keys=True).encode()).hexdigest()[:16]
+        h = hashlib.sha256()
+        for piece in self._json():
+            h.update(piece.encode())
+        return h.hexdigest()[:16]
 
 
 def freeze(records: DataFrame, min_support: float = MIN_SUPPORT, order: tuple[str, ...] = ("step_index",)) -> Baseline:

@@ -13,8 +13,10 @@ FLOOR = 1e-4
 def tool_distribution(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Relative frequency of each tool, within each value of keys."""
     counts = records.groupBy(*keys, "tool").agg(F.count(F.lit(1)).alias("n"))
-    # counts have a row a tool: without keys, the vocabulary is summed in one task
-    total = F.sum("n").over(Window.partitionBy(*(keys or (F.lit(0),))))
+    if not keys:
+        total = records.agg(F.count(F.lit(1)).alias("_all"))  # one row
+        return counts.crossJoin(F.broadcast(total)).select("tool", (F.col("n") / F.col("_all")).alias("p"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
     return counts.select(*keys, "tool", (F.col("n") / total).alias("p"))
 
 

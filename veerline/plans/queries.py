@@ -679,16 +679,6 @@ def split_half_decay(spark, sf):
     return trials.split_half_decay(r, benign, 0.5)
 
 
-@query(None)
-def timeline_null(spark, sf):
-    return E.timeline_null(V.records(spark, sf).withColumn("model_version", F.lit("v")), TRIALS, 5, 2.0, 12)
-
-
-@query(None)
-def timeline_versions(spark, sf):
-    return E.timeline_versions(V.records(spark, sf), 3, 2.0, 12, 6)
-
-
 #: The grammar of shell words as RE2 has it; quotes are doubled within SQL's.
 _PART = r"""[^ \t\r\n''"\\]+|\\.|''[^'']*''|"(?:[^"\\]|\\.)*\""""
 _LEXED = CONTENT + rf""", l AS (SELECT run_id, step_index, label, list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\v\f]'), lambda x: CASE

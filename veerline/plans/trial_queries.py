@@ -8,7 +8,7 @@ from ..operators import detectors as D
 from . import experiments as E
 from . import records as V
 from . import trials
-from .queries import _BJ, _BLK, _SEG, js, query, r6
+from .queries import _BJ, _BLK, _SEG, _SES, js, query, r6
 from .records import ORDER, RECORDS
 
 TRIALS, TOOLS = 3, ("click", "error", "purchase", "signup", "view")
@@ -187,3 +187,59 @@ SELECT kind, n, round(m, 6) AS median, round(l[n // 4 + 1], 6) AS q1, round(l[3
 def fingerprints(spark, sf):
     q = E.fingerprints(V.records(spark, sf), 10)["divergence"]
     return q.select("kind", "n", *(r6(F.abs(c), c) for c in ("median", "q1", "q3")))
+
+
+# --- timelines of users: false alarms in real and composed orders, alarms at version borders ---
+
+
+def timeline_sql(keys: str, window: int, margin: float, cap: int) -> str:
+    """Tables from pp (keys, agent_id, run_id, place, part: 0 admission, 1 calibration, 2 stream) and r to tc: keys, channel, alarm, delay, horizon."""
+    k = keys
+    return f"""e0 AS (SELECT {k}, part, tool, row_number() OVER (PARTITION BY {k}, part ORDER BY place, step_index) - 1 AS event_index FROM pp JOIN (SELECT run_id, step_index, tool FROM r) USING (run_id)),
+dq AS (SELECT {k}, tool, count(*) / sum(count(*)) OVER (PARTITION BY {k})::DOUBLE AS q FROM e0 WHERE part = 0 GROUP BY {k}, tool),
+sz AS (SELECT {k}, count(*) FILTER (part = 1) AS c, least({cap}, count(*) FILTER (part = 2)) AS horizon FROM e0 GROUP BY {k} HAVING count(*) FILTER (part = 1) > {window} AND count(*) FILTER (part = 2) > {window}),
+ev AS (SELECT {k}, part, event_index, tool FROM e0 SEMI JOIN sz USING ({k}) WHERE part = 1 OR part = 2 AND event_index < {cap}),
+{scored_sql('sc', 'ev', 'dq', k + ', part', k, window)},
+li AS (SELECT {k}, least(greatest(0, coalesce(max(ema), 0)) * {margin}, 0.9) AS dt, greatest(0, coalesce(max(stat), 0)) * {margin} AS ct FROM sc WHERE part = 1 GROUP BY {k}),
+ht AS (SELECT {k}, event_index, sum(coalesce(ema > dt, false)::INT) OVER (PARTITION BY {k} ORDER BY event_index ROWS 4 PRECEDING) = 5 AS a, stat > ct AS b FROM sc JOIN li USING ({k}) WHERE part = 2),
+fo AS (SELECT {k}, 'divergence' AS channel, min(event_index) AS delay FROM ht WHERE a GROUP BY {k} UNION ALL SELECT {k}, 'cusum', min(event_index) FROM ht WHERE b GROUP BY {k}),
+tc AS (SELECT {k}, channel, delay IS NOT NULL AS alarm, delay, horizon FROM sz CROSS JOIN (SELECT unnest(['divergence', 'cusum']) AS channel) LEFT JOIN fo USING ({k}, channel))"""
+
+
+#: Not 2: over five tools, sums of surprisal can be twice the calibration's largest to the last digit, and rounding would decide.
+MARGIN = 2.1
+_CUM = "sum(n) OVER (PARTITION BY {k} ORDER BY pos) AS cum, sum(n) OVER (PARTITION BY {k}) AS total, max(pos) OVER (PARTITION BY {k}) AS last"
+_CUT = "SELECT {k}, pos + 1 AS {name} FROM {rows} WHERE pos + 1 <= last {after} QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY abs(cum - {f} * total), pos) = 1"
+
+
+@query(RECORDS + f""", s0 AS (SELECT agent_id, run_id, count(*) AS n, arg_min(ts, step_index) AS first_ts FROM r GROUP BY 1, 2),
+x0 AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY first_ts, run_id) - 1 AS session FROM s0 QUALIFY sum(n) OVER (PARTITION BY agent_id) >= 12 AND count(*) OVER (PARTITION BY agent_id) >= 3),
+od AS (SELECT agent_id, -1 AS trial, run_id, n, session AS pos FROM x0 UNION ALL SELECT agent_id, trial, run_id, n, row_number() OVER (PARTITION BY agent_id, trial ORDER BY md5(trial || ':' || run_id), run_id) - 1 FROM x0, (SELECT unnest(range({TRIALS})) AS trial)),
+cu AS (SELECT *, {_CUM.format(k='agent_id, trial')} FROM od), c0 AS ({_CUT.format(k='agent_id, trial', name='cut0', rows='cu', after='', f='0.5')}),
+c1 AS ({_CUT.format(k='agent_id, trial', name='cut1', rows='cu JOIN c0 USING (agent_id, trial)', after='AND pos + 1 > cut0', f='0.75')}),
+pp AS (SELECT agent_id, trial, run_id, pos AS place, (pos >= cut0)::INT + (pos >= cut1)::INT AS part FROM cu JOIN c0 USING (agent_id, trial) JOIN c1 USING (agent_id, trial)),
+{timeline_sql('agent_id, trial', 5, MARGIN, 2000)}
+SELECT a.agent_id, a.channel, a.alarm AS real_fp, a.horizon AS real_horizon, round(avg(b.alarm::INT), 6) AS composed_fp, count(*) AS composed_cells FROM tc a JOIN tc b ON b.agent_id = a.agent_id AND b.channel = a.channel AND a.trial < 0 AND b.trial >= 0 GROUP BY ALL""")
+def timeline_null(spark, sf):
+    found = E.timeline_null(V.records(spark, sf).withColumn("model_version", F.lit("v")), TRIALS, 5, MARGIN, 12)
+    return found.select("agent_id", "channel", "real_fp", "real_horizon", r6("composed_fp", "composed_fp"), "composed_cells")
+
+
+@query(_SES + f""", z AS (SELECT agent_id, block, sum(n) AS size, any_value(version) AS version, count(*) AS k FROM s GROUP BY 1, 2),
+zn AS (SELECT *, lead(size) OVER w AS size1, lead(version) OVER w AS version1 FROM z WINDOW w AS (PARTITION BY agent_id ORDER BY block)),
+re AS (SELECT agent_id, 'real-' || block AS pair, block FROM zn WHERE version <> '' AND version1 <> '' AND size >= {{old}} AND size1 >= {{new}}),
+rs AS (SELECT re.agent_id, pair, s.run_id, s.session, s.n, (s.block > re.block)::INT AS side FROM re JOIN s ON s.agent_id = re.agent_id AND s.block IN (re.block, re.block + 1)),
+o0 AS (SELECT s.agent_id, 'control-' || s.block AS pair, s.run_id, s.session, s.n, row_number() OVER (PARTITION BY s.agent_id, s.block ORDER BY s.session) - 1 AS pos FROM s JOIN z ON z.agent_id = s.agent_id AND z.block = s.block WHERE z.version <> '' AND z.size >= {{old}} + {{new}} AND z.k >= 3),
+ou AS (SELECT *, {_CUM.format(k='agent_id, pair')} FROM o0), oc AS ({_CUT.format(k='agent_id, pair', name='cut0', rows='ou', after='', f='0.6::DOUBLE')}),
+os AS (SELECT agent_id, pair, run_id, session, n, (pos >= cut0)::INT AS side FROM ou JOIN oc USING (agent_id, pair) QUALIFY sum(n * (pos < cut0)::INT) OVER (PARTITION BY agent_id, pair) >= {{old}} AND sum(n * (pos >= cut0)::INT) OVER (PARTITION BY agent_id, pair) >= {{new}}),
+al AS (SELECT * FROM rs UNION ALL SELECT * FROM os),
+h0 AS (SELECT *, row_number() OVER (PARTITION BY agent_id, pair ORDER BY session) - 1 AS pos FROM al WHERE side = 0), hu AS (SELECT *, {_CUM.format(k='agent_id, pair')} FROM h0), hc AS ({_CUT.format(k='agent_id, pair', name='cut0', rows='hu', after='', f='(2.0::DOUBLE / 3)')}),
+pp AS (SELECT agent_id, pair, run_id, session AS place, (pos >= cut0)::INT AS part FROM hu JOIN hc USING (agent_id, pair) UNION ALL SELECT agent_id, pair, run_id, session, 2 FROM al WHERE side = 1),
+{timeline_sql('agent_id, pair', 3, MARGIN, 2000)},
+tl AS (SELECT agent_id, pair, side, tool, ts FROM al JOIN (SELECT run_id, tool, ts FROM r) USING (run_id)),
+td AS (SELECT agent_id, pair, tool, count(*) FILTER (side = 0) / any_value(n0)::DOUBLE AS p, count(*) FILTER (side = 1) / any_value(n1)::DOUBLE AS q FROM (SELECT *, count(*) FILTER (side = 0) OVER w AS n0, count(*) FILTER (side = 1) OVER w AS n1 FROM tl WINDOW w AS (PARTITION BY agent_id, pair)) GROUP BY 1, 2, 3),
+tj AS (SELECT agent_id, pair, sum({js('p', 'q')}) AS jsd FROM td GROUP BY 1, 2), tg AS (SELECT agent_id, pair, (min(ts) FILTER (side = 1) - max(ts) FILTER (side = 0)) / 86400 AS gap FROM tl GROUP BY 1, 2)
+SELECT agent_id, pair, split_part(pair, '-', 1) AS kind, channel, alarm, CAST(delay AS BIGINT) AS delay, horizon, round(jsd, 6) AS jsd, round(gap, 6) AS gap_days FROM tc JOIN tj USING (agent_id, pair) JOIN tg USING (agent_id, pair)""".replace("{old}", "12").replace("{new}", "6"))
+def timeline_versions(spark, sf):
+    found = E.timeline_versions(V.records(spark, sf), 3, MARGIN, 12, 6)
+    return found.select("agent_id", "pair", "kind", "channel", "alarm", "delay", "horizon", r6("jsd", "jsd"), r6("gap_days", "gap_days"))
