@@ -243,3 +243,40 @@ SELECT agent_id, pair, split_part(pair, '-', 1) AS kind, channel, alarm, CAST(de
 def timeline_versions(spark, sf):
     found = E.timeline_versions(V.records(spark, sf), 3, MARGIN, 12, 6)
     return found.select("agent_id", "pair", "kind", "channel", "alarm", "delay", "horizon", r6("jsd", "jsd"), r6("gap_days", "gap_days"))
+
+
+# --- submissions: a week of a group of users each ---
+
+_SUBMISSION = "'w' || (us // 604800000000) || CASE WHEN CAST(substr(agent_id, 2) AS BIGINT) % 2 = 0 THEN '_even' ELSE '_odd' END"
+_SUBS = RECORDS + f""", q0 AS (SELECT {_SUBMISSION} AS agent_id, run_id, step_index, tool FROM r),
+q1 AS (SELECT agent_id, count(DISTINCT run_id) AS n_runs FROM q0 GROUP BY 1 HAVING count(DISTINCT run_id) >= 20), q AS (SELECT * FROM q0 SEMI JOIN q1 USING (agent_id)) """
+
+
+def _submissions(spark, sf):
+    r = V.records(spark, sf)
+    name = F.concat(F.lit("w"), F.floor(F.col("us") / 604_800_000_000), F.when(F.substring("agent_id", 2, 20).cast("long") % 2 == 0, "_even").otherwise("_odd"))
+    return E.submissions(r.select(name.alias("agent_id"), "run_id", "step_index", "tool"), ["even", "odd"], TRIALS, 1.2, 20, 20)
+
+
+@query(_SUBS + f""", rr AS (SELECT agent_id, run_id, step_index, tool FROM q), i0 AS (SELECT DISTINCT agent_id, run_id FROM q),
+pm AS (SELECT agent_id, trial, run_id, row_number() OVER (PARTITION BY agent_id, trial ORDER BY md5(trial || ':' || run_id), run_id) - 1 AS pos, count(*) OVER (PARTITION BY agent_id, trial) AS n FROM i0, (SELECT unnest(range({TRIALS})) AS trial)),
+ij AS (SELECT agent_id, trial, run_id, pos FROM pm WHERE false), {cells_sql('agent_id, trial', 'agent_id, run_id', 20, 1.2)}
+SELECT agent_id, channel, count(*) AS cells, round(avg(false_alarm::INT), 6) AS fp, CAST(floor(median(horizon)) AS BIGINT) AS median_horizon FROM ce GROUP BY ALL""")
+def submission_null(spark, sf):
+    """False alarms of each submission against its own runs."""
+    return _submissions(spark, sf)["null"].select("agent_id", "channel", "cells", r6("fp", "fp"), "median_horizon")
+
+
+@query(_SUBS + f""", fa AS (SELECT agent_id, split_part(agent_id, '_', 2) AS family FROM q1), pr AS (SELECT agent_id AS old, lead(agent_id) OVER (PARTITION BY family ORDER BY agent_id) AS new FROM fa QUALIFY new IS NOT NULL),
+rr AS (SELECT old, new, 'old/' || run_id AS run_id, step_index, tool FROM pr JOIN q ON q.agent_id = pr.old UNION ALL SELECT old, new, 'new/' || run_id, step_index, tool FROM pr JOIN q ON q.agent_id = pr.new),
+i0 AS (SELECT DISTINCT old, new, run_id, run_id[:4] = 'new/' AS bad FROM rr),
+od AS (SELECT old, new, bad, trial, run_id, row_number() OVER (PARTITION BY old, new, bad, trial ORDER BY md5(trial || ':' || run_id), run_id) - 1 AS pos, count(*) OVER (PARTITION BY old, new, bad, trial) AS n FROM i0, (SELECT unnest(range({TRIALS})) AS trial)),
+pm AS (SELECT * EXCLUDE (bad) FROM od WHERE NOT bad), ij AS (SELECT * EXCLUDE (bad, n) FROM od WHERE bad), {cells_sql('old, new, trial', 'old, new, run_id', 20, 1.2)},
+dd AS (SELECT old, new, tool, count(*) FILTER (run_id[:4] = 'old/') AS a, count(*) FILTER (run_id[:4] = 'new/') AS b FROM rr GROUP BY 1, 2, 3),
+dp AS (SELECT old, new, tool, a / sum(a) OVER (PARTITION BY old, new)::DOUBLE AS p, b / sum(b) OVER (PARTITION BY old, new)::DOUBLE AS q FROM dd),
+dj AS (SELECT old, new, round(sum({js('p', 'q')}), 6) AS jsd FROM dp GROUP BY 1, 2)
+SELECT old, new, jsd, channel, count(*) AS cells, round(avg(detected::INT), 6) AS detection, CAST(floor(median(delay)) AS BIGINT) AS median_delay FROM dj JOIN ce USING (old, new) GROUP BY ALL""")
+def submission_versions(spark, sf):
+    """Divergence and detection between each two successive submissions of a family."""
+    found = _submissions(spark, sf)["version"].where("channel IS NOT NULL")
+    return found.select("old", "new", r6("jsd", "jsd"), "channel", "cells", r6("detection", "detection"), "median_delay")
