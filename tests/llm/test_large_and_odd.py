@@ -81,3 +81,10 @@ def test_long_texts_in_stages(spark, size):
     assert len(spans[1]) >= 1 and spans[1][0]["start"] == len(long) and len(spans[3]) == 1 and not spans[2]
     sizes = {r["doc_id"]: r["size"] for r in mixing.queue(d).collect()}
     assert sizes == {1: size // 5 + 3, 2: 2, 3: 1}
+
+
+def test_rows_of_shards_and_buckets_grow_as_the_bytes_do():
+    from veerline.llm.suffix_dedup import SHARD_MOST, shards_for
+
+    a_byte = [shards_for(n) ** 2 / n for n in (10**9, 10**10, 5 * 10**10, 10**11)]
+    assert max(a_byte) < 1.05 * a_byte[0] and 10**11 / shards_for(10**11) < SHARD_MOST

@@ -32,6 +32,7 @@ table; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,13 @@ from .hashing import INVERSE, mix, powers, prefixes, substrings
 from .shared import table
 
 LENGTH, GRAM = 50, 22
-#: Strings that are sorted at once, at most one anchor's more.
-SORT_AT_ONCE = 400_000
-#: Bytes of texts that are held as arrays at once, at most one text's more.
-BYTES_AT_ONCE = 2_000_000
-#: Bytes of a shard's texts at least and at most, and shards up to which they don't grow.
-SHARD_LEAST, SHARD_MOST, FEW_SHARDS = 8_000_000, 256_000_000, 4096
+#: Strings that are sorted at once, at most one anchor's more; their arrays fit into a core's cache.
+SORT_AT_ONCE = 30_000
+#: Bytes of texts that are held as arrays at once, at most one text's more; these, too, fit into a cache.
+BYTES_AT_ONCE = 150_000
+#: Bytes of a shard's texts at least and at most, and shards up to which they don't grow. Beyond, they grow with the root of all bytes, so
+#: that rows (one a shard and bucket) grow as the bytes do.
+SHARD_LEAST, SHARD_MOST, FEW_SHARDS = 8_000_000, 256_000_000, 125
 _LAST = 2**63 - 1
 #: Fixed value: the odd base of the second hash.
 SECOND = 0xC2B2AE3D27D4EB4F
@@ -88,18 +90,20 @@ def segments(raws: list[bytes], length: int = LENGTH, gram: int = GRAM):
         least, have = np.minimum(least[:-have], least[have:]), have * 2
     if have < width:
         least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # a segment ends where the anchor changes (least holds its place), at the end of a text, and where a text has no string left
     ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(raws)), sizes)[: len(anchor)]
-    start = np.flatnonzero(np.arange(len(anchor)) + length <= ends[text])
-    anchor, text = anchor[start], text[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    lo = np.flatnonzero(new)
-    hi = np.append(lo[1:], len(start))[: len(lo)] - 1
-    first, last, at = start[lo], start[hi], anchor[lo]
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    for border in (ends - sizes, np.maximum(ends - length + 1, ends - sizes)):
+        new[border[border < len(new)]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    text = np.searchsorted(ends, first, "right")
+    whole = first + length <= ends[text]
+    first, last, text = first[whole], last[whole], text[whole]
+    at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     context = context_hash(p, first, last + length, at - first)
-    return text[lo], g[at], context, first, at - first, last - first + 1, raw
+    return text, g[at], context, first, at - first, last - first + 1, raw
 
 
 # --- hash-compared suffix sort --------------------------------------------------------------------------------------
@@ -110,16 +114,20 @@ class SuffixOrder:
 
     def __init__(self, raw: np.ndarray, length: int = LENGTH):
         self.raw, self.length, self.p = raw, length, prefixes(raw)
+        start = np.arange(max(0, len(raw) - length + 1))
+        self.back, self.whole = powers(INVERSE, len(self.p)), substrings(self.p, start, start + length)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix, length at most, by binary search over prefix hashes."""
         same = np.full(len(x), self.length, np.int64)
-        odd = np.flatnonzero(substrings(self.p, x, x + self.length) != substrings(self.p, y, y + self.length))
+        odd = np.flatnonzero(self.whole[x] != self.whole[y])
         x, y = x[odd], y[odd]
+        # as substrings() has them, with what stays the same while the length is searched fetched once
+        px, py, bx, by = self.p[x], self.p[y], self.back[x], self.back[y]
         low, high = np.zeros(len(odd), np.int64), np.full(len(odd), self.length, np.int64)
         while len(odd) and (high - low).max() > 1:
             mid = (low + high) >> 1
-            equal = substrings(self.p, x, x + mid) == substrings(self.p, y, y + mid)
+            equal = (self.p[x + mid] - px) * bx == (self.p[y + mid] - py) * by
             low, high = np.where(equal, mid, low), np.where(equal, high, mid)
         same[odd] = low
         return same
@@ -173,7 +181,7 @@ class SuffixOrder:
         s, g = start[order], group[order]
         new = np.ones(len(s), bool)
         if len(s) > 1:
-            same = (g[1:] == g[:-1]) & (substrings(self.p, s[1:], s[1:] + self.length) == substrings(self.p, s[:-1], s[:-1] + self.length))
+            same = (g[1:] == g[:-1]) & (self.whole[s[1:]] == self.whole[s[:-1]])
             at = np.flatnonzero(same)
             for k in range(self.length):  # verification
                 same[at] &= self.raw[s[1:][at] + k] == self.raw[s[:-1][at] + k]
@@ -481,7 +489,8 @@ def _step5(key, docs, answers):
 
 def shards_for(n_bytes: int) -> int:
     """Shards, and buckets of anchors, of so many bytes."""
-    return max(1, -(-n_bytes // min(SHARD_MOST, max(SHARD_LEAST, n_bytes // FEW_SHARDS))))
+    grown = math.isqrt(n_bytes * SHARD_LEAST // FEW_SHARDS)
+    return max(1, -(-n_bytes // min(SHARD_MOST, max(SHARD_LEAST, grown))))
 
 
 def repeats_removed(docs: DataFrame, shards: int | None = None) -> DataFrame:
