@@ -174,3 +174,33 @@ def test_other_channels(spark, tmp_path):
         write(spark, path, [("a", k, "x", dt.datetime(2024, 1, 1))])
     got = run(spark, path, tmp_path, "own", dist={}, make=EveryOther).orderBy("event_index").collect()
     assert [(r["stat"], r["alarm"]) for r in got] == [(1.0, ""), (2.0, "even"), (3.0, "")]
+
+
+def test_a_short_window_is_one_value_of_state():
+    """Two calls for a batch of any number of rows; no entry is read or written for a tool."""
+    from veerline.streaming.channels import ChannelProcessor, Scorer
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        exists = None  # one call more, not needed
+
+    p = ChannelProcessor(lambda: Scorer({"a": 0.5, "b": 0.5}), ("ord",))
+    p.state, p.ring, p.counts = Value(), None, None
+    tools = ["a", "b", "b", "c"] * 100
+    parts = [x for k in (0, 150, 151) for x in p._scored(("u",), tools[k : {0: 150, 150: 151, 151: 400}[k]], 0)]
+    assert p.state.calls == 6 and list(p._scored(("u",), [], 0)) == [] and p.state.calls == 6
+    whole = Scorer({"a": 0.5, "b": 0.5})
+    want = [whole.update(t) for t in tools]
+    assert [e for x in parts for e in x["event_index"]] == list(range(400))
+    assert [s for x in parts for s in x["stat"]] == [w[1] for w in want]
+    assert [e for x in parts for e in x["ema"]][60:] == pytest.approx([w[0] for w in want][60:])
