@@ -87,3 +87,21 @@ def test_joined_apart(spark):
     # what is shuffled has no key with more than a fraction of a task's share
     far = a.where("tool <> 'hot'").repartition(8, "tool").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert max(r["count"] for r in far) <= 100
+
+
+def test_pairs_of_classes_stand_for_all_pairs(spark):
+    """Users of one distribution are compared once; their pairs count in ranks as if each were a row."""
+    from veerline.operators import selection as Q
+    from veerline.operators.pairs import classes, js_of_all_pairs, js_of_classes
+
+    rows = [(f"u{i}", t, p) for i in range(60) for t, p in (("x", (i % 3 + 1) / 4), ("y", 1 - (i % 3 + 1) / 4))]
+    d = spark.createDataFrame(rows, "k string, tool string, p double")
+    assert classes(d, "k").select("_class").distinct().count() == 3
+    short, whole = js_of_classes(d, "k").collect(), js_of_all_pairs(d, "k").collect()
+    assert len(short) == 6 and sum(r["n"] for r in short) == 60 * 59 // 2 == len(whole) == len({(r["a"], r["b"]) for r in whole if r["a"] < r["b"]})
+    kind = {r["k"]: r["_class"] for r in classes(d, "k").collect()}
+    by = {tuple(sorted((r["a"], r["b"]))): r["jsd"] for r in short}
+    assert all(abs(r["jsd"] - by[tuple(sorted((kind[r["a"]], kind[r["b"]])))]) < 1e-12 for r in whole)
+    got = Q.medians(js_of_classes(d, "k"), (), "jsd", weight="n", q1=Q.QUARTILE).first()
+    values = sorted(r["jsd"] for r in whole)
+    assert got["n"] == 1770 and abs(got["median"] - (values[884] + values[885]) / 2) < 1e-12 and abs(got["q1"] - values[442]) < 1e-12

@@ -18,14 +18,15 @@ QUARTILE, UPPER, THIRD_QUARTILE = (lambda n: F.floor(n / 4)), (lambda n: F.floor
 LOWER = lambda n: F.floor((n - 1) / 2)
 
 
-def picked(values: DataFrame, keys: tuple[str, ...], value: str, ranks: dict[str, Callable[[Column], Column]], parts: int | None = None) -> DataFrame:
+def picked(values: DataFrame, keys: tuple[str, ...], value: str, ranks: dict[str, Callable[[Column], Column]], parts: int | None = None, weight: str | None = None) -> DataFrame:
     """keys, n and a column for each of ranks: the value at that place (a function of n, from 0) of the group's sorted values.
 
-    Null values don't count, and groups without others have no row; null keys are a group; NaN is the largest value."""
+    Null values don't count, and groups without others have no row; null keys are a group; NaN is the largest value. weight: how many
+    values a row stands for."""
     spark = values.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
-    counts = values.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = values.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_c"))
     dealt = written(counts.repartitionByRange(parts, "_g", "_v").withColumn("_part", F.spark_partition_id()), "selection")
     sizes = dealt.groupBy("_g", "_part").agg(F.sum("_c").alias("_m"))
     whole = Window.partitionBy("_g")
@@ -41,8 +42,8 @@ def picked(values: DataFrame, keys: tuple[str, ...], value: str, ranks: dict[str
     return out.select(*(F.col(f"_g.{k}").alias(k) for k in keys), "n", *ranks)
 
 
-def medians(values: DataFrame, keys: tuple[str, ...], value: str, name: str = "median", **others: Callable[[Column], Column]) -> DataFrame:
+def medians(values: DataFrame, keys: tuple[str, ...], value: str, name: str = "median", weight: str | None = None, **others: Callable[[Column], Column]) -> DataFrame:
     """keys, n, name: the mean of the two middle values; and others, as in picked()."""
-    found = picked(values, keys, value, {"_low": LOWER, "_high": UPPER} | others)
+    found = picked(values, keys, value, {"_low": LOWER, "_high": UPPER} | others, weight=weight)
     middle = F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) / 2)
     return found.select(*keys, "n", middle.alias(name), *others)

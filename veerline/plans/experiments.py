@@ -304,7 +304,7 @@ def fingerprints(records: DataFrame, size: int = 400, order: tuple[str, ...] = (
     blocked = written(L.fixed_blocks(records.join(s, ["agent_id", "run_id"]), order, size).select("agent_id", "block", "n_blocks", "in_last", "tool", "ts"), "blocks")
     pairs = written(L.block_pairs(blocked), "block-pairs")
     within = L.quartiles(pairs.where("kind IN ('adjacent', 'lagged')"), ("kind",))
-    between = L.quartiles(L.between_users(blocked).withColumn("kind", F.lit("between")), ("kind",))
+    between = L.quartiles(L.between_classes(blocked).withColumn("kind", F.lit("between")), ("kind",), weight="n")
     aging = pairs.where("kind = 'aging'")
     aging = Q.medians(aging, ("block",), "jsd", "median_jsd").join(Q.medians(aging, ("block",), "lag_days", "median_lag_days").drop("n"), "block")
     return {"divergence": within.unionByName(between), "aging": aging}
