@@ -105,3 +105,18 @@ def test_pairs_of_classes_stand_for_all_pairs(spark):
     got = Q.medians(js_of_classes(d, "k"), (), "jsd", weight="n", q1=Q.QUARTILE).first()
     values = sorted(r["jsd"] for r in whole)
     assert got["n"] == 1770 and abs(got["median"] - (values[884] + values[885]) / 2) < 1e-12 and abs(got["q1"] - values[442]) < 1e-12
+
+
+def test_smoothing_of_streams_beyond_a_doubles_range(spark):
+    """0.9 ** -k is infinite from k = 6737 on: 9000 scores, against the recursion."""
+    from veerline.operators import channels as C
+
+    scores = [((i * 7919) % 1000) / 1000 for i in range(9000)]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(scores)], "agent_id string, event_index long, jsd double")
+    want, ema = [], None
+    for x in scores:
+        ema = x if ema is None else 0.1 * x + 0.9 * ema
+        want.append(ema)
+    for block in (None, 2048):
+        got = [r["ema"] for r in C.smoothed(df, ("agent_id",), block=block).orderBy("event_index").collect()]
+        assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
