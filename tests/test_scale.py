@@ -120,3 +120,35 @@ def test_smoothing_of_streams_beyond_a_doubles_range(spark):
     for block in (None, 2048):
         got = [r["ema"] for r in C.smoothed(df, ("agent_id",), block=block).orderBy("event_index").collect()]
         assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
+
+
+def test_places_of_trials_follow_from_runs(spark, monkeypatch):
+    """Starts of runs in blocks of four places are those of a loop; runs without records are left out."""
+    from veerline.plans import trials
+
+    monkeypatch.setattr(C, "BLOCK", 4)
+    rng = random.Random(12)
+    sizes = {f"r{i}": rng.choice([0, 1, 3, 9]) for i in range(30)}
+    counts = spark.createDataFrame([("k", r, t, 1) for r, n in sizes.items() for t in range(n)], "k string, run_id string, tool string, n long")
+    order = {t: rng.sample(sorted(sizes), 30) for t in range(2)}
+    runs = spark.createDataFrame([("k", t, r, i) for t, rs in order.items() for i, r in enumerate(rs)], "k string, trial int, run_id string, pos long")
+    got = {(r["trial"], r["run_id"]): (r["start"], r["n"]) for r in trials._placed(runs, counts, ("k", "trial"), ("k",)).collect()}
+    want = {}
+    for t, rs in order.items():
+        at = 0
+        for r in rs:
+            if sizes[r]:
+                want[t, r] = (at, sizes[r])
+            at += sizes[r]
+    assert got == want
+
+
+def test_versions_of_submissions_are_scored_once(spark):
+    """No trials of the other query, and no table of placed events beside that of the scores."""
+    from veerline import folders
+    from veerline.plans import trial_queries
+
+    before = folders.made()
+    assert trial_queries.submission_versions(spark, "/root/testdata/sf0.001").columns == ["old", "new", "jsd", "channel", "cells", "detection", "median_delay"]
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in folders.made() - before]
+    assert names.count("trial-scores") == 1 and "trial-events" not in names and "trial-streams" not in names

@@ -211,8 +211,9 @@ def scored(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], div: Div
 def swept(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], windows: tuple[int, ...], alpha: float = 0.1, slack: float = 0.5, on: tuple[str, ...] = (), block: int | None = None, hot: bool = False) -> DataFrame:
     """events with jsd_<w> and ema_<w> for each of windows, and stat: all windows in one pass over the streams."""
     known = windows_scores(with_probabilities(events, dist, on, hot), dist, stream, windows, on, block)
-    known = smoothed(known, stream, alpha, block, {f"jsd_{w}": f"ema_{w}" for w in windows})
-    return _cusum(known, dist, stream, slack, on, block).drop("_q")
+    # the windows of the statistic are in the order that the scores come in; smoothing sorts by parts
+    known = _cusum(known, dist, stream, slack, on, block).drop("_q")
+    return smoothed(known, stream, alpha, block, {f"jsd_{w}": f"ema_{w}" for w in windows})
 
 
 def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ EPS = 1e-9
 FLOOR = 1e-4
 
 
-def tool_distribution(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Relative frequency of each tool, within each value of keys."""
-    counts = records.groupBy(*keys, "tool").agg(F.count(F.lit(1)).alias("n"))
+def tool_distribution(records: DataFrame, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Relative frequency of each tool, within each value of keys. weight: how many records a row stands for."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = records.groupBy(*keys, "tool").agg(n.alias("n"))
     if not keys:
-        total = records.agg(F.count(F.lit(1)).alias("_all"))  # one row
+        total = records.agg(n.alias("_all"))  # one row
         return counts.crossJoin(F.broadcast(total)).select("tool", (F.col("n") / F.col("_all")).alias("p"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     return counts.select(*keys, "tool", (F.col("n") / total).alias("p"))

@@ -32,12 +32,12 @@ def numbered_by_ranges(records: DataFrame, stream: tuple[str, ...], order: tuple
     return placed.withColumn("event_index", (F.col("_start") + F.col("_i") - 1).cast("long")).drop("_part", "_i", "_start")
 
 
-def running(rows: DataFrame, stream: tuple[str, ...], value: str, name: str, how: str = "sum", block: int | None = None) -> DataFrame:
-    """rows (with event_index) with name: the running sum or min of value in each stream.
+def running(rows: DataFrame, stream: tuple[str, ...], value: str, name: str, how: str = "sum", block: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows (with event_index) with name: the running sum or min of value in each stream. ties: what orders rows of one place.
 
     With block, in blocks of so many events."""
     f = {"sum": F.sum, "min": F.min}[how]
-    upto = lambda keys: Window.partitionBy(*keys).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda keys: Window.partitionBy(*keys).orderBy("event_index", *ties).rowsBetween(Window.unboundedPreceding, 0)
     if block is None:
         return rows.withColumn(name, f(value).over(upto(stream)))
     rows = rows.withColumn("_b", F.floor(F.col("event_index") / block))

@@ -86,23 +86,37 @@ def window_sweep(records: DataFrame, benign: DataFrame, injected: DataFrame, win
 def submissions(records: DataFrame, families: list[str], trials: int = 10, margin: float = 1.2, window: int = 50, least_runs: int = 100) -> dict[str, DataFrame]:
     """null: false alarms of each submission against its own runs; version: divergence and detection between each two
     successive submissions of a family."""
-    sizes = records.groupBy("agent_id").agg(F.count_distinct("run_id").alias("n_runs")).where(F.col("n_runs") >= least_runs)
-    rows = records.join(sizes.select("agent_id"), "agent_id")
-    ids = rows.select("agent_id", "run_id").distinct()
+    found = submission_runs(records, least_runs)
+    return {"null": submission_null(*found, trials, margin, window), "version": submission_versions(*found, families, trials, margin, window)}
+
+
+def submission_runs(records: DataFrame, least_runs: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Records and runs (agent_id, run_id) of the submissions that have enough runs."""
+    records = written(records.select("agent_id", "run_id", "step_index", "tool"), "submissions")
+    ids = written(records.select("agent_id", "run_id").distinct(), "submission-runs")
+    enough = ids.groupBy("agent_id").agg(F.count("run_id").alias("n_runs")).where(F.col("n_runs") >= least_runs).select("agent_id")
+    enough = written(enough, "submission-names")
+    return records.join(enough, "agent_id"), ids.join(enough, "agent_id")
+
+
+def submission_null(rows: DataFrame, ids: DataFrame, trials: int = 10, margin: float = 1.2, window: int = 50) -> DataFrame:
     order = X.hashed(ids, trials, ("agent_id",))
     null = X.stream_trials(rows, order, order.where("false"), window, margin, ("agent_id",))
-    null = null.groupBy("agent_id", "channel").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.col("false_alarm").cast("double")).alias("fp"), F.floor(F.median("horizon")).alias("median_horizon"))
-    named = sizes.withColumn("family", T.family_of("agent_id", families)).where("family IS NOT NULL")
+    return null.groupBy("agent_id", "channel").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.col("false_alarm").cast("double")).alias("fp"), F.floor(F.median("horizon")).alias("median_horizon"))
+
+
+def submission_versions(rows: DataFrame, ids: DataFrame, families: list[str], trials: int = 10, margin: float = 1.2, window: int = 50) -> DataFrame:
+    named = ids.select("agent_id").distinct().withColumn("family", T.family_of("agent_id", families)).where("family IS NOT NULL")
     pairs = named.withColumn("new", F.lead("agent_id").over(Window.partitionBy("family").orderBy("agent_id"))).where("new IS NOT NULL").select("family", F.col("agent_id").alias("old"), "new")
+    pairs = written(pairs, "submission-pairs")
     jsd = S.js_of_pairs(pairs, S.tool_distribution(rows, ("agent_id",)), "agent_id", "old", "new")
     # runs of the new submission as the attack on the old one's baseline; the pair names the stream
-    tools = rows.select("agent_id", "run_id", "step_index", "tool")
-    side = lambda s: pairs.join(tools.withColumnRenamed("agent_id", s), s).select("old", "new", F.concat_ws("/", F.lit(s), "run_id").alias("run_id"), "step_index", "tool")
-    both = side("old").unionByName(side("new"))
-    runs = lambda s: X.hashed(side(s).select("old", "new", "run_id").distinct(), trials, ("old", "new"))
+    side = lambda what, s: pairs.join(what.withColumnRenamed("agent_id", s), s).select("old", "new", F.concat_ws("/", F.lit(s), "run_id").alias("run_id"), *(c for c in what.columns if c not in ("agent_id", "run_id")))
+    both = side(rows, "old").unionByName(side(rows, "new"))
+    runs = lambda s: X.hashed(side(ids, s), trials, ("old", "new"))
     cells = X.stream_trials(both, runs("old"), runs("new"), window, margin, ("old", "new"))
     rates = X.stream_rates(cells, ("old", "new")).select("old", "new", "channel", "cells", "detection", "median_delay")
-    return {"null": null, "version": jsd.join(rates, ["old", "new"], "left")}
+    return jsd.join(rates, ["old", "new"], "left")
 
 
 # --- span traces ---

@@ -255,7 +255,7 @@ q1 AS (SELECT agent_id, count(DISTINCT run_id) AS n_runs FROM q0 GROUP BY 1 HAVI
 def _submissions(spark, sf):
     r = V.records(spark, sf)
     name = F.concat(F.lit("w"), F.floor(F.col("us") / 604_800_000_000), F.when(F.substring("agent_id", 2, 20).cast("long") % 2 == 0, "_even").otherwise("_odd"))
-    return E.submissions(r.select(name.alias("agent_id"), "run_id", "step_index", "tool"), ["even", "odd"], TRIALS, 1.2, 20, 20)
+    return E.submission_runs(r.select(name.alias("agent_id"), "run_id", "step_index", "tool"), 20)
 
 
 @query(_SUBS + f""", rr AS (SELECT agent_id, run_id, step_index, tool FROM q), i0 AS (SELECT DISTINCT agent_id, run_id FROM q),
@@ -264,7 +264,7 @@ ij AS (SELECT agent_id, trial, run_id, pos FROM pm WHERE false), {cells_sql('age
 SELECT agent_id, channel, count(*) AS cells, round(avg(false_alarm::INT), 6) AS fp, CAST(floor(median(horizon)) AS BIGINT) AS median_horizon FROM ce GROUP BY ALL""")
 def submission_null(spark, sf):
     """False alarms of each submission against its own runs."""
-    return _submissions(spark, sf)["null"].select("agent_id", "channel", "cells", r6("fp", "fp"), "median_horizon")
+    return E.submission_null(*_submissions(spark, sf), TRIALS, 1.2, 20).select("agent_id", "channel", "cells", r6("fp", "fp"), "median_horizon")
 
 
 @query(_SUBS + f""", fa AS (SELECT agent_id, split_part(agent_id, '_', 2) AS family FROM q1), pr AS (SELECT agent_id AS old, lead(agent_id) OVER (PARTITION BY family ORDER BY agent_id) AS new FROM fa QUALIFY new IS NOT NULL),
@@ -278,5 +278,5 @@ dj AS (SELECT old, new, round(sum({js('p', 'q')}), 6) AS jsd FROM dp GROUP BY 1,
 SELECT old, new, jsd, channel, count(*) AS cells, round(avg(detected::INT), 6) AS detection, CAST(floor(median(delay)) AS BIGINT) AS median_delay FROM dj JOIN ce USING (old, new) GROUP BY ALL""")
 def submission_versions(spark, sf):
     """Divergence and detection between each two successive submissions of a family."""
-    found = _submissions(spark, sf)["version"].where("channel IS NOT NULL")
+    found = E.submission_versions(*_submissions(spark, sf), ["even", "odd"], TRIALS, 1.2, 20).where("channel IS NOT NULL")
     return found.select("old", "new", r6("jsd", "jsd"), "channel", "cells", r6("detection", "detection"), "median_delay")

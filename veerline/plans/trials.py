@@ -5,13 +5,13 @@ Runs are shuffled by a hash of trial and run; any other order will do that is gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..folders import written
 from ..operators import channels as C
 from ..operators import distributions as S
-from ..operators.ordinals import numbered_by_ranges
+from ..operators.ordinals import numbered_by_ranges, running
 
 CHANNELS = ("divergence", "cusum")
 #: The part of a trial that isn't one of its benign runs.
@@ -52,10 +52,13 @@ def per_run_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, m
         count(~F.col("bad")).alias("n_benign"), count(F.col("bad")).alias("n_injected"), count(~F.col("bad") & flag).alias("fp"), count(F.col("bad") & flag).alias("tp"))
 
 
-def _stream(runs: DataFrame, records: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Records of runs (by, run_id, pos) one run after another, with event_index, in ranges: a trial may have any number of events."""
-    joined = runs.join(records, ["run_id"] + [c for c in by if c in records.columns])
-    return numbered_by_ranges(joined.select(*by, "run_id", "pos", "step_index", "tool"), by, ("pos", "run_id", "step_index"))
+def _placed(runs: DataFrame, counts: DataFrame, by: tuple[str, ...], own: tuple[str, ...]) -> DataFrame:
+    """runs (by, run_id, pos) with n and start: a run's records, and those of the runs before it. Runs without records are left out, and
+    a trial may have any number of runs."""
+    sizes = counts.groupBy(*own, "run_id").agg(F.sum("n").alias("n"))
+    rows = runs.join(sizes, [*own, "run_id"]).withColumnRenamed("pos", "event_index")
+    ends = running(rows, by, "n", "_end", block=C.BLOCK, ties=("run_id",))
+    return ends.withColumn("start", F.col("_end").cast("long") - F.col("n")).drop("_end", "event_index")
 
 
 def stream_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, window: int = 50, margin: float = 2.0, keys: tuple[str, ...] = (), div: C.Divergence = C.Divergence(), block: int | None = None) -> DataFrame:
@@ -75,41 +78,50 @@ def swept_trials(records: DataFrame, benign: DataFrame, injected: DataFrame, win
     by = (*keys, "trial")
     part = F.when(F.col("pos") < F.floor(F.col("_n") / 2), 0).when(F.col("pos") < F.floor(3 * F.col("_n") / 4), 1).otherwise(2)
     runs = counted(benign, by).withColumn("part", part.cast("int")).drop("_n").unionByName(injected.withColumn("part", F.lit(ATTACK)))
-    placed = written(_stream(runs, records, (*by, "part")), "trial-events")
-    side = lambda k: placed.where(F.col("part") == k).drop("part")
-    length = lambda k, name: F.sum((F.col("part") == k).cast("long")).alias(name)
+    # places, lengths and baselines follow from runs and their counts; records are read once, for the streams that are scored
+    own = tuple(c for c in by if c in records.columns)
+    counts = written(records.groupBy(*own, "run_id", "tool").agg(F.count(F.lit(1)).alias("n")), "run-tools")
+    placed = written(_placed(runs, counts, (*by, "part"), own), "trial-runs")
+    length = lambda k, name: F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(name)
     sizes = placed.groupBy(*by).agg(length(1, "onset"), length(2, "horizon")).where((F.col("onset") > min(windows)) & (F.col("horizon") > min(windows)))
-    sizes = written(sizes, "trial-sizes")
-    dist = written(S.tool_distribution(side(0), by), "trial-tools")
-    kind = F.when(F.col("part") == 2, F.lit("null")).otherwise(F.lit("attack"))
-    # the attack stream starts with the calibration, whose scores give the thresholds
-    place = F.when(F.col("part") == ATTACK, F.col("event_index") + F.col("onset")).otherwise(F.col("event_index"))
-    used = placed.where("part > 0").join(sizes, list(by)).where((F.col("part") != ATTACK) | (F.col("event_index") < F.col("horizon")))
-    kinds = written(used.select(*by, kind.alias("kind"), place.alias("event_index"), "tool", "onset", "horizon"), "trial-streams")
-    if block is None and (most := kinds.agg(F.max("event_index")).first()[0]) is not None and most >= max(C.BLOCK, *windows):
+    # trials go by numbers from here on, which sort faster than names
+    sizes = written(sizes.withColumn("stream_id", F.monotonically_increasing_id()), "trial-sizes")
+    known = placed.join(sizes, list(by))
+    reference = known.where("part = 0").select(*own, "stream_id", "run_id").join(counts, [*own, "run_id"])
+    dist = written(S.tool_distribution(reference, ("stream_id",), "n"), "trial-tools")
+    # the attack stream starts with the calibration, whose scores give the thresholds, and ends with the horizon
+    attack = F.col("part") == ATTACK
+    used = known.where("part > 0").select(
+        *own, "run_id", "stream_id", (F.col("part") != 2).alias("_bad"), F.when(attack, F.col("start") + F.col("onset")).otherwise(F.col("start")).alias("_at"),
+        F.when(attack, F.least(F.col("n"), F.col("horizon") - F.col("start"))).otherwise(F.col("n")).alias("_most")).where("_most > 0")
+    ranked = records.select(*own, "run_id", "tool", (F.row_number().over(Window.partitionBy(*own, "run_id").orderBy("step_index")) - 1).alias("_rank"))
+    events = ranked.join(used, [*own, "run_id"]).where("_rank < _most").select("stream_id", "_bad", (F.col("_at") + F.col("_rank")).alias("event_index"), "tool")
+    if block is None and (most := used.agg(F.max(F.col("_at") + F.col("_most"))).first()[0]) is not None and most > max(C.BLOCK, *windows):
         block = max(C.BLOCK, *windows)
-    streams, hot = (*by, "kind"), dist.count() > C.MOST_VOCABULARY
+    streams, hot = ("stream_id", "_bad"), dist.count() > C.MOST_VOCABULARY
+    if hot:  # the streams are read more than once
+        events = written(events, "trial-streams")
     emas = [f"ema_{w}" for w in windows]
-    scores = C.swept(kinds, dist, streams, windows, div.alpha, on=by, block=block, hot=hot)
-    scores = written(scores.select(*streams, "event_index", "onset", "horizon", "stat", *emas), "trial-scores")
+    scores = C.swept(events, dist, streams, windows, div.alpha, on=("stream_id",), block=block, hot=hot)
+    scores = written(scores.select(*streams, "event_index", "stat", *emas), "trial-scores")
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
-    limits = scores.where((F.col("kind") == "attack") & (F.col("event_index") < F.col("onset"))).groupBy(*by).agg(
+    limits = scores.where("_bad").join(sizes, "stream_id").where("event_index < onset").groupBy("stream_id", *by, "onset", "horizon").agg(
         *(F.least(top(e), F.lit(C.CAP)).alias(f"_limit_{e}") for e in emas), top("stat").alias("cusum_threshold"))
     limits = written(limits, "trial-limits")
-    hits, names = scores.join(limits, list(by)), []
+    hits, names = scores.join(limits.drop(*by, "horizon"), "stream_id"), []
     for e in emas:
         hits = C.patience(hits, streams, f"_limit_{e}", div.patience, e, block).withColumnRenamed("alarmed", f"_over_{e}")
         names.append(F.when(F.col(f"_over_{e}"), F.struct(F.lit(int(e[4:])).alias("window"), F.lit("divergence").alias("channel"))))
     names += [F.when(F.col("stat") > F.col("cusum_threshold"), F.struct(F.lit(w).alias("window"), F.lit("cusum").alias("channel"))) for w in windows]
     hits = hits.select(*streams, "event_index", "onset", F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("_h"))
-    bad = F.col("kind") == "attack"
-    found = hits.groupBy(*by, "_h.window", "_h.channel").agg(
+    bad = F.col("_bad")
+    found = hits.groupBy("stream_id", "_h.window", "_h.channel").agg(
         F.max((~bad).cast("int")).alias("_null"), F.min(F.when(bad, F.col("event_index") - F.col("onset"))).alias("_first"), F.max((bad & (F.col("event_index") >= F.col("onset"))).cast("int")).alias("_after"))
     swept = F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"_limit_ema_{w}").alias("div_threshold")) for w in windows)))
-    cells = sizes.join(limits, list(by)).select(*by, "onset", "horizon", swept.alias("_w")).select(*by, "onset", "horizon", "_w.*")
+    cells = limits.select("stream_id", *by, "onset", "horizon", swept.alias("_w")).select("stream_id", *by, "onset", "horizon", "_w.*")
     cells = cells.where((F.col("onset") > F.col("window")) & (F.col("horizon") > F.col("window"))).withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS))))
     at = F.col("_first")
-    return cells.join(found, [*by, "window", "channel"], "left").select(
+    return cells.join(found, ["stream_id", "window", "channel"], "left").select(
         "window", *by, "channel", F.coalesce(F.col("_null") == 1, F.lit(False)).alias("false_alarm"), at.alias("first_alarm"), F.coalesce(at >= 0, F.lit(False)).alias("detected"),
         F.when(at >= 0, at).alias("delay"), F.coalesce(F.col("_after") == 1, F.lit(False)).alias("detected_after_onset"), "horizon", "div_threshold")
 
