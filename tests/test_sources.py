@@ -225,3 +225,21 @@ def test_filters_on_names_of_files_hold_no_lambdas(spark, tmp_path):
     assert "lambda" not in kept._jdf.queryExecution().optimizedPlan().toString()
     want = {f"r{i}" for i in range(40) if int(hashlib.sha256(f"r{i}".encode()).hexdigest(), 16) % 5}
     assert {r["run_id"] for r in kept.collect()} == want
+
+
+def test_spans_pass_python_once_in_batches_of_few_bytes(spark, tmp_path):
+    """Records and content start from spans that are written; strings don't go to Python; a setting of the session's own comes back."""
+    from veerline.sources import datasource
+
+    put(tmp_path, "data/a.json", {"trace_id": "tr", "spans": [{"span_id": "s", "timestamp": "2025-01-01T00:00:00Z", "span_attributes": {"input.value": "x", "output.value": [1, 2]}}]})
+    c = corpora.span_traces(spark, str(tmp_path / "data"), None, "set")
+    for table in (c.records, c.content):
+        assert "_flattened" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["l1_text"], r["l2_text"]) for r in c.content.collect()] == [("x", "[1, 2]")]
+    before = spark.conf.get(datasource.BATCH_BYTES)
+    for given, held in ((before, datasource.AT_ONCE), ("1024", 1024)):
+        spark.conf.set(datasource.BATCH_BYTES, given)
+        with datasource.small_batches(spark):
+            assert int(spark.conf.get(datasource.BATCH_BYTES).rstrip("b")) == held
+        assert spark.conf.get(datasource.BATCH_BYTES).rstrip("b") == given.rstrip("b")
+    spark.conf.set(datasource.BATCH_BYTES, before)
