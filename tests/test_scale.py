@@ -152,3 +152,17 @@ def test_versions_of_submissions_are_scored_once(spark):
     assert trial_queries.submission_versions(spark, "/root/testdata/sf0.001").columns == ["old", "new", "jsd", "channel", "cells", "detection", "median_delay"]
     names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in folders.made() - before]
     assert names.count("trial-scores") == 1 and "trial-events" not in names and "trial-streams" not in names
+
+
+def test_timelines_of_versions_are_scored_once(spark):
+    """Calibration and stream are one pass, over the records of the runs that it needs alone."""
+    from veerline import folders
+    from veerline.plans import trial_queries
+
+    before = folders.made()
+    found = trial_queries.timeline_versions(spark, "/root/testdata/sf0.01")
+    made = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: p for p in folders.made() - before}
+    assert len([p for p in folders.made() - before if "timeline-scores" in p]) == 1
+    scores, used = spark.read.parquet(made["timeline-scores"]), spark.read.parquet(made["timeline-used"])
+    assert scores.count() == used.agg(F.sum("_most")).first()[0] > 0
+    assert found.select("agent_id", "pair").distinct().count() * 2 == found.count()

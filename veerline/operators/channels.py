@@ -218,9 +218,13 @@ def swept(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], windows:
 
 def calibrated(events: DataFrame, dist: DataFrame, stream: tuple[str, ...], window: int = 50, margin: float = 2.0, cap: float = CAP, on: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """stream, div_threshold, cusum_threshold: the channels' largest scores times a margin, the first capped."""
-    s = scored(events, dist, stream, Divergence(window=window), on=on, block=block)
+    return thresholds(scored(events, dist, stream, Divergence(window=window), on=on, block=block), stream, margin, cap)
+
+
+def thresholds(scores: DataFrame, stream: tuple[str, ...], margin: float = 2.0, cap: float = CAP) -> DataFrame:
+    """The same of scores (with ema and stat)."""
     top = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.max(c), F.lit(0.0))) * margin
-    return s.groupBy(*stream).agg(F.least(top("ema"), F.lit(cap)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
+    return scores.groupBy(*stream).agg(F.least(top("ema"), F.lit(cap)).alias("div_threshold"), top("stat").alias("cusum_threshold"))
 
 
 def first_alarms(scores: DataFrame, stream: tuple[str, ...], div_threshold=0.15, cusum_threshold=8.0, n: int = 5, block: int | None = None) -> DataFrame:

@@ -252,41 +252,60 @@ def hallucination(content: DataFrame, labels: DataFrame) -> dict[str, DataFrame]
 # --- timelines of users ---
 
 
-def _null_cells(records: DataFrame, order: DataFrame, window: int, margin: float, cap: int, keys: tuple[str, ...]) -> DataFrame:
-    """keys, channel, false_alarm, horizon: sessions in an order (keys, run_id, pos, n), cut at a half and three quarters."""
-    split = L.split_at(order, (0.5, 0.75), keys)
-    part = lambda k: C.numbered(split.where(F.col("part") == k).join(records, [c for c in ("agent_id", "run_id") if c in split.columns]).select(*keys, "pos", "step_index", "tool"), keys, ("pos", "step_index"))
-    return _verdict(part(0), part(1), part(2), window, margin, cap, keys)
-
-
-def _verdict(admission: DataFrame, calibration: DataFrame, stream: DataFrame, window: int, margin: float, cap: int, keys: tuple[str, ...]) -> DataFrame:
-    dist = S.tool_distribution(admission, keys)
-    stream = stream.where(F.col("event_index") < cap)
-    size = lambda s, name: s.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    sizes = size(calibration, "c").join(size(stream, "horizon"), list(keys)).where((F.col("c") > window) & (F.col("horizon") > window)).drop("c")
-    limits = C.calibrated(calibration, dist, keys, window, margin, on=keys).join(sizes, list(keys))
-    scores = C.scored(stream, dist, keys, C.Divergence(window=window), on=keys).join(limits, list(keys))
-    first = C.first_alarms(scores, keys, "div_threshold", "cusum_threshold").select(*keys, "channel", F.col("event_index").alias("delay"))
+def _timeline(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What timelines need of records, and agent_id, run_id, tool, n, first and last time of each run's tools."""
+    records = written(records.select("agent_id", "run_id", "step_index", "tool", "ts", "model_version"), "timeline-records")
+    counts = records.groupBy("agent_id", "run_id", "tool").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return records, written(counts, "run-tools")
+
+
+def _verdict(placed: DataFrame, records: DataFrame, counts: DataFrame, window: int, margin: float, cap: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys, channel, alarm, delay, horizon of placed (keys, run_id, pos, n, part: 0 admission, 1 calibration, 2 stream).
+
+    Lengths, places and baselines follow from runs and their counts. Records are read once, for calibration and stream of the keys
+    that have enough of both, which are scored in one pass."""
+    runs = ["agent_id", "run_id"]
+    upto = Window.partitionBy(*keys, "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = written(placed.select(*dict.fromkeys([*keys, *runs]), "part", "n", (F.sum("n").over(upto) - F.col("n")).alias("start")), "timeline-runs")
+    length = lambda k: F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0))
+    sizes = placed.groupBy(*keys).agg(length(1).alias("c"), F.least(F.lit(cap), length(2)).alias("horizon")).where((F.col("c") > window) & (F.col("horizon") > window)).drop("c")
+    sizes = written(sizes.withColumn("stream_id", F.monotonically_increasing_id()), "timeline-sizes")
+    known = placed.join(sizes.select(*keys, "stream_id"), list(keys)).select("stream_id", *runs, "part", "n", "start")
+    dist = written(S.tool_distribution(known.where("part = 0").select("stream_id", *runs).join(counts, runs), ("stream_id",), "n"), "timeline-tools")
+    most = F.when(F.col("part") == 2, F.least(F.col("n"), F.lit(cap) - F.col("start"))).otherwise(F.col("n"))
+    used = written(known.where("part > 0").select("stream_id", *runs, "part", "start", most.alias("_most")).where("_most > 0"), "timeline-used")
+    own = records.select(*runs, "step_index", "tool").join(used.select(*runs).distinct(), runs, "left_semi")
+    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy(*runs).orderBy("step_index")) - 1)
+    events = ranked.join(used, runs).where("_rank < _most").select("stream_id", "part", (F.col("start") + F.col("_rank")).alias("event_index"), "tool")
+    scores = C.scored(events, dist, ("stream_id", "part"), C.Divergence(window=window), on=("stream_id",))
+    scores = written(scores.select("stream_id", "part", "event_index", "ema", "stat"), "timeline-scores")
+    limits = C.thresholds(scores.where("part = 1"), ("stream_id",), margin)
+    first = C.first_alarms(scores.where("part = 2").join(limits, "stream_id"), ("stream_id",), "div_threshold", "cusum_threshold").select("stream_id", "channel", F.col("event_index").alias("delay"))
     cells = sizes.withColumn("channel", F.explode(F.array(*map(F.lit, X.CHANNELS))))
-    return cells.join(first, [*keys, "channel"], "left").withColumn("alarm", F.col("delay").isNotNull())
+    return cells.join(first, ["stream_id", "channel"], "left").withColumn("alarm", F.col("delay").isNotNull()).drop("stream_id")
 
 
 def timeline_null(records: DataFrame, trials: int = 10, window: int = 50, margin: float = 2.0, least: int = 400, cap: int = 2000) -> DataFrame:
     """agent_id, channel, real_fp (sessions in their own order) and composed_fp (mean over shuffled orders), of each
     user's longest block of one known version."""
-    block = L.longest_block(L.version_blocks(L.sessions(records)), least).select("agent_id", "run_id", "session", "n")
-    three = block.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("agent_id"))).where("_k >= 3").drop("_k")
+    records, counts = _timeline(records)
+    blocks = written(L.version_blocks(L.sessions(records)), "timeline-sessions")
+    block = L.longest_block(blocks, least).select("agent_id", "run_id", "session", "n")
+    three = written(block.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("agent_id"))).where("_k >= 3").drop("_k"), "timeline-blocks")
+    # sessions in an order, cut at a half and three quarters
+    cells = lambda order, keys: _verdict(L.split_at(order, (0.5, 0.75), keys), records, counts, window, margin, cap, keys)
     real = three.withColumn("pos", F.row_number().over(Window.partitionBy("agent_id").orderBy("session")).cast("long") - 1).drop("session")
-    a = _null_cells(records, real, window, margin, cap, ("agent_id",)).select("agent_id", "channel", F.col("alarm").alias("real_fp"), F.col("horizon").alias("real_horizon"))
+    a = cells(real, ("agent_id",)).select("agent_id", "channel", F.col("alarm").alias("real_fp"), F.col("horizon").alias("real_horizon"))
     mixed = X.hashed(three.drop("session"), trials, ("agent_id",))
-    b = _null_cells(records, mixed, window, margin, cap, ("agent_id", "trial")).groupBy("agent_id", "channel").agg(F.avg(F.col("alarm").cast("double")).alias("composed_fp"), F.count(F.lit(1)).alias("composed_cells"))
+    b = cells(mixed, ("agent_id", "trial")).groupBy("agent_id", "channel").agg(F.avg(F.col("alarm").cast("double")).alias("composed_fp"), F.count(F.lit(1)).alias("composed_cells"))
     return a.join(b, ["agent_id", "channel"])
 
 
 def timeline_versions(records: DataFrame, window: int = 50, margin: float = 2.0, least_old: int = 300, least_new: int = 150, cap: int = 2000) -> DataFrame:
     """agent_id, pair, kind (real or control), channel, alarm, delay, jsd, gap_days: borders between adjacent blocks of
     known versions, and false borders near 60 % of single blocks."""
-    s = L.version_blocks(L.sessions(records))
+    records, counts = _timeline(records)
+    s = written(L.version_blocks(L.sessions(records)), "timeline-sessions")
     sizes = s.groupBy("agent_id", "block").agg(F.sum("n").alias("size"), F.first("version").alias("version"), F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy("agent_id").orderBy("block")
     nxt = sizes.withColumn("size1", F.lead("size").over(w)).withColumn("version1", F.lead("version").over(w))
@@ -301,14 +320,14 @@ def timeline_versions(records: DataFrame, window: int = 50, margin: float = 2.0,
     enough = cut.groupBy("agent_id", "pair").agg(F.sum(F.when(F.col("part") == 0, F.col("n"))).alias("o"), F.sum(F.when(F.col("part") == 1, F.col("n"))).alias("e")).where((F.col("o") >= least_old) & (F.col("e") >= least_new))
     rows = rows.unionByName(cut.join(enough.select("agent_id", "pair"), ["agent_id", "pair"]).select("agent_id", "pair", "run_id", "session", "n", F.col("part").alias("side")))
     keys = ("agent_id", "pair")
+    rows = written(rows, "timeline-sides")
     old = rows.where("side = 0").withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("session")).cast("long") - 1)
-    halves = L.split_at(old, (2 / 3,), keys)
-    stream = lambda part: C.numbered(part.join(records, ["agent_id", "run_id"]).select(*keys, "session", "step_index", "tool"), keys, ("session", "step_index"))
-    cells = _verdict(stream(halves.where("part = 0")), stream(halves.where("part = 1")), stream(rows.where("side = 1")), window, margin, cap, keys)
-    tools = rows.join(records, ["agent_id", "run_id"])
-    d = S.tool_distribution(tools, (*keys, "side"))
+    parts = L.split_at(old, (2 / 3,), keys).unionByName(rows.where("side = 1").withColumn("pos", F.col("session")).withColumn("part", F.lit(2)))
+    cells = _verdict(parts, records, counts, window, margin, cap, keys)
+    tools = written(rows.drop("n").join(counts, ["agent_id", "run_id"]), "timeline-pairs")
+    d = S.tool_distribution(tools, (*keys, "side"), "n")
     jsd = S.js_divergence(d.where("side = 0").drop("side"), d.where("side = 1").drop("side"), keys)
-    gap = tools.groupBy(*keys).agg(((F.min(F.when(F.col("side") == 1, F.col("ts"))) - F.max(F.when(F.col("side") == 0, F.col("ts")))) / 86400.0).alias("gap_days"))
+    gap = tools.groupBy(*keys).agg(((F.min(F.when(F.col("side") == 1, F.col("first"))) - F.max(F.when(F.col("side") == 0, F.col("last")))) / 86400.0).alias("gap_days"))
     return cells.join(jsd, list(keys)).join(gap, list(keys)).withColumn("kind", F.split("pair", "-")[0])
 
 
