@@ -107,6 +107,24 @@ def test_pairs_of_classes_stand_for_all_pairs(spark):
     assert got["n"] == 1770 and abs(got["median"] - (values[884] + values[885]) / 2) < 1e-12 and abs(got["q1"] - values[442]) < 1e-12
 
 
+def test_divergences_of_classes_are_rounded_before_they_are_pairs_of_members(spark, monkeypatch):
+    """Also in lists of four: 40 members of each of two classes, each pair once."""
+    from pyspark.sql import functions as F
+
+    from veerline.operators.pairs import js_of_all_pairs
+    from veerline.plans.queries import QUERIES
+
+    monkeypatch.setattr(pairs, "MEMBERS", 4)
+    rows = [(f"u{i}", t, p) for i in range(80) for t, p in (("x", (i % 2 + 1) / 3), ("y", 1 - (i % 2 + 1) / 3))]
+    d = spark.createDataFrame(rows, "k string, tool string, p double")
+    got = js_of_all_pairs(d, "k", value=lambda jsd: F.round(F.abs(jsd), 2)).collect()
+    want = round(sequential.js({"x": 1 / 3, "y": 2 / 3}, {"x": 2 / 3, "y": 1 / 3}), 2)
+    assert {(r["a"], r["b"]): r["jsd"] for r in got} == {(f"u{i}", f"u{j}"): want if (i + j) % 2 else 0.0 for i in range(80) for j in range(80) if f"u{i}" < f"u{j}"}
+    assert len(got) == 80 * 79 // 2
+    plan = QUERIES["between_user_jsd"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_mb" in plan and "round(" not in plan[:plan.index("Generate explode(_mb")]
+
+
 def test_smoothing_of_streams_beyond_a_doubles_range(spark):
     """0.9 ** -k is infinite from k = 6737 on: 9000 scores, against the recursion."""
     from veerline.operators import channels as C
